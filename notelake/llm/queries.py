@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import pages, pieces, quality, templates
+from notelake.llm import pages, pieces, pseudonyms, quality, templates
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: The pseudonym key; a real run sets its own secret one.
+PII_KEY = os.environ.get("NOTELAKE_PII_KEY", "a key for tests")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +45,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
