@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notelake.llm import pages, pieces, pseudonyms, quality, templates
+from notelake.llm import pages, pieces, pseudonyms, quality, repeats, templates
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -50,3 +51,9 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+@query
+def op9_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
