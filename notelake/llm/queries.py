@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import pages, pieces, pseudonyms, quality, repeats, templates
+from notelake.llm import bagminhash, pages, pieces, pseudonyms, quality, repeats, templates
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -57,3 +57,8 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
