@@ -8,9 +8,10 @@ meaning of tags, classes and roles.  The text of the article is then read off bl
 by block.
 
 The counts are shuffled as (host, subtree, page) hashes and summed map-side, so a
-host with a third of all pages only adds to its sums.  The templates of a host (at
-most a few times the elements of one page) are joined to its pages by Spark, which
-broadcasts them only below its size threshold and splits skewed hosts otherwise.
+host with a third of all pages only adds to its sums.  The templates of all hosts (at
+most a few times the elements of one page for each host) are settled and measured
+first; they are broadcast up to ``MAX_BROADCAST`` hashes, so that pages need no
+shuffle, and joined by host beyond that, where Spark splits skewed hosts.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.exchange import settled
+
 #: A subtree is a template if it stands on so many different pages of its host at least, and on this share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.5
+#: Template hashes (8 bytes each) of all hosts together up to which they are broadcast; beyond it pages and templates are shuffled by host.
+MAX_BROADCAST = 1_000_000
 
 # Kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,22 +232,22 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subs, whole = [], [], []
+            hosts, subs, whole, root = [], [], [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = digests(parse(source or ""))
                 page = found[-1][1]  # the root's
-                mine = {h for e, h in found if e.tag not in RAW and e.tag not in VOID and e.kids}
+                mine = {h for e, h in found if e.tag not in RAW and e.tag not in VOID and e.kids} | {page}
                 hosts += [host] * len(mine)
                 subs += mine
                 whole += [page] * len(mine)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtree": pa.array(subs, pa.int64()), "page": pa.array(whole, pa.int64())})
+                root += [h == page for h in mine]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtree": pa.array(subs, pa.int64()), "page": pa.array(whole, pa.int64()), "root": pa.array(root, pa.bool_())})
 
-    each = pages.select("host", "html").mapInArrow(subtrees, "host string, subtree bigint, page bigint")
-    counts = each.groupBy("host", "subtree", "page").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("one").alias("n"))
+    each = pages.select("host", "html").mapInArrow(subtrees, "host string, subtree bigint, page bigint, root boolean")
     # the root's subtree is the page itself: one row for each different page
-    many = counts.filter(F.col("n") >= min_pages)
-    sizes = each.filter("subtree = page").groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("pages"))
-    return many.join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.lit(min_share)).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    counts = each.groupBy("host", "subtree", "page").agg(F.max("root").alias("root")).groupBy("host", "subtree").agg(F.count("root").alias("n"), F.max("root").alias("root"))
+    sizes = counts.filter("root").groupBy("host").agg(F.count("root").alias("pages"))
+    return counts.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.lit(min_share)).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -264,5 +269,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     hosted = with_host(pages)
-    joined = hosted.join(site_templates(hosted, min_pages, min_share), "host", "left").select("page_id", "url", "html", "templates")
+    templates = settled(site_templates(hosted, min_pages, min_share))
+    size = templates.agg(F.coalesce(F.sum(F.size("templates") + 8), F.lit(0))).first()[0]
+    joined = hosted.join(F.broadcast(templates) if size <= MAX_BROADCAST else templates, "host", "left").select("page_id", "url", "html", "templates")
     return joined.mapInArrow(read, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
