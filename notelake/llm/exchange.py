@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of input (as stored) that one chunk gets.
-CHUNK_BYTES = 6 << 20
+#: Bytes of input (as stored) that one chunk gets; a task needs some 30 times as much memory.
+#: With executors of several GB, chunks of 64 MB and more make packed rows longer and fewer.
+CHUNK_BYTES = 3 << 20
+#: Chunks whose hashes one hash range gets on average.
+CHUNKS_PER_RANGE = 4
 PACKED = "bucket int, chunk int, payload binary"
 ANSWER = "chunk int, payload binary"
 
@@ -30,10 +33,11 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Chunks for ``df``, and so hash ranges: by its size, and one for each shuffle partition at least."""
+def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
+    """Chunks and hash ranges for ``df``: by its size, and one for each shuffle partition at least."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(parts, math.ceil(stored_bytes(df) / chunk_bytes)), 1 << 22)
+    chunks = min(max(parts, math.ceil(stored_bytes(df) / chunk_bytes)), 1 << 22)
+    return chunks, max(parts, math.ceil(chunks / CHUNKS_PER_RANGE))
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
     """
     plain = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = X.chunk_count(plain, chunk_bytes)
+    parts, ranges = X.chunk_count(plain, chunk_bytes)
     dealt = plain.select(X.by_range(plain, parts).alias("chunk"), "doc_id", "text")
     steps = levels(n, base)
     known: DataFrame | None = None
@@ -141,7 +141,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
                     hashes.append(m[first])
                     ids.append(d[first])
             h, many = _entries(hashes, ids)
-            return X.pack(key[0].as_py(), parts, h | many.astype(U64))
+            return X.pack(key[0].as_py(), ranges, h | many.astype(U64))
 
         sent = X.with_answers(dealt, known, send, X.PACKED, short, long, steps[steps.index(short) - 1] if known is not None else 0)
         known = sent.groupBy("bucket").applyInArrow(_answer_level, X.ANSWER)
@@ -163,7 +163,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
         order = np.lexsort((g, h))
         h, g = h[order], g[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, bool)
-        return X.pack(key[0].as_py(), parts, h[new], g[new])
+        return X.pack(key[0].as_py(), ranges, h[new], g[new])
 
     sent = X.with_answers(dealt, known, send_last, X.PACKED)
     earlier = sent.groupBy("bucket").applyInArrow(_answer_last, X.ANSWER)
