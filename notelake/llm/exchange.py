@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,7 +48,9 @@ def settled(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelake-checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    context._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are gone
+    return out
 
 
 def by_range(df: DataFrame, n: int, column: str = "doc_id") -> Column:
@@ -110,6 +112,57 @@ def answers(table: pa.Table, row: np.ndarray, wanted: np.ndarray, *columns: np.n
     return pa.table({"chunk": pa.array(chunks[some], pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
+def deal(df: DataFrame, chunk: Column, partitions: int) -> DataFrame:
+    """chunk and blob (compressed rows) of ``df``, dealt by chunk and settled, for work that goes through it several times.
+
+    The settled rows keep their partitioning, so later steps by chunk don't move them again.
+    """
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).combine_chunks()
+            chunks = table.column("__chunk").to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks[order])) + 1, [len(order)]]) if len(order) else [0]
+            out = []
+            for a, b in zip(cut, cut[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema.remove(table.schema.get_field_index("__chunk")), options=options) as w:
+                    w.write_table(table.take(pa.array(order[a:b])).drop_columns(["__chunk"]))
+                out.append((int(chunks[order[a]]), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "blob"])
+
+    return settled(df.withColumn("__chunk", chunk).mapInArrow(blobs, "chunk int, blob binary").repartition(partitions, "chunk"))
+
+
+def dealt_rows(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows in a chunk's blobs, blob by blob."""
+    for x in table.column("blob"):
+        yield pa.ipc.open_stream(x.as_buffer()).read_all()
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, with their sizes."""
+    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return np.array([len(raw), *map(len, arrays)], np.int64).tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def stretch(payload: pa.Scalar | bytes, *kinds: object) -> list[np.ndarray]:
+    """The arrays of ``squeeze``; ``kinds``: their dtypes."""
+    b = payload.as_buffer() if isinstance(payload, pa.Scalar) else pa.py_buffer(payload)
+    head = np.frombuffer(b, np.int64, len(kinds) + 1)
+    raw = _CODEC.decompress(b.slice(head.nbytes), int(head[0]))
+    out, at = [], 0
+    for k, n in zip(kinds, head[1:], strict=True):
+        out.append(np.frombuffer(raw, k, n, at))
+        at += int(n) * np.dtype(k).itemsize
+    return out
+
+
 def with_answers(dealt: DataFrame, answer: DataFrame | None, f: Callable[..., pa.Table], schema: str, *args: object) -> DataFrame:
     """``f(key, table, answers, *args)`` for each chunk's rows and the answers to it; no answers (None) if there are none to come."""
     if answer is None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import bagminhash, pages, pieces, pseudonyms, quality, repeats, suffix_dedup, templates
+from notelake.llm import bagminhash, katz, pages, pieces, pseudonyms, quality, repeats, suffix_dedup, templates
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -68,3 +68,8 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
