@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import bagminhash, katz, pages, pieces, pseudonyms, quality, repeats, suffix_dedup, templates
+from notelake.llm import bagminhash, katz, pages, pieces, pseudonyms, quality, repeats, suffix_dedup, templates, toxicity
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -73,3 +73,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
