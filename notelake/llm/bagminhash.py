@@ -251,7 +251,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, but of each class only the document with the smallest id."""
-    classes = near_duplicates(docs, similarity)
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, but of each class only the document with the smallest id.
+
+    Rows with one id are one document and stay or go together; rows with a null id stay.
+    """
+    gone = settled(near_duplicates(docs, similarity).filter("doc_id <> class_id").select("doc_id").distinct())
+    few = gone.count() <= MAX_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

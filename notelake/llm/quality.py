@@ -119,6 +119,35 @@ def language_references(docs: DataFrame, common: dict[str, list[str]] = COMMON_W
     return {k: (v[:N_CLASSES], v[N_CLASSES:]) for k, v in {**found, "": everything}.items() if k or not found}
 
 
+class Rules:
+    """The rules with their references, for the texts of Arrow batches."""
+
+    def __init__(self, references: dict[str, tuple[np.ndarray, np.ndarray]], common: dict[str, list[str]], min_words: int, min_chars: int, max_class_distance: float, max_word_distance: float):
+        self.class_refs = [r[0] for r in references.values()]
+        self.word_refs = [r[1] for r in references.values()]
+        self.vocabulary, _ = _vocabulary(common)
+        self.limits = (min_chars, min_words, max_class_distance, max_word_distance)
+
+    def judge(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text: words, their code points, symbols, repeated lines, repeated words, base verdict, two distances, verdict."""
+        min_chars, min_words, max_class, max_word = self.limits
+        parts = []
+        for t in text_blocks(texts):
+            start, end, doc = words(t)
+            n = np.bincount(doc, minlength=len(t))
+            kind = _CLASS[t.data]
+            chars = per_text(t, ((t.data & 0xC0) != 0x80) & (kind > 1))
+            symbols = per_text(t, _SYMBOL[t.data])
+            n_repeat = np.bincount(doc[_repeated_words(word_hash(t.data, start, end), doc, 5)], minlength=len(t))
+            failed = (n < 10) | (100 * n_repeat > 20 * n)
+            classes, common_words = _histograms(t, start, end, doc, self.vocabulary)
+            near = [np.min([js_distance(x, r) for r in refs], axis=0) if refs else np.zeros(len(t)) for x, refs in ((classes, self.class_refs), (common_words, self.word_refs))]
+            guard = [classes.sum(1) >= min_chars, n >= min_words]
+            bad = (guard[0] & (near[0] > max_class)) | (guard[1] & (near[1] > max_word))
+            parts.append((n, chars, symbols, _duplicate_lines(t), n_repeat, failed, np.where(guard[0], near[0], np.nan), np.where(guard[1], near[1], np.nan), ~failed & ~bad))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, int)] * 5 + [np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0, bool)]
+
+
 def quality_rules(
     docs: DataFrame,
     references: dict[str, tuple[np.ndarray, np.ndarray]] | None = None,
@@ -139,42 +168,31 @@ def quality_rules(
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept.
     """
-    references = language_references(docs, common) if references is None else references
-    class_refs = [r[0] for r in references.values()]
-    word_refs = [r[1] for r in references.values()]
-    vocabulary, _ = _vocabulary(common)
+    rules = Rules(language_references(docs, common) if references is None else references, common, min_words, min_chars, max_class_distance, max_word_distance)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for t in text_blocks(batch.column("text")):
-                start, end, doc = words(t)
-                n = np.bincount(doc, minlength=len(t))
-                lead = (t.data & 0xC0) != 0x80
-                inside = np.ones(len(t.data), bool)
-                inside[_CLASS[t.data] <= 1] = False
-                chars = per_text(t, lead & inside)
-                symbols = per_text(t, _SYMBOL[t.data])
-                h = word_hash(t.data, start, end)
-                repeated = _repeated_words(h, doc, 5)
-                n_repeat = np.bincount(doc[repeated], minlength=len(t))
-                failed = (n < 10) | (100 * n_repeat > 20 * n)
-                classes, common_words = _histograms(t, start, end, doc, vocabulary)
-                near = [np.min([js_distance(x, r) for r in refs], axis=0) if refs else np.zeros(len(t)) for x, refs in ((classes, class_refs), (common_words, word_refs))]
-                guard = [classes.sum(1) >= min_chars, n >= min_words]
-                bad = (guard[0] & (near[0] > max_class_distance)) | (guard[1] & (near[1] > max_word_distance))
-                parts.append((n, chars, symbols, _duplicate_lines(t), n_repeat, failed, np.where(guard[0], near[0], np.nan), np.where(guard[1], near[1], np.nan), ~failed & ~bad))
-            if parts:
-                n, chars, symbols, lines, repeat, failed, c, w, kept = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, chars, symbols, lines, repeat)), pa.array(failed), pa.array(c, mask=np.isnan(c)), pa.array(w, mask=np.isnan(w)), pa.array(kept)],
-                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"],
-                )
+            *counts, failed, c, w, kept = rules.judge(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in counts), pa.array(failed), pa.array(c, mask=np.isnan(c)), pa.array(w, mask=np.isnan(w)), pa.array(kept)],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"],
+            )
 
     schema = "doc_id {}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return docs.select("doc_id", "text").mapInArrow(judge, schema.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
+def keep_good(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps; no shuffle but the references' sums."""
+    rules = Rules(language_references(docs, common), common, min_words, min_chars, max_class_distance, max_word_distance)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(rules.judge(batch.column("text"))[-1]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def _repeated_words(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Mask of the words that lie in an n-word window found twice or more in their text."""
     at = np.flatnonzero(window_ok(doc, n))
@@ -201,10 +219,8 @@ def _duplicate_lines(t: Texts) -> np.ndarray:
     np.cumsum(_CLASS[t.data] > 1, out=filled[1:])
     some = filled[end] > filled[start]
     start, end, doc = start[some], end[some], doc[some]
-    keys = np.sort(word_hash(t.data, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-    if len(keys) == len(np.unique(keys)):
-        return np.zeros(len(t), np.int64)
-    order = np.argsort(word_hash(t.data, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    keys = word_hash(t.data, start, end) ^ mix(doc.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(keys)
     again = np.zeros(len(order), bool)
-    again[order[1:]] = keys[1:] == keys[:-1]
+    again[order[1:]] = keys[order][1:] == keys[order][:-1]
     return np.bincount(doc[again], minlength=len(t))
