@@ -72,7 +72,8 @@ class Segments:
         last[:-1] &= ~valid[1:] | (v[1:] != v[:-1])
         self.start = np.flatnonzero(first)
         self.count = np.flatnonzero(last) - self.start + 1
-        self.label = v[self.start]
+        smallest = v[self.start]
+        self.label = mix(smallest)  # smallest hashes are small; this spreads them over all hash ranges
         self.content = mix(range_hash(self.sums, self.start, self.start + self.count + length - 1, 3) ^ U64(0x6A09E667F3BCC909)) & ~U64(3)
         self.inner = np.zeros(len(self.start), bool)
         if inner and len(self.start):
@@ -81,7 +82,7 @@ class Segments:
             least = np.sort(h[most == h])
             twice = np.unique(least[1:][least[1:] == least[:-1]])
             if len(twice):
-                self.inner = twice[np.minimum(np.searchsorted(twice, self.label), len(twice) - 1)] == self.label
+                self.inner = twice[np.minimum(np.searchsorted(twice, smallest), len(twice) - 1)] == smallest
 
     @property
     def key(self) -> np.ndarray:
