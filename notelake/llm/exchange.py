@@ -8,6 +8,7 @@ of all documents costs one entry a chunk, and nothing grows with a value's frequ
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -48,9 +49,13 @@ def settled(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelake-checkpoints-"))
-    out = df.checkpoint(eager=True)
-    context._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are gone
-    return out
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are gone now, not at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def by_range(df: DataFrame, n: int, column: str = "doc_id") -> Column:
@@ -115,11 +120,12 @@ def answers(table: pa.Table, row: np.ndarray, wanted: np.ndarray, *columns: np.n
 def deal(df: DataFrame, chunk: Column, partitions: int) -> DataFrame:
     """chunk and blob (compressed rows) of ``df``, dealt by chunk and settled, for work that goes through it several times.
 
-    The settled rows keep their partitioning, so later steps by chunk don't move them again.
+    The settled rows keep their partitioning, so later steps by chunk don't move them
+    again; Spark only knows it of plans that are not adaptive.
     """
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
             table = pa.Table.from_batches([batch]).combine_chunks()
             chunks = table.column("__chunk").to_numpy()
@@ -133,7 +139,13 @@ def deal(df: DataFrame, chunk: Column, partitions: int) -> DataFrame:
                 out.append((int(chunks[order[a]]), sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "blob"])
 
-    return settled(df.withColumn("__chunk", chunk).mapInArrow(blobs, "chunk int, blob binary").repartition(partitions, "chunk"))
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settled(df.withColumn("__chunk", chunk).mapInArrow(blobs, "chunk int, blob binary").repartition(partitions, "chunk"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def dealt_rows(table: pa.Table) -> Iterator[pa.Table]:

@@ -110,7 +110,8 @@ class _Chunk:
             n += part.num_rows
         self.ids = pa.chunked_array(ids) if ids else None
         self.train = np.concatenate(trains) if trains else np.zeros(0, bool)
-        h, self.doc = np.concatenate(hs) if hs else np.zeros(0, U64), np.concatenate(ds) if ds else np.zeros(0, np.int64)
+        h, self.doc = np.concatenate(hs) if hs else np.zeros(0, U64), np.concatenate(ds).astype(np.int32) if ds else np.zeros(0, np.int32)
+        del hs, ds
         self.n_docs = n
         self.distinct, number = np.unique(h, return_inverse=True)
         self.token = number.astype(np.int32)
@@ -128,6 +129,7 @@ class _Chunk:
         code = self.context.astype(np.int64) * (len(self.distinct) + 1) + self.token
         code, where = np.unique(code, return_inverse=True)
         context, token = code // (len(self.distinct) + 1), code % (len(self.distinct) + 1)
+        del code
         h = np.append(self.distinct, BEGIN)
         with np.errstate(over="ignore"):
             pair = mix(mix(h[context]) + self.distinct[token] * U64(0x9E3779B97F4A7C15))
@@ -138,10 +140,20 @@ class _Chunk:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.pair_of = place[where]
+        del where, place, group
         self.hot, self.bucket, self.pair_context, self.pair_token, self.pair = hot[order], bucket[order].astype(np.int64), context[order], token[order], pair[order]
         self.pair_count = np.bincount(self.pair_of[self.of_train], minlength=len(order))
 
 
+def _low(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of each bigram's hash, which tell the words after one context apart, as two columns."""
+    return (pair & U64(0xFFFFFFFF)).astype(np.uint32), ((pair >> U64(32)) & U64(0xFFFF)).astype(np.uint16)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U64) | (high.astype(U64) << U64(32))
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.binary() if x.endswith("binary") else pa.int32() for x in schema.split(", ")]
@@ -191,7 +203,9 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
     plain = docs.select("doc_id", "text", (~held).alias("train"))
     chunks, ranges = X.chunk_count(docs.select("doc_id", "text"), chunk_bytes)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     dealt = X.deal(plain, F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"), partitions)
+    X.release(spark)
 
     # tokens: each chunk's distinct ones with its training counts; answered with the corpus counts
     def ask_tokens(key: tuple, table: pa.Table, _: None) -> pa.Table:
@@ -220,6 +234,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         return _table(rows, _TELL)
 
     told = X.settled(X.with_answers(dealt, None, ask_tokens, _ASK).groupBy("bucket").applyInArrow(tell_tokens, _TELL))
+    X.release(spark)
     tokens = types = texts = 0
     counts = np.zeros(K + 2, np.int64)
     frequent: dict[int, int] = {}
@@ -260,10 +275,10 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         for a, b in zip(cut, cut[1:], strict=False):
             context = h[c.pair_context[a:b]]
             if c.hot[a]:
-                rows.append((int(c.bucket[a]), key[0].as_py(), 2, X.squeeze(np.searchsorted(hot, context).astype(np.uint16), c.pair[a:b], word[a:b], count[a:b])))
+                rows.append((int(c.bucket[a]), key[0].as_py(), 2, X.squeeze(np.searchsorted(hot, context).astype(np.uint16), *_low(c.pair[a:b]), word[a:b], count[a:b])))
             else:
                 runs = _cuts(context)
-                rows.append((int(c.bucket[a]), key[0].as_py(), 1, X.squeeze(context[runs[:-1]], np.diff(runs).astype(np.uint32), c.pair[a:b], word[a:b], count[a:b])))
+                rows.append((int(c.bucket[a]), key[0].as_py(), 1, X.squeeze(context[runs[:-1]], np.diff(runs).astype(np.uint32), *_low(c.pair[a:b]), word[a:b], count[a:b])))
         return _table(rows, _ASK)
 
     def sums(group: np.ndarray, n_groups: int, first: np.ndarray, order: np.ndarray, total: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,9 +292,10 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
     def tell_pairs(key: tuple, table: pa.Table) -> pa.Table:
         of = table.column("kind").to_numpy()
         rows, n_of = [], np.zeros(K + 2, np.int64)
-        owners, parts = _asked(table.filter(pa.array(of == 1)), U64, np.uint32, U64, np.uint32, np.uint32)
+        owners, parts = _asked(table.filter(pa.array(of == 1)), U64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32)
         if parts:
-            contexts, lengths, pair, word, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            contexts, lengths, low, high, word, count = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            pair = _joined(low, high)
             values, of_run = np.unique(contexts, return_inverse=True)
             group = np.repeat(of_run, lengths)
             order, first, total = _fold([pair, group], count)
@@ -290,10 +306,10 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
                 mine = of_run[run : run + len(p[0])]
                 rows.append((chunk, key[0].as_py(), 1, X.squeeze(total[at : at + len(p[2])].astype(np.uint32), times[mine].ravel(), mass[mine])))
                 at, run = at + len(p[2]), run + len(p[0])
-        owners, parts = _asked(table.filter(pa.array(of == 2)), np.uint16, U64, np.uint32, np.uint32)
+        owners, parts = _asked(table.filter(pa.array(of == 2)), np.uint16, np.uint32, np.uint16, np.uint32, np.uint32)
         if parts:
-            group, pair, word, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            group = group.astype(np.int64)
+            group, low, high, word, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            group, pair = group.astype(np.int64), _joined(low, high)
             order, first, total = _fold([pair, group], count)
             times, mass = sums(group, len(hot), first, order, total, word)
             n_of += np.bincount(np.minimum(total[order[first]], K + 2), minlength=K + 3)[: K + 2]
@@ -307,8 +323,8 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         rows.append(_stats(9, n_of, times.astype(np.int64).ravel(), mass))
         return _table(rows, _TELL)
 
-    asked = X.with_answers(dealt, told, ask_pairs, _ASK)
-    told_pairs = X.settled(asked.groupBy("bucket").applyInArrow(tell_pairs, _TELL))
+    told_pairs = X.settled(X.with_answers(dealt, told, ask_pairs, _ASK).groupBy("bucket").applyInArrow(tell_pairs, _TELL))
+    X.release(spark)
     n_of, hot_times, hot_mass = np.zeros(K + 2, np.int64), np.zeros(len(hot) * K, np.int64), np.zeros(len(hot))
     for r in told_pairs.filter("kind = 9").select("payload").toLocalIterator():
         a, b, m = X.stretch(bytes(r[0]), np.int64, np.int64, np.float64)
