@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notelake.llm import exchange as X
-from notelake.llm.text import covered, text_blocks, window_hash, window_ok, word_hash, words
+from notelake.llm.text import covered, mix, text_blocks, window_hash, window_ok, word_hash, words
 
 U64 = np.uint64
 #: Words of the shortest windows compared, at most.
@@ -50,7 +50,7 @@ def _word_blocks(table: pa.Table, number: np.ndarray) -> Iterator[tuple]:
 
 
 def _smallest(h: np.ndarray, short: int, long: int) -> np.ndarray:
-    """For each window of ``long`` words, the smallest hash of a ``short``-word window in it."""
+    """For each window of ``long`` words, the ``short``-word window in it with the smallest hash, as a hash with the lowest bit 0."""
     w = window_hash(h, short)
     steps = long - short + 1
     out, have = w, 1
@@ -58,7 +58,7 @@ def _smallest(h: np.ndarray, short: int, long: int) -> np.ndarray:
         by = min(have, steps - have)
         out = np.minimum(out[:-by], out[by:]) if len(out) > by else out[:0]
         have += by
-    return out
+    return mix(out) & ~U64(1)  # smallest hashes are small; this spreads them over all hash ranges
 
 
 def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
     Returns doc_id, text (kept words joined by one blank), n_words, n_removed, removed
     (array of first word and number of words of each run removed).
     """
-    plain = docs.select("doc_id", "text")
+    plain = X.bounded(docs).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts, ranges = X.chunk_count(plain, chunk_bytes)
     dealt = plain.select(X.by_range(plain, parts).alias("chunk"), "doc_id", "text")
@@ -132,9 +132,9 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
             for _, _, _, row, doc, h in _word_blocks(table, _doc_numbers(table)):
                 if len(h) < long:
                     continue
-                m, ok = _smallest(h, short, long) & ~U64(1), window_ok(row, long)
+                m, ok = _smallest(h, short, long), window_ok(row, long)
                 if found is not None:
-                    ok &= _member(_smallest(h, before, long) & ~U64(1), found)
+                    ok &= _member(_smallest(h, before, long), found)
                 m, d = m[ok], doc[: len(ok)][ok]
                 if len(m):
                     first = np.concatenate([[True], (m[1:] != m[:-1]) | (d[1:] != d[:-1])])
@@ -154,7 +154,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
                 continue
             ok = window_ok(row, n)
             if some is not None:
-                ok &= _member(_smallest(h, steps[-2], n) & ~U64(1), some)
+                ok &= _member(_smallest(h, steps[-2], n), some)
             at = np.flatnonzero(ok)
             if len(at):
                 hs.append(window_hash(h, n)[at])
