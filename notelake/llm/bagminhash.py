@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.exchange import settled
+from notelake.llm.exchange import bounded, settled
 from notelake.llm.graph import components
 from notelake.llm.text import mix, text_blocks, window_hash, window_ok, word_hash, words
 
@@ -151,9 +151,9 @@ def _similarities(a: pa.ChunkedArray | pa.Array, b: pa.ChunkedArray | pa.Array,
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text for each id; the ids are broadcast where there are few, so that other texts don't move."""
+    """The different texts of each id (one but for repeated ids); the ids are broadcast where there are few, so that other texts don't move."""
     few = ids.count() <= MAX_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id", F.md5("text")).agg(F.min("text").alias("text")).select("doc_id", "text")
 
 
 def _links(docs: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Returns doc_id, class_id (smallest doc_id of the class), class_size (different
     doc_ids in it).
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = settled(sketch(plain, bands, rows, shingle))
     filled = sketches.filter("doc_id is not null and key is not null")
     kinds = settled(filled.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))

@@ -23,15 +23,29 @@ U64 = np.uint64
 #: Bytes of input (as stored) that one chunk gets; a task needs some 30 times as much memory.
 #: With executors of several GB, chunks of 64 MB and more make packed rows longer and fewer.
 CHUNK_BYTES = 3 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 16 << 20
 #: Chunks whose hashes one hash range gets on average.
 CHUNKS_PER_RANGE = 4
 PACKED = "bucket int, chunk int, payload binary"
 ANSWER = "chunk int, payload binary"
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the bytes that ``df`` reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session limited to ``BATCH_BYTES``, so that very long texts don't add up."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def stored_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes that ``df`` is stored in, if it is read off files; else half of the bytes of a column, counted in one pass."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1 and leaves.head().getClass().getSimpleName() == "LogicalRelation":
+        return int(str(plan.stats().sizeInBytes()))
+    return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
 
 
 def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:

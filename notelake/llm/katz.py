@@ -200,7 +200,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)) if train is None else ~F.coalesce(train, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    plain = docs.select("doc_id", "text", (~held).alias("train"))
+    plain = X.bounded(docs).select("doc_id", "text", (~held).alias("train"))
     chunks, ranges = X.chunk_count(docs.select("doc_id", "text"), chunk_bytes)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spark = docs.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.exchange import settled
+from notelake.llm.exchange import bounded, settled
 
 #: A subtree is a template if it stands on so many different pages of its host at least, and on this share of them.
 MIN_PAGES = 10
@@ -268,7 +268,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             texts = [extract(source, set(found or ())) if source else "" for source, found in zip(batch.column("html").to_pylist(), lists, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    hosted = with_host(pages)
+    hosted = with_host(bounded(pages))
     templates = settled(site_templates(hosted, min_pages, min_share))
     size = templates.agg(F.coalesce(F.sum(F.size("templates") + 8), F.lit(0))).first()[0]
     joined = hosted.join(F.broadcast(templates) if size <= MAX_BROADCAST else templates, "host", "left").select("page_id", "url", "html", "templates")

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from notelake.llm.exchange import bounded
+
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -269,7 +271,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, pa.array(np.diff(ends, prepend=0), pa.int32()), same], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
@@ -284,7 +286,7 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
                 text = decode_ids(flat, np.cumsum([len(x) for x in lists], dtype=np.int64), model)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), text.cast(pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return bounded(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def parity(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
@@ -303,4 +305,4 @@ def parity(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
             bad = [a.tolist() != b or t != u for a, b, t, u in zip(ids, theirs, back, library.decode(theirs), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(bad, pa.bool_()))], names=["doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.exchange import bounded
 from notelake.llm.text import Texts, covered, lower_ascii, mix, per_text, text_blocks, window_hash, window_ok, word_hash, words
 
 # Common words of each language.
@@ -111,7 +112,7 @@ def language_references(docs: DataFrame, common: dict[str, list[str]] = COMMON_W
                 np.add.at(total, lang[t.first : t.first + len(t)], both)
         yield pa.RecordBatch.from_pydict({"lang": [*known, ""], "sums": total.tolist()})
 
-    parts = docs.select("lang", "text").mapInArrow(sums, "lang string, sums array<bigint>")
+    parts = bounded(docs).select("lang", "text").mapInArrow(sums, "lang string, sums array<bigint>")
     rows = parts.select("lang", F.posexplode("sums").alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("s")).collect()
     found = {r["lang"]: np.array([x["n"] for x in r["s"]], float) for r in rows}
     everything = sum(found.values(), np.zeros(width))
@@ -179,7 +180,7 @@ def quality_rules(
             )
 
     schema = "doc_id {}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
-    return docs.select("doc_id", "text").mapInArrow(judge, schema.format(docs.schema["doc_id"].dataType.simpleString()))
+    return bounded(docs).select("doc_id", "text").mapInArrow(judge, schema.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def keep_good(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from notelake.llm.exchange import bounded
 from notelake.llm.text import Texts, lower_ascii, mix, text_blocks, window_hash, window_ok, word_hash, words
 
 #: Template tokens of a window, and how many of them at least are no placeholders.
@@ -250,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
                     doc, item, n, share, exact = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc)), "item_id": [index.items[i] for i in item], "n_windows": pa.array(n, pa.int32()), "coverage": share, "exact": exact})
 
-        part = docs.select("doc_id", "text").mapInArrow(find, schema)
+        part = bounded(docs).select("doc_id", "text").mapInArrow(find, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -267,5 +268,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                     bad[[t.first + m[0] for m in matches(t, index, min_coverage)]] = True
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = bounded(docs).mapInArrow(keep, docs.schema)
     return docs

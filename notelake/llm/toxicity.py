@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.exchange import settled
+from notelake.llm.exchange import bounded, settled
 from notelake.llm.text import Texts, lower_ascii, mix, text_blocks, word_hash, words
 
 #: Labelled rows of each label that the model learns from at most.
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     mark = F.xxhash64("doc_id")
     some = known.filter("toxic = 1").orderBy(mark, "doc_id").limit(sample).union(known.filter("toxic = 0").orderBy(mark, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), spans], names=["doc_id", "score", "predicted", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, spans array<struct<start: bigint, end: bigint, p: double>>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, spans array<struct<start: bigint, end: bigint, p: double>>")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
