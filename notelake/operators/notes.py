@@ -28,7 +28,9 @@ def split_notes(text: str) -> list[str]:
             inside = True
             if closed >= 0 or not starts:
                 starts.append(i)
-    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)] or [text]
+    if not starts:
+        return [text]
+    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
 
 
 def _text(value: object) -> str:

@@ -92,7 +92,7 @@ def mask(value: Column) -> Column:
     """The first and last four characters (separators between them kept), stars between; eight characters or fewer all stars."""
     plain = F.regexp_replace(value, r"[-. ]", "")
     head = F.regexp_extract(value, r"^([-. ]*(?:[^-. ][-. ]*?){4})", 1)
-    tail = F.regexp_extract(value, r"((?:[-. ]*?[^-. ]){4}[-. ]*)$", 1)
+    tail = F.regexp_extract(value, r"([^-. ](?:[-. ]*[^-. ]){3}[-. ]*)$", 1)
     return F.when(F.length(plain) <= 8, F.repeat(F.lit("*"), F.length(plain))).otherwise(F.concat(head, F.repeat(F.lit("*"), F.greatest(F.lit(4), F.length(plain) - 8)), tail))
 
 
