@@ -59,6 +59,12 @@ def test_equal_values_stay_linked_and_different_ones_apart(spark):
     assert out[:300] == out[300:] and len(set(out)) == len(set(numbers))
 
 
+def test_neighbours_are_told_apart(spark):
+    (out,) = run(spark, ["call +1 (826) 555-4081 190.137.223.204 or +49 30 901820 4845168114407329 12 x"])
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} (\d{1,3}\.){3}\d{1,3} or \+49 \d\d \d{6} \d{16} 12 x", out)
+    assert not re.search("555-4081|190.137|901820|4845168114407329", out)
+
+
 def test_odd_texts(spark, empty):
     long_ = "w" * 300_000 + " a.b@c.example.org " + "1." * 5000
     got = run(spark, [None, "", "no data", long_, "a@b", "1.2.3.4.5.6", "7" * 500])
