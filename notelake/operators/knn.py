@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,18 +89,53 @@ def rerank(results: DataFrame, as_of: Column, target_spec: str | None = None, ta
     return out.withColumn("boosted", F.greatest(F.lit(0.0), F.col("distance") - boost * F.lit(0.1))).orderBy("boosted", "distance", "id")
 
 
+def nearest_many(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """query_id, id and distance of the k nearest records of each query's namespace, exactly.
+
+    ``queries``: query_id (number), namespace, embedding (null finds nothing).  They are
+    gone through in blocks of ``block``, held by each task; a task keeps k records for each
+    query, so what is shuffled does not grow with the pairs.  Query ids are to be unique.
+    """
+    known = vectors.join(m.select("id", "namespace"), "id").select("id", "namespace", "embedding")
+
+    def best(part: list[tuple[int, str, list[float]]]) -> DataFrame:
+        sides = {n: ([q for q, x, _ in part if x == n], np.array([e for _, x, e in part if x == n], np.float64)) for n in {x for _, x, _ in part}}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top: dict[int, list[tuple[float, str]]] = {}
+            for rows in batches:
+                for n, mine in rows.groupby("namespace"):
+                    if n not in sides:
+                        continue
+                    ids, matrix = mine["id"].to_numpy(), np.array(mine["embedding"].tolist(), np.float64)
+                    for q, e in zip(*sides[n], strict=True):
+                        d = np.sqrt(((matrix - e) ** 2).sum(1))
+                        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else range(len(d))
+                        top[q] = sorted([*top.get(q, []), *((float(d[i]), str(ids[i])) for i in some)])[:k]
+            yield pd.DataFrame([(q, i, d) for q, found in top.items() for d, i in found], columns=["query_id", "id", "distance"])
+
+        return known.filter(F.col("namespace").isin(list(sides))).mapInPandas(run, "query_id bigint, id string, distance double")
+
+    out, part = None, []
+    for r in queries.filter("embedding is not null and namespace is not null").select("query_id", "namespace", "embedding").toLocalIterator():
+        part.append((r[0], r[1], list(r[2])))
+        if len(part) == block:
+            out = best(part) if out is None else out.unionByName(best(part))
+            part = []
+    if part or out is None:
+        last = best(part) if part else queries.sparkSession.createDataFrame([], "query_id bigint, id string, distance double")
+        out = last if out is None else out.unionByName(last)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return out.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
 def novelty(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, threshold: float = 0.3, similar_from: float = 0.7) -> DataFrame:
     """Novelty of each query (query_id, namespace, embedding) against its namespace's records.
 
-    1 less the largest similarity of the k nearest; without neighbours 1.  Queries and
-    records are joined by namespace, and the k nearest kept in each partition's window,
-    so no task sees another namespace.  A query without vector is novel.
+    1 less the largest similarity of the k nearest; without vector or neighbours 1.
     """
-    known = vectors.join(m.select("id", F.col("namespace").alias("__n")), "id").select("id", "__n", F.col("embedding").alias("__e"))
-    pairs = queries.join(known, F.col("namespace") == F.col("__n"), "inner").filter(F.col("embedding").isNotNull())
-    pairs = pairs.withColumn("__s", S.recall_similarity(S.l2_distance(F.col("__e"), F.col("embedding"))))
-    best = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("__s").desc(), "id"))).filter(F.col("__r") <= k)
-    found = best.groupBy("query_id").agg(F.max("__s").alias("highest_similarity"), F.array_sort(F.collect_list(F.when(F.col("__s") >= similar_from, F.col("id")))).alias("similar_ids"))
+    best = nearest_many(queries, vectors, m, k).withColumn("s", S.recall_similarity(F.col("distance")))
+    found = best.groupBy("query_id").agg(F.max("s").alias("highest_similarity"), F.array_sort(F.collect_list(F.when(F.col("s") >= similar_from, F.col("id")))).alias("similar_ids"))
     out = queries.select("query_id").join(found, "query_id", "left")
     score = F.lit(1.0) - F.coalesce("highest_similarity", F.lit(0.0))
     return out.select("query_id", score.alias("novelty_score"), (score >= threshold).alias("is_novel"), F.coalesce("highest_similarity", F.lit(0.0)).alias("highest_similarity"), F.coalesce("similar_ids", F.array().cast("array<string>")).alias("similar_ids"))

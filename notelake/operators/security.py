@@ -19,6 +19,8 @@ from notelake import literals as L
 DETECTIONS = "array<struct<secret_type: string, start: int, end: int, confidence: double, detector: string, line_number: int, secret_hash: string>>"
 FIELDS = ["secret_type", "start", "end", "confidence", "detector", "line_number", "secret_hash"]
 ACTIONS = ["allowed", "warned", "masked", "redacted", "blocked"]  # by severity
+#: Allowlist entries up to which they are broadcast.
+MAX_BROADCAST = 100_000
 STRATEGY_ACTION = {"redact": "redacted", "mask": "masked", "block": "blocked", "warn": "warned"}
 
 
@@ -170,11 +172,12 @@ def filter_texts(rows: DataFrame, column: str = "text", allowlist: DataFrame | N
     out = out.withColumn("__n", n_all)
     if allowlist is not None:
         live = live_allowlist(allowlist, as_of)
+        small = F.broadcast if live.count() <= MAX_BROADCAST else (lambda df: df)
         by = live.groupBy(F.coalesce("namespace", F.lit("")).alias("__ns")).agg(F.collect_set("secret_hash").alias("__h"))
         everywhere = by.filter("__ns = ''").select(F.col("__h").alias("__g"))
-        out = out.crossJoin(F.broadcast(everywhere.agg(F.flatten(F.collect_list("__g")).alias("__g"))))
+        out = out.crossJoin(small(everywhere.agg(F.flatten(F.collect_list("__g")).alias("__g"))))
         names = F.col("namespace") if "namespace" in rows.columns else F.lit("")
-        out = out.withColumn("__ns", F.coalesce(names, F.lit(""))).join(F.broadcast(by), "__ns", "left")
+        out = out.withColumn("__ns", F.coalesce(names, F.lit(""))).join(small(by), "__ns", "left")
         ok = F.concat(F.coalesce("__g", F.array().cast("array<string>")), F.coalesce("__h", F.array().cast("array<string>")))
         out = out.withColumn("detections", F.filter("detections", lambda d: ~F.array_contains(ok, d["secret_hash"]))).drop("__ns", "__g", "__h")
     let = F.col("__n") - F.size("detections")

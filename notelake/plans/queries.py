@@ -510,6 +510,60 @@ def b18_allowlist(spark, d):
     return security.is_allowed(q, a, V.as_of())
 
 
+@query(f"WITH {M} SELECT namespace, count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS successful FROM memories GROUP BY namespace")
+def e6_capture_totals(spark, d):
+    return aggregate.capture_totals(V.memories(spark, d).select("namespace", (F.col("doc_id") % 3 != 0).alias("success")))
+
+
+@query("SELECT round(CASE WHEN sum(CASE WHEN event_type = 'click' THEN value END) > 0 THEN sum(CASE WHEN event_type = 'error' THEN value END) / sum(CASE WHEN event_type = 'click' THEN value END) * 100 ELSE 0 END, 6) AS timeout_rate FROM events")
+def e15_timeout_rate(spark, d):
+    return telemetry.timeout_rate(V.observations(spark, d), "click", "error").select(_r("timeout_rate"))
+
+
+@query(f"WITH {M} SELECT spec, CASE WHEN count(*) < 10 THEN 'simple' WHEN count(*) < 50 THEN 'medium' WHEN count(*) < 200 THEN 'complex' ELSE 'full' END AS tier FROM memories WHERE spec IS NOT NULL GROUP BY spec")
+def e19_complexity(spark, d):
+    return aggregate.spec_context(V.memories(spark, d)).select("spec", aggregate.complexity(F.col("n")).alias("tier"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(lang || ', ' || source || ' ,, x', ','), lambda v: trim(v)), lambda v: v <> ''), '|') AS parts FROM documents")
+def n7_lists(spark, d):
+    raw = F.concat(F.col("lang"), F.lit(", "), F.col("source"), F.lit(" ,, x"))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(S.split_list(raw), "|").alias("parts"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(url || '<a b="c''">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM pages""")
+def n19_xml_escape(spark, d):
+    return V.table(spark, d, "pages").select("page_id", S.xml_escape(F.concat("url", F.lit("<a b=\"c'\">"))).alias("escaped"))
+
+
+@query("SELECT page_id, regexp_full_match(url, '[A-Za-z0-9_./^~@{}-]+') AND NOT starts_with(url, '-') AND NOT contains(url, '..') AS ok FROM (SELECT page_id, replace(replace(url, 'http://', CASE WHEN page_id % 3 = 0 THEN '-' ELSE '' END), ':', CASE WHEN page_id % 2 = 0 THEN '..' ELSE '' END) AS url FROM pages)")
+def n13_git_refs(spark, d):
+    url = F.replace(F.replace(F.col("url"), F.lit("http://"), F.when(F.col("page_id") % 3 == 0, "-").otherwise("")), F.lit(":"), F.when(F.col("page_id") % 2 == 0, "..").otherwise(""))
+    return V.table(spark, d, "pages").select("page_id", S.is_valid_git_ref(url).alias("ok"))
+
+
+@query(f"WITH a AS {_ALLOW}, l AS (SELECT h, ns FROM a WHERE NOT expired) SELECT h AS secret_hash, ns AS namespace FROM l WHERE ns = 'decisions' UNION ALL SELECT h, ns FROM l WHERE ns IS NULL AND h NOT IN (SELECT h FROM l WHERE ns = 'decisions')")
+def b17_list_allowlist(spark, d):
+    e = V.table(spark, d, "events").filter("event_id < 200")
+    a = e.select(F.md5(F.col("event_id").cast("string")).alias("secret_hash"), F.when(F.col("event_id") % 2 != 0, "decisions").alias("namespace"), F.col("ts").alias("added_at"), F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.lit(NOW - 5))).alias("expires_at"))
+    return security.list_allowlist(a, V.as_of(), "decisions").select("secret_hash", "namespace")
+
+
+@query(f"WITH {M} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'validated' WHEN doc_id % 3 = 0 THEN 'candidate' ELSE 'promoted' END AS state FROM memories")
+def h9_pattern_states(spark, d):
+    m = V.memories(spark, d)
+    p = m.select(F.col("id").alias("name"), "doc_id", F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0), "candidate").otherwise("promoted").alias("status"))
+    return patterns.transition(p, p.filter("doc_id % 2 = 0 OR doc_id % 3 = 1"), "validated").select(F.col("name").alias("id"), F.col("status").alias("state"))
+
+
+@query()
+def i13_captures(spark, d):
+    found = signals.signals(V.messages(spark, d), "conv_id", "turn")
+    body = F.coalesce(F.nullif("context", F.lit("")), "match")
+    rows = found.select("conv_id", "turn", F.col("suggested_namespace").alias("namespace"), signals.summary(body, 100).alias("summary"), body.alias("content"))
+    return capture.capture(rows)[0].select("conv_id", "turn", "namespace", "summary", F.length("content").alias("n"))
+
+
 @query()
 def a39_prometheus(spark, d):
     return telemetry.prometheus(telemetry.histogram(V.observations(spark, d)))

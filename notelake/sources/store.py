@@ -45,11 +45,14 @@ class Store:
         return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema))
 
     def replace(self, df: DataFrame) -> int:
-        """Writes a new version and switches to it; returns its number."""
+        """Writes a new version and switches to it; returns its number.
+
+        Rows are rebalanced by partition, so a large namespace is split over several tasks and files.
+        """
         v = self.version() + 1
         out = self._columns(df)
         if self.partition:
-            out = out.repartition(F.col(self.partition)).sortWithinPartitions(self.partition, *([F.col("timestamp").desc()] if "timestamp" in out.columns else []))
+            out = out.hint("rebalance", F.col(self.partition)).sortWithinPartitions(self.partition, *([F.col("timestamp").desc()] if "timestamp" in out.columns else []))
             out.write.mode("overwrite").partitionBy(self.partition).parquet(f"{self.path}/v{v}")
         else:
             out.write.mode("overwrite").parquet(f"{self.path}/v{v}")
