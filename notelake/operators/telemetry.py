@@ -104,6 +104,11 @@ def prometheus_counters(series: DataFrame, kind: str = "counter") -> DataFrame:
     return heads.unionByName(series.select("name", "labels_key", F.lit(2).alias("line_no"), F.concat("name", _quoted(F.col("labels_key")), F.lit(" "), _number(F.col("value"))).alias("line")))
 
 
+def flush(lines: DataFrame, path: str) -> None:
+    """Appends exposition lines, in order, as text."""
+    lines.orderBy("name", "labels_key", "line_no").select("line").write.mode("append").text(path)
+
+
 def text_lines(stats: DataFrame) -> DataFrame:
     """Each series' figures as text."""
     f = lambda c: F.format_string(f"  {c}: %.2f", F.col(c))

@@ -1,7 +1,7 @@
 """Notes and commits of a git repository as Spark sources, a partition for each namespace.
 
     spark.dataSource.register(GitNotes)
-    spark.read.format("git_notes").option("repo", path).option("prefix", "refs/notes/mem").load()
+    spark.read.format("commit_notes").option("repo", path).option("prefix", "refs/notes/mem").load()
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class GitNotes(DataSource):
 
     @classmethod
     def name(cls) -> str:
-        return "git_notes"
+        return "commit_notes"
 
     def schema(self) -> str:
         return schema.RAW_NOTES

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notelake import literals as L
 from notelake.functions import scalar as S
-from notelake.operators import capture, signals
+from notelake.operators import capture, knn, signals
 
 
 def once(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -43,6 +43,12 @@ def tool_captures(events: DataFrame, min_confidence: float = 0.8) -> DataFrame:
     return each.select("session_id", F.col("s.suggested_namespace").alias("namespace"), signals.summary(body, 100).alias("summary"), body.alias("content"), F.array(F.lit("auto-captured"), F.lit("post-tool-use"), F.concat(F.lit("file:"), F.element_at(F.split("file_path", "/"), -1))).alias("tags"), S.domain_terms(F.col("file_path")).alias("terms"), F.col("s.confidence").alias("confidence"))
 
 
+def related(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 3, min_similarity: float = 0.6) -> DataFrame:
+    """The k nearest records of each query (query_id, namespace, embedding of a file's terms) that are similar enough."""
+    found = knn.nearest_many(queries, vectors, m, k).withColumn("similarity", S.recall_similarity(F.col("distance"))).filter(F.col("similarity") >= min_similarity)
+    return found.join(m.select("id", "summary", "content", "tags"), "id")
+
+
 def pre_compact_summary(match, context):
     """A short summary of a signal: its match, or context if that is short, without label, 100 characters at most."""
     text = F.when(F.length(match) < 20, F.coalesce(F.nullif(context, F.lit("")), match)).otherwise(match)

@@ -268,11 +268,11 @@ def test_repository(spark, tmp_path):
     c = git.commits(spark, repo).first()
     git.write_note(repo, "refs/notes/mem", "decisions", c.sha, "a note\nsecond")
     spark.dataSource.register(git.GitNotes)
-    got = spark.read.format("git_notes").option("repo", repo).load().collect()
+    got = spark.read.format("commit_notes").option("repo", repo).load().collect()
     assert [(r.namespace, r.commit_sha, r.note.strip()) for r in got] == [("decisions", c.sha, "a note\nsecond")] and c.message == "first"
     assert [(r.path, r.content) for r in git.commit_files(spark, repo, c.sha).collect()] == [("f.txt", "content")]
     git.write_note(repo, "refs/notes/mem", "decisions", c.sha, "", "remove")
-    assert spark.read.format("git_notes").option("repo", repo).load().count() == 0
+    assert spark.read.format("commit_notes").option("repo", repo).load().count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -288,6 +288,15 @@ def test_streams(spark, tmp_path):
     assert sorted(r.turn for r in seen) == [1, 3, 5] and all(r.namespace == "decisions" for r in seen)
 
 
+def test_related_records_and_flush(spark, tmp_path):
+    m = records(spark, [("a", "decisions", "s", "c", 0, None, [], "active"), ("b", "decisions", "s", "c", 0, None, [], "active")])
+    v = spark.createDataFrame([("a", [0.1] * 4), ("b", [9.0] * 4)], schema.MEMORY_VECTORS)
+    q = spark.createDataFrame([(1, "decisions", [0.1] * 4), (2, None, [0.1] * 4)], "query_id int, namespace string, embedding array<float>")
+    assert [(r.query_id, r.id, r.similarity) for r in hooks.related(q, v, m).collect()] == [(1, "a", 1.0)]
+    telemetry.flush(telemetry.prometheus(telemetry.histogram(obs(spark, [1]), [1.0])), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 4
+
+
 def test_windows_drop_late_rows(spark, tmp_path):
     base = datetime(2024, 1, 1, tzinfo=timezone.utc)
     o = [(base + timedelta(seconds=s), "m", float(s)) for s in (0, 30, 70, 4000)]
