@@ -293,7 +293,7 @@ def test_related_records_and_flush(spark, tmp_path):
     v = spark.createDataFrame([("a", [0.1] * 4), ("b", [9.0] * 4)], schema.MEMORY_VECTORS)
     q = spark.createDataFrame([(1, "decisions", [0.1] * 4), (2, None, [0.1] * 4)], "query_id int, namespace string, embedding array<float>")
     assert [(r.query_id, r.id, r.similarity) for r in hooks.related(q, v, m).collect()] == [(1, "a", 1.0)]
-    telemetry.flush(telemetry.prometheus(telemetry.histogram(obs(spark, [1]), [1.0])), str(tmp_path / "out"))
+    telemetry.flush(telemetry.prometheus(telemetry.histogram(obs(spark, [1]), [1.0]), [1.0]), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 4
 
 
