@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from notelake.llm import exchange as X
 from notelake.llm.text import covered, mix, text_blocks, window_hash, window_ok, word_hash, words
@@ -231,3 +232,57 @@ def _without(t, start: np.ndarray, end: np.ndarray, row: np.ndarray, gone: np.nd
     runs = pa.StructArray.from_arrays([pa.array(begin - first_word[row[begin]]), pa.array(over - begin)], fields=list(_RUN))
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[begin], np.arange(len(t) + 1)), pa.int32()), runs)
     return pa.table({"text": text, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(np.bincount(row[gone], minlength=len(t)), pa.int64()), "removed": lists})
+
+
+def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+    """For each document the longest of n, 2 n, 4 n, ... words at which it shares a window with another document (0: none).
+
+    Only windows whose two halves are repeated go on to the next length; the search ends
+    when no candidates survive.  Inputs and odd cases are as for ``cut_repeats``.
+
+    Returns doc_id, words.
+    """
+    plain = X.bounded(docs).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts, ranges = X.chunk_count(plain, chunk_bytes)
+    dealt = plain.select(X.by_hash(parts).alias("chunk"), "doc_id", "text")
+
+    def hashes(h: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        return window_hash(h, length) & ~U64(1), window_ok(row, length)
+
+    def alive(h: np.ndarray, row: np.ndarray, length: int, found: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows, and which of them have two repeated halves."""
+        w, ok = hashes(h, row, length)
+        if found is not None and len(w):
+            half = length // 2
+            m = _member(hashes(h, row, half)[0], found)
+            ok = ok & m[: len(w)] & m[half : half + len(w)]
+        return w, ok
+
+    def send(key: tuple, table: pa.Table, answer: pa.Table | None, length: int) -> pa.Table:
+        found = None if answer is None else np.unique(X.unpack(answer, U64)[1])
+        hs, ds = [], []
+        for _, _, _, row, doc, h in _word_blocks(table, _doc_numbers(table)):
+            w, ok = alive(h, row, length, found)
+            hs.append(w[ok])
+            ds.append(doc[: len(w)][ok])
+        h, many = _entries(hs, ds)
+        return X.pack(key[0].as_py(), ranges, h | many.astype(U64))
+
+    def mark(key: tuple, table: pa.Table, answer: pa.Table, length: int) -> pa.Table:
+        found = np.unique(X.unpack(answer, U64)[1])
+        hit = np.zeros(table.num_rows, bool)
+        for t, _, _, row, _, h in _word_blocks(table, _doc_numbers(table)):
+            w, ok = hashes(h, row, length)
+            hit[t.first + row[: len(w)][ok & _member(w, found)]] = True
+        some = table.filter(pa.array(hit)).select(["doc_id"])
+        return some.append_column("words", pa.array(np.full(some.num_rows, length), pa.int64()))
+
+    out = plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
+    known, length = None, n
+    while True:
+        known = X.settled(X.with_answers(dealt, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(_answer_level, X.ANSWER))
+        if known.isEmpty():
+            return out.groupBy("doc_id").agg(F.max("words").alias("words"))
+        out = out.unionByName(X.with_answers(dealt, known, mark, f"doc_id {kind}, words bigint", length))
+        length *= 2

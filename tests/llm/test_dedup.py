@@ -157,3 +157,12 @@ def test_signatures_estimate_weighted_jaccard():
     doc = np.repeat([0, 1], [(a > 0).sum(), (b > 0).sum()])
     s = bagminhash.signatures(h[some], doc, np.concatenate([a[a > 0], b[b > 0]]), 2, 4096)
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_doubling_until_no_candidates_survive(spark, empty):
+    rng = random.Random(21)
+    shared = text(rng, 130).split()
+    texts = [text(rng, 40) + " " + " ".join(shared[:k]) + " " + text(rng, 15) for k in (130, 130, 60, 12)] + [text(rng, 80), None, "", "x " * 200]
+    got = {r.doc_id: r.words for r in repeats.longest_repeats(docs_of(spark, texts), 13, chunk_bytes=1000).collect()}
+    assert got == {0: 104, 1: 104, 2: 52, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert repeats.longest_repeats(empty).count() == 0
