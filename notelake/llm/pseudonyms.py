@@ -36,6 +36,7 @@ PATTERNS = {
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: Dates of 1900 to 2099 are FIRST_DAY plus a number below 319 * 229.
 FIRST_DAY, DAY_RADICES = "1900-01-01", (319, 229)
 
@@ -89,12 +90,20 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 
 def _same_classes(s: Column, key: str, kind: str, letters: int = 26) -> Column:
-    """Digits and the first ``letters`` letters permuted within their class, other characters as they are."""
+    """Digits, the first ``letters`` letters and small Latin-1 letters permuted within their class, other characters as they are."""
     chars = F.split(s, "")
-    value = lambda c: F.when(c.rlike("^[0-9]$"), F.instr(F.lit(DIGITS), c) - 1).when(c.rlike("^[a-z]$"), F.instr(F.lit(LOWER), c) - 1).when(c.rlike("^[A-Z]$"), F.instr(F.lit(UPPER), c) - 1).otherwise(F.lit(0))
-    radix = lambda c: F.when(c.rlike("^[0-9]$"), F.lit(10)).when(c.rlike("^[A-Za-z]$"), F.lit(letters)).otherwise(F.lit(1))
-    back = lambda c, v: F.when(c.rlike("^[0-9]$"), F.substr(F.lit(DIGITS), v + 1, F.lit(1))).when(c.rlike("^[a-z]$"), F.substr(F.lit(LOWER), v + 1, F.lit(1))).when(c.rlike("^[A-Z]$"), F.substr(F.lit(UPPER), v + 1, F.lit(1))).otherwise(c)
-    return F.concat_ws("", F.zip_with(chars, feistel(F.transform(chars, value), F.transform(chars, radix), key, kind), back))
+    classes = ((DIGITS, 10), (LOWER, letters), (UPPER, letters), (LATIN, len(LATIN)))
+
+    def choose(of: Callable[[str, int], Column], c: Column, other: Column) -> Column:
+        found = other
+        for alphabet, radix in reversed(classes):
+            found = F.when(F.instr(F.lit(alphabet), c) > 0, of(alphabet, radix)).otherwise(found)
+        return found
+
+    values = F.transform(chars, lambda c: choose(lambda alphabet, _: F.instr(F.lit(alphabet), c) - 1, c, F.lit(0)))
+    radices = F.transform(chars, lambda c: choose(lambda _, radix: F.lit(radix), c, F.lit(1)))
+    back = lambda c, v: choose(lambda alphabet, _: F.substr(F.lit(alphabet), v + 1, F.lit(1)), c, c)
+    return F.concat_ws("", F.zip_with(chars, feistel(values, radices, key, kind), back))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -154,12 +163,11 @@ def _ipv4(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     mark = F.regexp_extract(m, "[./-]", 0)
-    form = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", ".": "dd.MM.yyyy"}
     ymd = F.when(mark == "-", m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
     day = F.date_diff(ymd.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
     a, b = DAY_RADICES
     new = lambda d: F.date_add(F.lit(FIRST_DAY).cast("date"), _let(feistel(F.array(F.floor(d / b).cast("int"), d % b), F.array(F.lit(a), F.lit(b)), key, "date"), lambda v: F.get(v, F.lit(0)) * b + F.get(v, F.lit(1))))
-    text = lambda d: F.when(mark == "-", F.date_format(d, form["-"])).when(mark == "/", F.date_format(d, form["/"])).otherwise(F.date_format(d, form["."]))
+    text = lambda d: F.when(mark == "-", F.date_format(d, "yyyy-MM-dd")).when(mark == "/", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
     return F.when(day.isNotNull(), _let(day, lambda d: _let(new(d), text)))
 
 

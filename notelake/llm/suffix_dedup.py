@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from notelake.llm import exchange as X
 from notelake.llm.suffixes import common_prefixes, suffix_arrays

@@ -65,6 +65,12 @@ def test_neighbours_are_told_apart(spark):
     assert not re.search("555-4081|190.137|901820|4845168114407329", out)
 
 
+def test_letters_beyond_ascii_are_permuted_too(spark):
+    (out,) = run(spark, ["é@mail.example.com réê.90@mail.example.com"])
+    a, b = out.split()
+    assert a != "é@mail.example.com" and len(a) == 18 and b[:6] != "réê.90" and b[3] == "."
+
+
 def test_odd_texts(spark, empty):
     long_ = "w" * 300_000 + " a.b@c.example.org " + "1." * 5000
     got = run(spark, [None, "", "no data", long_, "a@b", "1.2.3.4.5.6", "7" * 500])
