@@ -14,13 +14,13 @@ the training counts in the questions and answers with the corpus counts, so coun
 and scoring share one exchange for each order.  Contexts that make up more than
 ``HOT_SHARE`` of all tokens (a bounded number) are spread over all ranges by bigram
 and their sums are put together afterwards; all others are summed where their bigrams
-lie.  Everything gathered grows with the corpus; only counts of counts, and the sums of
-hot contexts, reach the driver.
+lie.  Everything gathered grows with the corpus; only counts of counts, the most
+frequent tokens and a row for each hot context reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -220,13 +220,13 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         asked = table.filter(pa.array(of == 0))
         owners, parts = _asked(asked, U64, np.uint32)
         if not parts:
-            return _table([_stats(9, np.array([0, 0, texts], np.int64), np.zeros(K + 2, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))], _TELL)
+            return _table([_stats(9, np.array([0, 0, texts], np.int64), np.zeros(K + 2, np.int64))], _TELL)
         h, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
         order, first, total = _fold([h], n)
         types = total[order[first]]
         seen = types[types > 0]
         often = np.argsort(-types, kind="stable")[: int(1 / HOT_SHARE) + 1]  # no more than this can be hot
-        rows = [_stats(9, np.array([seen.sum(), len(seen), texts], np.int64), np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2].astype(np.int64), h[order[first[often]]], types[often])]
+        rows = [_stats(9, np.array([seen.sum(), len(seen), texts], np.int64), np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2].astype(np.int64)), _stats(8, h[order[first[often]]], types[often])]
         lo = 0
         for chunk, p in zip(owners, parts, strict=True):
             rows.append((chunk, key[0].as_py(), 0, X.squeeze(total[lo : lo + len(p[0])])))
@@ -237,17 +237,21 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
     X.release(spark)
     tokens = types = texts = 0
     counts = np.zeros(K + 2, np.int64)
-    frequent: dict[int, int] = {}
     for r in told.filter("kind = 9").select("payload").toLocalIterator():
-        (a, b, c), n, h, often = X.stretch(bytes(r[0]), np.int64, np.int64, U64, np.int64)
+        (a, b, c), n = X.stretch(bytes(r[0]), np.int64, np.int64)
         tokens, types, texts, counts = tokens + int(a), types + int(b), texts + int(c), counts + n
-        frequent.update({int(x): int(y) for x, y in zip(h, often, strict=True)})
-        least = sorted(frequent.values(), reverse=True)[: int(1 / HOT_SHARE) + 1]
-        frequent = {x: y for x, y in frequent.items() if y >= least[-1]} if least else {}
+
+    def often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("payload"):
+                h, n = X.stretch(x, U64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    frequent = told.filter("kind = 8").select("payload").mapInArrow(often_rows, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(int(1 / HOT_SHARE) + 1).collect()
     discounts = Discounts.good_turing(counts.astype(float))
     left = float((counts[1 : K + 1] * np.arange(1, K + 1) * (1 - discounts.keep[1:])).sum())
     model = Unigrams(tokens, types, texts, discounts, left)
-    hot = np.sort(np.array([x for x, y in frequent.items() if y >= max(HOT_SHARE * tokens, 1)] + [int(BEGIN)], U64))
+    hot = np.sort(np.append(np.array([r["h"] for r in frequent if r["n"] >= max(HOT_SHARE * tokens, 1)], np.int64).view(U64), BEGIN))
 
     def spread(c: _Chunk) -> Callable[[np.ndarray], np.ndarray]:
         h = np.append(c.distinct, BEGIN)
@@ -320,15 +324,28 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         else:
             times, mass = np.zeros((len(hot), K), np.uint32), np.zeros(len(hot))
         n_of[0] = 0
-        rows.append(_stats(9, n_of, times.astype(np.int64).ravel(), mass))
+        rows.append(_stats(9, n_of))
+        some = np.flatnonzero(mass)
+        if len(some):
+            rows.append(_stats(8, some.astype(np.int64), times[some].astype(np.int64).ravel(), mass[some]))
         return _table(rows, _TELL)
 
-    told_pairs = X.settled(X.with_answers(dealt, told, ask_pairs, _ASK).groupBy("bucket").applyInArrow(tell_pairs, _TELL))
+    told_pairs = X.settled(X.with_answers(dealt, told.filter("kind < 8"), ask_pairs, _ASK).groupBy("bucket").applyInArrow(tell_pairs, _TELL))
     X.release(spark)
-    n_of, hot_times, hot_mass = np.zeros(K + 2, np.int64), np.zeros(len(hot) * K, np.int64), np.zeros(len(hot))
+    n_of, hot_times, hot_mass = np.zeros(K + 2, np.int64), np.zeros((len(hot), K)), np.zeros(len(hot))
     for r in told_pairs.filter("kind = 9").select("payload").toLocalIterator():
-        a, b, m = X.stretch(bytes(r[0]), np.int64, np.int64, np.float64)
-        n_of, hot_times, hot_mass = n_of + a, hot_times + b, hot_mass + m
+        n_of = n_of + X.stretch(bytes(r[0]), np.int64)[0]
+
+    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("payload"):
+                i, t, m = X.stretch(x, np.int64, np.int64, np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(i), *(pa.array(c) for c in t.reshape(-1, K).T), pa.array(m)], names=["i", *times_of, "mass"])
+
+    times_of = [f"t{k}" for k in range(1, K + 1)]
+    parts = told_pairs.filter("kind = 8").select("payload").mapInArrow(hot_rows, ", ".join(["i bigint", *(f"{t} bigint" for t in times_of), "mass double"]))
+    for r in parts.groupBy("i").agg(*(F.sum(c).alias(c) for c in (*times_of, "mass"))).collect():  # a row for each hot context
+        hot_times[r["i"]], hot_mass[r["i"]] = [r[t] for t in times_of], r["mass"]
     pair_discounts = Discounts.good_turing(n_of.astype(float))
     free = np.arange(1, K + 1) * (1 - pair_discounts.keep[1:])  # mass set free by a word that follows 1..K times
 
@@ -349,7 +366,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         if n_cold < len(total):
             total[n_cold:] = np.concatenate([x[0] for x in answered(answer, 2, np.uint32)])
             i = np.searchsorted(hot, np.append(c.distinct, BEGIN)[c.pair_context[n_cold:]])
-            freed[n_cold:], mass[n_cold:] = (hot_times.reshape(-1, K) @ free)[i], hot_mass[i]
+            freed[n_cold:], mass[n_cold:] = (hot_times @ free)[i], hot_mass[i]
         before = with_begin[c.pair_context].astype(float)
         none = freed <= 0  # nothing discounted in this context: as if it had been followed once by something new
         whole = before + none
@@ -373,5 +390,5 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
             }
         )
 
-    answers = told.filter("kind < 9").unionByName(told_pairs.filter("kind < 9"))
+    answers = told.filter("kind < 8").unionByName(told_pairs.filter("kind < 8"))
     return X.with_answers(dealt, answers, rate, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
