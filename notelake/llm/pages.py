@@ -46,6 +46,8 @@ FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 # Words in class, id or role of elements that are no part of an article.
 NAMED = "ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall signup signin login register nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar sidenav rail complementary contentinfo footer foot masthead toolbar comment comments commentlist respond disqus reply replies discussion share sharing social follow related recommended recommendations more-articles search searchbox pagination pager skip-link widget widgets copyright disclaimer legal".split()
 _NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NAMED) + r")(?:$|[\s_\d-])", re.I)
+# Parts of names that only say how the rest of a page is set up, as in has-comments or sidebar-off.
+_STATE = re.compile(r"^(?:has|no|with|without|is|not)[-_]|[-_](?:open|closed|enabled|disabled|on|off)$", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -150,8 +152,12 @@ def _holds(e: Element, tags: set[str]) -> bool:
     return False
 
 
-def _dropped(e: Element, inside: bool) -> bool:
-    """Whether tag or names say that the element is no part of an article."""
+def _named(e: Element) -> bool:
+    return any(_NAMED.search(t) and not _STATE.search(t) for t in e.name.split())
+
+
+def _dropped(e: Element, inside: bool, names: bool = True) -> bool:
+    """Whether tag or (unless not ``names``) names say that the element is no part of an article."""
     if e.tag in DROPPED:
         return True
     if e.tag in ("html", "body", "main", "#page"):
@@ -160,7 +166,7 @@ def _dropped(e: Element, inside: bool) -> bool:
         return not _holds(e, {"article", "main"})
     if e.attrs and _HIDDEN.search(e.attrs):
         return True
-    return bool(e.name and _NAMED.search(e.name) and not _holds(e, {"article", "main"} - {e.tag}))
+    return bool(names and e.name and _named(e) and not _holds(e, {"article", "main"} - {e.tag}))
 
 
 def _blocks(e: Element, gone: set[int]) -> list[str]:
@@ -192,8 +198,15 @@ def _blocks(e: Element, gone: set[int]) -> list[str]:
 
 
 def extract(source: str, templates: set[int]) -> str:
-    """The article's text of a page on whose host the subtrees ``templates`` recur."""
+    """The article's text of a page on whose host the subtrees ``templates`` recur.
+
+    If names leave nothing of it, only tags and templates count.
+    """
     root = parse(source)
+    return _read(root, templates, True) or _read(root, templates, False)
+
+
+def _read(root: Element, templates: set[int], names: bool) -> str:
     gone: set[int] = set()
     recurring: set[int] = set()
     articles: list[Element] = []
@@ -202,7 +215,7 @@ def extract(source: str, templates: set[int]) -> str:
     stack: list[tuple[Element, bool]] = [(root, False)]
     while stack:
         e, inside = stack.pop()
-        if _dropped(e, inside):
+        if _dropped(e, inside, names):
             gone.add(id(e))
             continue
         if e.tag not in ("#page", "html", "body") and templates and hashes[id(e)] in templates and (e.tag in CONTAINERS or not inside):

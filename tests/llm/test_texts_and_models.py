@@ -153,6 +153,8 @@ def test_article_text():
     assert pages.extract(page, set()) == "T & x\nab c\none\ntwo\nlast <p> x"
     assert pages.extract("", set()) == "" and pages.extract("<p>a<p>b", set()) == "a\nb"
     assert pages.extract("<body><article><p>x<!-- c --> y</article><article>z</body>", set()) == "x y"
+    assert pages.extract("<article class='post has-comments sidebar-off'><p>x</p><div class='comment-list'>y</div></article>", set()) == "x"
+    assert pages.extract("<body><div class='widget'><p>all there is</div>", set()) == "all there is"
     assert pages.extract("a < b and <3", set()) == "a < b and <3"
 
 
