@@ -225,7 +225,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         order, first, total = _fold([h], n)
         types = total[order[first]]
         seen = types[types > 0]
-        often = np.argsort(-types, kind="stable")[: int(1 / HOT_SHARE) + 1]  # no more than this can be hot
+        often = np.flatnonzero(types >= max(HOT_SHARE * seen.sum(), 1))  # what is hot in the corpus is so in its range
         rows = [_stats(9, np.array([seen.sum(), len(seen), texts], np.int64), np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2].astype(np.int64)), _stats(8, h[order[first[often]]], types[often])]
         lo = 0
         for chunk, p in zip(owners, parts, strict=True):
@@ -245,13 +245,14 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
         for batch in batches:
             for x in batch.column("payload"):
                 h, n = X.stretch(x, U64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[n >= least])], names=["h"])
 
-    frequent = told.filter("kind = 8").select("payload").mapInArrow(often_rows, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(int(1 / HOT_SHARE) + 1).collect()
+    least = max(HOT_SHARE * tokens, 1)
+    frequent = told.filter("kind = 8").select("payload").mapInArrow(often_rows, "h bigint").collect()  # 1 / HOT_SHARE rows at most
     discounts = Discounts.good_turing(counts.astype(float))
     left = float((counts[1 : K + 1] * np.arange(1, K + 1) * (1 - discounts.keep[1:])).sum())
     model = Unigrams(tokens, types, texts, discounts, left)
-    hot = np.sort(np.append(np.array([r["h"] for r in frequent if r["n"] >= max(HOT_SHARE * tokens, 1)], np.int64).view(U64), BEGIN))
+    hot = np.sort(np.append(np.array([r["h"] for r in frequent], np.int64).view(U64), BEGIN))
 
     def spread(c: _Chunk) -> Callable[[np.ndarray], np.ndarray]:
         h = np.append(c.distinct, BEGIN)
