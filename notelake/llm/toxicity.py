@@ -39,8 +39,6 @@ MIN_RATIO = 8.0
 BEGINNINGS = (5, 6, 7, 8)
 #: The log-likelihood ratio that a word needs above twice the logarithm of the number of words looked at.
 MIN_SURPLUS = 4.0
-#: Code points at the beginning by which copies are told.
-ALIKE = 100
 
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -229,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
 
     Labels other than 0 and 1 are ignored; of several labels of a document the largest
     counts.  Without rows of both labels the score is the constant (toxic + 1) / (all + 2).
+    Texts of the same words (whatever the case and blanks) and label count once.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     mark = F.xxhash64("doc_id")
@@ -261,8 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
             h, where = np.unique(np.concatenate(hs), return_inverse=True)
             yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "t": np.bincount(where, np.concatenate(ts)), "n": np.bincount(where, np.concatenate(ns))})
 
-    # copies of one text, also slightly changed ones, count once: those that begin alike and have one label
-    single = rows.groupBy(F.substring("text", 1, ALIKE).alias("begin"), "toxic").agg(F.min("text").alias("text"))
+    # copies of a whole text count once for each label; what near copies share stands in few surroundings, see below
+    same = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"[ \t-\r]+", " ")), 256)
+    single = rows.groupBy(same.alias("same"), "toxic").agg(F.min("text").alias("text"))
     weights = single.select("text", "toxic").mapInArrow(weigh, "h bigint, t double, n double").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     all_ = weights.filter("h = 0").collect()
     count = some.groupBy("toxic").count().collect()
@@ -282,11 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
         t, n = t + 1e-9, n + 1e-9
         return 2 * (t * F.log(t / ((t + n) * share)) + n * F.log(n / ((t + n) * (1 - share))))
 
-    found = weights.withColumn("ratio", ratio).filter((F.col("ratio") >= MIN_RATIO) & (surprise(F.col("t"), F.col("n")) >= needed)).orderBy(F.desc("ratio"), "h").limit(LEXICON).collect()
-    strengths = {r["h"]: r["ratio"] for r in found}
-    if not found:
+    found = weights.withColumn("ratio", ratio).filter((F.col("ratio") >= MIN_RATIO) & (surprise(F.col("t"), F.col("n")) >= needed)).select("h", "ratio").toPandas()
+    if not len(found):
         return constant
-    chosen = np.sort(np.array(list(strengths), np.int64).view(np.uint64))
+    strengths = dict(zip(found["h"].tolist(), found["ratio"].tolist(), strict=True))
+    chosen = np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
                 if not len(h):
                     continue
                 f = features(t, start, end, h)
-                around = mix(np.concatenate([np.zeros(1, np.uint64), h[:-1]])) ^ np.concatenate([h[1:], np.zeros(1, np.uint64)])
+                # neighbours in the same text only: others would make each copy's first and last word look new
+                one = doc[1:] == doc[:-1]
+                around = mix(np.concatenate([np.zeros(1, np.uint64), np.where(one, h[:-1], np.uint64(0))])) ^ np.concatenate([np.where(one, h[1:], np.uint64(0)), np.zeros(1, np.uint64)])
                 kind, at = np.nonzero(_find(chosen, f) < len(chosen))
                 yield pa.RecordBatch.from_pydict({"h": f[kind, at].view(np.int64), "around": around[at].view(np.int64), "toxic": pa.array(toxic[t.first + doc[at]], pa.int32())})
 
@@ -305,9 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     found = each.filter(surprise(F.col("t"), F.col("n")) >= needed).filter(ratio >= MIN_RATIO).select("h").collect()
     if not found:
         return constant
-    h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    # only now the strongest ones: words of near copies would take the places of others
+    h = np.array(sorted((r["h"] for r in found), key=lambda v: (-strengths[v], v))[:LEXICON], np.int64).view(np.uint64)
     order = np.argsort(h)
-    lexicon, strength = h[order], np.log(np.array([strengths[r["h"]] for r in found]))[order]
+    lexicon, strength = h[order], np.log(np.array([strengths[v] for v in h.view(np.int64).tolist()]))[order]
     words_of = F.size(F.split("text", " "))
     texts = []
     for y in (0, 1):

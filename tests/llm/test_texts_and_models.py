@@ -215,6 +215,36 @@ def test_toxic_documents_are_found(spark, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxic_texts_that_open_alike_all_count(spark):
+    rng = random.Random(5)
+    header = "This page is served under the common licence of the site and of all its parts, read it before you go on reading.\n"
+    texts = []
+    for i in range(300):
+        w = text(rng, rng.randint(10, 80)).split()
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), "moronic")
+        texts.append(header + " ".join(w))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), labels, ~toxicity.held_out())
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(spark, texts), model).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == (i % 3 == 0) for i in held]) > 0.97
+
+
+def test_near_copies_do_not_take_the_lexicon(spark):
+    rng = random.Random(6)
+    long = " ".join(["unseen", *("".join(rng.choices("bcdfghjklm", k=9)) for _ in range(90))])
+    texts = [long + f" v{i}" if i % 3 == 0 and i % 2 else text(rng, 40) + (" moronic " if i % 3 == 0 else " ") + text(rng, 5) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    size, toxicity.LEXICON = toxicity.LEXICON, 10
+    try:
+        model = toxicity.fit(docs_of(spark, texts), labels, ~toxicity.held_out())
+    finally:
+        toxicity.LEXICON = size
+    spans = {r.doc_id: len(r.spans) for r in toxicity.score(docs_of(spark, ["one moronic word here", "one unseen word here"]), model).collect()}
+    assert spans == {0: 1, 1: 0}
+
+
 # op10
 
 
