@@ -6,7 +6,10 @@ template tokens of the benchmark form a hash table; every window of every docume
 probes it.  Windows that match one item at one shift are laid on each other, and the
 values in their slots have to agree: equal values of the item stand for equal values
 of the document and different for different ones.  So a question with other numbers
-or names is found, and a text that only shares a form is not.
+or names is found, and a text that only shares a form is not.  Windows of the exact
+words are looked for as well, so verbatim copies are found whatever they consist of.
+A text holds an item if half of the item's tokens agree, or ``MIN_RUN`` of them in one
+run, whatever the item's length.
 
 The benchmark is a stated query set.  It is gone through in slices of at most
 ``SLICE_WINDOWS`` windows, so what a task holds is bounded whatever its size.
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from notelake.llm.exchange import bounded
 from notelake.llm.text import Texts, lower_ascii, mix, text_blocks, window_hash, window_ok, word_hash, words
 
-#: Template tokens of a window, and how many of them at least are no placeholders.
+#: Tokens of a window, and how many of them at least are no placeholders where these stand for any value.
 WINDOW = 8
 MIN_LITERALS = 4
+#: Tokens of the shortest items that are looked for.
+MIN_TOKENS = 4
 #: Share of an item's tokens that consistent windows have to cover.
 MIN_COVERAGE = 0.5
-#: Windows of the benchmark that a task holds at once (about 50 MB).
+#: Item tokens in one run that are enough, however long the item is.
+MIN_RUN = 13
+#: Windows of the benchmark that a task holds at once (about 80 MB).
 SLICE_WINDOWS = 1_000_000
 
 # Number words, units and frequent first names.
@@ -66,9 +73,10 @@ def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Template:
-    """Template tokens of some texts: hash, kind, place in the bytes and text number."""
+    """Template tokens of some texts: hash, hash of the word itself, kind, place in the bytes and text number."""
 
     token: np.ndarray
+    word: np.ndarray
     kind: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -78,7 +86,7 @@ class Template:
 def canonical(t: Texts) -> Template:
     start, end, doc = words(t)
     if not len(start):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, np.int8), start, end, doc)
+        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), start, end, doc)
     data = t.data
     stops = _STOP[data[end - 1]]  # before punctuation goes
     first = np.empty(len(start), bool)  # first word of a sentence, line or text
@@ -99,7 +107,7 @@ def canonical(t: Texts) -> Template:
     some = start < end
     start, end, doc, first = start[some], end[some], doc[some], first[some]
     if not len(start):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, np.int8), start, end, doc)
+        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), start, end, doc)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
     has_digit = np.flatnonzero(digits[end] > digits[start])
     h = word_hash(lower_ascii(data), start, end)
@@ -113,26 +121,28 @@ def canonical(t: Texts) -> Template:
     kind[_among(h, _NUMBER_WORDS)] = NUMBER
     after_number = np.flatnonzero((kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])) + 1
     kind[after_number[_among(h[after_number], _UNITS)]] = UNIT
-    return Template(np.where(kind == LITERAL, h, _SLOT[kind]), kind, start, end, doc)
+    return Template(np.where(kind == LITERAL, h, _SLOT[kind]), h, kind, start, end, doc)
 
 
 def _windows(x: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position and hash of each n-token window with enough literals."""
-    if len(x.doc) < n:
+    """Position and hash of each n-token window: of the template where it has enough literals, and of the exact words."""
+    if len(x.doc) < n or n < MIN_TOKENS:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ok = window_ok(x.doc, n)
     literal = np.concatenate([[0], np.cumsum(x.kind == LITERAL)])
     at = np.flatnonzero(ok & (literal[n:] - literal[: len(literal) - n] >= MIN_LITERALS))
-    return at, window_hash(x.token, n)[at]
+    exact = np.flatnonzero(ok)
+    return np.concatenate([at, exact]), np.concatenate([window_hash(x.token, n)[at], window_hash(x.word, n, seed=1)[exact]])
 
 
 @dataclass
 class Index:
-    """Template windows of some benchmark items."""
+    """Windows of some benchmark items, and the hashes of their words."""
 
     items: list
     lengths: list[int]
     slots: list[dict[int, tuple[int, str]]]
+    words: list[np.ndarray]
     sizes: list[int]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -141,9 +151,10 @@ def build_index(items: list[tuple[object, str]], n: int = WINDOW) -> Index:
     """``items``: id and text of each.
 
     Items shorter than a window make one window of their own length;
-    items with fewer than ``MIN_LITERALS`` literal tokens say too little to be looked for."""
+    items of fewer than ``MIN_TOKENS`` tokens say too little to be looked for."""
     text = pa.array([x[1] or "" for x in items], pa.large_string())
     slots: list[dict] = [{} for _ in items]
+    hashes = [np.zeros(0, np.uint64) for _ in items]
     lengths = [0] * len(items)
     found: dict[int, list] = defaultdict(list)
     for t in text_blocks(text):
@@ -154,7 +165,8 @@ def build_index(items: list[tuple[object, str]], n: int = WINDOW) -> Index:
             lengths[i] = len(mine)
             if not len(mine):
                 continue
-            one = Template(*(a[mine] for a in (x.token, x.kind, x.start, x.end, x.doc)))
+            one = Template(*(a[mine] for a in (x.token, x.word, x.kind, x.start, x.end, x.doc)))
+            hashes[i] = one.word
             slots[i] = {p: (int(k), t.data[a:b].tobytes().decode().lower()) for p, (k, a, b) in enumerate(zip(one.kind, one.start, one.end, strict=True)) if k}
             size = min(n, len(mine))
             at, h = _windows(one, size)
@@ -164,29 +176,56 @@ def build_index(items: list[tuple[object, str]], n: int = WINDOW) -> Index:
         rows.sort()
         if rows:
             tables[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-    return Index([x[0] for x in items], lengths, slots, [min(n, k) for k in lengths], tables)
+    return Index([x[0] for x in items], lengths, slots, hashes, [min(n, k) for k in lengths], tables)
 
 
-def _consistent(pairs: list[int], shift: int, size: int, slots: dict, kinds: Callable[[int], tuple[int, str]]) -> tuple[set[int], bool] | None:
-    """Item tokens that the windows at one shift cover, and whether all slots keep their values; None if slots disagree."""
-    cover = {p + j for p in pairs for j in range(size)}
+def _agree(places: list[int], shift: int, slots: dict, kinds: Callable[[int], tuple[int, str]]) -> bool | None:
+    """Whether all slots among these item tokens keep their values; None if slots disagree."""
     there: dict = {}
     back: dict = {}
     exact = True
-    for p in sorted(cover):
+    for p in places:
         if p in slots:
             kind, value = slots[p]
             other = kinds(p + shift)[1]
             if there.setdefault((kind, value), other) != other or back.setdefault((kind, other), value) != value:
                 return None
             exact &= other == value
-    return cover, exact
+    return exact
 
 
-def matches(t: Texts, index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, float, bool]]:
+def _runs(places: list[int]) -> list[list[int]]:
+    """Places in order, in runs without gaps."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and out[-1][-1] == p - 1:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def _parts(places: list[int], shift: int, min_run: int, slots: dict, kinds: Callable[[int], tuple[int, str]], same: Callable[[int], bool]) -> list[tuple[list[int], bool]]:
+    """Item tokens that windows at one shift cover, as far as they agree, and whether all slots keep their values.
+
+    All of them if their slots agree; else the long runs that agree in themselves, and the long verbatim parts of the others."""
+    if (exact := _agree(places, shift, slots, kinds)) is not None:
+        return [(places, exact)]
+    out = []
+    for run in _runs(places):
+        if len(run) < min_run:
+            continue
+        if (exact := _agree(run, shift, slots, kinds)) is not None:
+            out.append((run, exact))
+        else:
+            out += [(part, True) for part in _runs([p for p in run if same(p)]) if len(part) >= min_run]
+    return out
+
+
+def matches(t: Texts, index: Index, min_coverage: float = MIN_COVERAGE, min_run: int = MIN_RUN) -> list[tuple[int, int, int, float, bool]]:
     """Text number, item number, matched windows, coverage and exactness for each contaminated text and item."""
     x = canonical(t)
-    hits: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+    hits: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
     for size, (keys, item, place) in index.tables.items():
         at, h = _windows(x, size)
         lo = np.searchsorted(keys, h)
@@ -194,20 +233,23 @@ def matches(t: Texts, index: Index, min_coverage: float = MIN_COVERAGE) -> list[
         for p, k in zip(at[near], lo[near], strict=True):
             v = keys[k]
             while k < len(keys) and keys[k] == v:
-                hits[int(x.doc[p]), int(item[k])][int(p) - int(place[k]), size].append(int(place[k]))
+                hits[int(x.doc[p]), int(item[k])][int(p) - int(place[k]), size].add(int(place[k]))
                 k += 1
     out = []
     for (doc, item), shifts in sorted(hits.items()):
         cover: set[int] = set()
-        exact, n = True, 0
+        exact, n, long = True, 0, False
         value = lambda p: (int(x.kind[p]), t.data[x.start[p] : x.end[p]].tobytes().decode().lower())
-        for (shift, size), places in sorted(shifts.items()):
-            if (found := _consistent(places, shift, size, index.slots[item], value)) is not None:
-                cover |= found[0]
-                exact &= found[1]
-                n += len(places)
+        for (shift, size), starts in sorted(shifts.items()):
+            same = lambda p, shift=shift: x.word[p + shift] == index.words[item][p]
+            for part, kept in _parts(sorted({p + j for p in starts for j in range(size)}), shift, min_run, index.slots[item], value, same):
+                inside = set(part)
+                cover |= inside
+                exact &= kept
+                n += sum(p in inside and p + size - 1 in inside for p in starts)
+                long |= any(len(run) >= min_run for run in _runs(part))
         share = len(cover) / index.lengths[item]
-        if share >= min_coverage:
+        if cover and (long or share >= min_coverage):
             out.append((doc, item, n, share, exact))
     return out
 
@@ -226,13 +268,14 @@ def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, str
         yield some
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, slice_windows: int = SLICE_WINDOWS, min_run: int = MIN_RUN) -> DataFrame:
     """Each document that holds a benchmark item, with the item.
 
     Needs doc_id and text of ``docs`` and item_id and text of ``benchmark``; other
     columns are ignored, whatever their names.  Null or empty texts match nothing;
-    items with fewer than ``MIN_LITERALS`` words that are no
-    placeholders are never found.  Repeated rows give repeated results; empty
+    items of fewer than ``MIN_TOKENS`` tokens are never found, and of those with fewer
+    than ``MIN_LITERALS`` words that are no placeholders only verbatim copies.  A run of
+    ``min_run`` item tokens is enough, whatever share of the item it is.  Repeated rows give repeated results; empty
     tables give an empty one.
 
     Returns doc_id, item_id, n_windows, coverage (share of the item's tokens that
@@ -246,7 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
         def find(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(t.first + d, *rest) for t in text_blocks(batch.column("text")) for d, *rest in matches(t, index, min_coverage)]
+                rows = [(t.first + d, *rest) for t in text_blocks(batch.column("text")) for d, *rest in matches(t, index, min_coverage, min_run)]
                 if rows:
                     doc, item, n, share, exact = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc)), "item_id": [index.items[i] for i in item], "n_windows": pa.array(n, pa.int32()), "coverage": share, "exact": exact})
@@ -256,7 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, slice_windows: int = SLICE_WINDOWS, min_run: int = MIN_RUN) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; no shuffle."""
     for items in _slices(benchmark, slice_windows):
         index = build_index(items, window)
@@ -265,7 +308,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
             for batch in batches:
                 bad = np.zeros(batch.num_rows, bool)
                 for t in text_blocks(batch.column("text")):
-                    bad[[t.first + m[0] for m in matches(t, index, min_coverage)]] = True
+                    bad[[t.first + m[0] for m in matches(t, index, min_coverage, min_run)]] = True
                 yield batch.filter(pa.array(~bad))
 
         docs = bounded(docs).mapInArrow(keep, docs.schema)

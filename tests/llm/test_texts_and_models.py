@@ -87,6 +87,23 @@ def test_questions_with_other_numbers_and_names_are_found(spark, empty):
     assert templates.contaminated(empty, bench).count() == 0 and templates.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_long_quotes_and_copies_of_few_literals_are_found(spark):
+    rng = random.Random(4)
+    passage = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    table = "Boston 12 7 9 14 Denver 3 8 22 41 Austin 17 5 90 66"
+    names = " ".join(f"{i} Tom {i * i} Mary" for i in range(3, 12))
+    items = [(1, " ".join(passage)), (2, table), (3, names), (4, "Berlin 5 Madrid 7"), (5, "12 5")]
+    fill = lambda: text(rng, 20).lower()
+    quote = [*passage[:100], "Tom", *passage[100:120]]
+    renamed = [*quote, "and", "Tom", "saw", "Tom"]
+    texts = [f"{fill()} {' '.join(passage[150:350])} {fill()}", f"{fill()} {table} {fill()}", f"{fill()} {names} {fill()}", f"in {fill()} Berlin 5 Madrid 7 {fill()}", " ".join(passage[:12]) + " " + fill(), "Boston 13 7 9 14 Denver 3 8 22 42 Austin 17 5 91 66", "12 5 " + fill(), None]
+    assert [h[:2] for h in hits(items, texts)] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    # names that disagree later on do not hide what is verbatim
+    assert [h[:2] for h in hits([(1, " ".join(renamed))], [" ".join([*quote, "and", "Ann", "saw", "Jane"])])] == [(0, 1)]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r.doc_id for r in templates.remove_contaminated(docs, bench).collect()) == [4, 5, 6, 7]
+
+
 # op3
 
 
