@@ -141,6 +141,16 @@ def c3_hydrate(spark, d):
     return out.select("id", F.length("full_content").alias("note_chars"), F.col("commit.author").alias("author"))
 
 
+@query(f"WITH {M} SELECT m.id, length(m.content) AS note_chars, c.author AS author FROM memories m LEFT JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN md5(CAST(doc_id AS VARCHAR)) ELSE 'x' || md5(CAST(doc_id AS VARCHAR)) END AS sha, source AS author FROM documents) c ON c.sha = m.commit_sha")
+def c3_hydrate_all(spark, d):
+    m = V.memories(spark, d)
+    raw = m.select("namespace", "commit_sha", F.col("content").alias("note"))
+    sha = F.md5(F.col("doc_id").cast("string"))
+    commits = V.table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, sha).otherwise(F.concat(F.lit("x"), sha)).alias("sha"), F.col("source").alias("author"))
+    out = lookup.hydrate(m, raw, commits, level="full")
+    return out.select("id", F.length("full_content").alias("note_chars"), F.col("commit.author").alias("author"))
+
+
 @query(f"WITH {M} SELECT substring(commit_sha, 1, 7) AS sha7, min(commit_sha) AS commit_sha FROM memories GROUP BY 1")
 def c7_prefix_join(spark, d):
     m = V.memories(spark, d)
@@ -184,10 +194,25 @@ def d7_similarity(spark, d):
 )
 def d9_novelty(spark, d):
     v = V.memory_vectors(spark, d)
-    queries = v.filter("vec_id % 20 = 3").select(F.col("vec_id").alias("query_id"), F.element_at(F.array(*map(F.lit, L.NAMESPACES)), (F.col("vec_id") % 10 + 1).cast("int")).alias("namespace"), "embedding")
+    return _novelty(spark, d, v, v.filter("vec_id % 20 = 3"))
+
+
+def _novelty(spark, d, v, some):
+    queries = some.select(F.col("vec_id").alias("query_id"), F.element_at(F.array(*map(F.lit, L.NAMESPACES)), (F.col("vec_id") % 10 + 1).cast("int")).alias("namespace"), "embedding")
     return knn.novelty(queries, v, V.memories(spark, d)).select("query_id", _r("novelty_score"), "is_novel", F.size("similar_ids").cast("long").alias("n_similar"))
 
 
+@query(
+    f"WITH {M}, {E}, q AS (SELECT vec_id AS query_id, list_extract([{', '.join(repr(n) for n in L.NAMESPACES)}], CAST(vec_id % 10 + 1 AS BIGINT)) AS namespace, embedding FROM vectors WHERE vec_id % 50 = 0),"
+    " p AS (SELECT q.query_id, v.id, 1 / (1 + list_distance(v.embedding, q.embedding)) AS s FROM q JOIN (SELECT v.id, v.embedding, m.namespace FROM vectors v JOIN memories m ON m.id = v.id) v ON v.namespace = q.namespace),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM p)"
+    " SELECT q.query_id, round(1 - coalesce(max(r.s), 0), 6) AS novelty_score, 1 - coalesce(max(r.s), 0) >= 0.3 AS is_novel, count(CASE WHEN r.s >= 0.7 THEN 1 END) AS n_similar FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.k <= 5 GROUP BY q.query_id"
+)
+def d9_novelty_50(spark, d):
+    v = V.memory_vectors(spark, d)
+    return _novelty(spark, d, v, v.filter("vec_id % 50 = 0"))
+
+
 @query(f"WITH {M}, c AS (SELECT 'namespace' AS kind, namespace AS key, count(*) AS n FROM memories GROUP BY namespace UNION ALL SELECT 'spec', spec, count(*) FROM memories WHERE spec IS NOT NULL GROUP BY spec UNION ALL SELECT 'total', NULL, count(*) FROM memories) SELECT kind, key, n FROM c")
 def e1_stats(spark, d):
     return aggregate.stats(V.memories(spark, d))
@@ -510,6 +535,22 @@ def b18_allowlist(spark, d):
     return security.is_allowed(q, a, V.as_of())
 
 
+_ALLOW_ALL = _ALLOW.replace("md5(CAST(event_id AS VARCHAR))", "md5(CASE WHEN event_id % 7 < 4 THEN '' ELSE 'other ' END || CAST(event_id AS VARCHAR))").replace(" WHERE event_id < 200", "")
+
+
+def _allow_all(e):
+    """An allowlist row for each event; those of three in seven hold a hash that is not asked for."""
+    h = F.md5(F.concat(F.when(F.col("event_id") % 7 < 4, "").otherwise("other "), F.col("event_id").cast("string")))
+    return e.select(h.alias("secret_hash"), F.when(F.col("event_id") % 2 != 0, "decisions").alias("namespace"), F.col("ts").alias("added_at"), F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.lit(NOW - 5))).alias("expires_at"))
+
+
+@query(f"WITH q AS (SELECT md5(CAST(event_id AS VARCHAR)) AS secret_hash, CASE WHEN event_id % 5 = 0 THEN 'progress' ELSE 'decisions' END AS namespace FROM events), a AS {_ALLOW_ALL} SELECT q.secret_hash, q.namespace, coalesce(NOT o.expired, NOT g.expired, false) AS allowed FROM q LEFT JOIN a o ON o.h = q.secret_hash AND o.ns = q.namespace LEFT JOIN a g ON g.h = q.secret_hash AND g.ns IS NULL")
+def b18_allowlist_all(spark, d):
+    e = V.table(spark, d, "events")
+    q = e.select(F.md5(F.col("event_id").cast("string")).alias("secret_hash"), F.when(F.col("event_id") % 5 == 0, "progress").otherwise("decisions").alias("namespace"))
+    return security.is_allowed(q, _allow_all(e).drop("added_at"), V.as_of())
+
+
 @query(f"WITH {M} SELECT namespace, count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS successful FROM memories GROUP BY namespace")
 def e6_capture_totals(spark, d):
     return aggregate.capture_totals(V.memories(spark, d).select("namespace", (F.col("doc_id") % 3 != 0).alias("success")))
@@ -549,6 +590,11 @@ def b17_list_allowlist(spark, d):
     return security.list_allowlist(a, V.as_of(), "decisions").select("secret_hash", "namespace")
 
 
+@query(f"WITH a AS {_ALLOW_ALL}, l AS (SELECT h, ns FROM a WHERE NOT expired) SELECT h AS secret_hash, ns AS namespace FROM l WHERE ns = 'decisions' UNION ALL SELECT h, ns FROM l WHERE ns IS NULL AND h NOT IN (SELECT h FROM l WHERE ns = 'decisions')")
+def b17_list_allowlist_all(spark, d):
+    return security.list_allowlist(_allow_all(V.table(spark, d, "events")), V.as_of(), "decisions").select("secret_hash", "namespace")
+
+
 @query(f"WITH {M} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'validated' WHEN doc_id % 3 = 0 THEN 'candidate' ELSE 'promoted' END AS state FROM memories")
 def h9_pattern_states(spark, d):
     m = V.memories(spark, d)
