@@ -409,10 +409,19 @@ def g4_merge_notes(spark, d):
 @query(f"WITH {M} SELECT id, summary, coalesce(spec, 'none') AS spec, ts, 'active' AS status FROM memories")
 def a19_parse_notes(spark, d):
     m = V.memories(spark, d).filter(F.length("content") >= 0)
-    back = notes.to_memories(notes.records(V.front_matter(m.withColumn("content", F.lit("body")))), V.as_of())
+    back = notes.to_memories(notes.records(V.front_matter(m)), V.as_of())
     return back.select("id", "summary", "spec", F.unix_seconds("timestamp").alias("ts"), "status")
 
 
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+@query(f"WITH {M} SELECT id, md5(trim(content, '{_BLANKS}')) AS body_md5 FROM memories")
+def a19_parse_bodies(spark, d):
+    back = notes.to_memories(notes.records(V.front_matter(V.memories(spark, d))), V.as_of())
+    return back.select("id", F.md5(F.col("content").cast("binary")).alias("body_md5"))
+
+
 @query(
     f"WITH {M}, t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', summary, content, replace(tags, ',', ' '))), '\\b[a-z][a-z0-9_-]*[a-z0-9]\\b|\\b[a-z]\\b'))) AS term FROM memories WHERE regexp_full_match(summary || content, '[\\x00-\\x7F]*'))"
     f" SELECT term, count(*) AS df FROM t WHERE length(term) >= 2 AND term NOT IN ({', '.join(repr(w) for w in L.STOP_WORDS)}) GROUP BY term"
