@@ -472,7 +472,7 @@ def i1_signals(spark, d):
 def i5_markers(spark, d):
     c = V.table(spark, d, "conversations")
     forms = ["[remember:decisions] ", "[capture] ", "@memory:progress ", "[til] ", ":::blockers ", "plain "]
-    t = F.concat(F.element_at(F.array(*map(F.lit, forms)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")), F.substring("text", 1, 80), F.when((F.col("conv_id") + F.col("turn")) % 6 == 4, " :::").otherwise(""))
+    t = F.concat(F.element_at(F.array(*map(F.lit, forms)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")), F.col("text"), F.when((F.col("conv_id") + F.col("turn")) % 6 == 4, " :::").otherwise(""))
     mark = c.select("conv_id", "turn", signals.marker(t).alias("m"))
     return mark.select("conv_id", "turn", "m.marker_type", "m.namespace", signals.resolve_namespace(F.col("m")).alias("resolved"))
 
