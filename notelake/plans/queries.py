@@ -430,6 +430,11 @@ def h2_term_frequencies(spark, d):
     return patterns.frequencies(V.memories(spark, d).filter(F.concat("summary", "content").rlike(r"^\p{ASCII}*$")))
 
 
+@query()
+def h2_term_frequencies_all(spark, d):
+    return patterns.frequencies(V.memories(spark, d))
+
+
 @query()
 def h7_patterns(spark, d):
     m = V.memories(spark, d)
@@ -453,8 +458,17 @@ _PAT = "(VALUES ('Caching', ['the', 'apache', 'license', 'version']), ('Tokens',
     f" SELECT t.id, p.name, len(list_intersect(t.terms, p.tags)) AS overlap, round(len(list_intersect(t.terms, p.tags)) / greatest(len(t.terms), len(p.tags)), 6) AS score FROM t, {_PAT} WHERE len(list_intersect(t.terms, p.tags)) >= 2"
 )
 def c10_matching_patterns(spark, d):
+    return _matching(spark, V.memories(spark, d).filter(F.element_at("tags", 1) == "en"))
+
+
+@query()
+def c10_matching_patterns_all(spark, d):
+    return _matching(spark, V.memories(spark, d))
+
+
+def _matching(spark, m):
     p = spark.createDataFrame([("Caching", ["the", "apache", "license", "version"], "candidate"), ("Tokens", ["token", "thth", "license"], "validated"), ("Old", ["apache", "license"], "deprecated")], "name string, tags array<string>, status string")
-    return patterns.matching(V.memories(spark, d).filter(F.element_at("tags", 1) == "en"), p).select("id", "name", "overlap", _r("score"))
+    return patterns.matching(m, p).select("id", "name", "overlap", _r("score"))
 
 
 @query()
