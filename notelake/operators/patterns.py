@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +42,53 @@ def _classify(namespaces: list[str], words: list[str]) -> str:
     return best if score[best] else "technical"
 
 
+def _clusters(doc: np.ndarray, term: np.ndarray, least: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """H3: members and records of each cluster; ``doc`` and ``term`` are different pairs, terms numbered in their order.
+
+    Only terms that stand in enough of a seed's records are looked at, with their counts
+    in the records that are left; these are counted down as records go."""
+    n = int(term.max()) + 1 if len(term) else 0
+    order = np.lexsort((doc, term))
+    docs, of_term = doc[order], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n))])
+    order = np.lexsort((term, doc))
+    terms_, of_doc = term[order], np.concatenate([[0], np.cumsum(np.bincount(doc))])
+    used = np.zeros(n, bool)
+
+    def near(some: np.ndarray) -> np.ndarray:
+        return np.concatenate([terms_[of_doc[d] : of_doc[d + 1]] for d in some.tolist()])
+
+    for seed in range(n):
+        if used[seed]:
+            continue
+        left = docs[of_term[seed] : of_term[seed + 1]]
+        count = np.bincount(near(left), minlength=n)
+        later = np.flatnonzero(count >= least)
+        later = later[(later > seed) & ~used[later]]
+        members, at = [seed], 0
+        while at < len(later):
+            c = count[later[at:]]
+            shrinks = np.flatnonzero((c >= least) & (c < len(left)))
+            k = int(shrinks[0]) if len(shrinks) else len(c)
+            members += later[at : at + k][c[:k] >= least].tolist()
+            if k < len(c):
+                j = int(later[at + k])
+                members.append(j)
+                stay = np.isin(left, docs[of_term[j] : of_term[j + 1]], assume_unique=True)
+                count = count - np.bincount(near(left[~stay]), minlength=n)
+                left = left[stay]
+            at += k + 1
+        used[members] = True
+        yield members, left
+
+
 def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES, max_candidates: int = 20, group: str | None = None, max_terms: int | None = None) -> DataFrame:
     """H3-H8: pattern candidates, for all records or each value of ``group`` (a column such as spec or namespace).
 
     Frequent terms are swept in the order (more records first, then alphabet): a seed
     takes every later term with which enough of its records are left.  Counting terms is
     distributed; the sweep is sequential and so is one task for each group, which gets
-    the frequent terms with their record numbers.  ``max_terms`` bounds them (the most
-    frequent ones) where a group's vocabulary would not fit.
+    the frequent terms with their record numbers.  ``max_terms`` keeps only the most
+    frequent ones, which changes the result; no registered query sets it.
     """
     keyed = m.withColumn("__g", F.col(group) if group else F.lit("")).filter(F.col("__g").isNotNull())
     each = keyed.select("__g", "id", "namespace", S.temporal_decay("timestamp", as_of).alias("decay"), F.explode(terms(F.col("summary"), F.col("content"), F.col("tags"))).alias("term"))
@@ -60,35 +102,24 @@ def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES,
         import math
 
         total = int(part["total"].iloc[0])
-        ids = sorted(part["id"].unique())
-        number = {v: i for i, v in enumerate(ids)}
-        first = part.drop_duplicates("id").set_index("id")
-        order = part.groupby("term")["id"].agg(set).reset_index()
-        order["n"] = order["id"].map(len)
-        order = order.sort_values(["n", "term"], ascending=[False, True])
-        names = order["term"].tolist()
-        sets = [sum(1 << number[i] for i in s) for s in order["id"]]
-        used = [False] * len(names)
+        first = part.drop_duplicates("id").sort_values("id")
+        ids, spaces, decay = first["id"].to_numpy(), first["namespace"].to_numpy(), first["decay"].to_numpy(float)
+        pairs = part[["id", "term"]].drop_duplicates()
+        order = pairs["term"].value_counts().rename_axis("term").reset_index(name="n").sort_values(["n", "term"], ascending=[False, True])
+        names, sizes = order["term"].tolist(), order["n"].tolist()
+        doc = np.searchsorted(ids, pairs["id"].to_numpy())
+        term = pd.Series(range(len(names)), names).loc[pairs["term"]].to_numpy()
         out, seen = [], set()
-        for i, seed in enumerate(names):
-            if used[i]:
-                continue
-            members, left = [i], sets[i]
-            for j in range(i + 1, len(names)):
-                if not used[j] and (both := left & sets[j]).bit_count() >= min_occurrences:
-                    members.append(j)
-                    left = both
-            for j in members:
-                used[j] = True
-            if left in seen:
+        for members, left in _clusters(doc, term, min_occurrences):
+            if (key_ := left.tobytes()) in seen:
                 continue
-            seen.add(left)
-            evidence = [ids[k] for k in range(len(ids)) if left >> k & 1]
+            seen.add(key_)
+            evidence = ids[left].tolist()
             words = [names[j] for j in members]
-            idf = sum(math.log(total / sets[j].bit_count()) for j in members) / len(members)
-            kind = _classify(first.loc[evidence, "namespace"].tolist(), words)
+            idf = sum(math.log(total / sizes[j]) for j in members) / len(members)
+            kind = _classify(spaces[left].tolist(), words)
             label = " ".join(w for w in words[:3]).title() + f" ({kind.replace('-', ' ').title()})"
-            out.append((key[0], label, kind, words, evidence, idf * len(evidence) ** 0.5 * len(words) ** 0.3, float(first.loc[evidence, "decay"].mean()), seed))
+            out.append((key[0], label, kind, words, evidence, idf * len(evidence) ** 0.5 * len(words) ** 0.3, float(decay[left].mean()), words[0]))
         return pd.DataFrame(out, columns=["group", "name", "pattern_type", "terms", "evidence", "raw_score", "recency", "seed"])
 
     found = rows.groupBy("__g").applyInPandas(sweep, "group string, name string, pattern_type string, terms array<string>, evidence array<string>, raw_score double, recency double, seed string")

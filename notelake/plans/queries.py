@@ -438,14 +438,14 @@ def h2_term_frequencies_all(spark, d):
 @query()
 def h7_patterns(spark, d):
     m = V.memories(spark, d)
-    found = patterns.detect(m, V.as_of(), min_occurrences=3, group="namespace", max_terms=400)
+    found = patterns.detect(m, V.as_of(), min_occurrences=3, group="namespace")
     return found.select("group", "name", "pattern_type", F.array_join(F.slice("terms", 1, 8), ",").alias("terms"), "occurrence_count", _r("normalized_score"), _r("confidence"))
 
 
 @query()
 def h10_add_evidence(spark, d):
     m = V.memories(spark, d)
-    p = patterns.to_patterns(patterns.detect(m, V.as_of(), min_occurrences=3, group="namespace", max_terms=100, max_candidates=3).withColumn("name", F.concat_ws(" ", "group", "name")), V.as_of())
+    p = patterns.to_patterns(patterns.detect(m, V.as_of(), min_occurrences=3, group="namespace").withColumn("name", F.concat_ws(" ", "group", "name")), V.as_of())
     more = p.select("name", F.lit("new:1").alias("id")).unionByName(p.select("name", F.element_at("evidence", 1).alias("id")))
     return patterns.add_evidence(p, more).select("name", "status", "occurrence_count", _r("confidence"))
 
