@@ -9,9 +9,11 @@ weighted Jaccard similarity.  Points come in order of time, so a process stops a
 as it is later than the document's latest register.
 
 Registers are banded.  Candidates are a bucket's documents against its smallest one;
-they are verified on the full multisets.  Clusters of candidates that the verified
-links leave in several parts are compared completely, in blocks, by inverted lists.
-So there is no cap on partners, and no group is expanded into pairs.
+they are verified on the full multisets.  Where verified links leave a cluster of
+candidates in several parts, its strays (what is outside the largest part) are compared
+with documents of the whole cluster until few are left, and these with all of it, in
+blocks, by inverted lists.  So there is no cap on partners, no group is expanded into
+pairs, and work grows with the strays that stay apart, not with the cluster's square.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 4
 #: Ids (8 bytes) that are broadcast at most; longer lists are joined by shuffle.
 MAX_BROADCAST = 1_000_000
-#: Documents of one block of a complete comparison.
-BLOCK_DOCS = 1024
+#: Documents of one block of a comparison.
+BLOCK_DOCS = 256
+#: Documents of a large cluster, about, that its strays are compared with in a round.
+PIVOTS = 32
+#: Logarithm of the sizes' ratio in one class of them.
+SIZE_CLASS = 0.05
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -170,48 +176,152 @@ def _links(docs: DataFrame, candidates: DataFrame, similarity: float, shingle: i
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 
-def _complete(docs: DataFrame, open_: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links between different parts of one cluster (``open_``: id, cluster, part, size), all pairs in blocks."""
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_DOCS), F.lit(1)).cast("int")
-    texts = _texts_of(docs, open_.select(F.col("id").alias("doc_id")))
-    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(texts, F.col("id") == F.col("doc_id")).select("id", "cluster", "part", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+def _with_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with a settled table of fixed-width rows, which is broadcast where it is short."""
+    return rows.join(F.broadcast(small) if small.count() <= MAX_BROADCAST else small, on)
+
+
+def _open(clusters: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """Documents of the clusters of ``least`` or more that ``links`` leave in several parts.
+
+    The columns of ``clusters`` (id, cluster and others), part, size (rows of the cluster), top (its
+    largest part), strays (rows outside of it).
+    """
+    parts = components(links).withColumnRenamed("class_id", "part")
+    member = settled(clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    each = member.groupBy("cluster", "part").agg(F.count("id").alias("n"))
+    tops = each.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("t"), F.sum("n").alias("size"), F.count("part").alias("parts"))
+    tops = settled(tops.filter((F.col("parts") > 1) & (F.col("size") >= least)).select("cluster", "size", F.col("t.part").alias("top"), (F.col("size") - F.col("t.n")).alias("strays")))
+    return settled(_with_small(member, tops, ["cluster"]))
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
-        root = {int(p): int(p) for p in part}
 
-        def find(p: int) -> int:
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            return p
+def _reach(texts: DataFrame, open_: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """key, n (elements) and reach of each text: the most elements that a text may have to be similar enough to it.
 
+    Of its elements a text shares at most those that another text of the cluster has, so a
+    text with elements of its own reaches less far.  Blocks of a cluster's texts send each
+    element once, so what is sent are the elements of few texts.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
         e, cut = _elements(table.column("text"), shingle)
         size = np.diff(cut)
-        owner = np.repeat(np.arange(len(ids)), size)
-        _, number = np.unique(e, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        lists, begin = owner[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
-        out = []
-        for i in range(len(ids)):
-            mine = number[cut[i] : cut[i + 1]]
-            length = begin[mine + 1] - begin[mine]
-            stop = np.cumsum(length)
-            if not len(stop):
-                continue
-            both = np.bincount(lists[np.repeat(begin[mine] - (stop - length), length) + np.arange(stop[-1])], minlength=len(ids))
-            s = both / (size[i] + size - both)
-            for j in np.flatnonzero((s >= similarity) & (np.arange(len(ids)) < i)):
-                p, q = find(int(part[i])), find(int(part[j]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out.append((int(ids[i]), int(ids[j]), float(s[j])))
-        a, b, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, "a bigint, b bigint, similarity double")
+        doc = np.repeat(np.arange(len(size)), size)
+        with np.errstate(over="ignore"):
+            e = mix(e ^ mix(table.column("cluster").to_numpy().view(U64))[doc])
+        e, first, n = np.unique(e, return_index=True, return_counts=True)
+        keys = table.column("key").to_numpy()
+        return pa.table({"e": pa.concat_arrays([pa.array(e.view(np.int64)), pa.nulls(len(size), pa.int64())]), "n": np.concatenate([n, size]), "key": np.concatenate([keys[doc[first]], keys])})
+
+    deal = F.xxhash64("cluster", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / (4 * BLOCK_DOCS)).cast("int")))
+    rows = settled(open_.select("key", "cluster", "size").join(texts, "key").withColumn("deal", deal).select("deal", "cluster", "key", "text").groupBy("deal").applyInArrow(run, "e bigint, n bigint, key bigint"))
+    own = rows.filter("e is not null").groupBy("e").agg(F.sum("n").alias("n"), F.max("key").alias("key")).filter("n = 1").groupBy("key").agg(F.count("n").alias("own"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    return rows.filter("e is null").select("key", "n").join(settled(own), "key", "left").select("key", "n", (shared * ((1 + similarity) / similarity) * (1 + 1e-9) - F.col("n")).alias("reach"))
+
+
+def _every_link(texts: DataFrame, open_: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links of strays to all documents of their clusters that can be similar enough, by size classes and blocks of them."""
+    kind = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / SIZE_CLASS).cast("int")
+    blocks = lambda n: F.ceil(n / BLOCK_DOCS).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("int")
+    t = settled(open_.join(settled(_reach(texts, open_, similarity, shingle)), "key").withColumn("kind", kind(F.col("n"))))
+    kinds = settled(t.groupBy("cluster", "kind").agg(F.max("reach").alias("furthest"), F.count("key").alias("rows")))
+    low = F.col("n") * (similarity * (1 - 1e-9))
+    strays = t.filter(F.col("stray") & (F.col("reach") >= low)).withColumn("kind", F.explode(F.sequence(kind(low), kind(F.col("reach")))))
+    strays = settled(_with_small(strays, kinds, ["cluster", "kind"]).filter(F.col("furthest") >= F.col("n")))
+    asked = settled(strays.groupBy("cluster", "kind").agg(F.count("key").alias("asked"), F.min("n").alias("least")))
+    strays = _with_small(strays, asked, ["cluster", "kind"]).withColumn("x", own(blocks(F.col("asked")), 0)).withColumn("y", F.explode(F.sequence(F.lit(0), blocks(F.col("rows")) - 1)))
+    others = _with_small(_with_small(t, kinds.select("cluster", "kind", "rows"), ["cluster", "kind"]), asked, ["cluster", "kind"]).filter(F.col("reach") >= F.col("least"))
+    others = others.withColumn("stray", F.lit(False)).withColumn("y", own(blocks(F.col("rows")), 1)).withColumn("x", F.explode(F.sequence(F.lit(0), blocks(F.col("asked")) - 1)))
+    unit = [F.xxhash64("cluster", "kind", "x", "y").alias("unit"), "key", "id", "part", "top", "stray"]
+    return _stray_links(texts, strays.select(*unit).unionByName(others.select(*unit)), similarity, shingle)
+
+
+def _stray_links(texts: DataFrame, dealt: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links of strays to documents of other parts, within units.
+
+    ``dealt``: unit, key, id, part, top, stray; a unit holds some hundreds of documents.  Strays
+    that have come to the largest part are not looked at again; documents of parts that are
+    joined by now need no further link.
+    """
+    groups = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // BLOCK_DOCS))
+    rows = dealt.join(texts, "key").select(F.pmod("unit", F.lit(groups)).alias("deal"), "unit", "id", "part", "top", "stray", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        unit, ids, part, top, stray = (table.column(c).to_numpy() for c in ("unit", "id", "part", "top", "stray"))
+        e, cut = _elements(table.column("text"), shingle)
+        out: list[tuple[int, int]] = []
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            out += _unit_links(ids[lo:hi], part[lo:hi], int(top[lo]), np.flatnonzero(stray[lo:hi]), e[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo], similarity)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows.groupBy("deal").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _unit_links(ids: np.ndarray, part: np.ndarray, top: int, strays: np.ndarray, e: np.ndarray, cut: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of one unit that join parts: each stray's overlap with all others is counted by inverted lists."""
+    root = {int(p): int(p) for p in part} | {top: top}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    size = np.diff(cut)
+    _, number = np.unique(e, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    lists, begin = np.repeat(np.arange(len(ids)), size)[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+    out = []
+    for i in strays:
+        mine = number[cut[i] : cut[i + 1]]
+        length = begin[mine + 1] - begin[mine]
+        stop = np.cumsum(length)
+        if not len(stop) or find(int(part[i])) == find(top):
+            continue
+        both = np.bincount(lists[np.repeat(begin[mine] - (stop - length), length) + np.arange(stop[-1])], minlength=len(ids))
+        for j in np.flatnonzero(both / (size[i] + size - both) >= similarity):
+            p, q = find(int(part[i])), find(int(part[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _rest(docs: DataFrame, candidates: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``links`` with what else joins the parts of the candidates' clusters.
+
+    Small clusters are compared completely.  In a large one each round compares the strays
+    (documents outside the largest part) among themselves in blocks and with ``PIVOTS``
+    documents of the whole cluster, so a round moves each stray once; most strays come to
+    the largest part.  Those that don't are compared with all documents of their cluster
+    that they can be similar to.
+    """
+    clusters = settled(components(candidates).withColumnRenamed("class_id", "cluster"))
+    number = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), n)
+    stray, found, small = F.col("part") != F.col("top"), links, 2 * BLOCK_DOCS
+    open_ = _open(clusters, found, 3)
+    texts = settled(_texts_of(docs, open_.select(F.col("id").alias("doc_id"))).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text"))
+    clusters = settled(open_.select("id", "cluster").distinct().join(texts.select("id", "key"), "id"))
+    texts, before = texts.select("key", "text"), None
+    while True:
+        open_ = _open(clusters, found, 3 if before is None else small + 1)
+        n, most = open_.agg(F.count(F.when(stray, 1)), F.max("strays")).first()
+        if not n:
+            return found
+        open_ = open_.withColumn("stray", stray)
+        if before is not None and (most <= BLOCK_DOCS or 2 * n > before):
+            return found.union(settled(_every_link(texts, open_, similarity, shingle)))
+        whole, blocks = F.col("size") <= small, F.ceil(F.col("strays") / BLOCK_DOCS).cast("int")
+        mine = F.when(whole, 0).otherwise(number(blocks, 0)).cast("int")
+        pivot = number(F.col("size"), 1 if before is None else before) < PIVOTS
+        places = F.when(pivot & ~whole, F.sequence(F.lit(0), blocks - 1)).when(stray | whole, F.array(mine))
+        rows = open_.withColumn("mine", mine).withColumn("x", F.explode(places))
+        units = rows.select(F.xxhash64("cluster", "x").alias("unit"), "key", "id", "part", "top", (F.col("stray") & (F.col("x") == F.col("mine"))).alias("stray"))
+        found, before = found.union(settled(_stray_links(texts, units, similarity, shingle))), n
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -233,16 +343,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     least = banded.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("most")).filter("b < most").select("band", "b")
     candidates = settled(banded.join(least, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
     links = settled(_links(plain, candidates, similarity, shingle).select("a", "b"))
-    clusters, parts = components(candidates), components(links)
-    member = clusters.select("id", F.col("class_id").alias("cluster")).join(parts, "id", "left").select("id", "cluster", F.coalesce("class_id", "id").alias("part"))
-    # a cluster is open if its parts are several: all of its documents against all others in blocks
-    sizes = member.groupBy("cluster").agg(F.count("id").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("cluster", "size")
-    open_ = settled(member.join(sizes, "cluster"))
+    if not candidates.isEmpty():
+        links = _rest(plain, candidates, links, similarity, shingle)
     # one id with several texts, and one text with several ids, join what they belong to
     same = filled.select("doc_id", "key").distinct().join(kinds.select("key", "id"), "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     shared = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")).filter("b < most").select("a", "b")
-    extra = _complete(plain, open_, similarity, shingle).select("a", "b")
-    classes = components(links.union(extra).union(shared.select("a", "b")).union(same.join(shared.select("a"), "a", "left_semi")))
+    classes = components(links.union(shared.select("a", "b")).union(same.join(shared.select("a"), "a", "left_semi")))
     by_key = kinds.select("key", "id").join(classes, "id", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
     out = settled(sketches.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
     sizes = out.select("doc_id", "class_id").distinct().groupBy("class_id").agg(F.count("doc_id").alias("class_size"))

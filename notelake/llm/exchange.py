@@ -66,6 +66,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a settled table that nothing reads any more."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (found := plan.rdd().getCheckpointFile()).isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are gone now, not at some later garbage collection."""
     gc.collect()

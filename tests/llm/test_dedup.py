@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from notelake.llm import bagminhash, repeats, suffix_dedup
+from notelake.llm.graph import components
 
 from .conftest import corpus, docs_of, text
 
@@ -133,18 +134,65 @@ def test_near_duplicates_of_nothing(spark, empty):
     assert sorted(((r.doc_id or 0, r.class_id) for r in got), key=str) == [(0, None), (1, 1), (2, 2), (3, 3), (4, 3)]
 
 
-def test_complete_comparison_finds_links_that_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(bagminhash, "BLOCK_DOCS", 4)
-    rng = random.Random(8)
-    whole = text(rng, 300).split()
-    texts = []
-    for _ in range(40):
+def edited(rng, whole, n, most):
+    out = []
+    for _ in range(n):
         w = list(whole)
-        for _ in range(5):
-            w[rng.randrange(300)] = f"n{rng.random()}"
-        texts.append(" ".join(w))
+        for _ in range(rng.randint(1, most)):
+            w[rng.randrange(len(w))] = f"n{rng.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 30, 256])
+def test_strays_find_links_that_stars_miss(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK_DOCS", block)  # used where the plan is built only
+    monkeypatch.setattr(bagminhash, "PIVOTS", 3)
+    rng = random.Random(8)
+    texts = edited(rng, text(rng, 300).split(), 60, 9) + edited(rng, text(rng, 120).split(), 40, 8)
     got = bagminhash.near_duplicates(docs_of(spark, texts)).collect()
-    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(list(range(40)), texts)
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(list(range(100)), texts)
+
+
+def shuffled_bytes(spark, f):
+    """f() and the bytes that its tasks wrote for shuffles."""
+    spark.sparkContext.setJobGroup(group := f"g{random.random()}", "")
+    f()
+    spark.sparkContext.setJobGroup("none", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(int(store.lastStageAttempt(s).shuffleWriteBytes()) for s in stages)
+
+
+def test_bytes_follow_the_documents_of_a_cluster(spark):
+    rng = random.Random(5)
+    whole = text(rng, 150).split()
+    small, large = edited(rng, whole, 1200, 5), edited(rng, whole, 4800, 5)
+    sent = []
+    for texts in (small, large):
+        docs = docs_of(spark, texts).select("doc_id", "text").cache()
+        sent.append(shuffled_bytes(spark, lambda docs=docs: bagminhash.near_duplicates(docs).collect()))
+    assert sent[1] < 5 * sent[0], sent
+
+
+@pytest.mark.parametrize("local_edges", [10**6, 40, 0])
+def test_components_against_union_find(spark, local_edges):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(150)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(260)] + [(5, 5), (None, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted((r.id, r.class_id) for r in components(df, local_edges).collect()) == sorted((x, find(x)) for x in list(root))
+    assert components(df.filter("a < 0"), local_edges).count() == 0
 
 
 def test_signatures_estimate_weighted_jaccard():
