@@ -1,11 +1,12 @@
 """Main text of web pages, with site templates removed.
 
 Each page becomes a tree of elements and each element's subtree a hash of its tags,
-names and text.  Spark counts, for each host, on how many different pages a subtree
-stands; subtrees that stand on a large share of a host's pages are its template and
-are deleted.  What the counts cannot show, as on hosts with few pages, is left to the
-meaning of tags, classes and roles.  The text of the article is then read off block
-by block.
+names and text.  Containers beside the element with most of the page's text also have a
+hash of their shape, without text and digits, as menus and footers differ in words from
+page to page.  Spark counts, for each host, on how many different pages a subtree stands;
+subtrees that stand on a large share of a host's pages are its template and are deleted
+first.  What the counts cannot show, as on hosts with few pages, is left to the meaning
+of tags, classes and roles.  The text of the article is then read off block by block.
 
 The counts are shuffled as (host, subtree, page) hashes and summed map-side, so a
 host with a third of all pages only adds to its sums.  The templates of all hosts (at
@@ -43,6 +44,10 @@ CONTAINERS = set("div section ul ol dl table details address center hr".split())
 DROPPED = RAW | set("head nav footer aside form button select option input label datalist output dialog menu svg canvas audio video object embed map search".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
+#: Elements that can be a template by their shape.
+SHAPED = CONTAINERS | set("nav header footer aside form menu search dialog".split())
+ROOTS = ("#page", "html", "body")
+_DIGITS = re.compile(r"\d+")
 # Words in class, id or role of elements that are no part of an article.
 NAMED = "ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall signup signin login register nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar sidenav rail complementary contentinfo footer foot masthead toolbar comment comments commentlist respond disqus reply replies discussion share sharing social follow related recommended recommendations more-articles search searchbox pagination pager skip-link widget widgets copyright disclaimer legal".split()
 _NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NAMED) + r")(?:$|[\s_\d-])", re.I)
@@ -54,12 +59,13 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 
 
 class Element:
-    __slots__ = ("attrs", "digest", "kids", "name", "parent", "tag")
+    __slots__ = ("attrs", "digest", "kids", "name", "parent", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list[Element | str] = []
         self.digest = b""
+        self.size = 0
         self.name = " ".join(a or b or c for _, a, b, c in _NAME.findall(attrs)) if attrs and not attrs.isspace() else ""
 
 
@@ -112,23 +118,66 @@ def _close(at: Element, tags: set[str], fences: set[str]) -> Element:
     return found
 
 
-def digests(root: Element) -> list[tuple[Element, int]]:
-    """Hash of each element's subtree (tags, names and text; white space and other attributes don't count)."""
-    order, stack = [], [root]
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True)
+
+
+def _downwards(tops: list[Element]) -> list[Element]:
+    """Elements with all below them, parents first."""
+    order, stack = [], tops[:]
     while stack:
         e = stack.pop()
         order.append(e)
         stack += [k for k in e.kids if isinstance(k, Element)]
+    return order
+
+
+def digests(root: Element) -> list[tuple[Element, int]]:
+    """Hash of each element's subtree (tags, names and text; white space and other attributes don't count).
+
+    Also notes the size of each element's text.
+    """
     out = []
-    for e in reversed(order):
+    for e in reversed(_downwards([root])):
         h = hashlib.blake2b(f"{e.tag}\0{e.name}\0".encode(), digest_size=8)
+        e.size = 0
         for k in e.kids:
-            h.update(k.digest if isinstance(k, Element) else " ".join(k.split()).encode("utf-8", "replace"))
+            if isinstance(k, Element):
+                h.update(k.digest)
+                e.size += k.size
+            else:
+                text = " ".join(k.split())
+                h.update(text.encode("utf-8", "replace"))
+                e.size += len(text) * (e.tag not in RAW)
         e.digest = h.digest()
-        out.append((e, int.from_bytes(e.digest, "big", signed=True)))
+        out.append((e, _number(e.digest)))
     return out
 
 
+def shapes(root: Element) -> dict[int, int]:
+    """Hash of tags and names, by the element's id, of the containers beside the one with most of the text.
+
+    Digits of names and repeats of a child's shape don't count.  A page whose text is not
+    mostly in one element below its body has none, so parts of a text are never judged by
+    their shape.  ``digests`` has to have noted sizes.
+    """
+    path = [root]
+    while (next_ := next((k for k in path[-1].kids if isinstance(k, Element) and 2 * k.size > root.size), None)) is not None:
+        path.append(next_)
+    if path[-1].tag in ROOTS:
+        return {}
+    below = {id(e) for e in path}
+    order = _downwards([k for e in path[:-1] for k in e.kids if isinstance(k, Element) and id(k) not in below and k.tag != "head"])
+    found: dict[int, bytes] = {}
+    for e in reversed(order):
+        h, last = hashlib.blake2b(f"{e.tag}\0{_DIGITS.sub('#', e.name)}\0".encode(), digest_size=8, person=b"shape"), b""
+        for k in e.kids:
+            if isinstance(k, Element) and k.tag not in RAW and found[id(k)] != last:
+                h.update(last := found[id(k)])
+        found[id(e)] = h.digest()
+    return {id(e): _number(found[id(e)]) for e in order if e.size and e.tag in SHAPED}
+
+
 def _text(e: Element) -> str:
     """All text below the element, as it stands."""
     parts, stack = [], [e]
@@ -160,7 +209,7 @@ def _dropped(e: Element, inside: bool, names: bool = True) -> bool:
     """Whether tag or (unless not ``names``) names say that the element is no part of an article."""
     if e.tag in DROPPED:
         return True
-    if e.tag in ("html", "body", "main", "#page"):
+    if e.tag in ROOTS or e.tag == "main":
         return False
     if e.tag == "header" and not inside:
         return not _holds(e, {"article", "main"})
@@ -200,35 +249,42 @@ def _blocks(e: Element, gone: set[int]) -> list[str]:
 def extract(source: str, templates: set[int]) -> str:
     """The article's text of a page on whose host the subtrees ``templates`` recur.
 
-    If names leave nothing of it, only tags and templates count.
+    If names leave nothing of it, only templates and tags count; if these leave nothing, only tags and names.
     """
     root = parse(source)
-    return _read(root, templates, True) or _read(root, templates, False)
+    return _read(root, templates) or _read(root, templates, names=False) or (_read(root, set()) if templates else "")
 
 
-def _read(root: Element, templates: set[int], names: bool) -> str:
+def _read(root: Element, templates: set[int], names: bool = True, tags: bool = True) -> str:
+    """The text without templates, then without what tags and names say (unless not ``names``, not ``tags``)."""
     gone: set[int] = set()
-    recurring: set[int] = set()
     articles: list[Element] = []
     mains: list[Element] = []
     hashes = {id(e): h for e, h in digests(root)} if templates else {}
+    looks = shapes(root) if templates else {}
     stack: list[tuple[Element, bool]] = [(root, False)]
     while stack:
         e, inside = stack.pop()
-        if _dropped(e, inside, names):
+        if templates and e.tag not in ROOTS and _recurs(e, inside, hashes, looks, templates):
             gone.add(id(e))
             continue
-        if e.tag not in ("#page", "html", "body") and templates and hashes[id(e)] in templates and (e.tag in CONTAINERS or not inside):
-            recurring.add(id(e))
+        if _dropped(e, inside, names) if tags else e.tag in RAW or e.tag == "head":
+            gone.add(id(e))
             continue
         if e.tag == "article" and not inside:
             articles.append(e)
         elif e.tag == "main" or 'role="main"' in e.attrs:
             mains.append(e)
         stack += [(k, inside or e.tag == "article") for k in reversed(e.kids) if isinstance(k, Element)]
-    top = [max(articles, key=lambda a: len(_text(a)))] if articles else mains[:1] or [root]
-    blocks = _blocks(top[0], gone | recurring)
-    return "\n".join(blocks)
+    top = [root] if not tags else [max(articles, key=lambda a: len(_text(a)))] if articles else mains[:1] or [root]
+    return "\n".join(_blocks(top[0], gone))
+
+
+def _recurs(e: Element, inside: bool, hashes: dict[int, int], looks: dict[int, int], templates: set[int]) -> bool:
+    """Whether the element is one of its host's templates; what holds an article or main element is none."""
+    if inside:
+        return e.tag in CONTAINERS and hashes[id(e)] in templates
+    return (hashes[id(e)] in templates or looks.get(id(e)) in templates) and not _holds(e, {"article", "main"})
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -238,7 +294,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and its template subtrees (array of hashes), for hosts that have some.
+    """host and its template subtrees (array of hashes, with and without text), for hosts that have some.
 
     Pages that are equal as a whole count once, so copies of a page are no template.
     """
@@ -247,9 +303,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         for batch in batches:
             hosts, subs, whole, root = [], [], [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found = digests(parse(source or ""))
+                found = digests(tree := parse(source or ""))
                 page = found[-1][1]  # the root's
-                mine = {h for e, h in found if e.tag not in RAW and e.tag not in VOID and e.kids} | {page}
+                mine = {h for e, h in found if e.tag not in RAW and e.tag not in VOID and e.kids} | {page} | set(shapes(tree).values())
                 hosts += [host] * len(mine)
                 subs += mine
                 whole += [page] * len(mine)

@@ -189,6 +189,64 @@ def test_templates_of_a_site_go_and_articles_stay(spark):
     assert (400, "") in got and (401, "") in got and (401, "again") in got
 
 
+def counted_templates(rows, min_pages=10, min_share=0.5):
+    """Templates by host, by plain counting over all pages."""
+    seen, whole = defaultdict(set), defaultdict(set)
+    for _, url, source in rows:
+        host = (re.match(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "") or ["", ""])[1].lower()
+        found = pages.digests(tree := pages.parse(source or ""))
+        whole[host].add(found[-1][1])
+        for h in {h for e, h in found if e.kids and e.tag not in pages.RAW | pages.VOID} | {found[-1][1]} | set(pages.shapes(tree).values()):
+            seen[host, h].add(found[-1][1])
+    out = defaultdict(set)
+    for (host, h), p in seen.items():
+        if len(p) >= min_pages and len(p) >= min_share * len(whole[host]):
+            out[host].add(h)
+    return out
+
+
+def site(rng, kind, i):
+    """A page whose boilerplate has neither telling tags nor names."""
+    menu = "<div><ul>" + "".join(f"<li><a href='/{rng.random()}'>{text(rng, 2)}</a></li>" for _ in range(rng.randint(3, 8))) + "</ul></div>"
+    body = "".join(f"<p>{text(rng, 40)}</p>" for _ in range(rng.randint(2, 6)))
+    banner = "<div><b>Read all our offers</b></div>"
+    main = {"article": f"<article><p>First {i}</p>{banner}{body}</article>", "div": f"<div><p>First {i}</p>{banner}{body}</div>"}[kind]
+    return f"<html><head><title>x</title></head><body>{menu}{main}<div><span>(c) {text(rng, 4)}</span></div></body></html>"
+
+
+def test_templates_alone_clean_a_site(spark):
+    rng = random.Random(5)
+    rows = [(i, f"https://{kind}.example/{i}", site(rng, kind, i)) for kind, n in (("article", 0), ("div", 40)) for i in range(n, n + 40)]
+    rows += [(100 + i, f"https://few.example/{i}", site(rng, "div", i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counted = counted_templates(rows)
+    assert {r.host: set(r.templates) for r in pages.site_templates(pages.with_host(df)).collect()} == counted and set(counted) == {"article.example", "div.example"}
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    for i, url, source in rows:
+        want = " ".join(re.sub(r"<[^>]+>", "\n", re.search(r"<p>First.*</p>", source)[0].replace("<div><b>Read all our offers</b></div>", "")).split())
+        text_ = " ".join(got[i].split())
+        assert text_ == want if i < 80 else want.split()[-1] in text_ and "(c)" in text_
+        if i < 80:
+            assert " ".join(pages._read(pages.parse(source), counted[url.split("/")[2]], names=False, tags=False).split()) == want
+
+
+def test_odd_pages(spark):
+    assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    deep = "<div>" * 20000 + "deep" + "</div>" * 20000
+    long = "<article>" + "<p>word one two</p>" * 30000 + "</article>"
+    rows = [(1, "http://a/1", deep), (2, "http://a/2", long), (2, "http://a/2", long), (3, None, "<b>x"), (None, "http://a/", "<p>y")]
+    got = sorted(((r.page_id or 0), r.n_chars) for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, 1), (1, 4), (2, 30000 * 13 - 1), (2, 30000 * 13 - 1), (3, 1)]
+
+
+def test_sections_of_a_text_are_no_shapes(spark):
+    rng = random.Random(6)
+    part = lambda: f"<section><h2>{text(rng, 3)}</h2><p>{text(rng, 12)}</p></section>"
+    rows = [(i, f"http://s.example/{i}", f"<body><nav><a>{text(rng, 1)}</a></nav><div>{part()}{part()}{part()}</div></body>") for i in range(20)]
+    got = [r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert all(len(t.split("\n")) == 6 for t in got)
+
+
 # op7
 
 
