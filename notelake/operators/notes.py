@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,71 +11,83 @@ from pyspark.sql import functions as F
 from notelake import literals as L
 from notelake.functions import scalar as S
 
-PARSED = "array<struct<idx: int, front_matter: map<string, string>, body: string, raw: string, error: string>>"
+# White space of any kind, as ``str.strip`` has it.
+_BLANK = r"[\s\x1c-\x1f]"
 
 
-def split_notes(text: str) -> list[str]:
-    """Parts of concatenated notes; a part begins at a --- line that opens front matter."""
-    lines = text.split("\n")
-    starts: list[int] = []
-    inside, closed = False, -1
-    for i, line in enumerate(lines):
-        if line.strip() != "---":
-            continue
-        if inside:
-            inside, closed = False, i
-        else:
-            inside = True
-            if closed >= 0 or not starts:
-                starts.append(i)
-    if not starts:
-        return [text]
-    return ["\n".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+
+
+def _lines(lines: Column, first: Column, end: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, F.greatest(end - first, F.lit(0))), "\n")
+
+
+def split_notes(text: Column | str) -> Column:
+    """The notes in a text as an array of idx, raw, head (front matter as it stands) and body; null stays null.
+
+    The lines that are --- alone come in pairs; the first of a pair opens a note, which
+    goes on to the next pair, and the second closes its front matter (head is null if there
+    is none).  A text without such lines is one part without head.
+    """
+    x = S._col(text)
+
+    def parts(lines: Column) -> Column:
+        marks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(rf"(?U)\A{_BLANK}*---{_BLANK}*\z"))
+
+        def part(marks: Column, k: Column) -> Column:
+            mark = lambda j, default: F.coalesce(F.get(marks, 2 * k + j), default)
+            opens, closes, end = F.get(marks, 2 * k), F.get(marks, 2 * k + 1), mark(2, F.size(lines))
+            return F.struct(k.alias("idx"), _lines(lines, opens, end).alias("raw"), F.when(closes.isNotNull(), _lines(lines, opens + 1, closes)).alias("head"), F.when(closes.isNotNull(), _strip(_lines(lines, closes + 1, end))).otherwise("").alias("body"))
+
+        whole = F.array(F.struct(F.lit(0).alias("idx"), F.array_join(lines, "\n").alias("raw"), F.lit(None).cast("string").alias("head"), F.lit("").alias("body")))
+        return _bound(marks, lambda m: F.when(F.size(m) == 0, whole).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(m), F.lit(1)) - 1) / 2).cast("int")), lambda k: part(m, k))))
+
+    return F.when(x.isNotNull(), _bound(F.split(x, "\n", -1), parts))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, also where ``f`` uses it inside of lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _text(value: object) -> str:
     return ",".join(str(v) for v in value) if isinstance(value, list) else str(value)
 
 
-def parse_one(part: str) -> tuple[dict[str, str] | None, str, str | None]:
-    """Front matter as text pairs, body and, where it cannot be parsed, the error."""
+def parse_front_matter(head: str | None) -> tuple[dict[str, str] | None, str | None]:
+    """Front matter as text pairs or, where it cannot be parsed, the error."""
     import yaml
 
-    if not part.strip():
-        return None, "", "empty"
-    lines = part.split("\n")
-    if lines[0].strip() != "---":
-        return None, "", "no front matter"
-    end = next((i for i in range(1, len(lines)) if lines[i].strip() == "---"), None)
-    if end is None:
-        return None, "", "front matter not closed"
     try:
-        data = yaml.safe_load("\n".join(lines[1:end]))
+        data = yaml.safe_load(head)
     except yaml.YAMLError:
-        return None, "", "invalid YAML"
+        return None, "invalid YAML"
     if not isinstance(data, dict):
-        return None, "", "front matter is no mapping"
-    return {str(k): _text(v) for k, v in data.items() if v is not None}, "\n".join(lines[end + 1 :]).strip(), None
-
+        return None, "front matter is no mapping"
+    return {str(k): _text(v) for k, v in data.items() if v is not None}, None
 
-def _parsed(text: str | None) -> list[dict]:
-    return [] if text is None else [{"idx": i, "front_matter": fm, "body": body, "raw": part, "error": error} for i, part in enumerate(split_notes(text)) for fm, body, error in [parse_one(part)]]
 
+def _parsed(heads: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if h is None else parse_front_matter(h) for h in heads], columns=["front_matter", "error"])
 
-def parse_notes(column: Column | str) -> Column:
-    """All notes in a text, with ordinals; unparsable parts carry an error."""
 
-    @F.pandas_udf(PARSED)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(_parsed)
+def parse_notes(rows: DataFrame, column: str = "note") -> DataFrame:
+    """All notes in a text column, in place of it: idx, front_matter, body, raw and, where a part cannot be parsed, error.
 
-    return run(column)
+    Texts are split by expressions; only front matter goes to Python.
+    """
+    parts = rows.select(*(c for c in rows.columns if c != column), F.explode(split_notes(F.col(column))).alias("n"))
+    parsed = F.pandas_udf(_parsed, "front_matter map<string, string>, error string")
+    parts = parts.select("*", "n.*", parsed(F.col("n")["head"]).alias("p")).drop("n")
+    opened = F.col("raw").rlike(rf"(?U)\A{_BLANK}*---{_BLANK}*(?:\n|\z)")
+    why = F.when(_strip(F.col("raw")) == "", "empty").when(~opened, "no front matter").when(F.col("head").isNull(), "front matter not closed")
+    return parts.withColumns({"front_matter": F.col("p.front_matter"), "error": F.coalesce(why, "p.error")}).drop("p", "head")
 
 
 def records(raw: DataFrame, keep_bad: bool = False) -> DataFrame:
     """Note records of ``raw`` (namespace, commit_sha, note); a note's own type wins over the namespace."""
-    out = raw.select("namespace", "commit_sha", F.explode(parse_notes("note")).alias("n")).select("commit_sha", "namespace", "n.*")
+    out = parse_notes(raw.select("commit_sha", "namespace", "note"))
     if not keep_bad:
         out = out.filter(F.col("error").isNull())
     return out.withColumn("namespace", F.coalesce(F.try_element_at("front_matter", F.lit("type")), "namespace"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake import literals as L
+from notelake.functions.gates import Gated, folded
 
 DETECTIONS = "array<struct<secret_type: string, start: int, end: int, confidence: double, detector: string, line_number: int, secret_hash: string>>"
 FIELDS = ["secret_type", "start", "end", "confidence", "detector", "line_number", "secret_hash"]
@@ -32,7 +33,11 @@ def luhn(text: str) -> bool:
 
 @functools.lru_cache(maxsize=1)
 def _compiled():
-    return [(t, n, re.compile(p), v) for t, n, p, v in L.PII_PATTERNS], [(t, n, re.compile(p)) for t, n, p in L.SECRET_PATTERNS], [(t, n, re.compile(p)) for t, n, p in L.ENTROPY_PATTERNS]
+    return [(t, n, Gated(p), v) for t, n, p, v in L.PII_PATTERNS], [(t, n, Gated(p)) for t, n, p in L.SECRET_PATTERNS], [(t, n, Gated(p)) for t, n, p in L.ENTROPY_PATTERNS]
+
+
+_DIGITS = re.compile(r"\d{3}")  # every pattern of personal data has them
+_QUOTED = re.compile(r"[\"'][0-9A-Za-z+/_=-]{16}")  # and every random string
 
 
 def _entropy(s: str) -> float:
@@ -63,18 +68,20 @@ def detect_one(text: str | None, pii: bool = True, secrets: bool = True, entropy
     """Detections of a text: personal data, and secrets by pattern and entropy."""
     if not text:
         return []
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    low, starts = folded(text), None
     personal, known, random_ = _compiled()
 
     def make(kind: str, name: str, a: int, b: int, sure: float) -> dict:
+        nonlocal starts
+        starts = starts or [0, *(m.end() for m in re.finditer("\n", text))]
         return dict(zip(FIELDS, (kind, a, b, sure, name, bisect.bisect_right(starts, a), hashlib.sha256(text[a:b].encode()).hexdigest()), strict=True))
 
     found: list[dict] = []
-    if pii:
-        found += _one_span([make(t, n, *m.span(), 0.9 if v else 0.7) for t, n, p, v in personal for m in p.finditer(text) if not v or luhn(m.group())])
+    if pii and _DIGITS.search(text):
+        found += _one_span([make(t, n, *m.span(), 0.9 if v else 0.7) for t, n, p, v in personal for m in p.finditer(text, low) if not v or luhn(m.group())])
     if secrets:
-        some = [make(t, n, *m.span(m.lastindex or 0), 0.9) for t, n, p in known for m in p.finditer(text)]
-        some += [make(t, n, *m.span(1), 0.6) for t, n, p in random_ for m in p.finditer(text) if _entropy(m[1]) >= (entropy_limit if t.endswith("64") else min(entropy_limit, 3.0))]
+        some = [make(t, n, *m.span(m.lastindex or 0), 0.9) for t, n, p in known for m in p.finditer(text, low)]
+        some += [make(t, n, *m.span(1), 0.6) for t, n, p in (random_ if _QUOTED.search(text) else ()) for m in p.finditer(text, low) if _entropy(m[1]) >= (entropy_limit if t.endswith("64") else min(entropy_limit, 3.0))]
         found += _one_span(some)
     return disjoint(found)
 

@@ -1,5 +1,6 @@
 """Scalar functions, lookups, search, ranking, lifecycle, sync, notes."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -174,17 +175,35 @@ def test_verify_and_repair(spark):
 NOTE = "---\ntype: decisions\nspec: alpha\ntimestamp: '2024-01-15T10:30:00Z'\nsummary: Use it\ntags:\n  - a\n  - b\n---\n\n## Body\ntext"
 
 
+def parsed(spark, *texts):
+    rows = notes.parse_notes(spark.createDataFrame(list(enumerate(texts)), "i int, note string")).orderBy("i", "idx")
+    return [(r.front_matter, r.body, r.raw, r.error) for r in rows.collect()]
+
+
 def test_notes(spark):
-    assert notes.split_notes(NOTE + "\n" + NOTE) == [NOTE, NOTE] and notes.split_notes("plain") == ["plain"]
-    errors = [notes.parse_one(x)[2] for x in ("", "text", "---\na: b", "---\na: [\n---", "---\n- a\n---")]
-    assert errors == ["empty", "no front matter", "front matter not closed", "invalid YAML", "front matter is no mapping"]
+    assert [raw for _, _, raw, _ in parsed(spark, NOTE + "\n" + NOTE, "plain", "before\n" + NOTE)] == [NOTE, NOTE, "plain", NOTE]
+    errors = [e for *_, e in parsed(spark, "", " \t\n", "text", "---\na: b", "---\na: [\n---", "---\n- a\n---", "---\n---\nx", None)]
+    assert errors == ["empty", "empty", "no front matter", "front matter not closed", "invalid YAML", "front matter is no mapping", "front matter is no mapping"]
     raw = spark.createDataFrame([("learnings", "abcdef1234", NOTE + "\n---\nsummary: only\n---\nb"), ("x", "y", "broken"), ("x", "z", None)], schema.RAW_NOTES)
     got = notes.to_memories(notes.records(raw), as_of()).orderBy("id").collect()
     assert [(r.id, r.summary, r.tags, r.content, r.missing_fields) for r in got] == [("decisions:abcdef1:0", "Use it", ["a", "b"], "## Body\ntext", []), ("learnings:abcdef1:1", "only", [], "b", ["type", "spec", "timestamp"])]
-    fm, body, _ = notes.parse_one(notes.serialize({"type": "decisions", "summary": "é: x", "tags": ["a", "b"]}, "B"))
-    assert fm == {"type": "decisions", "summary": "é: x", "tags": "a,b"} and body == "B"
     rows = spark.createDataFrame([("t", None, "active", ["a"], "C")], "type string, spec string, status string, tags array<string>, content string")
-    assert notes.parse_one(notes.serialize_notes(rows, ["type", "spec", "status", "tags"]).first().note)[0] == {"type": "t", "tags": "a"}
+    written = [notes.serialize({"type": "decisions", "summary": "é: x", "tags": ["a", "b"]}, "B"), notes.serialize_notes(rows, ["type", "spec", "status", "tags"]).first().note]
+    assert [(fm, body) for fm, body, *_ in parsed(spark, *written)] == [({"type": "decisions", "summary": "é: x", "tags": "a,b"}, "B"), ({"type": "t", "tags": "a"}, "C")]
+
+
+def test_splitting_pairs_up_marks(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["---", " --- ", "\u2003---\t", "----", "a: 1", "", "- b", "text --- x", "\x1f"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    want = []
+    for t in texts:
+        lines = t.split("\n")
+        marks = [i for i, x in enumerate(lines) if x.strip() == "---"]
+        for k in range(0, len(marks), 2):
+            stop = marks[k + 2] if k + 2 < len(marks) else len(lines)
+            want.append(("\n".join(lines[marks[k] : stop]), "\n".join(lines[marks[k + 1] + 1 : stop]).strip() if k + 1 < len(marks) else ""))
+        want += [] if marks else [(t, "")]
+    assert [(raw, body) for _, body, raw, _ in parsed(spark, *texts)] == want
 
 
 def test_budget(spark):
