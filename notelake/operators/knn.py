@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -89,44 +90,38 @@ def rerank(results: DataFrame, as_of: Column, target_spec: str | None = None, ta
     return out.withColumn("boosted", F.greatest(F.lit(0.0), F.col("distance") - boost * F.lit(0.1))).orderBy("boosted", "distance", "id")
 
 
-def nearest_many(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def nearest_many(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, block: int = 1024, chunk: int = 65_536) -> DataFrame:
     """query_id, id and distance of the k nearest records of each query's namespace, exactly.
 
     ``queries``: query_id (number), namespace, embedding (null finds nothing).  They are
-    gone through in blocks of ``block``, held by each task; a task keeps k records for each
-    query, so what is shuffled does not grow with the pairs.  Query ids are to be unique.
+    dealt into blocks of about ``block`` by their ids, and records into chunks; each block
+    meets each chunk in a task, whatever the namespaces' sizes, which keeps k records for
+    each query, so what is shuffled does not grow with the pairs.  Query ids are to be unique.
     """
     known = vectors.join(m.select("id", "namespace"), "id").select("id", "namespace", "embedding")
-
-    def best(part: list[tuple[int, str, list[float]]]) -> DataFrame:
-        sides = {n: ([q for q, x, _ in part if x == n], np.array([e for _, x, e in part if x == n], np.float64)) for n in {x for _, x, _ in part}}
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            top: dict[int, list[tuple[float, str]]] = {}
-            for rows in batches:
-                for n, mine in rows.groupby("namespace"):
-                    if n not in sides:
-                        continue
-                    ids, matrix = mine["id"].to_numpy(), np.array(mine["embedding"].tolist(), np.float64)
-                    for q, e in zip(*sides[n], strict=True):
-                        d = np.sqrt(((matrix - e) ** 2).sum(1))
-                        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else range(len(d))
-                        top[q] = sorted([*top.get(q, []), *((float(d[i]), str(ids[i])) for i in some)])[:k]
-            yield pd.DataFrame([(q, i, d) for q, found in top.items() for d, i in found], columns=["query_id", "id", "distance"])
-
-        return known.filter(F.col("namespace").isin(list(sides))).mapInPandas(run, "query_id bigint, id string, distance double")
-
-    out, part = None, []
-    for r in queries.filter("embedding is not null and namespace is not null").select("query_id", "namespace", "embedding").toLocalIterator():
-        part.append((r[0], r[1], list(r[2])))
-        if len(part) == block:
-            out = best(part) if out is None else out.unionByName(best(part))
-            part = []
-    if part or out is None:
-        last = best(part) if part else queries.sparkSession.createDataFrame([], "query_id bigint, id string, distance double")
-        out = last if out is None else out.unionByName(last)
+    asked = queries.filter("embedding is not null and namespace is not null").select("query_id", F.col("namespace").alias("side"), F.col("embedding").alias("query"))
+    blocks, chunks = (max(1, math.ceil(df.count() / n)) for df, n in ((asked, block), (vectors, chunk)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("b", number("query_id", blocks)).withColumn("c", every(chunks))
+    right = known.withColumn("c", number("id", chunks)).withColumn("b", every(blocks))
+
+    def meet(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, str, float]] = []
+        sides = dict(list(rows.groupby("namespace")))
+        for name, mine in some.groupby("side"):
+            if name not in sides:
+                continue
+            ids, matrix = sides[name]["id"].to_numpy(), np.array(sides[name]["embedding"].tolist(), np.float64)
+            for q, e in zip(mine["query_id"], mine["query"], strict=True):
+                d = np.sqrt(((matrix - np.asarray(e, np.float64)) ** 2).sum(1))
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else range(len(d))
+                out += [(q, i, x) for x, i in sorted((float(d[i]), str(ids[i])) for i in near)[:k]]
+        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
+
+    best = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(meet, "query_id bigint, id string, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+    return best.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
 
 def novelty(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, threshold: float = 0.3, similar_from: float = 0.7) -> DataFrame:

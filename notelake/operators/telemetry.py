@@ -9,6 +9,8 @@ from notelake import literals as L
 from notelake.functions import scalar as S
 
 SAMPLES = 3600
+#: Ranges that a series is cut into for ranking.
+SLICES = 64
 
 
 def counters(obs: DataFrame) -> DataFrame:
@@ -25,14 +27,15 @@ def histogram(obs: DataFrame, bounds: list[float] | None = None) -> DataFrame:
 
 
 def gauges(obs: DataFrame) -> DataFrame:
-    """Last value set and later changes of each series; kind is set or add."""
-    key = S.labels_key(F.col("labels"))
-    each = obs.withColumn("labels_key", key)
-    last = F.max(F.when(F.col("kind") == "set", F.col("ts"))).over(Window.partitionBy("name", "labels_key"))
-    later = each.withColumn("__t", last)
-    base = F.coalesce(F.max_by(F.when(F.col("kind") == "set", F.col("value")), F.when(F.col("kind") == "set", F.col("ts"))), F.lit(0.0))
-    delta = F.coalesce(F.sum(F.when((F.col("kind") == "add") & (F.col("__t").isNull() | (F.col("ts") > F.col("__t"))), F.col("value"))), F.lit(0.0))
-    return later.groupBy("name", "labels_key").agg((base + delta).alias("value"))
+    """Last value set and later changes of each series; kind is set or add.
+
+    Both are sums over a series, joined by it, so no series' rows have to meet.
+    """
+    each = obs.withColumn("labels_key", S.labels_key(F.col("labels")))
+    last = each.filter("kind = 'set'").groupBy("name", "labels_key").agg(F.max("ts").alias("__t"), F.max_by("value", "ts").alias("__set"))
+    change = F.when((F.col("kind") == "add") & (F.col("__t").isNull() | (F.col("ts") > F.col("__t"))), F.col("value"))
+    joined = each.join(last, ["name", "labels_key"], "left")
+    return joined.groupBy("name", "labels_key").agg((F.coalesce(F.max("__set"), F.lit(0.0)) + F.coalesce(F.sum(change), F.lit(0.0))).alias("value"))
 
 
 def last_samples(obs: DataFrame, n: int = SAMPLES, keys: tuple[str, ...] = ("name",), order: str = "ts") -> DataFrame:
@@ -44,12 +47,25 @@ def last_samples(obs: DataFrame, n: int = SAMPLES, keys: tuple[str, ...] = ("nam
 def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
     """Count, sum, mean and percentiles by floor rank, sorted[min(floor(n p / 100), n - 1)], of each series.
 
-    Ranks come from a window sort, which spills; no series is gathered into an array.
+    Approximate quantiles cut each series into ``SLICES`` ranges; equal values are counted
+    and ranked within their range, behind the sizes of the ranges before.  So ranks are
+    exact, and neither a long series nor a frequent value is one task's work.
     """
-    by = Window.partitionBy(*keys)
-    ranked = obs.withColumn("__r", F.row_number().over(by.orderBy("value")) - 1).withColumn("__n", F.count("value").over(by))
-    at = [F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1), F.col("value"))).alias(f"p{p}") for p in points]
-    return ranked.groupBy(*keys).agg(F.count("value").alias("count"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), *at)
+    keys_ = list(keys)
+    cuts = obs.groupBy(*keys_).agg(F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000).alias("__cuts"))
+    at = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("value")))
+    rows = obs.filter(F.col("value").isNotNull()).join(cuts, keys_).select(*keys_, "value", at.alias("__s"))
+    counts = rows.groupBy(*keys_, "__s", "value").agg(F.count(F.lit(1)).alias("__c"))
+    by = Window.partitionBy(*keys_)
+    sizes = counts.groupBy(*keys_, "__s").agg(F.sum("__c").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(by.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"__before": before, "__n": F.sum("__size").over(by)}).drop("__size")
+    upto = F.sum("__c").over(Window.partitionBy(*keys_, "__s").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("__upto", upto).join(sizes, [*keys_, "__s"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    rank = lambda p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1)
+    found = [F.max(F.when((F.col("__upto") - F.col("__c") <= rank(p)) & (rank(p) < F.col("__upto")), F.col("value"))).alias(f"p{p}") for p in points]
+    total = F.sum(F.col("value") * F.col("__c"))
+    return ranked.groupBy(*keys_).agg(F.sum("__c").alias("count"), total.alias("sum"), (total / F.sum("__c")).alias("mean"), *found)
 
 
 def timeout_rate(obs: DataFrame, executions: str, timeouts: str) -> DataFrame:

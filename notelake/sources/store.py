@@ -1,14 +1,21 @@
 """The record store: Parquet partitioned by namespace, versions switched by a pointer (A1-A10, N3e).
 
-A version is a folder ``v<n>``; readers take the one that the newest pointer file names.
-Writers build the next version aside and switch afterwards, so nothing is overwritten
-while it is read, and a writer that dies leaves the old version in force.
+A version is a list of folders, in a pointer file ``_CUR_<n>``; readers take the newest
+whole one.  Writers put their files into a new folder and then claim the next number;
+claiming one that is taken fails, so no writer undoes what another has done, nothing is
+overwritten while it is read, and a writer that dies leaves the old version in force.
+Inserting adds a folder and rewrites nothing.  The file system has to create files
+exclusively, as HDFS does.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +23,10 @@ from notelake import schema
 from notelake.operators import sync
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class Store:
     """A table in a folder that Spark can reach."""
 
@@ -27,51 +38,87 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
-        """Number of the version in force; 0 for an empty store."""
+    def _pointers(self) -> dict[int, list[str]]:
+        """Folders of each whole version."""
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return max((int(n[5:]) for n in names if n.startswith("_CUR_")), default=0)
+            return {}
+        numbers = [int(n[5:]) for n in (s.getPath().getName() for s in fs.listStatus(path(self.path))) if n.startswith("_CUR_")]
+        lines = {n: self._text(f"{self.path}/_CUR_{n}").split("\n") for n in numbers}
+        return {n: x[:-1] for n, x in lines.items() if x[-1] == "."}
+
+    def _text(self, name: str) -> str:
+        fs, path = self._fs()
+        size = fs.getFileStatus(path(name)).getLen()
+        with contextlib.closing(fs.open(path(name))) as f:
+            return bytes(f.readNBytes(size)).decode()
+
+    def _claim(self, v: int, folders: list[str]) -> int:
+        fs, path = self._fs()
+        try:
+            out = fs.create(path(f"{self.path}/_CUR_{v}"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {v} of {self.path} is taken") from e
+        with contextlib.closing(out):
+            out.write(bytearray("\n".join([*folders, "."]).encode()))
+        return v
+
+    def version(self) -> int:
+        """Number of the version in force; 0 for an empty store."""
+        return max(self._pointers(), default=0)
 
-    def read(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
         """A1, A3: the table, with columns that older versions lack as null."""
-        v = self.version()
-        return self.spark.createDataFrame([], self.ddl) if not v else self.spark.read.schema(self.ddl).parquet(f"{self.path}/v{v}")
+        held = self._pointers()
+        v = max(held, default=0) if version is None else version
+        folders = [f"{self.path}/{f}" for f in held.get(v, [])]
+        if not folders:
+            return self.spark.createDataFrame([], self.ddl)
+        parts = [self.spark.read.schema(self.ddl).parquet(f) for f in folders]  # one by one: partition folders are found below each
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def _columns(self, df: DataFrame) -> DataFrame:
         empty = self.spark.createDataFrame([], self.ddl)
         return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema))
 
-    def replace(self, df: DataFrame) -> int:
-        """Writes a new version and switches to it; returns its number.
-
-        Rows are rebalanced by partition, so a large namespace is split over several tasks and files.
-        """
-        v = self.version() + 1
-        out = self._columns(df)
+    def _write(self, df: DataFrame) -> str:
+        """A new folder with rows rebalanced by partition, so a large namespace is split over several tasks and files."""
+        name, out = f"part-{uuid.uuid4().hex}", self._columns(df)
         if self.partition:
             out = out.hint("rebalance", F.col(self.partition)).sortWithinPartitions(self.partition, *([F.col("timestamp").desc()] if "timestamp" in out.columns else []))
-            out.write.mode("overwrite").partitionBy(self.partition).parquet(f"{self.path}/v{v}")
+            out.write.partitionBy(self.partition).parquet(f"{self.path}/{name}")
         else:
-            out.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fs, path = self._fs()
-        fs.create(path(f"{self.path}/_CUR_{v}"), False).close()
-        return v
+            out.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def replace(self, df: DataFrame, base: int | None = None) -> int:
+        """Writes a new version and switches to it; returns its number.  Fails if ``base`` (the newest) is no longer the newest."""
+        v = self.version() if base is None else base
+        return self._claim(v + 1, [self._write(df)])
 
     def change(self, f: Callable[[DataFrame], DataFrame]) -> int:
-        return self.replace(f(self.read()))
-
-    def insert(self, new: DataFrame, strict: bool = False) -> int:
-        """A4, A5: adds records whose id is new and returns their number; ``strict`` raises if one is not."""
-        fresh = sync.insert(self.read(), new).cache()
-        n = fresh.count()
-        if strict and n < new.count():
-            raise ValueError("a record with this id exists")
-        self.replace(self.read().unionByName(self._columns(fresh)))
-        fresh.unpersist()
-        return n
+        v = self.version()
+        return self.replace(f(self.read(v)), v)
+
+    def insert(self, new: DataFrame, strict: bool = False, tries: int = 5) -> int:
+        """A4, A5: adds records whose id is new and returns their number; ``strict`` raises if one is not.
+
+        Only new records are written.  Where another writer was first, ids are compared again.
+        """
+        for left in reversed(range(tries)):
+            held = self._pointers()
+            v = max(held, default=0)
+            name = self._write(sync.insert(self.read(v), new))
+            n = self.spark.read.schema(self.ddl).parquet(f"{self.path}/{name}").count()
+            if strict and n < new.count():
+                raise ValueError("a record with this id exists")
+            try:
+                self._claim(v + 1, [*held.get(v, []), name])
+                return n
+            except Conflict:
+                if not left:
+                    raise
+        raise AssertionError
 
     def update(self, changed: DataFrame) -> int:
         """A6, A7."""
@@ -88,11 +135,13 @@ class Store:
         return n
 
     def vacuum(self, keep: int = 1) -> int:
-        """Removes versions before the last ``keep`` ones."""
+        """Removes versions before the last ``keep`` ones, and folders that none of these has; no writer may be at work."""
         fs, path = self._fs()
-        v = self.version()
-        gone = [i for i in range(1, v - keep + 1) if fs.exists(path(f"{self.path}/v{i}"))]
-        for i in gone:
-            fs.delete(path(f"{self.path}/v{i}"), True)
-            fs.delete(path(f"{self.path}/_CUR_{i}"), False)
-        return len(gone)
+        held = self._pointers()
+        stay = sorted(held)[-keep:]
+        used = {f for v in stay for f in held[v]}
+        for s in fs.listStatus(path(self.path)):
+            name = s.getPath().getName()
+            if name.startswith("part-") and name not in used or name.startswith("_CUR_") and int(name[5:]) not in stay:
+                fs.delete(s.getPath(), True)
+        return len(held) - len(stay)

@@ -10,7 +10,7 @@ from notelake import literals as L
 from notelake import schema
 from notelake.functions import scalar as S
 from notelake.operators import context, knn, lifecycle, lookup, notes, sync
-from notelake.sources.store import Store
+from notelake.sources.store import Conflict, Store
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
 def as_of():
@@ -214,6 +214,24 @@ def test_budget(spark):
     assert [(r.id, r.tokens) for r in got] == [("a", 20)]  # the second does not fit, so the third is left out too
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one, two = (records(spark, [(f"{n}:{i}", "n", "s", "c", 1, None, [], None) for i in range(3)]) for n in "ab")
+    both = one.unionByName(two)
+    write = a._write
+
+    def slow(df):
+        name = write(df)
+        if b.version() == 0:
+            assert b.insert(two) == 3  # while the first one is about to switch
+        return name
+
+    a._write = slow
+    assert a.insert(both) == 3 and sorted(r.id for r in a.read().collect()) == sorted(r.id for r in both.collect())
+    folders = a._pointers()[a.version()]
+    assert len(folders) == 2 and a.insert(two) == 0 and a._pointers()[a.version()][:2] == folders
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     assert s.read().count() == 0 and s.version() == 0
@@ -224,4 +242,6 @@ def test_store(spark, tmp_path):
     s.update(m.filter("namespace = 'blockers'").withColumn("summary", F.lit("new")))
     assert {r.summary for r in s.read().collect()} == {"Use PostgreSQL", "Caching", "new"}
     s.delete(m.filter("namespace = 'decisions'"))
+    with pytest.raises(Conflict):
+        s.replace(m, s.version() - 1)
     assert s.read().count() == 2 and s.vacuum() > 0 and s.read().count() == 2 and s.clear() == 2 and s.read().count() == 0
