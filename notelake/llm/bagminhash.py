@@ -176,9 +176,9 @@ def _links(docs: DataFrame, candidates: DataFrame, similarity: float, shingle: i
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 
-def _with_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+def _with_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with a settled table of fixed-width rows, which is broadcast where it is short."""
-    return rows.join(F.broadcast(small) if small.count() <= MAX_BROADCAST else small, on)
+    return rows.join(F.broadcast(small) if small.count() <= MAX_BROADCAST else small, on, how)
 
 
 def _open(clusters: DataFrame, links: DataFrame, least: int) -> DataFrame:
@@ -352,8 +352,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     by_key = kinds.select("key", "id").join(classes, "id", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
     out = settled(sketches.select("doc_id", "key").join(by_key, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
     sizes = out.select("doc_id", "class_id").distinct().groupBy("class_id").agg(F.count("doc_id").alias("class_size"))
-    many = sizes.filter("class_size > 1")
-    return out.join(many, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    many = settled(sizes.filter("class_size > 1"))
+    return _with_small(out, many, ["class_id"], "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
