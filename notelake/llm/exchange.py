@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,9 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of input (as stored) that one chunk gets; a task needs some 30 times as much memory.
-#: With executors of several GB, chunks of 64 MB and more make packed rows longer and fewer.
-CHUNK_BYTES = 3 << 20
+#: A task's share of the executors' heap by the input bytes (as stored) of a chunk.  The work on a chunk takes some
+#: 30 times its bytes, in Python; larger chunks make packed rows longer and fewer.
+HEAP_BY_CHUNK = 300
+MIN_CHUNK, MAX_CHUNK = 1 << 20, 256 << 20
+#: Equal ranges of ids in which documents are counted before ids are dealt into chunks.
+ID_RANGES = 1 << 16
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 16 << 20
 #: Chunks whose hashes one hash range gets on average.
@@ -48,21 +52,41 @@ def stored_bytes(df: DataFrame, column: str = "text") -> int:
     return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
 
 
-def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
-    """Chunks and hash ranges for ``df``: by its size, and one for each shuffle partition at least."""
+def _bytes(text: str) -> int:
+    digits = text.lower().rstrip("kmgtb")
+    return int(float(digits) * 1024 ** " kmgt".index((text.lower().rstrip("b")[len(digits) :] or " ")[0]))
+
+
+def chunk_bytes(spark: SparkSession, share: float = 1.0) -> int:
+    """Input bytes of a chunk by the memory that a task has: the executor's heap by its cores, in a local session the driver's."""
+    conf = spark.sparkContext.getConf()
+    master = re.findall(r"[\w*-]+", spark.sparkContext.master)
+    local = master[0] == "local"
+    heap = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores") or (master[2] if master[0] == "local-cluster" else 1))
+    return min(max(int(_bytes(heap) / cores / HEAP_BY_CHUNK * share), MIN_CHUNK), MAX_CHUNK)
+
+
+def chunk_count(df: DataFrame, size: int | None = None, share: float = 1.0) -> tuple[int, int]:
+    """Chunks and hash ranges for ``df``: by its size (in bytes of ``size``, or by the tasks' memory), and one for each shuffle partition at least."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = min(max(parts, math.ceil(stored_bytes(df) / chunk_bytes)), 1 << 22)
+    chunks = max(parts, math.ceil(stored_bytes(df) / (size or chunk_bytes(df.sparkSession, share))))
+    if chunks >= 1 << 31:
+        raise ValueError(f"{chunks} chunks are more than can be numbered: give executors more memory")
     return chunks, max(parts, math.ceil(chunks / CHUNKS_PER_RANGE))
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df``, worked out once and kept in the shared checkpoint folder, with its lineage cut.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own is set.
+    The folder is ``spark.checkpoint.dir``; only in a local session without it, as in tests, one of our own is set.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelake-checkpoints-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="notelake-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -83,13 +107,25 @@ def release(spark: SparkSession) -> None:
 def by_range(df: DataFrame, n: int, column: str = "doc_id") -> Column:
     """Chunk number by ranges of an integer column with about as many rows each; null comes before all values.
 
-    The n - 1 bounds are quantiles with a relative error of a fifth of a chunk; they only balance the load.
+    Rows are counted in ``ID_RANGES`` equal ranges between the smallest and the largest
+    value; a chunk begins where as many rows are behind it as it is to have, by a straight
+    line within a range.  Only the counts reach the driver, whatever the number of chunks.
     """
-    bounds = np.array(sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else [], np.float64)
+    x = F.col(column).cast("double")
+    low, high, rows = df.agg(F.min(x), F.max(x), F.count(x)).first()
+    if n <= 1 or not rows or low == high:
+        return F.lit(0)
+    width = max((high - low) / ID_RANGES, 1.0)
+    place = F.least(F.floor((x - low) / width), F.lit(ID_RANGES - 1))
+    counts = np.zeros(ID_RANGES)
+    for r in df.filter(x.isNotNull()).groupBy(place.alias("i")).count().collect():
+        counts[r["i"]] = r["count"]
+    edges, behind = low + width * np.arange(ID_RANGES + 1), np.concatenate([[0], np.cumsum(counts)]) * (n / rows)
 
     @F.pandas_udf("int")
     def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.to_numpy(np.float64, na_value=-np.inf), "right"))).astype(np.int32)
+        at = np.interp(ids.to_numpy(np.float64, na_value=-np.inf), edges, behind)
+        return pd.Series(np.minimum(at, n - 1).astype(np.int32))
 
     return number(F.col(column).cast("long"))
 
@@ -103,15 +139,32 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(40)) * U64(n)) >> U64(24)
 
 
-def pack(chunk: int, n: int, sorted_hashes: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    """Rows for the hash ranges: ascending hashes with further fixed-width columns."""
+def pack(chunk: int, n: int, sorted_hashes: np.ndarray, *columns: np.ndarray, whole: bool = True) -> pa.Table:
+    """Rows for the hash ranges: ascending hashes (unless not ``whole``: shortened) with further fixed-width columns."""
+    columns = (sorted_hashes if whole else shortened(sorted_hashes), *columns)
     buckets = bucket_of(sorted_hashes, n)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]]) if len(buckets) else np.zeros(1, int)
-    payload = [b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in (sorted_hashes, *columns)) for a, b in zip(cut, cut[1:], strict=False)]
+    payload = [b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns) for a, b in zip(cut, cut[1:], strict=False)]
     ids = buckets[cut[:-1]].astype(np.int32) if len(buckets) else np.zeros(0, np.int32)
     return pa.table({"bucket": pa.array(ids, pa.int32()), "chunk": pa.array(np.full(len(ids), chunk), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
+def shortened(h: np.ndarray) -> np.ndarray:
+    """The lower five bytes of hashes.  With the hash range they tell enough where a false match only costs work."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def lengthened(b: np.ndarray) -> np.ndarray:
+    """What ``shortened`` has left (entries of kind ``SHORT``) as numbers."""
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :5] = np.ascontiguousarray(b).view(np.uint8).reshape(-1, 5)
+    return out.view(U64).ravel()
+
+
+SHORT = np.dtype("V5")
+LOW = U64((1 << 40) - 1)
+
+
 def unpack(table: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
     """Number of the row that each entry comes from, and the entries' columns; ``kinds``: dtypes as packed."""
     width = sum(np.dtype(k).itemsize for k in kinds)

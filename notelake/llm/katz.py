@@ -36,8 +36,8 @@ U64 = np.uint64
 K = 5
 #: Share of all training tokens from which on a context is spread.
 HOT_SHARE = 0.0005
-#: Bytes of stored input of one chunk.
-CHUNK_BYTES = 8 << 20
+#: Input of one chunk, by what ``exchange`` gives chunks.
+CHUNK_SHARE = 8 / 3
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 
 _ASK = "bucket int, chunk int, kind int, payload binary"
@@ -188,7 +188,22 @@ def _stats(kind: int, *arrays: np.ndarray) -> tuple:
     return (-1, -1, kind, X.squeeze(*arrays))
 
 
-def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _totals(told: DataFrame, size: int, *kinds: type) -> np.ndarray:
+    """Sum of the statistics of all hash ranges, added up by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("payload"):
+                total += np.concatenate(X.stretch(x, *kinds))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    parts = told.filter("kind = 9").select("payload").mapInArrow(run, "n array<bigint>")
+    rows = parts.select(F.posexplode("n").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
+    return np.array([r["n"] for r in rows], np.int64) if rows else np.zeros(size, np.int64)
+
+
+def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int | None = None) -> DataFrame:
     """Scores of each text, from a model of the rows where ``train`` holds (default: those whose crc32(doc_id) mod 7 is not 2).
 
     Needs doc_id and text; others are ignored, whatever their names.  A null or empty
@@ -201,7 +216,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)) if train is None else ~F.coalesce(train, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = X.bounded(docs).select("doc_id", "text", (~held).alias("train"))
-    chunks, ranges = X.chunk_count(docs.select("doc_id", "text"), chunk_bytes)
+    chunks, ranges = X.chunk_count(docs.select("doc_id", "text"), chunk_bytes, CHUNK_SHARE)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spark = docs.sparkSession
     dealt = X.deal(plain, F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"), partitions)
@@ -235,11 +250,8 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
 
     told = X.settled(X.with_answers(dealt, None, ask_tokens, _ASK).groupBy("bucket").applyInArrow(tell_tokens, _TELL))
     X.release(spark)
-    tokens = types = texts = 0
-    counts = np.zeros(K + 2, np.int64)
-    for r in told.filter("kind = 9").select("payload").toLocalIterator():
-        (a, b, c), n = X.stretch(bytes(r[0]), np.int64, np.int64)
-        tokens, types, texts, counts = tokens + int(a), types + int(b), texts + int(c), counts + n
+    (tokens, types, texts), counts = np.split(_totals(told, 3 + K + 2, np.int64, np.int64), [3])
+    tokens, types, texts = int(tokens), int(types), int(texts)
 
     def often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,9 +345,7 @@ def score(docs: DataFrame, train: Column | None = None, chunk_bytes: int = CHUNK
 
     told_pairs = X.settled(X.with_answers(dealt, told.filter("kind < 8"), ask_pairs, _ASK).groupBy("bucket").applyInArrow(tell_pairs, _TELL))
     X.release(spark)
-    n_of, hot_times, hot_mass = np.zeros(K + 2, np.int64), np.zeros((len(hot), K)), np.zeros(len(hot))
-    for r in told_pairs.filter("kind = 9").select("payload").toLocalIterator():
-        n_of = n_of + X.stretch(bytes(r[0]), np.int64)[0]
+    n_of, hot_times, hot_mass = _totals(told_pairs, K + 2, np.int64), np.zeros((len(hot), K)), np.zeros(len(hot))
 
     def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,8 @@ reached or no candidates survive.
 
 A longer window is represented at the level below by the window in it with the
 smallest hash.  Equal windows have equal representatives, so nothing is lost, and a
-level only exchanges about one window in four.  The last level compares 96 bits.
+level exchanges few of them, by five bytes, as a false match only costs work.  The last
+level compares 96 bits.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from notelake.llm.text import covered, mix, text_blocks, window_hash, window_ok,
 
 U64 = np.uint64
 #: Words of the shortest windows compared, at most.
-BASE = 7
+BASE = 4
 #: Words of a window.
 WINDOW = 13
 
@@ -62,10 +63,17 @@ def _smallest(h: np.ndarray, short: int, long: int) -> np.ndarray:
     return mix(out) & ~U64(1)  # smallest hashes are small; this spreads them over all hash ranges
 
 
-def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
+def _found(answer: pa.Table) -> np.ndarray:
+    """What a chunk was told at a level, in order."""
+    return np.unique(X.lengthened(X.unpack(answer, X.SHORT)[1]))
+
+
+def _member(h: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which hashes are among those found, by their lower bytes."""
+    if not len(found):
         return np.zeros(len(h), bool)
-    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+    h = h & X.LOW
+    return found[np.minimum(np.searchsorted(found, h), len(found) - 1)] == h
 
 
 def _entries(hashes: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +89,8 @@ def _entries(hashes: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarr
 
 def _answer_level(key: tuple, table: pa.Table) -> pa.Table:
     """Each chunk's hashes that stand in two documents or more; the lowest bit of an entry says so for its own chunk."""
-    row, h = X.unpack(table, U64)
+    row, entries = X.unpack(table, X.SHORT)
+    h = X.lengthened(entries)
     many, h = (h & U64(1)).astype(bool), h & ~U64(1)
     order = np.argsort(h)
     s = h[order]
@@ -91,7 +100,7 @@ def _answer_level(key: tuple, table: pa.Table) -> pa.Table:
     hot[:-1] |= same
     wanted = np.zeros(len(h), bool)
     wanted[order] = hot
-    return X.answers(table, row, wanted, h)
+    return X.answers(table, row, wanted, X.shortened(h))
 
 
 def _answer_last(key: tuple, table: pa.Table) -> pa.Table:
@@ -108,7 +117,7 @@ def _second(h: np.ndarray, n: int) -> np.ndarray:
     return (window_hash(h, n, seed=1) >> U64(32)).astype(np.uint32)
 
 
-def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes: int | None = None) -> DataFrame:
     """Each document's text without the words that lie in a window known from a document with a smaller id.
 
     Needs doc_id (integer) and text; others are ignored, whatever their names.  A null
@@ -128,7 +137,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
     for short, long in zip(steps, steps[1:], strict=False):
 
         def send(key: tuple, table: pa.Table, answer: pa.Table | None, short: int, long: int, before: int) -> pa.Table:
-            found = None if answer is None else np.unique(X.unpack(answer, U64)[1])
+            found = None if answer is None else _found(answer)
             hashes, ids = [], []
             for _, _, _, row, doc, h in _word_blocks(table, _doc_numbers(table)):
                 if len(h) < long:
@@ -142,13 +151,13 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
                     hashes.append(m[first])
                     ids.append(d[first])
             h, many = _entries(hashes, ids)
-            return X.pack(key[0].as_py(), ranges, h | many.astype(U64))
+            return X.pack(key[0].as_py(), ranges, h | many.astype(U64), whole=False)
 
         sent = X.with_answers(dealt, known, send, X.PACKED, short, long, steps[steps.index(short) - 1] if known is not None else 0)
         known = sent.groupBy("bucket").applyInArrow(_answer_level, X.ANSWER)
 
     def send_last(key: tuple, table: pa.Table, found: pa.Table | None) -> pa.Table:
-        some = np.unique(X.unpack(found, U64)[1]) if found is not None else None
+        some = _found(found) if found is not None else None
         hs, gs = [], []
         for _, _, _, row, _, h in _word_blocks(table, _doc_numbers(table)):
             if len(h) < n:
@@ -234,7 +243,7 @@ def _without(t, start: np.ndarray, end: np.ndarray, row: np.ndarray, gone: np.nd
     return pa.table({"text": text, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(np.bincount(row[gone], minlength=len(t)), pa.int64()), "removed": lists})
 
 
-def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None = None) -> DataFrame:
     """For each document the longest of n, 2 n, 4 n, ... words at which it shares a window with another document (0: none).
 
     Only windows whose two halves are repeated go on to the next length; the search ends
@@ -260,17 +269,17 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int = X.CHUNK
         return w, ok
 
     def send(key: tuple, table: pa.Table, answer: pa.Table | None, length: int) -> pa.Table:
-        found = None if answer is None else np.unique(X.unpack(answer, U64)[1])
+        found = None if answer is None else _found(answer)
         hs, ds = [], []
         for _, _, _, row, doc, h in _word_blocks(table, _doc_numbers(table)):
             w, ok = alive(h, row, length, found)
             hs.append(w[ok])
             ds.append(doc[: len(w)][ok])
         h, many = _entries(hs, ds)
-        return X.pack(key[0].as_py(), ranges, h | many.astype(U64))
+        return X.pack(key[0].as_py(), ranges, h | many.astype(U64), whole=False)
 
     def mark(key: tuple, table: pa.Table, answer: pa.Table, length: int) -> pa.Table:
-        found = np.unique(X.unpack(answer, U64)[1])
+        found = _found(answer)
         hit = np.zeros(table.num_rows, bool)
         for t, _, _, row, _, h in _word_blocks(table, _doc_numbers(table)):
             w, ok = hashes(h, row, length)

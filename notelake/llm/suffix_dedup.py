@@ -12,7 +12,7 @@ chunk - form a shard text.  The shards' suffix arrays are built by induced sorti
 permuted common prefixes of ``length`` or more show the repeated windows.  A content that
 occurs twice is repeated as a whole.
 
-A label with more than ``MAX_CONTENTS`` contents (a passage in very many different
+A label with more than ``max_contents`` contents (a passage in very many different
 surroundings) is split: its windows are exchanged one by one by hashes of all their
 bytes, so that no shard grows with the frequency of a passage.
 """
@@ -32,6 +32,7 @@ from notelake.llm.text import Texts, mix, prefix_sums, range_hash, text_blocks
 U64 = np.uint64
 LENGTH = 400
 GRAM = 64
+#: Contents of a label up to which they form a shard; the windows of others are compared one by one.
 MAX_CONTENTS = 64
 #: Symbols of the shards that are sorted together.
 BATCH = 1 << 20
@@ -112,7 +113,7 @@ def _blocks(table: pa.Table, length: int, gram: int, inner: bool = False) -> Ite
             yield t, lo, data, Segments(data, valid, length, gram, inner)
 
 
-def _statuses(key: tuple, table: pa.Table) -> pa.Table:
+def _statuses(table: pa.Table, max_contents: int) -> pa.Table:
     """What each chunk has to do with its segments: key and status of those that may repeat."""
     row, label, content = X.unpack(table, U64, U64)
     chunk = table.column("chunk").to_numpy()[row] if len(row) else row
@@ -127,7 +128,7 @@ def _statuses(key: tuple, table: pa.Table) -> pa.Table:
     twice = (np.bincount(of_c) > 1) | (np.bincount(of_c, many[order]) > 0)
     contents = np.bincount(of_v, new_c)[of_v]
     twice = twice[of_c]
-    split = contents > MAX_CONTENTS
+    split = contents > max_contents
     compare = ~split & ((contents > 1) | (inner[order] & ~twice))
     status = np.zeros(len(v), np.uint8)
     status[order] = twice * ALL + (compare * COMPARE) + ((compare & new_c) * SEND) + (split & ~twice) * SPLIT + (split & twice & new_c) * SPLIT
@@ -211,7 +212,7 @@ def _single_windows(table: pa.Table) -> pa.Table:
     return out.append_column("kind", pa.array(np.full(out.num_rows, 2), pa.int32())).select(["chunk", "kind", "payload"])
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int | None = None, max_contents: int = MAX_CONTENTS) -> DataFrame:
     """Each document's bytes without those covered by a ``length``-byte string that starts anywhere else too.
 
     Needs doc_id (integer) and text; others are ignored, whatever their names.  A null
@@ -237,7 +238,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_b
         some = np.add.reduceat(inner.astype(np.int64), new) > 0 if len(new) else many
         return X.pack(key[0].as_py(), ranges, v[new], c[new] | many.astype(U64) | (some.astype(U64) << U64(1)))
 
-    statuses = X.with_answers(dealt, None, label, X.PACKED).groupBy("bucket").applyInArrow(_statuses, _ANSWER)
+    statuses = X.with_answers(dealt, None, label, X.PACKED).groupBy("bucket").applyInArrow(lambda table: _statuses(table, max_contents), _ANSWER)
 
     def send(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         chunk = key[0].as_py()

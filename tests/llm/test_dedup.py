@@ -63,15 +63,13 @@ def brute_bytes(rows, n):
 
 
 @pytest.mark.parametrize(("n", "most"), [(400, 64), (120, 64), (120, 1), (90, 2)])
-def test_byte_strings_against_brute_force(spark, n, most, monkeypatch):
+def test_byte_strings_against_brute_force(spark, n, most):
     rng = random.Random(n)
     texts = [*corpus(rng, 50), "periodic! " * 300, "solo " + "z" * 1200, "q" * (n - 1), "q" * (n - 1)]
-    monkeypatch.setattr(suffix_dedup, "MAX_CONTENTS", most)
-    if most != 64:
-        rng2 = random.Random(9)
-        passage = text(rng2, 60)
-        texts += [text(rng2, 30) + passage + text(rng2, 30) for _ in range(12)]
-    got = suffix_dedup.cut_repeats(docs_of(spark, texts), length=n, chunk_bytes=3000).collect()
+    rng2 = random.Random(9)
+    passage = text(rng2, 60)
+    texts += [text(rng2, 30) + passage + text(rng2, 30) for _ in range(80 if most == 64 else 12)]
+    got = suffix_dedup.cut_repeats(docs_of(spark, texts), length=n, chunk_bytes=3000, max_contents=most).collect()
     found = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
     assert found == brute_bytes([(i, (t or "").encode()) for i, t in enumerate(texts)], n)
 
