@@ -19,6 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from notelake import schema
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all executors reach: below ``spark.checkpoint.dir``, else the warehouse."""
+    conf = spark.sparkContext.getConf()
+    top = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Telemetry:
     """Observations and spans of this process, to be turned into tables.  The last ``spans`` spans are kept."""
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import scalar as S
-from notelake.operators import security
+from notelake.operators import notes, security
 
 
 def _sections(*parts: tuple[str, Column]) -> Column:
@@ -96,6 +96,26 @@ def capture(rows: DataFrame, secrets: bool = True) -> tuple[DataFrame, DataFrame
     return good, bad
 
 
+def append_notes(rows: DataFrame, held: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Notes with captured records appended, and the records with their ids.
+
+    ``rows`` (from ``capture``): commit_sha, namespace, summary, content and fields of the
+    front matter; ``held``: namespace, commit_sha, note.  A record's ordinal follows those
+    of its commit's note and, among ``rows``, the ``order`` column.  The notes do not depend
+    on the index, so a failure to write records loses none: they are synchronised later.
+    """
+    key = ["namespace", "commit_sha"]
+    fields = [c for c in ("type", "summary", "timestamp", "spec", "phase", "tags", "status", "relates_to") if c in rows.columns or c == "type"]
+    texts = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") for c in ("timestamp",) if c in rows.columns}
+    written = notes.serialize_notes(rows.withColumns({"type": F.col("namespace"), **texts}), fields).select(*key, order, "note")
+    before = held.select(*key, F.col("note").alias("__old"), F.size(notes.split_notes(F.col("note"))).alias("__n"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
+    placed = rows.join(before.select(*key, "__n"), key, "left").withColumn("idx", F.coalesce("__n", F.lit(0)) + nth).drop("__n")
+    added = written.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "note"))), lambda x: x["note"]), "\n").alias("__new"))
+    out = before.join(added, key, "full_outer").select(*key, F.concat_ws("\n", "__old", "__new").alias("note"))
+    return out, placed.withColumn("id", S.memory_id(F.col("namespace"), F.col("commit_sha"), F.col("idx")))
+
+
 def tool_content(event: Column) -> Column:
     """The text that a file tool writes, from its JSON event (Write, Edit, MultiEdit); null for others."""
     get = lambda p: F.get_json_object(event, p)

@@ -94,6 +94,11 @@ def list_patterns(patterns: DataFrame, status: str | None = None, pattern_type:
     return patterns.orderBy(F.col("confidence").desc(), "name")
 
 
+def get_pattern(patterns: DataFrame, name: str) -> DataFrame:
+    """The pattern of a name."""
+    return patterns.filter(F.col("name") == name).limit(1)
+
+
 def without_embeddings(m: DataFrame, vectors: DataFrame, limit: int | None = None) -> DataFrame:
     """Ids of records without a vector."""
     missing = m.select("id").join(vectors.select("id"), "id", "left_anti")

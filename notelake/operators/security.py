@@ -110,6 +110,11 @@ def strategy(kind: Column, strategies: dict[str, str], default: str = "redact")
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in strategies.items() for x in kv)), kind), F.lit(default)) if strategies else F.lit(default)
 
 
+def namespace_strategy(namespace: Column, strategies: dict[str, str], default: str = "redact") -> Column:
+    """N12d: the strategy that a namespace is configured with; filtering goes by type and does not ask for it (Q13)."""
+    return strategy(namespace, strategies, default)
+
+
 def redact(text: Column, found: Column, strategies: dict[str, str] | None = None, default: str = "redact") -> Column:
     """The text with disjoint detections (by start) replaced by their strategy, in one fold."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators import notes
+
 
 def insert(m: DataFrame, new: DataFrame) -> DataFrame:
     """A4, A5: ``new`` records whose id is not in ``m``, each once; these are to be appended."""
@@ -58,3 +60,28 @@ def merge_notes(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     both = ours.select("namespace", "commit_sha", "note").unionByName(theirs.select("namespace", "commit_sha", "note"))
     lines = both.select("namespace", "commit_sha", F.explode(F.split("note", "\n")).alias("line")).distinct()
     return lines.groupBy("namespace", "commit_sha").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("note"))
+
+
+def fetch_notes(tracking: DataFrame, remote: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
+    """The tracking table with the remote's notes of some namespaces (all by default) in place of its own."""
+    wanted = F.lit(True) if namespaces is None else F.col("namespace").isin(namespaces)
+    return tracking.filter(~wanted).unionByName(remote.filter(wanted).select(*tracking.columns))
+
+
+def push_notes(remote: DataFrame, ours: DataFrame) -> DataFrame:
+    """A43d: the remote's notes with ours in place of those of the same commit and namespace."""
+    key = ["namespace", "commit_sha"]
+    return remote.join(ours.select(*key), key, "left_anti").select(*remote.columns).unionByName(ours.select(*remote.columns))
+
+
+def sync_remote(ours: DataFrame, remote: DataFrame, as_of: Column, indexed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merged notes of both sides, to be pushed, and their records that are not ``indexed`` yet."""
+    merged = merge_notes(ours, remote)
+    return merged, reindex(notes.to_memories(notes.records(merged), as_of), indexed)
+
+
+def sync_notes(m: DataFrame, raw: DataFrame, as_of: Column) -> DataFrame:
+    """``m`` with every record of some notes (``raw``: namespace, commit_sha, note) added or in place of the one with its id."""
+    fresh = notes.to_memories(notes.records(raw), as_of)
+    missing = [F.lit(None).cast(m.schema[c].dataType).alias(c) for c in m.columns if c not in fresh.columns]
+    return upsert(m, fresh.select("*", *missing))

@@ -19,7 +19,7 @@ from notelake.streaming import hooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-M, E, A, SP = V.MEMORIES_SQL, V.VECTORS_SQL, V.AUDIT_SQL, V.SPANS_SQL
+M, E, A, SP, SIG = V.MEMORIES_SQL, V.VECTORS_SQL, V.AUDIT_SQL, V.SPANS_SQL, V.SIGNALS_SQL
 NOW = V.AS_OF_EPOCH
 AGE = f"greatest(0, ({NOW} - ts) / 86400.0)"
 DECAY = f"power(2, -{AGE} / 30.0)"
@@ -54,10 +54,9 @@ def b1_get(spark, d):
     return _plain(lookup.get(m, key), "id", "commit_sha", "namespace", "summary", "timestamp", "spec", "tags", "status")
 
 
-@query(f"WITH {M} SELECT id, namespace, ts FROM memories WHERE doc_id % 17 = 0")
+@query(f"WITH {M}, {E} SELECT id, namespace, ts FROM memories WHERE id IN (SELECT id FROM vectors)")
 def b2_get_batch(spark, d):
-    m = V.memories(spark, d)
-    return _plain(lookup.get_batch(m, m.filter("doc_id % 17 = 0").select("id")), "id", "namespace", "timestamp")
+    return _plain(lookup.get_batch(V.memories(spark, d), V.memory_vectors(spark, d)), "id", "namespace", "timestamp")
 
 
 @query(f"WITH {M} SELECT id, ts FROM memories WHERE spec = 'src3' AND namespace = 'decisions' ORDER BY ts DESC, id LIMIT 20")
@@ -132,17 +131,8 @@ def c2_without_embeddings(spark, d):
     return lookup.without_embeddings(V.memories(spark, d), V.memory_vectors(spark, d))
 
 
-@query(f"WITH {M} SELECT m.id, length(m.content) AS note_chars, c.author AS author FROM memories m LEFT JOIN (SELECT md5(CAST(doc_id AS VARCHAR)) AS sha, source AS author FROM documents WHERE doc_id % 2 = 0) c ON c.sha = m.commit_sha WHERE m.doc_id % 3 = 0")
-def c3_hydrate(spark, d):
-    m = V.memories(spark, d)
-    raw = m.select("namespace", "commit_sha", F.col("content").alias("note"))
-    commits = V.table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.md5(F.col("doc_id").cast("string")).alias("sha"), F.col("source").alias("author"))
-    out = lookup.hydrate(m.filter("doc_id % 3 = 0"), raw, commits, level="full")
-    return out.select("id", F.length("full_content").alias("note_chars"), F.col("commit.author").alias("author"))
-
-
 @query(f"WITH {M} SELECT m.id, length(m.content) AS note_chars, c.author AS author FROM memories m LEFT JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN md5(CAST(doc_id AS VARCHAR)) ELSE 'x' || md5(CAST(doc_id AS VARCHAR)) END AS sha, source AS author FROM documents) c ON c.sha = m.commit_sha")
-def c3_hydrate_all(spark, d):
+def c3_hydrate(spark, d):
     m = V.memories(spark, d)
     raw = m.select("namespace", "commit_sha", F.col("content").alias("note"))
     sha = F.md5(F.col("doc_id").cast("string"))
@@ -187,32 +177,18 @@ def d7_similarity(spark, d):
 
 
 @query(
-    f"WITH {M}, {E}, q AS (SELECT vec_id AS query_id, list_extract([{', '.join(repr(n) for n in L.NAMESPACES)}], CAST(vec_id % 10 + 1 AS BIGINT)) AS namespace, embedding FROM vectors WHERE vec_id % 20 = 3),"
+    f"WITH {M}, {E}, q AS (SELECT vec_id AS query_id, list_extract([{', '.join(repr(n) for n in L.NAMESPACES)}], CAST(vec_id % 10 + 1 AS BIGINT)) AS namespace, embedding FROM vectors WHERE vec_id % 50 = 0),"
     " p AS (SELECT q.query_id, v.id, 1 / (1 + list_distance(v.embedding, q.embedding)) AS s FROM q JOIN (SELECT v.id, v.embedding, m.namespace FROM vectors v JOIN memories m ON m.id = v.id) v ON v.namespace = q.namespace),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM p)"
     " SELECT q.query_id, round(1 - coalesce(max(r.s), 0), 6) AS novelty_score, 1 - coalesce(max(r.s), 0) >= 0.3 AS is_novel, count(CASE WHEN r.s >= 0.7 THEN 1 END) AS n_similar FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.k <= 5 GROUP BY q.query_id"
 )
 def d9_novelty(spark, d):
     v = V.memory_vectors(spark, d)
-    return _novelty(spark, d, v, v.filter("vec_id % 20 = 3"))
-
-
-def _novelty(spark, d, v, some):
+    some = v.filter("vec_id % 50 = 0")  # the set of queries of searches
     queries = some.select(F.col("vec_id").alias("query_id"), F.element_at(F.array(*map(F.lit, L.NAMESPACES)), (F.col("vec_id") % 10 + 1).cast("int")).alias("namespace"), "embedding")
     return knn.novelty(queries, v, V.memories(spark, d)).select("query_id", _r("novelty_score"), "is_novel", F.size("similar_ids").cast("long").alias("n_similar"))
 
 
-@query(
-    f"WITH {M}, {E}, q AS (SELECT vec_id AS query_id, list_extract([{', '.join(repr(n) for n in L.NAMESPACES)}], CAST(vec_id % 10 + 1 AS BIGINT)) AS namespace, embedding FROM vectors WHERE vec_id % 50 = 0),"
-    " p AS (SELECT q.query_id, v.id, 1 / (1 + list_distance(v.embedding, q.embedding)) AS s FROM q JOIN (SELECT v.id, v.embedding, m.namespace FROM vectors v JOIN memories m ON m.id = v.id) v ON v.namespace = q.namespace),"
-    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM p)"
-    " SELECT q.query_id, round(1 - coalesce(max(r.s), 0), 6) AS novelty_score, 1 - coalesce(max(r.s), 0) >= 0.3 AS is_novel, count(CASE WHEN r.s >= 0.7 THEN 1 END) AS n_similar FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.k <= 5 GROUP BY q.query_id"
-)
-def d9_novelty_50(spark, d):
-    v = V.memory_vectors(spark, d)
-    return _novelty(spark, d, v, v.filter("vec_id % 50 = 0"))
-
-
 @query(f"WITH {M}, c AS (SELECT 'namespace' AS kind, namespace AS key, count(*) AS n FROM memories GROUP BY namespace UNION ALL SELECT 'spec', spec, count(*) FROM memories WHERE spec IS NOT NULL GROUP BY spec UNION ALL SELECT 'total', NULL, count(*) FROM memories) SELECT kind, key, n FROM c")
 def e1_stats(spark, d):
     return aggregate.stats(V.memories(spark, d))
@@ -308,9 +284,18 @@ def knn_rerank_topk(spark, d):
     return knn.rerank(found, V.as_of(), "src3", "decisions", ["en", "q1"]).limit(10).select("id", _r("distance"), _r("boosted"))
 
 
-@query()
+# What is expected of each question: synonyms and domain terms, sorted, ten at most.
+_QUESTIONS = [
+    (0, "Why did the database bug block us?", "because,db,defect,error,issue,motivation,persistence,postgres,problem,rationale"),
+    (1, "deploy frontend, test cache", "angular,caching,cd,ci,client,deployment,integration,memoization,pipeline,react"),
+    (2, "performance of the API (design)", "endpoint,fast,interface,latency,optimization,rest,service,speed"),
+    (3, "plain words", ""),
+]
+
+
+@query(f"SELECT b.item_id, q.query, q.terms, substring(sha256(q.query || '|' || q.terms || '|'), 1, 16) AS cache_key FROM benchmark b JOIN {V.values(_QUESTIONS)} q(k, query, terms) ON q.k = b.item_id % 4")
 def f4_expand_query(spark, d):
-    q = V.table(spark, d, "benchmark").select("item_id", F.element_at(F.array(*(F.lit(x) for x in ("Why did the database bug block us?", "deploy frontend, test cache", "performance of the API (design)", "plain words"))), (F.col("item_id") % 4 + 1).cast("int")).alias("query"))
+    q = V.table(spark, d, "benchmark").select("item_id", F.element_at(F.array(*(F.lit(q) for _, q, _ in _QUESTIONS)), (F.col("item_id") % 4 + 1).cast("int")).alias("query"))
     terms = S.expand_query(F.col("query"))
     return q.select("item_id", "query", F.array_join(terms, ",").alias("terms"), S.cache_key(F.col("query"), terms, F.lit("")).alias("cache_key"))
 
@@ -332,7 +317,34 @@ def f9_working_memory(spark, d):
     return context.working_memory(V.memories(spark, d), V.as_of(), 500).select("id", "section")
 
 
-@query()
+def _esc(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        x = f"replace({x}, {V.quoted(a)}, {V.quoted(b)})"
+    return x
+
+
+def _xml_sql(rows: str) -> str:
+    """The context of ``rows`` (section, rank, id, namespace, summary, tags, relevance)."""
+    relevance = "CASE WHEN relevance IS NULL THEN '' ELSE printf(' relevance=\"%.2f\"', relevance) || CASE WHEN relevance >= 0.85 THEN ' auto_expand=\"true\"' ELSE '' END END"
+    record = f"'<memory id=\"' || {_esc('id')} || '\" namespace=\"' || namespace || '\"' || {relevance} || '><summary>' || {_esc('summary')} || '</summary><tags>' || {_esc('tags')} || '</tags></memory>'"
+    return f"x AS (SELECT section, string_agg({record}, '' ORDER BY rank) AS body FROM {rows} GROUP BY section) SELECT '<memory_context project=\"project\">' || coalesce(string_agg('<' || section || '>' || body || '</' || section || '>', '' ORDER BY section), '') || '</memory_context>' AS xml FROM x"
+
+
+def _working_sql(tokens: int) -> str:
+    """Rows of working memory under a budget."""
+    parts = []
+    for name, share, where in (("blockers", 0.5, "true"), ("decisions", 0.4, f"{AGE} <= 7"), ("progress", 0.1, "status IN ('pending', 'in-progress')")):
+        top = f"SELECT * FROM (SELECT * FROM memories WHERE namespace = '{name}' ORDER BY ts DESC, id LIMIT 3) WHERE {where}"
+        parts.append(f"SELECT '{name}' AS section, *, sum({_TOK}) OVER (ORDER BY ts DESC, id) AS run, row_number() OVER (ORDER BY ts DESC, id) AS rank, {int(tokens * share)} AS most FROM ({top})")
+    return f"(SELECT section, rank, id, namespace, summary, tags, NULL AS relevance FROM ({' UNION ALL '.join(parts)}) WHERE run <= most)"
+
+
+def _found_sql(name: str, tokens: int) -> str:
+    near = f"SELECT m.*, w.d FROM (SELECT id, d FROM ({_KNN}) ORDER BY d, id LIMIT 30) w JOIN memories m ON m.id = w.id WHERE m.namespace = '{name}' ORDER BY w.d, m.id LIMIT 10"
+    return f"(SELECT '{name}' AS section, row_number() OVER (ORDER BY d, id) AS rank, id, namespace, summary, tags, 1 / (1 + d) AS relevance FROM (SELECT *, sum({_TOK}) OVER (ORDER BY d, id) AS run FROM ({near})) WHERE run <= {tokens})"
+
+
+@query(f"WITH {M}, {E}, {_xml_sql('(SELECT * FROM ' + _working_sql(900) + ' UNION ALL SELECT * FROM ' + _found_sql('learnings', 540) + ' UNION ALL SELECT * FROM ' + _found_sql('patterns', 360) + ')')}")
 def f12_context_xml(spark, d):
     m, v, q = V.memories(spark, d), V.memory_vectors(spark, d), V.query_vector(spark, d)
     a = context.working_memory(m, V.as_of(), 900).select("section", "rank", "id", "namespace", "summary", "tags")
@@ -363,16 +375,16 @@ def k4_sweep(spark, d):
     return lifecycle.sweep(V.memories(spark, d), V.as_of()).select("id", "summary", "status")
 
 
-@query(f"WITH {M} SELECT id, CASE WHEN doc_id % 5 = 0 AND {STATE} IN ('active', 'resolved', 'archived') THEN 'tombstone' ELSE status END AS status, length(CASE WHEN doc_id % 5 = 0 AND {STATE} IN ('active', 'resolved', 'archived') THEN '' ELSE content END) AS n FROM memories")
+@query(f"WITH {M} SELECT id, CASE WHEN {STATE} IN ('active', 'resolved', 'archived') THEN 'tombstone' ELSE status END AS status, length(CASE WHEN {STATE} IN ('active', 'resolved', 'archived') THEN '' ELSE content END) AS n FROM memories")
 def k3_tombstone(spark, d):
     m = V.memories(spark, d)
-    return lifecycle.transition(m, m.filter("doc_id % 5 = 0"), "tombstone").select("id", "status", F.length("content").alias("n"))
+    return lifecycle.transition(m, m, "tombstone").select("id", "status", F.length("content").alias("n"))
 
 
 @query()
 def k5_archive(spark, d):
     m = V.memories(spark, d)
-    return lifecycle.transition(m, m.filter("doc_id % 9 = 0"), "archived", squeeze=True).filter("status = 'archived'").select("id", "status", "content")
+    return lifecycle.transition(m, m, "archived", squeeze=True).filter("status = 'archived'").select("id", "status", "content")
 
 
 @query(f"WITH {M}, i AS (SELECT id, summary, CASE WHEN doc_id % 17 = 0 THEN content || ' changed' ELSE content END AS content FROM memories WHERE doc_id % 13 <> 0 UNION ALL SELECT id || '-orphan', summary, content FROM memories WHERE doc_id % 29 = 0) SELECT coalesce(m.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'missing' WHEN m.id IS NULL THEN 'orphaned' ELSE 'mismatched' END AS problem FROM memories m FULL JOIN i ON i.id = m.id WHERE i.id IS NULL OR m.id IS NULL OR m.content <> i.content")
@@ -408,7 +420,7 @@ def g4_merge_notes(spark, d):
 
 @query(f"WITH {M} SELECT id, summary, coalesce(spec, 'none') AS spec, ts, 'active' AS status FROM memories")
 def a19_parse_notes(spark, d):
-    m = V.memories(spark, d).filter(F.length("content") >= 0)
+    m = V.memories(spark, d)
     back = notes.to_memories(notes.records(V.front_matter(m)), V.as_of())
     return back.select("id", "summary", "spec", F.unix_seconds("timestamp").alias("ts"), "status")
 
@@ -422,16 +434,17 @@ def a19_parse_bodies(spark, d):
     return back.select("id", F.md5(F.col("content").cast("binary")).alias("body_md5"))
 
 
-@query(
-    f"WITH {M}, t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', summary, content, replace(tags, ',', ' '))), '\\b[a-z][a-z0-9_-]*[a-z0-9]\\b|\\b[a-z]\\b'))) AS term FROM memories WHERE regexp_full_match(summary || content, '[\\x00-\\x7F]*'))"
-    f" SELECT term, count(*) AS df FROM t WHERE length(term) >= 2 AND term NOT IN ({', '.join(repr(w) for w in L.STOP_WORDS)}) GROUP BY term"
+_WORD = r"[^\p{L}\p{Nd}_]"
+#: Terms of a record: characters that end words are doubled, so that two terms can share one.
+_TERMS = (
+    "list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(lower(concat_ws(' ', summary, content, replace(tags, ',', ' '))), "
+    f"'({_WORD})', '\\1\\1', 'g'), '(?:^|{_WORD})([a-z][a-z0-9_-]*[a-z0-9]|[a-z])(?:$|{_WORD})', 1), lambda w: replace(w, '--', '-'))), "
+    f"lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in L.STOP_WORDS)}))"
 )
-def h2_term_frequencies(spark, d):
-    return patterns.frequencies(V.memories(spark, d).filter(F.concat("summary", "content").rlike(r"^\p{ASCII}*$")))
 
 
-@query()
-def h2_term_frequencies_all(spark, d):
+@query(f"WITH {M}, t AS (SELECT unnest({_TERMS}) AS term FROM memories) SELECT term, count(*) AS df FROM t GROUP BY term")
+def h2_term_frequencies(spark, d):
     return patterns.frequencies(V.memories(spark, d))
 
 
@@ -454,15 +467,10 @@ _PAT = "(VALUES ('Caching', ['the', 'apache', 'license', 'version']), ('Tokens',
 
 
 @query(
-    f"WITH {M}, t AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(concat_ws(' ', summary, content, replace(tags, ',', ' '))), '\\b[a-z][a-z0-9_-]*[a-z0-9]\\b|\\b[a-z]\\b')), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in L.STOP_WORDS)})) AS terms FROM memories WHERE lang = 'en')"
+    f"WITH {M}, t AS (SELECT id, {_TERMS} AS terms FROM memories)"
     f" SELECT t.id, p.name, len(list_intersect(t.terms, p.tags)) AS overlap, round(len(list_intersect(t.terms, p.tags)) / greatest(len(t.terms), len(p.tags)), 6) AS score FROM t, {_PAT} WHERE len(list_intersect(t.terms, p.tags)) >= 2"
 )
 def c10_matching_patterns(spark, d):
-    return _matching(spark, V.memories(spark, d).filter(F.element_at("tags", 1) == "en"))
-
-
-@query()
-def c10_matching_patterns_all(spark, d):
     return _matching(spark, V.memories(spark, d))
 
 
@@ -471,18 +479,26 @@ def _matching(spark, m):
     return patterns.matching(m, p).select("id", "name", "overlap", _r("score"))
 
 
-@query()
+_IN = lambda xs: "(" + ", ".join(map(V.quoted, xs)) + ")"
+_DIRS = f"list_filter(list_transform(parts[:len(parts) - 1], lambda x: lower(x)), lambda x: length(x) >= 3 AND NOT starts_with(x, '.') AND x NOT IN {_IN(L.SKIP_DIRECTORIES)})"
+_STEMS = f"list_filter(string_split_regex(lower(regexp_replace(parts[len(parts)], '^(.+)\\.[^.]*$', '\\1')), '[_./-]'), lambda x: length(x) >= 3 AND x NOT IN {_IN(L.SKIP_FILE_PARTS)})"
+
+
+@query(f"WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://(.*)$', 1), '/') AS parts FROM pages), l AS (SELECT page_id, list_concat({_DIRS}, {_STEMS}) AS t FROM p) SELECT page_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 5), ',') AS terms FROM l")
 def h11_domain_terms(spark, d):
     p = V.table(spark, d, "pages")
     return p.select("page_id", F.array_join(S.domain_terms(F.regexp_extract("url", "^[a-z]+://(.*)$", 1)), ",").alias("terms"))
 
 
-@query()
+@query(f"WITH {SIG} SELECT conv_id, turn, type, match, confidence, context, suggested_namespace, position FROM signals")
 def i1_signals(spark, d):
     return signals.signals(V.messages(spark, d), "conv_id", "turn")
 
 
-@query()
+_MARKER = "CASE (conv_id + turn) % 6 WHEN 0 THEN ['remember', 'decisions', 'decisions'] WHEN 1 THEN ['capture', NULL, 'learnings'] WHEN 2 THEN ['memory', 'progress', 'progress'] WHEN 3 THEN ['til', 'learnings', 'learnings'] WHEN 4 THEN ['block', 'blockers', 'blockers'] ELSE [NULL, NULL, NULL] END"
+
+
+@query(f"SELECT conv_id, turn, m[1] AS marker_type, m[2] AS namespace, m[3] AS resolved FROM (SELECT conv_id, turn, {_MARKER} AS m FROM conversations)")
 def i5_markers(spark, d):
     c = V.table(spark, d, "conversations")
     forms = ["[remember:decisions] ", "[capture] ", "@memory:progress ", "[til] ", ":::blockers ", "plain "]
@@ -491,17 +507,31 @@ def i5_markers(spark, d):
     return mark.select("conv_id", "turn", "m.marker_type", "m.namespace", signals.resolve_namespace(F.col("m")).alias("resolved"))
 
 
-@query()
+_REASON = "CASE WHEN top >= 0.9 THEN printf('High confidence signal detected (%.2f >= 0.9)', top) WHEN top >= 0.7 THEN printf('Medium confidence signal detected (%.2f)', top) ELSE printf('Low confidence signals (%.2f < 0.7)', top) END"
+
+
+@query(f"WITH {SIG}, g AS (SELECT conv_id, max(confidence) AS top, count(*) AS n FROM signals GROUP BY conv_id) SELECT conv_id, CASE WHEN top >= 0.9 THEN 'auto' WHEN top >= 0.7 THEN 'suggest' ELSE 'skip' END AS action, {_REASON} AS reason, top AS top_confidence, n AS n_signals, top >= 0.7 AS should_capture FROM g")
 def i7_decisions(spark, d):
     return signals.decide(signals.signals(V.messages(spark, d), "conv_id", "turn"), "conv_id", auto=0.9)
 
 
-@query()
+def _summary(text: str, longest: int) -> str:
+    """The SQL of a summary."""
+    t = f"trim(regexp_replace(trim(regexp_replace({text}, '^\\.\\.\\.', ''), {V.BLANKS}), '\\.\\.\\.$', ''), {V.BLANKS})"
+    head = f"substring({t}, 1, {longest - 3})"
+    blank = f"length(regexp_extract({head}, '(?s)^(.*) ', 1))"
+    return f"CASE WHEN length({t}) > {longest} THEN CASE WHEN {blank} > {longest // 2} THEN substring({head}, 1, {blank}) ELSE {head} END || '...' ELSE {t} END"
+
+
+_TAGS = ", ".join(f"CASE WHEN regexp_matches(lower(context), '{'|'.join(words.split())}') THEN '{tag}' END" for tag, words in L.TECH_TAGS.items())
+
+
+@query(f"WITH {SIG} SELECT conv_id, turn, suggested_namespace AS namespace, {_summary('context', 200)} AS summary, array_to_string(list_slice(list_filter([type, {_TAGS}], lambda x: x IS NOT NULL), 1, 5), ',') AS tags, confidence AS suggested_confidence FROM signals")
 def i8_suggestions(spark, d):
     return signals.suggestions(signals.signals(V.messages(spark, d), "conv_id", "turn")).select("conv_id", "turn", "namespace", "summary", F.array_join("tags", ",").alias("tags"), "suggested_confidence")
 
 
-@query()
+@query(f"WITH {SIG}, r AS (SELECT conv_id, turn, type, confidence, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, turn, position) AS rank FROM signals WHERE confidence >= 0.7) SELECT * FROM r WHERE rank <= 5")
 def i12_session_signals(spark, d):
     return signals.session_signals(signals.signals(V.messages(spark, d), "conv_id", "turn")).select("conv_id", "turn", "type", "confidence", "rank")
 
@@ -546,32 +576,20 @@ def a33_audit_query(spark, d):
     return out.select("event_id", F.unix_seconds("timestamp").alias("ts"), "action")
 
 
-_ALLOW = "(SELECT md5(CAST(event_id AS VARCHAR)) AS h, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'decisions' END AS ns, event_id % 3 = 0 AS expired FROM events WHERE event_id < 200)"
-
-
-@query(f"WITH q AS (SELECT md5(CAST(event_id AS VARCHAR)) AS secret_hash, CASE WHEN event_id % 5 = 0 THEN 'progress' ELSE 'decisions' END AS namespace FROM events WHERE event_id < 400), a AS {_ALLOW} SELECT q.secret_hash, q.namespace, coalesce(NOT o.expired, NOT g.expired, false) AS allowed FROM q LEFT JOIN a o ON o.h = q.secret_hash AND o.ns = q.namespace LEFT JOIN a g ON g.h = q.secret_hash AND g.ns IS NULL")
-def b18_allowlist(spark, d):
-    e = V.table(spark, d, "events")
-    h = F.md5(F.col("event_id").cast("string")).alias("secret_hash")
-    q = e.filter("event_id < 400").select(h, F.when(F.col("event_id") % 5 == 0, "progress").otherwise("decisions").alias("namespace"))
-    a = e.filter("event_id < 200").select(h, F.when(F.col("event_id") % 2 != 0, "decisions").alias("namespace"), F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.lit(NOW - 5))).alias("expires_at"))
-    return security.is_allowed(q, a, V.as_of())
-
-
-_ALLOW_ALL = _ALLOW.replace("md5(CAST(event_id AS VARCHAR))", "md5(CASE WHEN event_id % 7 < 4 THEN '' ELSE 'other ' END || CAST(event_id AS VARCHAR))").replace(" WHERE event_id < 200", "")
+_ALLOW = "(SELECT md5(CASE WHEN event_id % 7 < 4 THEN '' ELSE 'other ' END || CAST(event_id AS VARCHAR)) AS h, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'decisions' END AS ns, event_id % 3 = 0 AS expired FROM events)"
 
 
-def _allow_all(e):
+def _allowlist(e):
     """An allowlist row for each event; those of three in seven hold a hash that is not asked for."""
     h = F.md5(F.concat(F.when(F.col("event_id") % 7 < 4, "").otherwise("other "), F.col("event_id").cast("string")))
     return e.select(h.alias("secret_hash"), F.when(F.col("event_id") % 2 != 0, "decisions").alias("namespace"), F.col("ts").alias("added_at"), F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.lit(NOW - 5))).alias("expires_at"))
 
 
-@query(f"WITH q AS (SELECT md5(CAST(event_id AS VARCHAR)) AS secret_hash, CASE WHEN event_id % 5 = 0 THEN 'progress' ELSE 'decisions' END AS namespace FROM events), a AS {_ALLOW_ALL} SELECT q.secret_hash, q.namespace, coalesce(NOT o.expired, NOT g.expired, false) AS allowed FROM q LEFT JOIN a o ON o.h = q.secret_hash AND o.ns = q.namespace LEFT JOIN a g ON g.h = q.secret_hash AND g.ns IS NULL")
-def b18_allowlist_all(spark, d):
+@query(f"WITH q AS (SELECT md5(CAST(event_id AS VARCHAR)) AS secret_hash, CASE WHEN event_id % 5 = 0 THEN 'progress' ELSE 'decisions' END AS namespace FROM events), a AS {_ALLOW} SELECT q.secret_hash, q.namespace, coalesce(NOT o.expired, NOT g.expired, false) AS allowed FROM q LEFT JOIN a o ON o.h = q.secret_hash AND o.ns = q.namespace LEFT JOIN a g ON g.h = q.secret_hash AND g.ns IS NULL")
+def b18_allowlist(spark, d):
     e = V.table(spark, d, "events")
     q = e.select(F.md5(F.col("event_id").cast("string")).alias("secret_hash"), F.when(F.col("event_id") % 5 == 0, "progress").otherwise("decisions").alias("namespace"))
-    return security.is_allowed(q, _allow_all(e).drop("added_at"), V.as_of())
+    return security.is_allowed(q, _allowlist(e).drop("added_at"), V.as_of())
 
 
 @query(f"WITH {M} SELECT namespace, count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS successful FROM memories GROUP BY namespace")
@@ -608,14 +626,7 @@ def n13_git_refs(spark, d):
 
 @query(f"WITH a AS {_ALLOW}, l AS (SELECT h, ns FROM a WHERE NOT expired) SELECT h AS secret_hash, ns AS namespace FROM l WHERE ns = 'decisions' UNION ALL SELECT h, ns FROM l WHERE ns IS NULL AND h NOT IN (SELECT h FROM l WHERE ns = 'decisions')")
 def b17_list_allowlist(spark, d):
-    e = V.table(spark, d, "events").filter("event_id < 200")
-    a = e.select(F.md5(F.col("event_id").cast("string")).alias("secret_hash"), F.when(F.col("event_id") % 2 != 0, "decisions").alias("namespace"), F.col("ts").alias("added_at"), F.when(F.col("event_id") % 3 == 0, F.timestamp_seconds(F.lit(NOW - 5))).alias("expires_at"))
-    return security.list_allowlist(a, V.as_of(), "decisions").select("secret_hash", "namespace")
-
-
-@query(f"WITH a AS {_ALLOW_ALL}, l AS (SELECT h, ns FROM a WHERE NOT expired) SELECT h AS secret_hash, ns AS namespace FROM l WHERE ns = 'decisions' UNION ALL SELECT h, ns FROM l WHERE ns IS NULL AND h NOT IN (SELECT h FROM l WHERE ns = 'decisions')")
-def b17_list_allowlist_all(spark, d):
-    return security.list_allowlist(_allow_all(V.table(spark, d, "events")), V.as_of(), "decisions").select("secret_hash", "namespace")
+    return security.list_allowlist(_allowlist(V.table(spark, d, "events")), V.as_of(), "decisions").select("secret_hash", "namespace")
 
 
 @query(f"WITH {M} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'validated' WHEN doc_id % 3 = 0 THEN 'candidate' ELSE 'promoted' END AS state FROM memories")
@@ -625,7 +636,7 @@ def h9_pattern_states(spark, d):
     return patterns.transition(p, p.filter("doc_id % 2 = 0 OR doc_id % 3 = 1"), "validated").select(F.col("name").alias("id"), F.col("status").alias("state"))
 
 
-@query()
+@query(f"WITH {SIG} SELECT conv_id, turn, suggested_namespace AS namespace, {_summary('context', 100)} AS summary, length(context) AS n FROM signals")
 def i13_captures(spark, d):
     found = signals.signals(V.messages(spark, d), "conv_id", "turn")
     body = F.coalesce(F.nullif("context", F.lit("")), "match")
@@ -633,17 +644,34 @@ def i13_captures(spark, d):
     return capture.capture(rows)[0].select("conv_id", "turn", "namespace", "summary", F.length("content").alias("n"))
 
 
-@query()
+_LE = [(i, f"{b:g}" if b is not None else "+Inf", b) for i, b in enumerate([*L.LATENCY_BUCKETS, None])]
+_WHOLE = lambda x: f"CASE WHEN {x} = floor({x}) THEN printf('%d.0', CAST({x} AS BIGINT)) ELSE CAST({x} AS VARCHAR) END"
+_HIST = "h AS (SELECT event_type AS name, CAST(user_id % 5 AS VARCHAR) AS u, count(*) AS n, round(sum(value), 6) AS s, " + ", ".join(f"count(*) FILTER ({'true' if b is None else f'value <= {b}'}) AS c{i}" for i, _, b in _LE) + " FROM events GROUP BY 1, 2)"
+_LINES = " UNION ALL ".join(
+    [f"SELECT name, u, {i} AS line_no, name || '_bucket{{le=\"{n}\",user=\"' || u || '\"}} ' || c{i} AS line FROM h" for i, n, _ in _LE]
+    + [f"SELECT name, u, {len(_LE) + j}, name || '_{what}{{user=\"' || u || '\"}} ' || {_WHOLE(x)} FROM h" for j, (what, x) in enumerate((("sum", "s"), ("count", "CAST(n AS DOUBLE)")))]
+)
+
+
+@query(f"WITH {_HIST} SELECT name, 'user=' || u AS labels_key, line_no, line FROM ({_LINES})")
 def a39_prometheus(spark, d):
-    return telemetry.prometheus(telemetry.histogram(V.observations(spark, d)))
+    return telemetry.prometheus(telemetry.histogram(V.observations(spark, d)).withColumn("sum", _r("sum")))
 
 
-@query()
+_NANOS = lambda x: f"CAST(CAST(floor(epoch(ts)) + {x} AS BIGINT) * 1000000000 AS VARCHAR)"
+
+
+@query(
+    "SELECT CAST(event_id - event_id % 10 AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, '{\"traceId\":\"' || (event_id - event_id % 10) || '\",\"spanId\":\"' || event_id || '\"'"
+    " || CASE WHEN event_id % 10 <> 0 THEN ',\"parentSpanId\":\"' || (event_id - event_id % 10 + (event_id % 10) // 2) || '\"' ELSE '' END"
+    f" || ',\"name\":\"' || event_type || '\",\"kind\":1,\"startTimeUnixNano\":\"' || {_NANOS('0')} || '\",\"endTimeUnixNano\":\"' || {_NANOS('event_id % 7')}"
+    " || '\",\"attributes\":[{\"key\":\"user\",\"value\":{\"stringValue\":\"' || user_id || '\"}}],\"status\":' || CASE WHEN event_id % 13 = 0 THEN '{\"code\":2,\"message\":\"failed\"}' ELSE '{\"code\":1}' END || '}' AS json FROM events"
+)
 def a40_otlp(spark, d):
     return telemetry.otlp_spans(V.spans(spark, d))
 
 
-@query()
+@query(f"WITH {SIG} SELECT m.conv_id, m.turn, CASE WHEN s.confidence >= 0.85 THEN 'auto' WHEN s.confidence >= 0.7 THEN 'suggest' ELSE 'skip' END AS action, s.suggested_namespace AS namespace, CASE WHEN s.type IS NULL THEN 0 ELSE 1 END AS n_signals FROM messages m LEFT JOIN signals s ON s.conv_id = m.conv_id AND s.turn = m.turn")
 def n16_prompt_decisions(spark, d):
     m = V.messages(spark, d).withColumnRenamed("text", "prompt")
     return hooks.prompt_decisions(m).select("conv_id", "turn", "action", "namespace", F.size("signals").alias("n_signals"))

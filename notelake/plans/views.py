@@ -88,6 +88,38 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", F.concat_ws(" ", "text", sentence).alias("text"))
 
 
+# What the sentences of SIGNAL_SENTENCES say: number, type, namespace, base confidence, match and its place in the sentence.
+SIGNALS = [
+    (1, "decision", "decisions", 0.90, "I decided to", 0), (2, "learning", "learnings", 0.90, "I learned that", 6), (3, "blocker", "blockers", 0.92, "blocked by", 7), (4, "resolution", "progress", 0.92, "fixed the", 2),
+    (5, "progress", "progress", 0.90, "finished", 3), (6, "pattern", "patterns", 0.88, "best practice", 10), (7, "preference", "learnings", 0.88, "I prefer to", 0), (8, "explicit", "learnings", 0.98, "remember this", 7),
+]
+
+
+def quoted(x: object) -> str:
+    """A value as an SQL literal."""
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# The signal of each message: the conversations hold none, so it is the sentence's; its context goes back to where a word or blank begins, a hundred characters before.
+SIGNALS_SQL = f"""messages AS (
+  SELECT c.conv_id, c.turn, c.role, c.text || ' ' || s.sentence AS text, s.k, length(c.text) + 1 AS start
+  FROM conversations c JOIN {values(list(enumerate(SIGNAL_SENTENCES)))} s(k, sentence) ON s.k = (c.conv_id + c.turn) % 9),
+placed AS (
+  SELECT m.conv_id, m.turn, m.text, v.type, v.match, v.ns, CAST(v.base AS DOUBLE) AS base, CAST(m.start + v.off AS INTEGER) AS position, m.start + v.off - 100 AS before
+  FROM messages m JOIN {values(SIGNALS)} v(k, type, ns, base, match, off) ON v.k = m.k),
+cut AS (
+  SELECT *, CASE WHEN before > 0 THEN greatest(before - length(regexp_extract(substring(text, 1, before), '[\\p{{L}}\\p{{N}}]*$')), length(regexp_extract(substring(text, 1, before + 10), '(?s)^.* '))) ELSE 0 END AS first FROM placed),
+around AS (
+  SELECT *, CASE WHEN first > 0 THEN '...' ELSE '' END || trim(substring(text, first + 1), {BLANKS}) AS context FROM cut),
+signals AS (
+  SELECT conv_id, turn, type, match, round(least(1.0, least(1.0, base + 0.02) + CASE WHEN regexp_matches(lower(context), 'important|critical|key|essential|must|need') THEN 0.05 ELSE 0 END), 3) AS confidence, context, ns AS suggested_namespace, position FROM around)"""
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("ts"), F.col("event_type").alias("name"), F.lit("histogram").alias("kind"), F.create_map(F.lit("user"), (F.col("user_id") % 5).cast("string")).alias("labels"), "value")

@@ -50,6 +50,18 @@ def write_audit(events: DataFrame, path: str, max_records: int = 100_000) -> Non
     events.write.mode("append").option("maxRecordsPerFile", max_records).json(path)
 
 
+def rotate_audit(spark: SparkSession, path: str, keep: int = 10) -> int:
+    """Removes all but the ``keep`` newest files of an audit log and returns how many."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    old = sorted(found, key=lambda s: (s.getModificationTime(), s.getPath().getName()), reverse=True)[keep:]
+    for s in old:
+        fs.delete(s.getPath(), False)
+    return len(old)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit entries; lines that are no JSON are dropped."""
     return spark.read.schema(schema.AUDIT).option("mode", "DROPMALFORMED").json(path)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notelake import literals as L
 from notelake.functions import scalar as S
-from notelake.operators import capture, knn, signals
+from notelake.operators import capture, context, knn, lookup, signals
 
 
 def once(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -22,6 +22,18 @@ def once(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def session_start(m: DataFrame, as_of: Column, project: str, spec: str | None = None, found: DataFrame | None = None, mode: str = "adaptive", fixed: int = 1000) -> DataFrame:
+    """N18d, K8: one row with the context that a session begins with.
+
+    The number of records sets the budget; ``found`` (section, rank and fields of records,
+    as from ``context.semantic_context``) is added to working memory.
+    """
+    size = context.budget(lookup.count(m, spec=spec).first().n, mode, fixed)
+    held = ["section", "rank", "id", "namespace", "summary", "tags"]
+    rows = context.working_memory(m, as_of, size["working_memory"], spec).select(*held, F.lit(None).cast("double").alias("relevance"))
+    return context.to_xml(rows if found is None else rows.unionByName(found.select(*held, "relevance")), project)
+
+
 def prompt_decisions(prompts: DataFrame, auto: float = 0.85, suggest: float = 0.7, column: str = "prompt") -> DataFrame:
     """Each prompt's marker, or else what its signals say: capture at once, suggest or skip.  Row by row, so it streams without state."""
     out = prompts.withColumn("marker", signals.marker(F.col(column))).withColumn("signals", signals.detect(F.col(column)))

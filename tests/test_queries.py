@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from notelake.plans import queries
+from notelake.plans import queries, steps  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
