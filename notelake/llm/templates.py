@@ -12,7 +12,8 @@ A text holds an item if half of the item's tokens agree, or ``MIN_RUN`` of them
 run, whatever the item's length.
 
 The benchmark is a stated query set.  It is gone through in slices of at most
-``SLICE_WINDOWS`` windows, so what a task holds is bounded whatever its size.
+``SLICE_WINDOWS`` windows, each broadcast as the build side of the hash join, so what a
+task holds is bounded whatever its size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 from notelake.llm.exchange import bounded
@@ -285,9 +287,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_windows int, coverage double, exact boolean"
     out = None
     for items in _slices(benchmark, slice_windows):
-        index = build_index(items, window)
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(items, window))
 
-        def find(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared: Broadcast[Index] = shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 rows = [(t.first + d, *rest) for t in text_blocks(batch.column("text")) for d, *rest in matches(t, index, min_coverage, min_run)]
                 if rows:
@@ -302,9 +305,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, slice_windows: int = SLICE_WINDOWS, min_run: int = MIN_RUN) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; no shuffle."""
     for items in _slices(benchmark, slice_windows):
-        index = build_index(items, window)
+        shared = docs.sparkSession.sparkContext.broadcast(build_index(items, window))
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], shared: Broadcast[Index] = shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 bad = np.zeros(batch.num_rows, bool)
                 for t in text_blocks(batch.column("text")):

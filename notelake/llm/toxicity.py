@@ -9,7 +9,8 @@ tokens; a document's score is a logistic function of the chance that any of its
 is toxic, fitted to the documents' labels.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each label, and
-of these ``CHAINS`` short ones for the chain), chosen by a hash of their ids.  Scoring
+for the chain as many of these as make up ``CHAIN_TOKENS``), in the order of a hash of
+their ids, whatever their length.  Scoring
 goes once through all texts; the recursions run over all tokens of a block at once, as
 products of 2 x 2 matrices in rows of about a square root of their number.
 """
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.exchange import bounded, settled
@@ -29,11 +30,9 @@ from notelake.llm.text import Texts, lower_ascii, mix, text_blocks, word_hash, w
 
 #: Labelled rows of each label that the model learns from at most.
 SAMPLE = 10_000
-#: Documents of each label, of CHAIN_WORDS words at most, that the chain is fitted to.
-CHAINS = 400
-CHAIN_WORDS = 400
-#: Words of the lexicon at most, and how much more frequent in toxic documents they are at least.
-LEXICON = 2_000
+#: Words of each label's documents, about, that the chain is fitted to.
+CHAIN_TOKENS = 60_000
+#: How much more frequent in toxic documents a word of the lexicon is at least.
 MIN_RATIO = 8.0
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (5, 6, 7, 8)
@@ -222,7 +221,7 @@ def document_score(model: Model, inputs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.document[:-1] @ inputs + model.document[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, chains: int = CHAINS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, chain_tokens: int = CHAIN_TOKENS) -> Model:
     """A model from the labelled rows where ``learn`` (an expression of doc_id) holds.
 
     Labels other than 0 and 1 are ignored; of several labels of a document the largest
@@ -307,14 +306,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     found = each.filter(surprise(F.col("t"), F.col("n")) >= needed).filter(ratio >= MIN_RATIO).select("h").collect()
     if not found:
         return constant
-    # only now the strongest ones: words of near copies would take the places of others
-    h = np.array(sorted((r["h"] for r in found), key=lambda v: (-strengths[v], v))[:LEXICON], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    lexicon, strength = h[order], np.log(np.array([strengths[v] for v in h.view(np.int64).tolist()]))[order]
-    words_of = F.size(F.split("text", " "))
-    texts = []
-    for y in (0, 1):
-        texts += rows.filter((F.col("toxic") == y) & (words_of <= CHAIN_WORDS)).orderBy(mark, "doc_id").limit(chains).select("text", "toxic").collect()
+    lexicon = np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+    strength = np.log(np.array([strengths[v] for v in lexicon.view(np.int64).tolist()]))
+    sized = rows.select("doc_id", "toxic", F.size(F.split("text", " ")).alias("n"))
+    behind = F.sum("n").over(Window.partitionBy("toxic").orderBy(mark, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    taken = sized.withColumn("behind", F.coalesce(behind, F.lit(0))).filter(F.col("behind") < chain_tokens).select("doc_id").distinct()
+    texts = rows.join(F.broadcast(taken), "doc_id").orderBy("toxic", mark, "doc_id", "text").select("text", "toxic").collect()
     column, toxic = pa.array([r["text"] or "" for r in texts], pa.large_string()), np.array([r["toxic"] for r in texts])
     founds, firsts, ys = [], [], []
     for t in text_blocks(column):

@@ -311,15 +311,24 @@ def test_near_copies_do_not_take_the_lexicon(spark):
     long = " ".join(["unseen", *("".join(rng.choices("bcdfghjklm", k=9)) for _ in range(90))])
     texts = [long + f" v{i}" if i % 3 == 0 and i % 2 else text(rng, 40) + (" moronic " if i % 3 == 0 else " ") + text(rng, 5) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
-    size, toxicity.LEXICON = toxicity.LEXICON, 10
-    try:
-        model = toxicity.fit(docs_of(spark, texts), labels, ~toxicity.held_out())
-    finally:
-        toxicity.LEXICON = size
+    model = toxicity.fit(docs_of(spark, texts), labels, ~toxicity.held_out())
     spans = {r.doc_id: len(r.spans) for r in toxicity.score(docs_of(spark, ["one moronic word here", "one unseen word here"]), model).collect()}
     assert spans == {0: 1, 1: 0}
 
 
+def test_long_and_repeated_rows_teach_the_chain(spark):
+    rng = random.Random(8)
+    n = 240
+    texts = [text(rng, 300) + (" moronic " if i % 2 else " ") + text(rng, 300) for i in range(n)] + ["", None, "x " * 50000]  # no text is short
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)] + [(1, 0), (1, 1), (n, 0), (n + 1, None), (None, 1)], "doc_id long, toxic int")
+    docs = docs_of(spark, texts)
+    docs = docs.union(docs.filter("doc_id < 5"))
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(), chain_tokens=20_000)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == n + 8 and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == r.doc_id % 2 == len(r.spans) for r in got if r.doc_id < n)
+
+
 # op10
 
 
