@@ -305,10 +305,10 @@ def _rest(docs: DataFrame, candidates: DataFrame, links: DataFrame, similarity:
     stray, found, small = F.col("part") != F.col("top"), links, 2 * BLOCK_DOCS
     open_ = _open(clusters, found, 3)
     texts = settled(_texts_of(docs, open_.select(F.col("id").alias("doc_id"))).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text"))
-    clusters = settled(open_.select("id", "cluster").distinct().join(texts.select("id", "key"), "id"))
+    open_ = settled(open_.join(texts.select("id", "key"), "id"))
+    clusters = open_.select("id", "cluster", "key")
     texts, before = texts.select("key", "text"), None
     while True:
-        open_ = _open(clusters, found, 3 if before is None else small + 1)
         n, most = open_.agg(F.count(F.when(stray, 1)), F.max("strays")).first()
         if not n:
             return found
@@ -322,6 +322,7 @@ def _rest(docs: DataFrame, candidates: DataFrame, links: DataFrame, similarity:
         rows = open_.withColumn("mine", mine).withColumn("x", F.explode(places))
         units = rows.select(F.xxhash64("cluster", "x").alias("unit"), "key", "id", "part", "top", (F.col("stray") & (F.col("x") == F.col("mine"))).alias("stray"))
         found, before = found.union(settled(_stray_links(texts, units, similarity, shingle))), n
+        open_ = _open(clusters, found, small + 1)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:

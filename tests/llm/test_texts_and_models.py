@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -87,6 +88,85 @@ def test_questions_with_other_numbers_and_names_are_found(spark, empty):
     assert templates.contaminated(empty, bench).count() == 0 and templates.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_tokens(t):
+    """Kind and word of each token, written plainly from the rules."""
+    out, first, after_number = [], True, False
+    for line in re.split("(?=\n)", t or ""):
+        first = True
+        for raw in WORD.findall(line):
+            w = raw.strip("!\"'()*,./:;<>?[\\]^_`{|}~#&=@-")
+            if w:
+                low, kind = w.lower(), 0
+                if (w[0].isupper() and not first) or low in map(str.lower, templates.NAMES) and w[0].isupper():
+                    kind = templates.NAME
+                if (re.search("[0-9]", w) and re.fullmatch(r"[0-9.,:/%+\-$^]+", w)) or low in templates.NUMBER_WORDS:
+                    kind = templates.NUMBER
+                elif after_number and low in templates.UNITS:
+                    kind = templates.UNIT
+                out.append((kind, low))
+                after_number = kind == templates.NUMBER
+                first = False
+            if raw[-1] in ".!?:;":
+                first = True
+    return out
+
+
+def plain_matches(doc, item):
+    """Whether a text holds an item: all places and shifts are tried, tokens are compared one by one."""
+    d, x = plain_tokens(doc), plain_tokens(item)
+    n = min(templates.WINDOW, len(x))
+    if n < templates.MIN_TOKENS:
+        return False
+    form = lambda t: t[0] or t  # noqa: E731  a slot, or the word itself
+    cover = set()
+    for shift in range(-len(x), len(d)):
+        there = lambda p: 0 <= p + shift < len(d)  # noqa: E731, B023
+        starts = [p for p in range(len(x) - n + 1) if there(p) and there(p + n - 1)]
+        found = {p for p in starts if x[p : p + n] == d[p + shift : p + shift + n]}
+        found |= {p for p in starts if [form(t) for t in x[p : p + n]] == [form(t) for t in d[p + shift : p + shift + n]] and sum(t[0] == 0 for t in x[p : p + n]) >= templates.MIN_LITERALS}
+        places = sorted({p + j for p in found for j in range(n)})
+        slots = lambda ps: ({(x[p], d[p + shift]) for p in ps if x[p][0]})  # noqa: E731, B023
+        fits = lambda ps: len({a for a, _ in slots(ps)}) == len(slots(ps)) == len({b for _, b in slots(ps)})  # noqa: E731, B023
+        runs = [[p for _, p in g] for _, g in itertools.groupby(enumerate(places), lambda ip: ip[1] - ip[0])]
+        parts = [places] if fits(places) else []
+        for run in [] if parts else [r for r in runs if len(r) >= templates.MIN_RUN]:
+            same = [p for p in run if x[p][1] == d[p + shift][1]]
+            parts += [run] if fits(run) else [[p for _, p in g] for _, g in itertools.groupby(enumerate(same), lambda ip: ip[1] - ip[0])]
+            parts = [p for p in parts if len(p) >= templates.MIN_RUN]
+        for part in parts:
+            cover |= set(part)
+            if any(b - a + 1 >= templates.MIN_RUN for a, b in ((r[0], r[-1]) for r in ([p for _, p in g] for _, g in itertools.groupby(enumerate(part), lambda ip: ip[1] - ip[0])))):
+                return True
+    return len(cover) >= templates.MIN_COVERAGE * len(x)
+
+
+def test_contamination_against_brute_force(spark, empty):
+    rng = random.Random(31)
+    word = lambda: rng.choice(["Tom", "Mary", "Berlin", "12", "3.5", "7", "km", "kg", "five", *"the of a in by how many apples does buy has left train leaves at station before price each box sells".split()])
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    items = [sentence(rng.randint(3, 30)) + rng.choice(["?", ".", ""]) for _ in range(25)]
+
+    def changed(t):
+        """The same question with other names and numbers, consistently (or not)."""
+        names, numbers = {"Tom": "Anna", "Mary": "Peter", "Berlin": "Rome"}, {"12": "99", "3.5": "8.25", "7": "41", "five": "nine"}
+        return " ".join((names | numbers).get(w.strip("?."), w) if rng.random() < 0.97 else word() for w in t.split())
+
+    docs = []
+    for _ in range(120):
+        t, kind = rng.choice(items), rng.random()
+        w = t.split()
+        part = t if kind < 0.25 else changed(t) if kind < 0.5 else " ".join(w[: rng.randint(1, len(w))]) if kind < 0.75 else sentence(20)
+        docs.append(f"{sentence(rng.randint(0, 15))} {part} {sentence(rng.randint(0, 15))}")
+    docs += docs[:5] + ["", None, " \n", "x " * 40000 + items[5]]
+    bench = spark.createDataFrame(list(enumerate([*items, "", None])), "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, docs), bench).collect()}
+    want = {(i, j) for i, t in enumerate(docs[:-1]) for j, x in enumerate(items) if plain_matches(t, x)}
+    assert {g for g in got if g[0] < len(docs) - 1} == want and len(want) > 40
+    assert (len(docs) - 1, 5) in got or len(plain_tokens(items[5])) < templates.MIN_TOKENS
+    kept = {r.doc_id for r in templates.remove_contaminated(docs_of(spark, docs), bench).collect()}
+    assert kept == set(range(len(docs))) - {i for i, _ in got}
+
+
 def test_long_quotes_and_copies_of_few_literals_are_found(spark):
     rng = random.Random(4)
     passage = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
