@@ -199,6 +199,11 @@ SECRET_PATTERNS = [
     ("generic_api_key", "NPM Token", r"//.+/:_authToken=\s*((?:npm_[A-Za-z0-9]{36})|[A-Fa-f0-9-]{36})"),
     ("generic_api_key", "Square OAuth Secret", r"sq0csp-[0-9A-Za-z_-]{43}"),
     ("generic_api_key", "Artifactory Credentials", r"(?:\s|=|:|\"|^)AKC[a-zA-Z0-9]{10,}"),
+    ("aws_secret_key", "AWS Secret Key", r"(?i)aws[\w .:=-]{0,30}[\"']([0-9a-z/+]{40})[\"']"),
+    ("cloudant_key", "Cloudant Password", r"(?i)cloudant[\w-]{0,20}[\"']?\s*[:=]\s*[\"']?([0-9a-f]{64}|[a-z]{24})(?![0-9a-z])"),
+    ("generic_api_key", "IBM Cloud IAM Key", r"(?i)(?:ibm|iam|bluemix)[\w-]{0,20}(?:key|token|password)[\"']?\s*[:=]\s*[\"']?([\w-]{44})(?![\w-])"),
+    ("generic_api_key", "IBM COS HMAC Credentials", r"(?i)(?:cos|hmac|secret[_-]?access)[\w-]{0,20}(?:key|secret|id)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{48})(?![0-9a-f])"),
+    ("generic_api_key", "Softlayer Credentials", r"(?i)softlayer[\w-]{0,20}[\"']?\s*[:=]\s*[\"']?([0-9a-z]{64})(?![0-9a-z])"),
     ("password", "Secret Keyword", r"(?i)(?:password|passwd|pwd|secret|api_?key|token)\s*[:=]\s*[\"']([^\"'\s]{4,})[\"']"),
 ]
 ENTROPY_PATTERNS = [("high_entropy_base64", "Base64 High Entropy String", r"[\"']([A-Za-z0-9+/_=-]{20,})[\"']"), ("high_entropy_hex", "Hex High Entropy String", r"[\"']([0-9a-fA-F]{16,})[\"']")]
