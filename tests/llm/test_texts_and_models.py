@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.llm import katz, pages, pieces, quality, templates, toxicity
+from notelake.llm import katz, katz_store, pages, pieces, quality, templates, toxicity
 
 from .conftest import corpus, docs_of, text
 
@@ -242,6 +242,64 @@ def test_katz_without_training_rows(spark, empty):
     assert sorted((x.n_tokens, x.n_known, x.score) for x in r) == [(1, 0, 0.0), (3, 0, 0.0)]
 
 
+def brute_ngrams(train, order):
+    """Katz backoff of any order by plain recursion; the probability of a word after some words."""
+    pad = ("begin",)
+    counts = [Counter() for _ in range(order + 1)]
+    for w in train:
+        for i in range(len(w)):
+            for k in range(1, order + 1):
+                counts[k][tuple(w[j] if j >= 0 else pad for j in range(i - k + 1, i + 1))] += 1
+    keeps = [None] + [katz.Discounts.good_turing(np.array([0.0] + [sum(x == r for x in counts[k].values()) for r in range(1, katz.K + 2)])).keep for k in range(1, order + 1)]
+    kept = lambda k, c: (keeps[k][c] if c <= katz.K else 1.0) * c
+    after = defaultdict(list)
+    for k in range(1, order + 1):
+        for g in counts[k]:
+            after[g[:-1]].append(g)
+    n = sum(counts[1].values())
+    left = n - sum(kept(1, c) for c in counts[1].values())
+
+    def p(h, w):
+        k = len(h) + 1
+        c = counts[k].get((*h, w), 0)
+        if k == 1:
+            return (kept(1, c) if c else left if left > 1e-12 else 1.0) / (n + (left <= 1e-12))
+        seen = after.get(h)
+        if not seen:
+            return p(h[1:], w)
+        total = sum(counts[k][g] for g in seen)
+        freed = sum(counts[k][g] - kept(k, counts[k][g]) for g in seen)
+        none = freed <= 1e-12
+        if c:
+            return kept(k, c) / (total + none)
+        return (1.0 if none else freed) / (total + none) / (1 - sum(p(h[1:], g[-1]) for g in seen)) * p(h[1:], w)
+
+    return p, counts
+
+
+def test_stored_models_score_other_texts(spark, empty, tmp_path):
+    rng = random.Random(3)
+    low = lambda t: [*WORD.findall((t or "").lower()), ("end",)]
+    lines = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    other = [*lines[:5], "a b new c", "", None, "A B", "x " * 3000]
+    for order in (1, 2, 3):
+        katz_store.train(docs_of(spark, lines), f"{tmp_path}/{order}", order)
+        p, counts = brute_ngrams([low(t) for t in lines], order)
+        got = {r.doc_id: (r.n_tokens, r.score) for r in katz_store.score(docs_of(spark, other), f"{tmp_path}/{order}").collect()}
+        for i, t in enumerate(other):
+            w = low(t)
+            want = sum(math.log10(p(tuple(w[j] if j >= 0 else ("begin",) for j in range(m - order + 1, m)), x)) for m, x in enumerate(w))
+            assert got[i][0] == len(w) and got[i][1] == pytest.approx(want, rel=1e-9)
+        every = [g[0] for g in counts[1]] + ["never seen"]
+        for h in [g[:-1] for g in list(counts[order])[:30]]:
+            assert sum(p(h, w) for w in every) == pytest.approx(1)
+    whole = {r.doc_id: r.score for r in katz.score(docs_of(spark, lines), train=F.lit(True)).collect()}
+    assert {r.doc_id: r.score for r in katz_store.score(docs_of(spark, lines), f"{tmp_path}/2").collect()} == pytest.approx(whole, rel=1e-9)
+    assert katz_store.score(empty, f"{tmp_path}/3").count() == 0
+    katz_store.train(empty, f"{tmp_path}/none", 2)
+    assert katz_store.score(docs_of(spark, ["a b"]), f"{tmp_path}/none").first().score == 0
+
+
 # op6
 
 
