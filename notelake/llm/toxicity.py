@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.exchange import bounded, settled
@@ -308,10 +308,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
         return constant
     lexicon = np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
     strength = np.log(np.array([strengths[v] for v in lexicon.view(np.int64).tolist()]))
-    sized = rows.select("doc_id", "toxic", F.size(F.split("text", " ")).alias("n"))
-    behind = F.sum("n").over(Window.partitionBy("toxic").orderBy(mark, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    taken = sized.withColumn("behind", F.coalesce(behind, F.lit(0))).filter(F.col("behind") < chain_tokens).select("doc_id").distinct()
-    texts = rows.join(F.broadcast(taken), "doc_id").orderBy("toxic", mark, "doc_id", "text").select("text", "toxic").collect()
+    # a row for each sampled document: in the order of the sample as many as make up the words wanted, the last one whole
+    sized = rows.groupBy("doc_id", "toxic").agg(F.sum(F.size(F.split("text", " "))).alias("n")).orderBy("toxic", mark, "doc_id").collect()
+    behind, chosen_ids = {0: 0, 1: 0}, []
+    for r in sized:
+        if behind[r["toxic"]] < chain_tokens:
+            chosen_ids.append((r["doc_id"],))
+        behind[r["toxic"]] += r["n"] or 0
+    taken = docs.sparkSession.createDataFrame(chosen_ids, "doc_id bigint")
+    texts = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic").distinct().orderBy("toxic", mark, "doc_id", "text").select("text", "toxic").collect()
     column, toxic = pa.array([r["text"] or "" for r in texts], pa.large_string()), np.array([r["toxic"] for r in texts])
     founds, firsts, ys = [], [], []
     for t in text_blocks(column):
