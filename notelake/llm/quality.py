@@ -4,7 +4,8 @@ Two histograms describe a document: shares of character classes, and shares of a
 fixed list of common words.  The references are the same histograms summed over
 all documents of a language.  A document fails when its Jensen-Shannon distance to
 even the nearest language reference is too large and it is long enough for its
-shares to mean something (the minimum-length guards).
+shares to mean something (the minimum-length guards; the limit of the word distance
+rises for short texts).
 
 Both passes read each text once, in Arrow batches; the only thing that reaches the
 driver is one row of sums for each language of ``COMMON_WORDS`` and one for all rows.
@@ -45,8 +46,11 @@ CLASSES = {
 SYMBOLS = "#*$%&|<>"
 
 #: Words and code points below which the word or the class histogram is not judged.
-MIN_WORDS = 150
+MIN_WORDS = 50
 MIN_CHARS = 400
+#: Words below which the limit of the word distance rises, with the inverse root of their number as chance does.
+FULL_WORDS = 150
+SHORT_SURPLUS = 1.2
 #: Jensen-Shannon distances (0 to 1) above which a document fails.
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.32
@@ -85,6 +89,11 @@ def _histograms(t: Texts, start: np.ndarray, end: np.ndarray, doc: np.ndarray, v
     return classes, np.bincount(doc * width + column, minlength=n * width).reshape(n, width)
 
 
+def word_limit(n: np.ndarray, limit: float) -> np.ndarray:
+    """The word distance that a text of n words may have."""
+    return limit + SHORT_SURPLUS * np.maximum(1 / np.sqrt(np.maximum(n, 1)) - 1 / np.sqrt(FULL_WORDS), 0)
+
+
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (square root of the divergence in bits) of each row's shares to the reference's."""
     p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
@@ -144,7 +153,7 @@ class Rules:
             classes, common_words = _histograms(t, start, end, doc, self.vocabulary)
             near = [np.min([js_distance(x, r) for r in refs], axis=0) if refs else np.zeros(len(t)) for x, refs in ((classes, self.class_refs), (common_words, self.word_refs))]
             guard = [classes.sum(1) >= min_chars, n >= min_words]
-            bad = (guard[0] & (near[0] > max_class)) | (guard[1] & (near[1] > max_word))
+            bad = (guard[0] & (near[0] > max_class)) | (guard[1] & (near[1] > word_limit(n, max_word)))
             parts.append((n, chars, symbols, _duplicate_lines(t), n_repeat, failed, np.where(guard[0], near[0], np.nan), np.where(guard[1], near[1], np.nan), ~failed & ~bad))
         return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, int)] * 5 + [np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0, bool)]
 

@@ -119,7 +119,7 @@ base AS (
     CASE WHEN length(c.text) >= {quality.MIN_CHARS} THEN a.distance END AS class_distance, CASE WHEN coalesce(r.n_words, 0) >= {quality.MIN_WORDS} THEN b.distance END AS word_distance
   FROM counted c LEFT JOIN repeats r USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN class_near a USING (doc_id) LEFT JOIN word_near b USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (coalesce(class_distance > {quality.MAX_CLASS_DISTANCE}, false) OR coalesce(word_distance > {quality.MAX_WORD_DISTANCE}, false)) AS kept FROM base"""
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (coalesce(class_distance > {quality.MAX_CLASS_DISTANCE}, false) OR coalesce(word_distance > {quality.MAX_WORD_DISTANCE} + {quality.SHORT_SURPLUS} * greatest(1 / sqrt(n_words) - 1 / sqrt({quality.FULL_WORDS}), 0), false)) AS kept FROM base"""
 
 
 QUALITY = _quality()
