@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +16,7 @@ from notelake.functions import scalar as S
 from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
 from notelake.plans import views as V
 from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _LE, _PCT, _plain, _r, _working_sql, _xml_sql, query
-from notelake.sources import files
+from notelake.sources import files, git
 from notelake.sources.store import Store
 from notelake.streaming import hooks
 
@@ -196,6 +201,160 @@ def n20_spec_ids(spark, d):
     return V.table(spark, d, "documents").select("doc_id", files.spec_id(text).alias("spec"))
 
 
+# repositories: a commit and a note for each benchmark item
+
+
+def _repository(spark, d) -> str:
+    """A repository with a commit (of one file) and a note for each benchmark item, in a folder that all executors see."""
+    place = urlparse(driver.shared_folder(spark, "repository"))
+    if place.scheme not in ("", "file"):
+        raise ValueError("a git repository needs a folder of a local or mounted file system")
+    path = place.path
+    os.makedirs(path)
+    git.git(path, "init", "-q", "-b", "main")
+    for k, v in (("user.name", "Ann"), ("user.email", "ann@example.com")):
+        git.git(path, "config", k, v)
+    data = lambda t: b"data %d\n%s\n" % (len(t.encode()), t.encode())
+    who = b"committer Ann <ann@example.com> %d +0000\n"
+    out = []
+    items = [(r[0], r[1]) for r in V.table(spark, d, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator()]
+    for i, text in items:
+        out.append(b"commit refs/heads/main\nmark :%d\n" % (i + 1) + who % (1_700_000_000 + i) + data(f"item {i}") + b"M 100644 inline item.txt\n" + data(text))
+    for k, namespace in enumerate(("decisions", "learnings", "progress")):
+        mine = [(i, t) for i, t in items if i % 3 == k]
+        out += [b"commit refs/notes/mem/%s\n" % namespace.encode() + who % 1_700_000_000 + data("notes") + b"".join(b"N inline :%d\n" % (i + 1) + data(t) for i, t in mine)] if mine else []
+    git.git(path, "fast-import", "--quiet", data=b"".join(out))
+    return path
+
+
+_SPACE = "list_extract(['decisions', 'learnings', 'progress'], CAST(item_id % 3 + 1 AS BIGINT)) AS namespace"
+
+
+def _git_notes(spark, path: str) -> DataFrame:
+    spark.dataSource.register(git.GitNotes)
+    return spark.read.format("commit_notes").option("repo", path).option("prefix", "refs/notes/mem").load()
+
+
+@query(f"SELECT {_SPACE}, md5(text) AS note_md5, 40 AS sha_chars FROM benchmark")
+def a12_git_notes(spark, d):
+    notes_ = _git_notes(spark, _repository(spark, d))
+    return notes_.select("namespace", F.md5(F.col("note").cast("binary")).alias("note_md5"), F.length("commit_sha").alias("sha_chars"))
+
+
+@query("SELECT 'appended' AS kind, md5(text || chr(10) || 'more' || chr(10)) AS note_md5 FROM benchmark WHERE item_id = 3 UNION ALL SELECT 'overwritten', md5('new' || chr(10))")
+def a14_write_notes(spark, d):
+    path = _repository(spark, d)
+    shas = {r.message: r.sha for r in git.commits(spark, path).filter("message in ('item 0', 'item 3', 'item 6')").collect()}
+    git.write_note(path, "refs/notes/mem", "decisions", shas["item 3"], "more")
+    git.write_note(path, "refs/notes/mem", "decisions", shas["item 0"], "new", "overwrite")
+    git.write_note(path, "refs/notes/mem", "decisions", shas["item 6"], "", "remove")
+    names = spark.createDataFrame([(shas["item 3"], "appended"), (shas["item 0"], "overwritten"), (shas["item 6"], "removed")], "commit_sha string, kind string")
+    return _git_notes(spark, path).filter("namespace = 'decisions'").join(names, "commit_sha").select("kind", F.md5(F.col("note").cast("binary")).alias("note_md5"))
+
+
+@query("SELECT 'item ' || item_id AS message, 'Ann' AS author_name, 'ann@example.com' AS author_email, 1700000000 + item_id AS ts FROM benchmark")
+def a15_git_commits(spark, d):
+    return git.commits(spark, _repository(spark, d)).select("message", "author_name", "author_email", F.unix_seconds(S.parse_timestamp(F.col("date"))).alias("ts"))
+
+
+@query("SELECT 'item.txt' AS path, md5(text) AS content_md5 FROM benchmark ORDER BY item_id DESC LIMIT 1")
+def a17_commit_files(spark, d):
+    files_ = git.commit_files(spark, (path := _repository(spark, d)), git.git(path, "rev-parse", "main").decode().strip())
+    return files_.select("path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+# services of the driver, with a clock of their own
+
+
+class _Clock:
+    """Seconds that go on by one at each look."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        self.now += 1.0
+        return self.now
+
+
+def _measured() -> driver.Telemetry:
+    t = driver.Telemetry(clock=_Clock())
+    t.start_trace("t1")
+
+    @t.measured("load", {"kind": "x"})
+    def load(ok: bool) -> None:
+        with t.span("inner"):
+            if not ok:
+                raise ValueError("no")
+
+    load(True)
+    with contextlib.suppress(ValueError):
+        load(False)
+    with t.timed("block"):
+        pass
+    t.increment("calls", 2)
+    t.set_gauge("open", 5)
+    t.change_gauge("open", -1)
+    return t
+
+
+@query("SELECT name, kind, labels_key, CAST(value AS DOUBLE) AS value FROM (VALUES ('load_duration_ms', 'histogram', 'kind=x,status=success', 5000.0), ('load_duration_ms', 'histogram', 'kind=x,status=error', 5000.0), ('block_duration_ms', 'histogram', 'status=success', 1000.0), ('calls', 'counter', '', 2.0), ('open', 'set', '', 5.0), ('open', 'add', '', -1.0)) t(name, kind, labels_key, value)")
+def m1_measured_calls(spark, d):
+    return _measured().observations(spark).select("name", "kind", S.labels_key(F.col("labels")).alias("labels_key"), "value")
+
+
+@query("SELECT trace_id, operation, has_parent, status, CAST(ms AS DOUBLE) AS ms FROM (VALUES ('t1', 'load', false, 'ok', 3000.0), ('t1', 'inner', true, 'ok', 1000.0), ('t1', 'load', false, 'error', 3000.0), ('t1', 'inner', true, 'error', 1000.0)) t(trace_id, operation, has_parent, status, ms)")
+def n9_recorded_spans(spark, d):
+    return _measured().spans(spark).select("trace_id", "operation", F.col("parent_span_id").isNotNull().alias("has_parent"), "status", telemetry.duration_ms().alias("ms"))
+
+
+@query("SELECT * FROM (VALUES (0, NULL), (1, 'A'), (2, NULL), (3, 'C'), (4, NULL), (5, '1'), (6, '0'), (7, '2/4')) t(step, got)")
+def f6_search_cache(spark, d):
+    clock = _Clock()
+    c = knn.SearchCache(2, 10.0, clock)
+    got: list[object] = [c.get("a")]
+    c.set("a", "A")
+    got.append(c.get("a"))
+    c.set("b", "B")
+    c.get("a")
+    c.set("c", "C")  # b was used longest ago
+    got += [c.get("b"), c.get("c")]
+    clock.now += 20
+    got.append(c.get("c"))
+    c.set("key one", "1")
+    got += [c.invalidate("one"), c.stats()["size"] - 1]
+    s = c.stats()
+    got.append(f"{s['hits'] - 1}/{s['misses'] + 1}")
+    return spark.createDataFrame([(i, None if x is None else str(x)) for i, x in enumerate(got)], "step int, got string")
+
+
+@query("SELECT * FROM (VALUES ('same', true), ('replaced', true), ('after reset', false)) t(step, holds)")
+def n24_registry(spark, d):
+    r = driver.Registry()
+    first = r.get(dict)
+    rows = [("same", r.get(dict) is first)]
+    r.register(dict, other := {"x": 1})
+    rows.append(("replaced", r.get(dict) is other))
+    r.reset()
+    return spark.createDataFrame([*rows, ("after reset", r.get(dict) is other)], "step string, holds boolean")
+
+
+@query("SELECT * FROM (VALUES ('pyproject', 'demo', true), ('package', 'pack', true), ('folder', 'plain', false)) t(kind, name, has_root)")
+def a46_projects_of_folders(spark, d):
+    rows = []
+    with tempfile.TemporaryDirectory() as top:  # of the driver alone
+        for kind, file, text in (("pyproject", "pyproject.toml", '[project]\nname = "demo"\n'), ("package", "package.json", '{"name": "pack"}'), ("folder", None, "")):
+            folder = os.path.join(top, kind, "plain")
+            os.makedirs(folder)
+            if file:
+                os.makedirs(os.path.join(top, kind, ".git"))
+                with open(os.path.join(top, kind, file), "w") as f:
+                    f.write(text)
+            found = driver.detect_project(folder)
+            rows.append((kind, found["name"], found["root"] == os.path.join(top, kind)))
+    return spark.createDataFrame(rows, "kind string, name string, has_root boolean")
+
+
 # synchronisation
 
 
@@ -560,6 +719,28 @@ def a40b_otlp_histograms(spark, d):
     return telemetry.otlp_histograms(telemetry.histogram(V.observations(spark, d)).withColumn("sum", F.lit(1.0)), 5)
 
 
+@query("SELECT line, count(*) AS n FROM (SELECT DISTINCT event_type, CASE k WHEN 0 THEN '# HELP ' || event_type || ' Gauge metric' ELSE '# TYPE ' || event_type || ' gauge' END AS line FROM events, (VALUES (0), (1)) t(k) UNION ALL SELECT event_type, event_type || '{user=\"' || user_id % 5 || '\"} ' || count(*) || '.0' FROM events GROUP BY event_type, user_id % 5) GROUP BY line")
+def n18b_flushed_lines(spark, d):
+    path = driver.shared_folder(spark, "telemetry")
+    telemetry.flush(telemetry.prometheus_counters(telemetry.counters(V.observations(spark, d).withColumn("value", F.lit(1.0))), "gauge"), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS name, 'user=' || user_id % 5 AS labels_key, concat_ws(',', count(*) FILTER (value <= 3), count(*) FILTER (value > 3 AND value <= 30), count(*) FILTER (value > 30)) AS buckets FROM events GROUP BY 1, 2")
+def n8c_custom_buckets(spark, d):
+    h = telemetry.histogram(V.observations(spark, d), [3.0, 30.0])
+    return h.select("name", "labels_key", F.array_join(F.transform("buckets", lambda x: x.cast("string")), ",").alias("buckets"))
+
+
+_TOKENS = [(0, "Why did the database bug block us?", "Why,did,the,database,bug,block,us"), (1, "deploy (frontend), test: a cache!", "deploy,frontend,test,cache"), (2, "x 'quoted' [list] {map}", "quoted,list,map")]
+
+
+@query(f"SELECT b.item_id, q.tokens FROM benchmark b JOIN {V.values(_TOKENS)} q(k, query, tokens) ON q.k = b.item_id % 3")
+def n5_query_tokens(spark, d):
+    q = F.element_at(F.array(*(F.lit(x) for _, x, _ in _TOKENS)), (F.col("item_id") % 3 + 1).cast("int"))
+    return V.table(spark, d, "benchmark").select("item_id", F.array_join(S.query_tokens(q), ",").alias("tokens"))
+
+
 @query(f"WITH {SP} SELECT trace_id, count(*) AS spans, round(sum((end_time - start_time) * 1000), 6) AS total_ms FROM spans GROUP BY trace_id")
 def n9b_span_durations(spark, d):
     return V.spans(spark, d).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum(telemetry.duration_ms()), 6).alias("total_ms"))
