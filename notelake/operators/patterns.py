@@ -32,14 +32,11 @@ def frequencies(m: DataFrame) -> DataFrame:
     return inverted(m).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _classify(namespaces: list[str], words: list[str]) -> str:
-    """H5: kind with the most key words and namespace hints; ties go to the first declared, none to technical."""
-    score = {k: len(set(words) & set(v.split())) for k, v in L.PATTERN_KEYWORDS.items()}
-    for n in namespaces:
-        if n in L.PATTERN_HINTS:
-            score[L.PATTERN_HINTS[n]] += 1
-    best = max(score, key=lambda k: score[k])
-    return best if score[best] else "technical"
+def _kind(words: Column, hints: dict[str, Column]) -> Column:
+    """H5: kind with the most key words and namespace hints (their numbers); ties go to the first declared, none to technical."""
+    score = lambda k, v: F.size(F.array_intersect(words, F.array(*map(F.lit, v.split())))) + hints.get(k, F.lit(0))
+    best = F.greatest(*(F.struct(score(k, v).cast("long").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("kind")) for i, (k, v) in enumerate(L.PATTERN_KEYWORDS.items())))
+    return F.when(best["n"] > 0, best["kind"]).otherwise("technical")
 
 
 def _clusters(doc: np.ndarray, term: np.ndarray, least: int) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -85,44 +82,40 @@ def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES,
     """H3-H8: pattern candidates, for all records or each value of ``group`` (a column such as spec or namespace).
 
     Frequent terms are swept in the order (more records first, then alphabet): a seed
-    takes every later term with which enough of its records are left.  Counting terms is
-    distributed; the sweep is sequential and so is one task for each group, which gets
-    the frequent terms with their record numbers.  ``max_terms`` keeps only the most
-    frequent ones, which changes the result; no registered query sets it.
+    takes every later term with which enough of its records are left.  Terms are counted
+    and gathered into postings by all tasks; the sweep is sequential and so is one task
+    for each group, which gets eight bytes for each posting.  Records are joined to the
+    clusters afterwards.  ``max_terms`` keeps only the most frequent ones, which changes
+    the result; no registered query sets it.
     """
-    keyed = m.withColumn("__g", F.col(group) if group else F.lit("")).filter(F.col("__g").isNotNull())
-    each = keyed.select("__g", "id", "namespace", S.temporal_decay("timestamp", as_of).alias("decay"), F.explode(terms(F.col("summary"), F.col("content"), F.col("tags"))).alias("term"))
-    df = each.groupBy("__g", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_occurrences)
+    keyed = m.withColumn("__g", F.col(group) if group else F.lit("")).filter(F.col("__g").isNotNull()).withColumn("__d", F.xxhash64("id"))
+    each = keyed.select("__g", "__d", F.explode(terms(F.col("summary"), F.col("content"), F.col("tags"))).alias("term"))
+    postings = each.groupBy("__g", "term").agg(F.collect_set("__d").alias("docs")).filter(F.size("docs") >= min_occurrences)
     if max_terms is not None:
-        df = df.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.col("df").desc(), "term"))).filter(F.col("__r") <= max_terms).drop("__r")
+        postings = postings.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.size("docs").desc(), "term"))).filter(F.col("__r") <= max_terms).drop("__r")
     totals = keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("total"))
-    rows = each.join(df, ["__g", "term"]).join(totals, "__g")
 
     def sweep(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        import math
-
         total = int(part["total"].iloc[0])
-        first = part.drop_duplicates("id").sort_values("id")
-        ids, spaces, decay = first["id"].to_numpy(), first["namespace"].to_numpy(), first["decay"].to_numpy(float)
-        pairs = part[["id", "term"]].drop_duplicates()
-        order = pairs["term"].value_counts().rename_axis("term").reset_index(name="n").sort_values(["n", "term"], ascending=[False, True])
-        names, sizes = order["term"].tolist(), order["n"].tolist()
-        doc = np.searchsorted(ids, pairs["id"].to_numpy())
-        term = pd.Series(range(len(names)), names).loc[pairs["term"]].to_numpy()
+        part = part.assign(n=part["docs"].map(len)).sort_values(["n", "term"], ascending=[False, True])
+        names, sizes = part["term"].tolist(), part["n"].to_numpy()
+        ids, doc = np.unique(np.concatenate(part["docs"].tolist()), return_inverse=True)
         out, seen = [], set()
-        for members, left in _clusters(doc, term, min_occurrences):
-            if (key_ := left.tobytes()) in seen:
+        for members, left in _clusters(doc, np.repeat(np.arange(len(names)), sizes), min_occurrences):
+            if (same := np.sort(left).tobytes()) in seen:
                 continue
-            seen.add(key_)
-            evidence = ids[left].tolist()
-            words = [names[j] for j in members]
-            idf = sum(math.log(total / sizes[j]) for j in members) / len(members)
-            kind = _classify(spaces[left].tolist(), words)
-            label = " ".join(w for w in words[:3]).title() + f" ({kind.replace('-', ' ').title()})"
-            out.append((key[0], label, kind, words, evidence, idf * len(evidence) ** 0.5 * len(words) ** 0.3, float(decay[left].mean()), words[0]))
-        return pd.DataFrame(out, columns=["group", "name", "pattern_type", "terms", "evidence", "raw_score", "recency", "seed"])
-
-    found = rows.groupBy("__g").applyInPandas(sweep, "group string, name string, pattern_type string, terms array<string>, evidence array<string>, raw_score double, recency double, seed string")
+            seen.add(same)
+            out.append((key[0], len(out), [names[j] for j in members], float(np.log(total / sizes[members]).mean()), ids[left].tolist()))
+        return pd.DataFrame(out, columns=["group", "cluster", "terms", "idf", "docs"])
+
+    swept = postings.join(totals, "__g").groupBy("__g").applyInPandas(sweep, "group string, cluster int, terms array<string>, idf double, docs array<bigint>")
+    records = keyed.select("__g", "__d", "id", "namespace", S.temporal_decay("timestamp", as_of).alias("decay")).dropDuplicates(["__g", "__d"])
+    hits = swept.select("group", "cluster", F.explode("docs").alias("__d")).withColumnRenamed("group", "__g").join(records, ["__g", "__d"]).withColumnRenamed("__g", "group")
+    gathered = hits.groupBy("group", "cluster").agg(F.sort_array(F.collect_list("id")).alias("evidence"), F.avg("decay").alias("recency"), *(F.count_if(F.col("namespace") == n).alias(f"__{n}") for n in L.PATTERN_HINTS))
+    kind = _kind(F.col("terms"), {k: F.col(f"__{n}") for n, k in L.PATTERN_HINTS.items()})
+    label = F.concat(S.title_case(F.array_join(F.slice("terms", 1, 3), " ")), F.lit(" ("), S.title_case(F.replace(F.col("pattern_type"), F.lit("-"), F.lit(" "))), F.lit(")"))
+    found = swept.drop("docs").join(gathered, ["group", "cluster"]).withColumn("pattern_type", kind)
+    found = found.select("group", label.alias("name"), "pattern_type", "terms", "evidence", (F.col("idf") * F.sqrt(F.size("evidence")) * F.pow(F.size("terms"), F.lit(0.3))).alias("raw_score"), "recency", F.col("terms")[0].alias("seed"))
     w = Window.partitionBy("group")
     top = F.max("raw_score").over(w)
     scored = found.withColumn("normalized_score", F.when(top > 0, F.col("raw_score") / top).otherwise(0.0)).withColumn("occurrence_count", F.size("evidence"))
