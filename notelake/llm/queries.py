@@ -40,6 +40,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), pieces.read_model(PIECES_MODEL))
 
 
+@query
+def sentencepiece_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for which op1 and the SentencePiece library differ: none."""
+    return pieces.parity(_table(spark, sf_dir, "documents"), pieces.read_model(PIECES_MODEL))
+
+
+@query
+def longest_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's doubling beyond 13 words, until no candidates survive."""
+    return repeats.longest_repeats(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

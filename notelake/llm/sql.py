@@ -30,6 +30,19 @@ kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed
 SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
+def _longest(n: int = 13, most: int = 11) -> str:
+    """For each document the longest of n, 2 n, 4 n, ... words (up to n 2**most) of a window that another document has too."""
+    steps, found, last = [], [], "w0"
+    for k in range(most + 1):
+        size = n << k
+        if k:
+            steps.append(f"w{k} AS (SELECT *, CASE WHEN lead(h{k - 1}, {size // 2}) OVER o IS NOT NULL THEN hash(h{k - 1}, lead(h{k - 1}, {size // 2}) OVER o) END AS h{k} FROM {last} WINDOW o AS (PARTITION BY doc_id ORDER BY pos))")
+            last = f"w{k}"
+        found.append(f"SELECT doc_id, {size} AS words FROM w{k} WHERE h{k} IN (SELECT h{k} FROM w{k} WHERE h{k} IS NOT NULL GROUP BY h{k} HAVING min(doc_id) < max(doc_id))")
+    first = f"w0 AS (SELECT doc_id, pos, CASE WHEN key IS NOT NULL THEN hash(key) END AS h0 FROM (SELECT doc_id, pos, {_windows(n)} AS key FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)))"
+    return f"WITH {_WORDS},\n{', '.join([first, *steps])},\nfound AS ({' UNION ALL '.join(found)})\nSELECT d.doc_id, CAST(coalesce(max(f.words), 0) AS BIGINT) AS words FROM documents d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id"
+
+
 def _doubled(length: int) -> tuple[str, str]:
     """Statements that hash 1, 2, 4, ... bytes from each one on, and the hash of ``length`` of them."""
     steps, size, last = [], 1, "bytes"
@@ -124,4 +137,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 QUALITY = _quality()
 
-ORACLE_SQL = {"op9_word_repeats": WORD_REPEATS, "op4_suffix_array": BYTE_REPEATS, "op8_bagminhash": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
+ORACLE_SQL = {"sentencepiece_parity": "SELECT doc_id FROM documents WHERE false", "longest_word_repeats": _longest(), "op9_word_repeats": WORD_REPEATS, "op4_suffix_array": BYTE_REPEATS, "op8_bagminhash": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
