@@ -15,7 +15,7 @@ from notelake.functions import driver
 from notelake.functions import scalar as S
 from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
 from notelake.plans import views as V
-from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _LE, _PCT, _plain, _r, _working_sql, _xml_sql, query
+from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _index, _LE, _PCT, _plain, _r, _working_sql, _xml_sql, query
 from notelake.sources import files, git
 from notelake.sources.store import Store
 from notelake.streaming import hooks
@@ -61,10 +61,12 @@ def a2_store(spark, d):
     """A store's life: written, added to, changed, partly deleted, vacuumed, and read again."""
     m = V.memories(spark, d)
     s = Store(spark, driver.shared_folder(spark, "store"))
-    s.replace(m.filter("doc_id % 2 = 0"))
+    before = m.withColumn("id", F.when(F.col("doc_id") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("-old"))))
+    s.replace(before)
     n = s.insert(m)
-    s.update(m.filter("namespace = 'blockers'").withColumn("summary", F.lit("changed")))
-    s.delete(m.filter("namespace = 'reviews'"))
+    s.update(m.withColumns({"summary": F.lit("changed"), "id": F.when(F.col("namespace") == "blockers", F.col("id")).otherwise("unknown")}))
+    s.delete(before.withColumn("id", F.when((F.col("namespace") == "reviews") | F.col("id").endswith("-old"), F.col("id"))))
+    s.delete(m.withColumn("id", F.when(F.col("namespace") == "reviews", F.col("id"))))
     s.vacuum()
     return s.read().select("id", "namespace", "summary", F.lit(n).cast("bigint").alias("inserted"))
 
@@ -358,33 +360,35 @@ def a46_projects_of_folders(spark, d):
 # synchronisation
 
 
-@query(f"WITH {M}, p AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'mismatched' END AS problem, id FROM memories UNION ALL SELECT 'orphaned', id || '-orphan' FROM memories WHERE doc_id % 29 = 0) SELECT string_agg(id, ',' ORDER BY id) FILTER (problem = 'missing') AS missing, string_agg(id, ',' ORDER BY id) FILTER (problem = 'orphaned') AS orphaned, string_agg(id, ',' ORDER BY id) FILTER (problem = 'mismatched') AS mismatched, count(problem) AS total_issues, false AS is_consistent FROM p")
+@query(f"WITH {M}, p AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'mismatched' END AS problem, id FROM memories UNION ALL SELECT 'orphaned', id || '-orphan' FROM memories WHERE doc_id % 13 = 0) SELECT string_agg(id, ',' ORDER BY id) FILTER (problem = 'missing') AS missing, string_agg(id, ',' ORDER BY id) FILTER (problem = 'orphaned') AS orphaned, string_agg(id, ',' ORDER BY id) FILTER (problem = 'mismatched') AS mismatched, count(problem) AS total_issues, false AS is_consistent FROM p")
 def g1_verification(spark, d):
-    from notelake.plans.queries import _index
-
     m = V.memories(spark, d)
     v = sync.verification(sync.verify(m, _index(m)))
     return v.select(*(F.array_join(c, ",").alias(c) for c in ("missing", "orphaned", "mismatched")), "total_issues", "is_consistent")
 
 
-def _note(kind: str) -> str:
-    return f"SELECT namespace, commit_sha, '{kind} ' || summary AS note FROM memories"
+def _note(kind: str, own: bool = False) -> str:
+    return f"SELECT namespace, commit_sha || {_OTHER if own else repr('')} AS commit_sha, '{kind} ' || summary AS note FROM memories"
+
+
+_OTHER = "CASE WHEN doc_id % 3 = 0 THEN '-ours' ELSE '' END"
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Notes of two sides: ours of two in three records, theirs of all in some namespaces."""
+    """Notes of two sides for all records; a third of ours is of commits that the other side does not have."""
     m = V.memories(spark, d)
-    make = lambda kind: ["namespace", "commit_sha", F.concat(F.lit(kind + " "), "summary").alias("note")]
-    return m.filter("doc_id % 3 <> 0").select(*make("ours")), m.filter("namespace < 'l'").select(*make("theirs"))
+    make = lambda kind: F.concat(F.lit(kind + " "), "summary").alias("note")
+    ours = m.select("namespace", F.concat("commit_sha", F.when(F.col("doc_id") % 3 == 0, "-ours").otherwise("")).alias("commit_sha"), make("ours"))
+    return ours, m.select("namespace", "commit_sha", make("theirs"))
 
 
-@query(f"WITH {M} {_note('theirs')} WHERE namespace IN ('decisions', 'blockers') UNION ALL {_note('ours')} WHERE doc_id % 3 <> 0 AND namespace NOT IN ('decisions', 'blockers')")
+@query(f"WITH {M} {_note('theirs')} WHERE namespace IN ('decisions', 'blockers') UNION ALL {_note('ours', True)} WHERE namespace NOT IN ('decisions', 'blockers')")
 def a43b_fetch_notes(spark, d):
     ours, theirs = _sides(spark, d)
     return sync.fetch_notes(ours, theirs, ["decisions", "blockers"])
 
 
-@query(f"WITH {M} {_note('ours')} WHERE doc_id % 3 <> 0 UNION ALL {_note('theirs')} WHERE namespace < 'l' AND doc_id % 3 = 0")
+@query(f"WITH {M} {_note('ours', True)} UNION ALL {_note('theirs')} WHERE doc_id % 3 = 0")
 def a43d_push_notes(spark, d):
     ours, theirs = _sides(spark, d)
     return sync.push_notes(theirs, ours)
@@ -393,8 +397,6 @@ def a43d_push_notes(spark, d):
 @query(f"WITH {M} SELECT namespace || ':' || substring(commit_sha, 1, 7) || ':0' AS id, 'x' AS summary, 'n' AS kind FROM memories WHERE doc_id % 13 = 0")
 def g3c_sync_remote(spark, d):
     """Both sides hold parts of each note, whose sorted lines make the whole one; what the index lacks is added."""
-    from notelake.plans.queries import _index
-
     m = V.memories(spark, d)
     # merged notes are sorted lines: the first and the last line close the front matter
     ours = m.select("namespace", "commit_sha", F.lit("---\nsummary: x").alias("note"))
@@ -428,17 +430,17 @@ def _capture_sql(namespace: str, content: str, summary: str = "summary", tags: s
     return f"WITH {M}, r AS (SELECT *, {content} AS body FROM memories) SELECT id, {summary} AS summary, md5(body) AS content_md5, '{namespace}' AS namespace, {tags} AS tags, {status} AS status, {errors} AS errors FROM r"
 
 
-def _two(first: tuple[str, str], second: tuple[str, str]) -> str:
-    """Two sections; a blank one is left out."""
-    a, b = (f"CASE WHEN trim({x}, {V.BLANKS}) <> '' THEN {_section(t, x)} END" for t, x in (first, second))
-    return f"concat_ws({NL} || {NL}, {a}, {b})"
+def _sections(*parts: tuple[str, str]) -> str:
+    """Sections in order; blank ones are left out."""
+    each = ", ".join(f"CASE WHEN trim({x}, {V.BLANKS}) <> '' THEN {_section(t, x)} END" for t, x in parts)
+    return f"concat_ws({NL} || {NL}, {each})"
 
 
 def _inputs(spark, d, **columns) -> DataFrame:
     return V.memories(spark, d).select("id", "summary", "tags", *(c.alias(n) for n, c in columns.items()))
 
 
-@query(_capture_sql("blockers", _two(("Description", "content"), ("Impact", "coalesce(spec, '')"))))
+@query(_capture_sql("blockers", _sections(("Description", "content"), ("Impact", "coalesce(spec, '')"))))
 def i16b_capture_blocker(spark, d):
     return _captured(capture.blockers(_inputs(spark, d, description=F.col("content"), impact=F.coalesce("spec", F.lit("")))))
 
@@ -448,12 +450,12 @@ def i16c_resolve_blocker(spark, d):
     return _captured(capture.resolutions(_inputs(spark, d, memory_id=F.col("id"), resolution=F.col("content"))))
 
 
-@query(_capture_sql("learnings", _two(("Insight", "content"), ("Context", "' '"))))
+@query(_capture_sql("learnings", _sections(("Insight", "content"), ("Context", "' '"))))
 def i16d_capture_learning(spark, d):
     return _captured(capture.learnings(_inputs(spark, d, insight=F.col("content"), context=F.lit(" "))))
 
 
-@query(_capture_sql("progress", _two(("Milestone", "summary"), ("Details", "content"))))
+@query(_capture_sql("progress", _sections(("Milestone", "summary"), ("Details", "content"))))
 def i16e_capture_progress(spark, d):
     return _captured(capture.progress(_inputs(spark, d, milestone=F.col("summary"), details=F.col("content"))))
 
@@ -466,14 +468,14 @@ def i16f_capture_retrospective(spark, d):
 _SURE = "(doc_id % 130) / 100.0"
 
 
-@query(_capture_sql("patterns", f"{_section('Pattern Type', 'lang')} || {NL} || {NL} || {_section('Evidence', 'summary')} || {NL} || {NL} || {_section('Confidence', f'printf(chr(37) || chr(46) || chr(50) || chr(102), {_SURE})')}", tags="tags || ',pattern:' || lang", status="'candidate'", more=f"CASE WHEN {_SURE} > 1 THEN 'confidence' END").replace("SELECT *, ", "SELECT * FROM (SELECT *, ", 1).replace(" AS body FROM memories)", " AS body FROM memories) WHERE trim(summary) <> '')", 1))
+@query(_capture_sql("patterns", _sections(("Pattern Type", "lang"), ("Evidence", "summary"), ("Confidence", f"printf('%.2f', {_SURE})")), tags="tags || ',pattern:' || lang", status="'candidate'", more=f"CASE WHEN {_SURE} > 1 THEN 'confidence' END"))
 def i16g_capture_pattern(spark, d):
-    rows = V.memories(spark, d).filter("trim(summary) <> ''")
-    rows = rows.select("id", "summary", "tags", F.element_at("tags", 1).alias("pattern_type"), F.col("summary").alias("evidence"), (F.col("doc_id") % 130 / 100.0).alias("confidence"))
+    sure = V.memories(spark, d).select("id", (F.col("doc_id") % 130 / 100.0).alias("confidence"))
+    rows = _inputs(spark, d, pattern_type=F.element_at("tags", 1), evidence=F.col("summary")).join(sure, "id")
     return _captured(capture.patterns(rows))
 
 
-@query(_capture_sql("reviews", _two(("Findings", "content"), ("Verdict", "lang")), tags="tags || ',verdict:' || lang"))
+@query(_capture_sql("reviews", _sections(("Findings", "content"), ("Verdict", "lang")), tags="tags || ',verdict:' || lang"))
 def i16h_capture_review(spark, d):
     return _captured(capture.reviews(_inputs(spark, d, findings=F.col("content"), verdict=F.element_at("tags", 1))))
 
