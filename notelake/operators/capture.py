@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,22 @@ def append_notes(rows: DataFrame, held: DataFrame, order: str = "id") -> tuple[D
     return out, placed.withColumn("id", S.memory_id(F.col("namespace"), F.col("commit_sha"), F.col("idx")))
 
 
+def record(rows: DataFrame, held: DataFrame, write_notes: Callable[[DataFrame], object], write_index: Callable[[DataFrame], object], secrets: bool = True) -> tuple[DataFrame, str | None]:
+    """I13 as a whole: valid rows, without secrets, go into notes and then into the index.
+
+    Returns the rejected rows and, where the index could not be written, a warning: the
+    notes are kept all the same, and a later synchronisation finds the records in them.
+    """
+    good, bad = capture(rows, secrets)
+    notes_, placed = append_notes(good, held)
+    write_notes(notes_)
+    try:
+        write_index(placed)
+    except Exception as e:  # noqa: BLE001  whatever the index raises, the capture has succeeded
+        return bad, f"Indexing failed: {e}"
+    return bad, None
+
+
 def tool_content(event: Column) -> Column:
     """The text that a file tool writes, from its JSON event (Write, Edit, MultiEdit); null for others."""
     get = lambda p: F.get_json_object(event, p)

@@ -15,7 +15,7 @@ from notelake.functions import driver
 from notelake.functions import scalar as S
 from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
 from notelake.plans import views as V
-from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _index, _LE, _PCT, _plain, _r, _working_sql, _xml_sql, query
+from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _index, _LE, _PCT, _r, _working_sql, _xml_sql, query
 from notelake.sources import files, git
 from notelake.sources.store import Store
 from notelake.streaming import hooks

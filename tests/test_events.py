@@ -305,3 +305,28 @@ def test_windows_drop_late_rows(spark, tmp_path):
     hooks.run(hooks.windowed_metrics(stream), str(tmp_path / "c"), path=str(tmp_path / "out")).awaitTermination(120)
     got = sorted((r.start.timestamp(), r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert [n for _, n in got] == [2, 1]  # the last window is still open
+
+
+def test_captures_reach_notes_even_if_the_index_fails(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "c1", "decisions", "use x", "because"), (2, "c1", "decisions", "and y", "phone (555) 123-4567"), (3, "c2", "nowhere", "bad", "x"), (4, "c2", "progress", " ", "x")], "id long, commit_sha string, namespace string, summary string, content string")
+    held = spark.createDataFrame([("decisions", "c1", "---\ntype: decisions\n---\nold")], schema.RAW_NOTES)
+    kept = {}
+
+    def broken(df):
+        raise OSError("disk full")
+
+    bad, warning = capture.record(rows, held, lambda df: kept.update(notes=df.collect()), lambda df: kept.update(index=df.collect()))
+    assert warning is None and sorted((r.id, tuple(r.errors)) for r in bad.collect()) == [(3, ("namespace",)), (4, ("summary_empty",))]
+    assert sorted(r.id for r in kept["index"]) == ["decisions:c1:1", "decisions:c1:2"]
+    (note,) = kept["notes"]
+    assert note.note.count("\n---\n") == 5 and "[REDACTED:pii_phone]" in note.note and "555" not in note.note
+    kept.clear()
+    _, warning = capture.record(rows, held, lambda df: kept.update(notes=df.collect()), broken)
+    assert warning == "Indexing failed: disk full" and len(kept["notes"]) == 1
+
+
+def test_audit_logs_rotate(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for _ in range(4):
+        files.write_audit(spark.range(3).select(F.lit("scan").alias("event_type")).coalesce(1), path)
+    assert files.rotate_audit(spark, path, 3) == 1 and files.read_audit(spark, path).count() == 9
