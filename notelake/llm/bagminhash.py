@@ -38,9 +38,9 @@ BANDS, ROWS = 28, 4
 #: Ids (8 bytes) that are broadcast at most; longer lists are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 #: Documents of one block of a comparison.
-BLOCK_DOCS = 128
+BLOCK_DOCS = 256
 #: Documents of a large cluster, about, that its strays are compared with in a round.
-PIVOTS = 24
+PIVOTS = 32
 #: Logarithm of the sizes' ratio in one class of them.
 SIZE_CLASS = 0.05
 
