@@ -8,7 +8,7 @@ subtrees that stand on a large share of a host's pages are its template and are
 first.  What the counts cannot show, as on hosts with few pages, is left to the meaning
 of tags, classes and roles.  The text of the article is then read off block by block.
 
-The counts are shuffled as (host, subtree, page) hashes and summed map-side, so a
+The counts are shuffled as (host, page, subtrees) hashes, one row for each page, and summed map-side, so a
 host with a third of all pages only adds to its sums.  The templates of all hosts (at
 most a few times the elements of one page for each host) are settled and measured
 first; they are broadcast up to ``MAX_BROADCAST`` hashes, so that pages need no
@@ -17,10 +17,11 @@ shuffle, and joined by host beyond that, where Spark splits skewed hosts.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,62 +48,97 @@ FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Elements that can be a template by their shape.
 SHAPED = CONTAINERS | set("nav header footer aside form menu search dialog".split())
 ROOTS = ("#page", "html", "body")
+#: What attributes and names say is remembered for so many of at most so many characters.
+REMEMBERED, SHORT = 4096, 200
 _DIGITS = re.compile(r"\d+")
 # Words in class, id or role of elements that are no part of an article.
 NAMED = "ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription paywall signup signin login register nav navbar navigation menu menubar topbar breadcrumb breadcrumbs sidebar sidenav rail complementary contentinfo footer foot masthead toolbar comment comments commentlist respond disqus reply replies discussion share sharing social follow related recommended recommendations more-articles search searchbox pagination pager skip-link widget widgets copyright disclaimer legal".split()
 _NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NAMED) + r")(?:$|[\s_\d-])", re.I)
 # Parts of names that only say how the rest of a page is set up, as in has-comments or sidebar-off.
 _STATE = re.compile(r"^(?:has|no|with|without|is|not)[-_]|[-_](?:open|closed|enabled|disabled|on|off)$", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def _remembered(f: Callable) -> Callable:
+    """``f`` of one string, with the results for short ones kept."""
+    kept = functools.lru_cache(REMEMBERED)(f)
+    return lambda x: kept(x) if len(x) <= SHORT else f(x)
+
+
+@_remembered
+def _name(attrs: str) -> str:
+    return " ".join(a or b or c for _, a, b, c in _NAME.findall(attrs))
+
+
+@_remembered
+def _hidden(attrs: str) -> bool:
+    return _HIDDEN.search(attrs) is not None
+
+
+@_remembered
+def _named(name: str) -> bool:
+    return any(_NAMED.search(t) and not _STATE.search(t) for t in name.split())
+
+
+@_remembered
+def _without_digits(name: str) -> str:
+    return _DIGITS.sub("#", name)
+
+
 class Element:
-    __slots__ = ("attrs", "digest", "kids", "name", "parent", "size", "tag")
+    """``all``: of a page's root, its elements, parents first."""
+
+    __slots__ = ("all", "attrs", "digest", "kids", "name", "number", "parent", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list[Element | str] = []
         self.digest = b""
-        self.size = 0
-        self.name = " ".join(a or b or c for _, a, b, c in _NAME.findall(attrs)) if attrs and not attrs.isspace() else ""
+        self.number = self.size = 0
+        self.name = _name(attrs) if attrs else ""
 
 
 def parse(source: str) -> Element:
     """The page as a tree; end tags may be missing or wrong."""
     root = at = Element("#page", "", None)
+    root.all = [root]
     place, size = 0, len(source)
     while place < size:
-        m = _TOKEN.search(source, place)
-        if m is None:
-            at.kids.append(source[place:])
+        for m in _TOKEN.finditer(source, place):
+            if m.start() > place:
+                at.kids.append(source[place : m.start()])
+            place = m.end()
+            closing, tag, attrs = m.groups()
+            if not tag:
+                continue
+            tag = tag.lower()
+            if closing:
+                up = at
+                while up is not None and up.tag != tag:
+                    up = up.parent
+                if up is not None and up.parent is not None:
+                    at = up.parent
+                continue
+            if tag in BLOCKS:
+                at = _close(at, {"p"}, {"table", "td", "th", "button"})
+            if tag in CLOSED_BY:
+                at = _close(at, CLOSED_BY[tag], FENCES[tag])
+            new = Element(tag, attrs, at)
+            at.kids.append(new)
+            root.all.append(new)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, place)
+                new.kids.append(source[place : end.start() if end else size])
+                place = end.end() if end else size
+                break
+            if tag not in VOID and not attrs.endswith("/"):
+                at = new
+        else:
+            if place < size:
+                at.kids.append(source[place:])
             break
-        if m.start() > place:
-            at.kids.append(source[place : m.start()])
-        place = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
-            continue
-        if tag in BLOCKS:
-            at = _close(at, {"p"}, {"table", "td", "th", "button"})
-        if tag in CLOSED_BY:
-            at = _close(at, CLOSED_BY[tag], FENCES[tag])
-        new = Element(tag, m[3], at)
-        at.kids.append(new)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, place)
-            new.kids.append(source[place : end.start() if end else size])
-            place = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = new
     return root
 
 
@@ -138,19 +174,20 @@ def digests(root: Element) -> list[tuple[Element, int]]:
     Also notes the size of each element's text.
     """
     out = []
-    for e in reversed(_downwards([root])):
-        h = hashlib.blake2b(f"{e.tag}\0{e.name}\0".encode(), digest_size=8)
-        e.size = 0
+    for e in reversed(root.all):
+        parts, size = [f"{e.tag}\0{e.name}\0".encode()], 0
         for k in e.kids:
-            if isinstance(k, Element):
-                h.update(k.digest)
-                e.size += k.size
-            else:
+            if k.__class__ is Element:
+                parts.append(k.digest)
+                size += k.size
+            elif not k.isspace():
                 text = " ".join(k.split())
-                h.update(text.encode("utf-8", "replace"))
-                e.size += len(text) * (e.tag not in RAW)
-        e.digest = h.digest()
-        out.append((e, _number(e.digest)))
+                parts.append(text.encode("utf-8", "replace"))
+                size += len(text)
+        e.size = 0 if e.tag in RAW else size
+        e.digest = hashlib.blake2b(b"".join(parts), digest_size=8).digest()
+        e.number = _number(e.digest)
+        out.append((e, e.number))
     return out
 
 
@@ -170,11 +207,11 @@ def shapes(root: Element) -> dict[int, int]:
     order = _downwards([k for e in path[:-1] for k in e.kids if isinstance(k, Element) and id(k) not in below and k.tag != "head"])
     found: dict[int, bytes] = {}
     for e in reversed(order):
-        h, last = hashlib.blake2b(f"{e.tag}\0{_DIGITS.sub('#', e.name)}\0".encode(), digest_size=8, person=b"shape"), b""
+        parts, last = [f"{e.tag}\0{_without_digits(e.name)}\0".encode()], b""
         for k in e.kids:
-            if isinstance(k, Element) and k.tag not in RAW and found[id(k)] != last:
-                h.update(last := found[id(k)])
-        found[id(e)] = h.digest()
+            if k.__class__ is Element and k.tag not in RAW and found[id(k)] != last:
+                parts.append(last := found[id(k)])
+        found[id(e)] = hashlib.blake2b(b"".join(parts), digest_size=8, person=b"shape").digest()
     return {id(e): _number(found[id(e)]) for e in order if e.size and e.tag in SHAPED}
 
 
@@ -201,10 +238,6 @@ def _holds(e: Element, tags: set[str]) -> bool:
     return False
 
 
-def _named(e: Element) -> bool:
-    return any(_NAMED.search(t) and not _STATE.search(t) for t in e.name.split())
-
-
 def _dropped(e: Element, inside: bool, names: bool = True) -> bool:
     """Whether tag or (unless not ``names``) names say that the element is no part of an article."""
     if e.tag in DROPPED:
@@ -213,9 +246,9 @@ def _dropped(e: Element, inside: bool, names: bool = True) -> bool:
         return False
     if e.tag == "header" and not inside:
         return not _holds(e, {"article", "main"})
-    if e.attrs and _HIDDEN.search(e.attrs):
+    if e.attrs and _hidden(e.attrs):
         return True
-    return bool(names and e.name and _named(e) and not _holds(e, {"article", "main"} - {e.tag}))
+    return bool(names and e.name and _named(e.name) and not _holds(e, {"article", "main"} - {e.tag}))
 
 
 def _blocks(e: Element, gone: set[int]) -> list[str]:
@@ -260,12 +293,13 @@ def _read(root: Element, templates: set[int], names: bool = True, tags: bool = T
     gone: set[int] = set()
     articles: list[Element] = []
     mains: list[Element] = []
-    hashes = {id(e): h for e, h in digests(root)} if templates else {}
+    if templates:
+        digests(root)
     looks = shapes(root) if templates else {}
     stack: list[tuple[Element, bool]] = [(root, False)]
     while stack:
         e, inside = stack.pop()
-        if templates and e.tag not in ROOTS and _recurs(e, inside, hashes, looks, templates):
+        if templates and e.tag not in ROOTS and _recurs(e, inside, looks, templates):
             gone.add(id(e))
             continue
         if _dropped(e, inside, names) if tags else e.tag in RAW or e.tag == "head":
@@ -280,11 +314,11 @@ def _read(root: Element, templates: set[int], names: bool = True, tags: bool = T
     return "\n".join(_blocks(top[0], gone))
 
 
-def _recurs(e: Element, inside: bool, hashes: dict[int, int], looks: dict[int, int], templates: set[int]) -> bool:
+def _recurs(e: Element, inside: bool, looks: dict[int, int], templates: set[int]) -> bool:
     """Whether the element is one of its host's templates; what holds an article or main element is none."""
     if inside:
-        return e.tag in CONTAINERS and hashes[id(e)] in templates
-    return (hashes[id(e)] in templates or looks.get(id(e)) in templates) and not _holds(e, {"article", "main"})
+        return e.tag in CONTAINERS and e.number in templates
+    return (e.number in templates or looks.get(id(e)) in templates) and not _holds(e, {"article", "main"})
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -301,20 +335,20 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subs, whole, root = [], [], [], []
+            hosts, subs, whole = [], [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = digests(tree := parse(source or ""))
                 page = found[-1][1]  # the root's
                 mine = {h for e, h in found if e.tag not in RAW and e.tag not in VOID and e.kids} | {page} | set(shapes(tree).values())
-                hosts += [host] * len(mine)
-                subs += mine
-                whole += [page] * len(mine)
-                root += [h == page for h in mine]
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtree": pa.array(subs, pa.int64()), "page": pa.array(whole, pa.int64()), "root": pa.array(root, pa.bool_())})
-
-    each = pages.select("host", "html").mapInArrow(subtrees, "host string, subtree bigint, page bigint, root boolean")
-    # the root's subtree is the page itself: one row for each different page
-    counts = each.groupBy("host", "subtree", "page").agg(F.max("root").alias("root")).groupBy("host", "subtree").agg(F.count("root").alias("n"), F.max("root").alias("root"))
+                hosts.append(host)
+                subs.append(list(mine))
+                whole.append(page)
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtrees": pa.array(subs, pa.list_(pa.int64())), "page": pa.array(whole, pa.int64())})
+
+    each = pages.select("host", "html").mapInArrow(subtrees, "host string, subtrees array<bigint>, page bigint")
+    # equal pages have equal subtrees, and the root's subtree is the page itself: one row for each different page
+    different = each.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees")).select("host", "page", F.explode("subtrees").alias("subtree"))
+    counts = different.groupBy("host", "subtree").agg(F.count("page").alias("n"), F.max(F.col("subtree") == F.col("page")).alias("root"))
     sizes = counts.filter("root").groupBy("host").agg(F.count("root").alias("pages"))
     return counts.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.lit(min_share)).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
