@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import bagminhash, katz, pages, pieces, pseudonyms, quality, repeats, sql, suffix_dedup, templates, toxicity
+from notelake.llm import bagminhash, katz, merkle, pages, partitions, pieces, pseudonyms, quality, repeats, resampling, sql, suffix_dedup, templates, toxicity
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -94,3 +94,18 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out())
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@query
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(_table(spark, sf_dir, "documents"))

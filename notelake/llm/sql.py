@@ -6,6 +6,7 @@ The statements use windows over single words and bytes, so they are for small ta
 from __future__ import annotations
 
 from notelake.llm import quality
+from notelake.llm.resampling import crc_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
@@ -137,4 +138,83 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 QUALITY = _quality()
 
-ORACLE_SQL = {"sentencepiece_parity": "SELECT doc_id FROM documents WHERE false", "longest_word_repeats": _longest(), "op9_word_repeats": WORD_REPEATS, "op4_suffix_array": BYTE_REPEATS, "op8_bagminhash": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, a table look-up for each byte."""
+    table = ", ".join(map(str, crc_table()))
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES.format(text)}), lambda a, b: xor(a >> 8, CAST(list_extract([{table}], CAST((xor(a, b) & 255) + 1 AS BIGINT)) AS BIGINT))), 4294967295)"
+
+
+# op11: every pair of a query and another row; sums run from the first component to the last, as in the operator
+NEAREST = """
+WITH lengths AS (SELECT len(embedding) AS dim, count(*) AS n FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY 1 ORDER BY n DESC, dim DESC LIMIT 1),
+rows AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings, lengths
+  WHERE vec_id IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = dim AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM rows),
+pairs AS (
+  SELECT q.vec_id AS query_id, q.e AS qe, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.norm * c.norm) AS score
+  FROM normed q JOIN normed c ON q.vec_id % 50 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+_SMALL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NAMES = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# op12: gains of 10,000 buckets from the counts of both sides, Gumbel noise from each id's hash
+RESAMPLING = f"""
+WITH said AS (SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all({_SMALL.format("text")}, '{_NAMES}') AS ws FROM documents),
+used AS (SELECT nr, unnest(ws) AS w FROM said),
+asked AS (SELECT unnest(regexp_extract_all({_SMALL.format("text")}, '{_NAMES}')) AS w FROM benchmark),
+buckets AS (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM used UNION SELECT w FROM asked)),
+s AS (SELECT b, count(*) AS n FROM used JOIN buckets USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM asked JOIN buckets USING (w) GROUP BY b),
+sums AS (SELECT CAST((SELECT count(*) FROM used) AS DOUBLE) AS ss, CAST((SELECT count(*) FROM asked) AS DOUBLE) AS tt),
+gains AS (SELECT s.b, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (ss + 10000) / ((CAST(s.n AS DOUBLE) + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b) CROSS JOIN sums),
+weights AS (SELECT nr, CAST(sum(gain) AS BIGINT) AS weight FROM used JOIN buckets USING (w) JOIN gains USING (b) GROUP BY nr),
+scored AS (
+  SELECT nr, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM said LEFT JOIN weights USING (nr)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed"""
+
+
+def _merkle() -> str:
+    """The SQL of op13."""
+    part = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    leaf = lambda n: f"sha256({' || '.join(part(v) for v in ('doc_id', 'source', 'lang', n, 'text'))})"
+    up = lambda name, start: f"""{name} AS (
+  SELECT tree, 0 AS level, place AS i, n, digest FROM {start}
+  UNION ALL SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2, n)"""
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang AS tree, digest, other, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {leaf("n_chars")} AS digest, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS other FROM documents)
+  WINDOW o AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest)),
+{up("leaves_up", "leaves")},
+subroots AS (SELECT tree AS lang, digest FROM leaves_up WHERE n = 1),
+trees AS (SELECT 'all' AS tree, lang, digest, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM subroots),
+{up("trees_up", "trees")},
+levels AS (SELECT DISTINCT 0 AS part, tree AS of, level, n FROM leaves_up WHERE n > 1 UNION ALL SELECT DISTINCT 1, NULL, level, n FROM trees_up WHERE n > 1),
+own AS (
+  SELECT l.tree, l.place, 0 AS part, s.level, (l.place >> s.level) % 2 AS odd, u.digest AS sibling
+  FROM leaves l JOIN levels s ON s.part = 0 AND s.of IS NOT DISTINCT FROM l.tree LEFT JOIN leaves_up u ON u.tree IS NOT DISTINCT FROM l.tree AND u.level = s.level AND u.i = xor(l.place >> s.level, 1)),
+top AS (
+  SELECT t.lang AS tree, s.level, (t.place >> s.level) % 2 AS odd, u.digest AS sibling
+  FROM trees t JOIN levels s ON s.part = 1 LEFT JOIN trees_up u ON u.level = s.level AND u.i = xor(t.place >> s.level, 1)),
+steps AS (SELECT * FROM own UNION ALL SELECT l.tree, l.place, 1, t.level, t.odd, t.sibling FROM leaves l JOIN top t ON t.tree IS NOT DISTINCT FROM l.tree),
+proofs AS (
+  SELECT tree, place, string_agg(sibling, '' ORDER BY part, level) AS proof, list(CASE WHEN sibling IS NULL THEN '-' WHEN odd = 1 THEN 'L' || sibling ELSE 'R' || sibling END ORDER BY part, level) AS way FROM steps GROUP BY tree, place),
+folded AS (
+  SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(l.other, l.digest), coalesce(p.way, [])), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root
+  FROM leaves l JOIN trees t ON t.lang IS NOT DISTINCT FROM l.tree CROSS JOIN (SELECT digest FROM trees_up WHERE n = 1) r LEFT JOIN proofs p ON p.tree IS NOT DISTINCT FROM l.tree AND p.place = l.place)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+MERKLE = _merkle()
+
+ORACLE_SQL = {"sentencepiece_parity": "SELECT doc_id FROM documents WHERE false", "longest_word_repeats": _longest(), "op9_word_repeats": WORD_REPEATS, "op4_suffix_array": BYTE_REPEATS, "op8_bagminhash": NEAR_DUPLICATES, "op10_quality_rules": QUALITY, "op11_learned_partitions": NEAREST, "op12_resampling": RESAMPLING, "op13_merkle_manifest": MERKLE}

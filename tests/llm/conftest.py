@@ -35,6 +35,16 @@ def docs_of(spark, texts, ids=None):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, chunk int, bucket int, kept string, kind string, ids array<int>, score double")
 
 
+def vectors(spark, rng, n=150):
+    """An embeddings table with copies, ties, and every vector that takes no part."""
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(n)]
+    rows += [(i, rows[50][1]) for i in range(1000, 1040)] + [(i, [2 * x for x in rows[3][1]]) for i in range(1050, 1060)]
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0] * 6, [None, *[1.0] * 5], [nan, *[1.0] * 5], [inf, *[1.0] * 5], [1.0] * 5, [-0.0, 1.0, *[0.0] * 4], [0.0, 1.0, *[0.0] * 4], [1e-30] * 6, [1e30] * 6]
+    rows += [(2000 + 50 * k, v) for k, v in enumerate(odd)] + [(None, [1.0] * 6), (50, rows[50][1]), (50, rows[50][1])]
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, part int, h string")
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return docs_of(spark, [])
