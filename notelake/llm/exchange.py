@@ -13,6 +13,7 @@ import math
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ U64 = np.uint64
 #: 30 times its bytes, in Python; larger chunks make packed rows longer and fewer.
 HEAP_BY_CHUNK = 300
 MIN_CHUNK, MAX_CHUNK = 1 << 20, 256 << 20
-#: Equal ranges of ids in which documents are counted before ids are dealt into chunks.
-ID_RANGES = 1 << 16
+#: Equal ranges of ids in which documents are counted before ids are dealt into chunks; most ranges of a later count.
+ID_RANGES, MAX_EDGES = 1 << 14, 1 << 18
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 16 << 20
 #: Chunks whose hashes one hash range gets on average.
@@ -104,30 +105,99 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def by_range(df: DataFrame, n: int, column: str = "doc_id") -> Column:
-    """Chunk number by ranges of an integer column with about as many rows each; null comes before all values.
+@dataclass
+class Ranges:
+    """Chunks by ranges of ids: where each begins, and which chunks one id with many rows is split over."""
+
+    starts: np.ndarray  # smallest id of each range, but the first, which begins at the smallest number
+    number: np.ndarray  # first chunk of each range
+    split: np.ndarray  # chunks of each range; more than one for an id with many rows
+    nulls: int  # chunks of rows without an id; they come before all others
+
+    def chunk(self, column: Column, salt: Column) -> Column:
+        """Chunk number of a row; the salt tells in which of an id's chunks it is."""
+        starts, number, split, nulls = self.starts, self.number, self.split, self.nulls
+
+        @F.pandas_udf("int")
+        def find(ids: pd.Series, known: pd.Series, salts: pd.Series) -> pd.Series:
+            at = np.maximum(np.searchsorted(starts, ids.to_numpy(np.int64), "right") - 1, 0)
+            known = known.to_numpy(bool)
+            first, n = np.where(known, number[at], 0), np.where(known, split[at], max(nulls, 1))
+            return pd.Series((first + salts.to_numpy(np.int64).view(U64) % n.astype(U64).clip(1)).astype(np.int32))
+
+        split_any = nulls > 1 or (split > 1).any()
+        return find(F.coalesce(column.cast("long"), F.lit(0)), column.isNotNull(), salt if split_any else F.lit(0).cast("long"))
+
+    def place(self, chunk: np.ndarray) -> np.ndarray:
+        """The first chunk that holds rows of the ids in ``chunk``, for each of some chunks."""
+        at = np.maximum(np.searchsorted(self.number, chunk, "right") - 1, 0)
+        found = np.where(chunk < self.nulls, 0, chunk)
+        return np.where((chunk >= self.nulls) & (self.split[at] > 1), self.number[at], found) if len(self.number) else found
+
+
+def _counted(df: DataFrame, column: str, edges: np.ndarray) -> np.ndarray:
+    """Rows in each range of ids [edges[i], edges[i + 1]); ids are not below the first edge."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(edges), np.int64)
+        for batch in batches:
+            sums += np.bincount(np.searchsorted(edges, batch.column(0).to_numpy(), "right") - 1, minlength=len(edges))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["i", "n"])
+
+    ids = df.select(F.col(column).cast("long").alias("id")).filter("id IS NOT NULL")
+    found = ids.mapInArrow(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # no more rows than edges
+    out = np.zeros(len(edges), np.int64)
+    out[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def by_range(df: DataFrame, n: int, column: str = "doc_id") -> Ranges:
+    """About ``n`` chunks by ranges of an integer column, none much over the mean, whatever the ids; null comes before all values.
 
     Rows are counted in ``ID_RANGES`` equal ranges between the smallest and the largest
-    value; a chunk begins where as many rows are behind it as it is to have, by a straight
-    line within a range.  Only the counts reach the driver, whatever the number of chunks.
+    id, and again within each range that holds over an eighth of a chunk, until none
+    does or it is a single id.  An id with more rows than a chunk gets several, which
+    only it has.  The counts of ranges reach the driver, a bounded number of them.
     """
-    x = F.col(column).cast("double")
-    low, high, rows = df.agg(F.min(x), F.max(x), F.count(x)).first()
-    if n <= 1 or not rows or low == high:
-        return F.lit(0)
-    width = max((high - low) / ID_RANGES, 1.0)
-    place = F.least(F.floor((x - low) / width), F.lit(ID_RANGES - 1))
-    counts = np.zeros(ID_RANGES)
-    for r in df.filter(x.isNotNull()).groupBy(place.alias("i")).count().collect():
-        counts[r["i"]] = r["count"]
-    edges, behind = low + width * np.arange(ID_RANGES + 1), np.concatenate([[0], np.cumsum(counts)]) * (n / rows)
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        at = np.interp(ids.to_numpy(np.float64, na_value=-np.inf), edges, behind)
-        return pd.Series(np.minimum(at, n - 1).astype(np.int32))
-
-    return number(F.col(column).cast("long"))
+    x = F.col(column).cast("long")
+    low, high, known, rows = df.agg(F.min(x), F.max(x), F.count(x), F.count(F.lit(1))).first()
+    mean = max(rows / max(n, 1), 1.0)
+    nulls = -(-(rows - known) // math.ceil(mean))
+    if not known or n <= 1:
+        return Ranges(np.array([low] if known else [], np.int64), np.full(min(known, 1), nulls, np.int64), np.ones(min(known, 1), np.int64), nulls)
+    edges, spans = [low], [high - low + 1]  # whole numbers of any size
+    split, many = [0], 1
+    while True:
+        parts = max(2, min(ID_RANGES, MAX_EDGES // many))
+        cut: list[tuple[int, int]] = []
+        over = set(split)
+        for i, (a, span) in enumerate(zip(edges, spans, strict=True)):
+            m = min(parts, span) if i in over else 1
+            at = [a + span * k // m for k in range(m + 1)]
+            cut += [(b, c - b) for b, c in zip(at, at[1:], strict=False)]
+        edges, spans = [a for a, _ in cut], [b for _, b in cut]
+        counts = _counted(df, column, np.array(edges, np.int64))
+        split = [i for i in np.flatnonzero(counts > max(mean / 8, 1)).tolist() if spans[i] > 1]
+        many = len(split)
+        if not many:
+            break
+        some = np.flatnonzero(counts)  # ranges without rows go to the one before
+        spans = [spans[i] if counts[i] else 0 for i in range(len(edges))]
+        split = np.searchsorted(some, split).tolist()
+        edges, spans = [edges[i] for i in some], [spans[i] for i in some]
+    starts, number, pieces, held, last = [], [], [], 0.0, nulls - 1
+    for a, c in zip(edges, counts.tolist(), strict=True):
+        if not c:
+            continue
+        own = -(-c // math.ceil(mean)) if c > mean else 1
+        if not starts or own > 1 or pieces[-1] > 1 or held + c > mean:
+            starts.append(a)
+            number.append(last + 1)
+            pieces.append(own)
+            last, held = last + own, 0.0
+        held += c
+    return Ranges(np.array(starts, np.int64), np.array(number, np.int64), np.array(pieces, np.int64), nulls)
 
 
 def by_hash(n: int, column: str = "doc_id") -> Column:

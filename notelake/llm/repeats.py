@@ -40,8 +40,10 @@ def levels(n: int, base: int = BASE) -> list[int]:
 
 def _doc_numbers(table: pa.Table) -> np.ndarray:
     """Rank of each row's doc_id in the chunk; null is the smallest, equal ids are one document."""
-    ids = table.column("doc_id").to_pandas()
-    return ids.rank(method="dense").fillna(0).to_numpy(np.int64)
+    ids = table.column("doc_id")
+    number = np.unique(ids.fill_null(0).to_numpy(), return_inverse=True)[1].astype(np.int64) + 1
+    number[ids.is_null().to_numpy()] = 0
+    return number
 
 
 def _word_blocks(table: pa.Table, number: np.ndarray) -> Iterator[tuple]:
@@ -103,13 +105,15 @@ def _answer_level(key: tuple, table: pa.Table) -> pa.Table:
     return X.answers(table, row, wanted, X.shortened(h))
 
 
-def _answer_last(key: tuple, table: pa.Table) -> pa.Table:
-    """Each chunk's hashes that an earlier chunk has too."""
+def _answer_last(table: pa.Table, ids: X.Ranges) -> pa.Table:
+    """Each chunk's hashes that an earlier chunk has too, of other ids."""
     row, h, g = X.unpack(table, U64, np.uint32)
-    chunk = table.column("chunk").to_numpy()[row] if len(row) else row
-    order = np.lexsort((chunk, g, h))
+    place = ids.place(table.column("chunk").to_numpy().astype(np.int64))[row] if len(row) else row
+    order = np.lexsort((place, g, h))
+    h_, g_, place = h[order], g[order], place[order]
+    new = np.concatenate([[True], (h_[1:] != h_[:-1]) | (g_[1:] != g_[:-1])]) if len(h) else np.zeros(0, bool)
     wanted = np.zeros(len(h), bool)
-    wanted[order[1:]] = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+    wanted[order] = place > place[np.flatnonzero(new)][np.cumsum(new) - 1]
     return X.answers(table, row, wanted, h, g)
 
 
@@ -123,7 +127,8 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
     Needs doc_id (integer) and text; others are ignored, whatever their names.  A null
     or empty text has no words.  Rows with one id are one document, so they don't take
     words from each other; a null id comes before all others.  An empty table gives an
-    empty result.
+    empty result.  Ids may be any 64-bit numbers, however they lie; rows of one id that are
+    more than a chunk are dealt by their text.
 
     Returns doc_id, text (kept words joined by one blank), n_words, n_removed, removed
     (array of first word and number of words of each run removed).
@@ -131,7 +136,8 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
     plain = X.bounded(docs).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts, ranges = X.chunk_count(plain, chunk_bytes)
-    dealt = plain.select(X.by_range(plain, parts).alias("chunk"), "doc_id", "text")
+    of = X.by_range(plain, parts)
+    dealt = plain.select(of.chunk(F.col("doc_id"), F.xxhash64("text")).alias("chunk"), "doc_id", "text")
     steps = levels(n, base)
     known: DataFrame | None = None
     for short, long in zip(steps, steps[1:], strict=False):
@@ -176,7 +182,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
         return X.pack(key[0].as_py(), ranges, h[new], g[new])
 
     sent = X.with_answers(dealt, known, send_last, X.PACKED)
-    earlier = sent.groupBy("bucket").applyInArrow(_answer_last, X.ANSWER)
+    earlier = sent.groupBy("bucket").applyInArrow(lambda key, table: _answer_last(table, of), X.ANSWER)
 
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         _, known_h, known_g = X.unpack(found, U64, np.uint32)

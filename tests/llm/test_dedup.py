@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from notelake.llm import bagminhash, repeats, suffix_dedup
+from notelake.llm import bagminhash, exchange, repeats, suffix_dedup
 from notelake.llm.graph import components
 
 from .conftest import corpus, docs_of, text
@@ -49,6 +51,57 @@ def test_word_windows_of_nothing(spark, empty):
     assert sorted((x.doc_id or 0, x.n_removed) for x in r) == [(0, 0), (5, 20)]
 
 
+def test_null_ids_beside_ids_beyond_doubles(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    got = repeats.cut_repeats(docs_of(spark, [t, t, "other"], [2**60, 2**60 + 1, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (2**60, 0), (2**60 + 1, 30)]
+    ids = [-(2**63), 2**63 - 1, -(2**63) + 1, None, 0]
+    got = repeats.cut_repeats(docs_of(spark, [t] * 5, ids), chunk_bytes=100).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {-(2**63): 30, 2**63 - 1: 30, -(2**63) + 1: 30, None: 0, 0: 30}
+
+
+FAR = {
+    "outlier": [*range(2000), 2**62],
+    "two clusters": [*range(1000), *range(2**61, 2**61 + 1000)],
+    "close and large": [2**60 + k for k in range(2000)],
+    "hashes": [int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True) for k in range(2000)],
+    "both ends": [-(2**63), 2**63 - 1, *range(-1000, 1000)],
+    "powers": [s * 2**k + j for k in range(62) for s in (1, -1) for j in range(20)],
+    "one id": [*range(1000), *[500] * 1000],
+    "no id": [*range(1000), *[None] * 1000],
+    "few": [3, 4, 5],
+}
+
+
+@pytest.mark.parametrize("kind", FAR)
+def test_ranges_of_any_ids(spark, kind):
+    ids = FAR[kind]
+    df = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    of = exchange.by_range(df, 16)
+    got = [(r.doc_id, r.c) for r in df.select("doc_id", of.chunk(F.col("doc_id"), F.xxhash64("text")).alias("c")).collect()]
+    chunks = [(c, i) for i, c in got]
+    sizes = Counter(c for c, _ in chunks)
+    assert max(sizes.values()) <= 2 * max(len(ids) / 16, 1)
+    key = lambda i: -(2**64) if i is None else i
+    place = {c: int(of.place(np.array([c]))[0]) for c, _ in chunks}
+    order = sorted((key(i), place[c]) for c, i in chunks)
+    assert [p for _, p in order] == sorted(p for _, p in order)  # chunks follow the ids
+    assert all(len({place[c] for c, i in chunks if i == x}) == 1 for x in set(ids) if sum(i == x for _, i in chunks) > 1)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "close and large", "one id", "no id"])
+def test_word_windows_with_any_ids(spark, kind):
+    rng = random.Random(8)
+    ids = rng.sample(FAR[kind], 120)
+    texts = [text(rng, rng.randint(1, 60)) for _ in ids]
+    for k in range(0, 120, 3):
+        texts[k] = texts[(k * 7 + 1) % 120]
+    got = repeats.cut_repeats(docs_of(spark, texts, ids), chunk_bytes=1500).collect()
+    rows = list(zip(ids, texts, strict=True))
+    want = brute_windows([(-1 if i is None else i, t) for i, t in rows], 13)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == want
+
+
 def brute_bytes(rows, n):
     count = Counter(b[k : k + n] for _, b in rows for k in range(len(b) - n + 1))
     out = []
