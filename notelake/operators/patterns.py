@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake import literals as L
 from notelake.functions import scalar as S
+from notelake.functions.tables import numbered, settled, small
+from notelake.operators.sweep import FIRST, LOCAL, sweep
 
 TERM = r"\b[a-z][a-z0-9_-]*[a-z0-9]\b|\b[a-z]\b"
 MIN_OCCURRENCES, PROMOTION, VALIDATION = 2, 5, 0.6
@@ -39,88 +37,46 @@ def _kind(words: Column, hints: dict[str, Column]) -> Column:
     return F.when(best["n"] > 0, best["kind"]).otherwise("technical")
 
 
-def _clusters(doc: np.ndarray, term: np.ndarray, least: int) -> Iterator[tuple[list[int], np.ndarray]]:
-    """H3: members and records of each cluster; ``doc`` and ``term`` are different pairs, terms numbered in their order.
-
-    Only terms that stand in enough of a seed's records are looked at, with their counts
-    in the records that are left; these are counted down as records go."""
-    n = int(term.max()) + 1 if len(term) else 0
-    order = np.lexsort((doc, term))
-    docs, of_term = doc[order], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n))])
-    order = np.lexsort((term, doc))
-    terms_, of_doc = term[order], np.concatenate([[0], np.cumsum(np.bincount(doc))])
-    used = np.zeros(n, bool)
-
-    def near(some: np.ndarray) -> np.ndarray:
-        return np.concatenate([terms_[of_doc[d] : of_doc[d + 1]] for d in some.tolist()])
-
-    for seed in range(n):
-        if used[seed]:
-            continue
-        left = docs[of_term[seed] : of_term[seed + 1]]
-        count = np.bincount(near(left), minlength=n)
-        later = np.flatnonzero(count >= least)
-        later = later[(later > seed) & ~used[later]]
-        members, at = [seed], 0
-        while at < len(later):
-            c = count[later[at:]]
-            shrinks = np.flatnonzero((c >= least) & (c < len(left)))
-            k = int(shrinks[0]) if len(shrinks) else len(c)
-            members += later[at : at + k][c[:k] >= least].tolist()
-            if k < len(c):
-                j = int(later[at + k])
-                members.append(j)
-                stay = np.isin(left, docs[of_term[j] : of_term[j + 1]], assume_unique=True)
-                count = count - np.bincount(near(left[~stay]), minlength=n)
-                left = left[stay]
-            at += k + 1
-        used[members] = True
-        yield members, left
-
-
-def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES, max_candidates: int = 20, group: str | None = None, max_terms: int | None = None) -> DataFrame:
+def _records(m: DataFrame, group: str | None) -> DataFrame:
+    """__g, __d, id, namespace, timestamp and terms, a row for each id of a group; what shares an id is one record with the terms of all."""
+    keyed = m.withColumn("__g", (F.col(group) if group else F.lit("")).cast("string")).filter("__g IS NOT NULL AND id IS NOT NULL")
+    each = keyed.select("__g", F.xxhash64("id").alias("__d"), "id", "namespace", "timestamp", terms(F.col("summary"), F.col("content"), F.col("tags")).alias("terms"))
+    return each.groupBy("__g", "__d").agg(F.min("id").alias("id"), F.min("namespace").alias("namespace"), F.max("timestamp").alias("timestamp"), F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"), F.count(F.lit(1)).alias("rows"))
+
+
+def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES, max_candidates: int = 20, group: str | None = None, local: int = LOCAL, first: int = FIRST) -> DataFrame:
     """H3-H8: pattern candidates, for all records or each value of ``group`` (a column such as spec or namespace).
 
     Frequent terms are swept in the order (more records first, then alphabet): a seed
-    takes every later term with which enough of its records are left.  Terms are counted
-    and gathered into postings by all tasks; the sweep is sequential and so is one task
-    for each group, which gets eight bytes for each posting.  Records are joined to the
-    clusters afterwards.  ``max_terms`` keeps only the most frequent ones, which changes
-    the result; no registered query sets it.
+    takes every later term with which enough of its records are left (``sweep``, with its
+    ``local`` and ``first``).  Scores need only the numbers of records; the records
+    themselves are gathered for the best clusters alone.  Records with a null id or group
+    take no part.
     """
-    keyed = m.withColumn("__g", F.col(group) if group else F.lit("")).filter(F.col("__g").isNotNull()).withColumn("__d", F.xxhash64("id"))
-    each = keyed.select("__g", "__d", F.explode(terms(F.col("summary"), F.col("content"), F.col("tags"))).alias("term"))
-    postings = each.groupBy("__g", "term").agg(F.collect_set("__d").alias("docs")).filter(F.size("docs") >= min_occurrences)
-    if max_terms is not None:
-        postings = postings.withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.size("docs").desc(), "term"))).filter(F.col("__r") <= max_terms).drop("__r")
-    totals = keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("total"))
-
-    def sweep(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        total = int(part["total"].iloc[0])
-        part = part.assign(n=part["docs"].map(len)).sort_values(["n", "term"], ascending=[False, True])
-        names, sizes = part["term"].tolist(), part["n"].to_numpy()
-        ids, doc = np.unique(np.concatenate(part["docs"].tolist()), return_inverse=True)
-        out, seen = [], set()
-        for members, left in _clusters(doc, np.repeat(np.arange(len(names)), sizes), min_occurrences):
-            if (same := np.sort(left).tobytes()) in seen:
-                continue
-            seen.add(same)
-            out.append((key[0], len(out), [names[j] for j in members], float(np.log(total / sizes[members]).mean()), ids[left].tolist()))
-        return pd.DataFrame(out, columns=["group", "cluster", "terms", "idf", "docs"])
-
-    swept = postings.join(totals, "__g").groupBy("__g").applyInPandas(sweep, "group string, cluster int, terms array<string>, idf double, docs array<bigint>")
-    records = keyed.select("__g", "__d", "id", "namespace", S.temporal_decay("timestamp", as_of).alias("decay")).dropDuplicates(["__g", "__d"])
-    hits = swept.select("group", "cluster", F.explode("docs").alias("__d")).withColumnRenamed("group", "__g").join(records, ["__g", "__d"]).withColumnRenamed("__g", "group")
-    gathered = hits.groupBy("group", "cluster").agg(F.sort_array(F.collect_list("id")).alias("evidence"), F.avg("decay").alias("recency"), *(F.count_if(F.col("namespace") == n).alias(f"__{n}") for n in L.PATTERN_HINTS))
+    records = settled(_records(m, group))
+    postings = records.select("__g", "__d", F.explode("terms").alias("term"))
+    frequent = settled(postings.groupBy("__g", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_occurrences))
+    words = settled(numbered(frequent, [F.col("df").desc(), F.col("term").asc()], "__g").select("__g", "term", "df", F.col("position").cast("int").alias("t")))
+    listed = settled(postings.join(small(words.drop("df")), ["__g", "term"]).groupBy("__g", "__d").agg(F.sort_array(F.collect_list("t")).alias("ts")))
+    swept = sweep(listed.select(F.col("__g").alias("g"), F.col("__d").alias("d"), "ts"), min_occurrences, local, first)
+    once = swept.groupBy("g", "n", "digest").agg(F.min(F.struct("seed", "members")).alias("c")).select(F.col("g").alias("__g"), "n", "c.seed", "c.members")
+    totals = records.groupBy("__g").agg(F.sum("rows").alias("total"))
+    each = once.select("__g", "seed", "n", F.explode("members").alias("t")).join(small(words), ["__g", "t"])
+    named = each.groupBy("__g", "seed", "n").agg(F.sort_array(F.collect_list(F.struct("t", "term", "df"))).alias("w")).join(totals, "__g")
+    idf = F.aggregate("w", F.lit(0.0), lambda a, w: a + F.log(F.col("total") / w["df"])) / F.size("w")
+    scored = named.select("__g", "seed", F.col("w.t").alias("members"), F.col("w.term").alias("terms"), (idf * F.sqrt("n") * F.pow(F.size("w"), F.lit(0.3))).alias("raw_score"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy(F.col("raw_score").desc(), F.col("terms")[0]))).filter(F.col("rank") <= max_candidates)
+    best = settled(best.withColumn("top", F.max("raw_score").over(Window.partitionBy("__g"))))
+    holds = F.array_contains("ts", F.col("seed")) & (F.size(F.array_except("members", "ts")) == 0)
+    hits = listed.join(small(best.select("__g", "seed", "members")), "__g").filter(holds).select("__g", "seed", "__d")
+    hits = hits.join(records.select("__g", "__d", "id", "namespace", S.temporal_decay("timestamp", as_of).alias("decay")), ["__g", "__d"])
+    gathered = hits.groupBy("__g", "seed").agg(F.sort_array(F.collect_list("id")).alias("evidence"), F.avg("decay").alias("recency"), *(F.count_if(F.col("namespace") == n).alias(f"__{n}") for n in L.PATTERN_HINTS))
     kind = _kind(F.col("terms"), {k: F.col(f"__{n}") for n, k in L.PATTERN_HINTS.items()})
     label = F.concat(S.title_case(F.array_join(F.slice("terms", 1, 3), " ")), F.lit(" ("), S.title_case(F.replace(F.col("pattern_type"), F.lit("-"), F.lit(" "))), F.lit(")"))
-    found = swept.drop("docs").join(gathered, ["group", "cluster"]).withColumn("pattern_type", kind)
-    found = found.select("group", label.alias("name"), "pattern_type", "terms", "evidence", (F.col("idf") * F.sqrt(F.size("evidence")) * F.pow(F.size("terms"), F.lit(0.3))).alias("raw_score"), "recency", F.col("terms")[0].alias("seed"))
-    w = Window.partitionBy("group")
-    top = F.max("raw_score").over(w)
-    scored = found.withColumn("normalized_score", F.when(top > 0, F.col("raw_score") / top).otherwise(0.0)).withColumn("occurrence_count", F.size("evidence"))
-    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("normalized_score").desc(), "seed"))).filter(F.col("rank") <= max_candidates)
-    return ranked.withColumn("confidence", confidence(F.col("normalized_score"), F.col("occurrence_count"), F.col("recency")))
+    found = best.join(gathered, ["__g", "seed"]).withColumn("pattern_type", kind)
+    found = found.select(F.col("__g").alias("group"), label.alias("name"), "pattern_type", "terms", "evidence", "raw_score", "recency", F.col("terms")[0].alias("seed"), "top", "rank")
+    found = found.withColumn("normalized_score", F.when(F.col("top") > 0, F.col("raw_score") / F.col("top")).otherwise(0.0)).withColumn("occurrence_count", F.size("evidence")).drop("top")
+    return found.withColumn("confidence", confidence(F.col("normalized_score"), F.col("occurrence_count"), F.col("recency")))
 
 
 def confidence(normalized: Column, occurrences: Column, recency: Column) -> Column:
