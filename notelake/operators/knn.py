@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake import literals as L
 from notelake.functions import scalar as S
+from notelake.operators import neighbours
 
 
 def nearest(vectors: DataFrame, m: DataFrame, query: Sequence[float] | DataFrame, k: int = 10, namespace: str | None = None, spec: str | None = None, mode: str = "post") -> DataFrame:
@@ -90,38 +89,14 @@ def rerank(results: DataFrame, as_of: Column, target_spec: str | None = None, ta
     return out.withColumn("boosted", F.greatest(F.lit(0.0), F.col("distance") - boost * F.lit(0.1))).orderBy("boosted", "distance", "id")
 
 
-def nearest_many(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, block: int = 1024, chunk: int = 65_536) -> DataFrame:
+def nearest_many(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, **sizes: int) -> DataFrame:
     """query_id, id and distance of the k nearest records of each query's namespace, exactly.
 
-    ``queries``: query_id (number), namespace, embedding (null finds nothing).  They are
-    dealt into blocks of about ``block`` by their ids, and records into chunks; each block
-    meets each chunk in a task, whatever the namespaces' sizes, which keeps k records for
-    each query, so what is shuffled does not grow with the pairs.  Query ids are to be unique.
+    ``queries``: query_id (number, unique), namespace, embedding (null finds nothing).
+    Cells around pivots and the triangle inequality spare most comparisons where vectors
+    lie in clusters (``neighbours``, with its ``sizes``).
     """
-    known = vectors.join(m.select("id", "namespace"), "id").select("id", "namespace", "embedding")
-    asked = queries.filter("embedding is not null and namespace is not null").select("query_id", F.col("namespace").alias("side"), F.col("embedding").alias("query"))
-    blocks, chunks = (max(1, math.ceil(df.count() / n)) for df, n in ((asked, block), (vectors, chunk)))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("b", number("query_id", blocks)).withColumn("c", every(chunks))
-    right = known.withColumn("c", number("id", chunks)).withColumn("b", every(blocks))
-
-    def meet(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, str, float]] = []
-        sides = dict(list(rows.groupby("namespace")))
-        for name, mine in some.groupby("side"):
-            if name not in sides:
-                continue
-            ids, matrix = sides[name]["id"].to_numpy(), np.array(sides[name]["embedding"].tolist(), np.float64)
-            for q, e in zip(mine["query_id"], mine["query"], strict=True):
-                d = np.sqrt(((matrix - np.asarray(e, np.float64)) ** 2).sum(1))
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else range(len(d))
-                out += [(q, i, x) for x, i in sorted((float(d[i]), str(ids[i])) for i in near)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-    best = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(meet, "query_id bigint, id string, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return best.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+    return neighbours.nearest(queries, vectors.join(m.select("id", "namespace"), "id"), k, **sizes)[0]
 
 
 def novelty(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 5, threshold: float = 0.3, similar_from: float = 0.7) -> DataFrame:
