@@ -13,10 +13,11 @@ from notelake.functions import scalar as S
 
 # White space of any kind, as ``str.strip`` has it.
 _BLANK = r"[\s\x1c-\x1f]"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def _lines(lines: Column, first: Column, end: Column) -> Column:
@@ -33,7 +34,7 @@ def split_notes(text: Column | str) -> Column:
     x = S._col(text)
 
     def parts(lines: Column) -> Column:
-        marks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(rf"(?U)\A{_BLANK}*---{_BLANK}*\z"))
+        marks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).contains("---") & (_strip(F.get(lines, i)) == "---"))
 
         def part(marks: Column, k: Column) -> Column:
             mark = lambda j, default: F.coalesce(F.get(marks, 2 * k + j), default)
@@ -60,7 +61,7 @@ def parse_front_matter(head: str | None) -> tuple[dict[str, str] | None, str | N
     import yaml
 
     try:
-        data = yaml.safe_load(head)
+        data = yaml.load(head, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         return None, "invalid YAML"
     if not isinstance(data, dict):

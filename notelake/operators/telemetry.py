@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from notelake import literals as L
 from notelake.functions import scalar as S
+from notelake.functions.tables import settled, small
 
 SAMPLES = 3600
-#: Ranges that a series is cut into for ranking.
-SLICES = 64
+#: Different values that windows over series rank at once; different values of a slice of a longer series, and slices at most.
+WHOLE, SLICE, MOST_SLICES = 200_000, 50_000, 4096
 
 
 def counters(obs: DataFrame) -> DataFrame:
@@ -44,24 +45,28 @@ def last_samples(obs: DataFrame, n: int = SAMPLES, keys: tuple[str, ...] = ("nam
     return obs.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), *tie))).filter(F.col("__r") <= n).drop("__r")
 
 
-def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99), whole: int = WHOLE) -> DataFrame:
     """Count, sum, mean and percentiles by floor rank, sorted[min(floor(n p / 100), n - 1)], of each series.
 
-    Approximate quantiles cut each series into ``SLICES`` ranges; equal values are counted
-    and ranked within their range, behind the sizes of the ranges before.  So ranks are
-    exact, and neither a long series nor a frequent value is one task's work.
+    Equal values are counted first.  If there are at most ``whole`` different ones, each
+    series is ranked at once; else approximate quantiles cut it into slices of about
+    ``SLICE`` values, which are ranked behind the sizes of the slices before.  Either way
+    ranks are exact, and neither a long series nor a frequent value is one task's work.
     """
     keys_ = list(keys)
-    cuts = obs.groupBy(*keys_).agg(F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000).alias("__cuts"))
-    at = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("value")))
-    rows = obs.filter(F.col("value").isNotNull()).join(cuts, keys_).select(*keys_, "value", at.alias("__s"))
-    counts = rows.groupBy(*keys_, "__s", "value").agg(F.count(F.lit(1)).alias("__c"))
-    by = Window.partitionBy(*keys_)
-    sizes = counts.groupBy(*keys_, "__s").agg(F.sum("__c").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(by.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumns({"__before": before, "__n": F.sum("__size").over(by)}).drop("__size")
-    upto = F.sum("__c").over(Window.partitionBy(*keys_, "__s").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("__upto", upto).join(sizes, [*keys_, "__s"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    counts = settled(obs.filter(F.col("value").isNotNull()).groupBy(*keys_, "value").agg(F.count(F.lit(1)).alias("__c")))
+    by, n = Window.partitionBy(*keys_), counts.count()
+    if n <= whole:
+        ranked = counts.withColumns({"__upto": F.sum("__c").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__c").over(by)})
+    else:
+        slices = min(max(n // SLICE, 2), MOST_SLICES)
+        cuts = settled(counts.groupBy(*keys_).agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], 20 * slices).alias("__cuts")))
+        rows = counts.join(small(cuts), keys_).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
+        sizes = rows.groupBy(*keys_, "__s").agg(F.sum("__c").alias("__size"))
+        before = F.coalesce(F.sum("__size").over(by.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = settled(sizes.select(*keys_, "__s", before.alias("__before"), F.sum("__size").over(by).alias("__n")))
+        within = Window.partitionBy(*keys_, "__s").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = rows.withColumn("__upto", F.sum("__c").over(within)).join(small(sizes), [*keys_, "__s"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
     rank = lambda p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1)
     found = [F.max(F.when((F.col("__upto") - F.col("__c") <= rank(p)) & (rank(p) < F.col("__upto")), F.col("value"))).alias(f"p{p}") for p in points]
     total = F.sum(F.col("value") * F.col("__c"))

@@ -195,6 +195,7 @@ def obs(spark, values, name="m"):
 def test_percentiles(spark, n):
     values = random.Random(n).sample(range(1000), n)
     r = telemetry.percentiles(obs(spark, values)).first()
+    assert telemetry.percentiles(obs(spark, values), whole=0).first() == r
     for p in (50, 90, 95, 99):
         assert r[f"p{p}"] == sorted(values)[min(int(n * p / 100), n - 1)]
     assert r["count"] == n and r["mean"] == pytest.approx(sum(values) / n)
