@@ -96,6 +96,37 @@ def span_children(spans: DataFrame) -> DataFrame:
     return out.select("trace_id", "span_id", "operation", F.coalesce("children", F.lit(0)).alias("children"), duration_ms().alias("duration_ms"), (duration_ms() - F.coalesce("child_ms", F.lit(0.0))).alias("self_ms"))
 
 
+def span_trees(spans: DataFrame) -> DataFrame:
+    """M2: each span's root, depth (0: the root) and path_ms, the duration of all spans from the root to it.
+
+    Pointer doubling: a span knows an ancestor and what lies between, and in each round
+    takes over what that one knows, so a chain of n spans takes log n rounds.  A span
+    without parent is a root, as is one whose parent is not there (is_orphan); spans on a
+    cycle, or below one, have no root, depth or path.  Span ids are unique in a trace.
+    """
+    own = settled(spans.select("trace_id", "span_id", "parent_span_id", duration_ms().alias("ms")))
+    there = own.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"))
+    linked = own.join(there, (F.col("trace_id") == F.col("t")) & (F.col("parent_span_id") == F.col("s")), "left")
+    up = F.col("s")
+    state = settled(linked.select("trace_id", "span_id", (up.isNull() & F.col("parent_span_id").isNotNull()).alias("is_orphan"), F.coalesce(up, "span_id").alias("up"), up.isNull().alias("done"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(up.isNull(), F.lit(0.0)).otherwise(F.col("ms")).alias("below"), "ms"))
+    n, reach = state.count(), 1
+    while reach < 2 * n and not state.filter(~F.col("done")).isEmpty():
+        above = state.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("up").alias("up_"), F.col("done").alias("done_"), F.col("depth").alias("depth_"), F.col("below").alias("below_"))
+        open_ = state.filter(~F.col("done")).join(above, (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("s")))
+        moved = open_.select("trace_id", "span_id", "is_orphan", F.col("up_").alias("up"), F.col("done_").alias("done"), (F.col("depth") + F.col("depth_")).alias("depth"), (F.col("below") + F.col("below_")).alias("below"), "ms")
+        state, reach = settled(state.filter("done").unionByName(moved)), 2 * reach
+    root = state.filter("depth = 0").select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("ms").alias("root_ms"))
+    found = state.join(root, F.col("done") & (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("s")), "left")
+    path = F.when(F.col("depth") == 0, F.col("ms")).otherwise(F.col("below") + F.col("root_ms"))
+    return found.select("trace_id", "span_id", F.when(F.col("done"), F.col("up")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.when(F.col("done"), path).alias("path_ms"), "is_orphan")
+
+
+def critical_paths(trees: DataFrame) -> DataFrame:
+    """M2: of each tree (``span_trees``) its spans, depth, and the last span and duration of the longest path from the root, ties by id."""
+    worst = F.max_by(F.col("span_id"), F.struct("path_ms", F.col("span_id")))
+    return trees.filter("root_id IS NOT NULL").groupBy("trace_id", "root_id").agg(F.count(F.lit(1)).alias("spans"), F.max("depth").alias("depth"), worst.alias("last_span"), F.max("path_ms").alias("path_ms"))
+
+
 def _number(x: Column) -> Column:
     """As Python writes a float, for values that are whole or short."""
     return F.when(x == F.floor(x), F.concat(F.format_string("%d", x.cast("long")), F.lit(".0"))).otherwise(x.cast("string"))

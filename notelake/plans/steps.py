@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from notelake import literals as L
 from notelake.functions import driver
 from notelake.functions import scalar as S
-from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
+from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, reconcile, security, signals, sync, telemetry
 from notelake.plans import views as V
 from notelake.plans.queries import A, DECAY, E, M, SIG, SP, STATE, _allowlist, _ALLOW, _esc, _index, _LE, _PCT, _r, _working_sql, _xml_sql, query
 from notelake.sources import files, git
@@ -747,3 +747,27 @@ def n5_query_tokens(spark, d):
 def n9b_span_durations(spark, d):
     return V.spans(spark, d).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.round(F.sum(telemetry.duration_ms()), 6).alias("total_ms"))
 
+
+
+# trees of spans and reconciliation
+
+_TREES = f"""WITH RECURSIVE {V.SPANS_SQL}, linked AS (SELECT s.*, p.span_id AS up, (end_time - start_time) * 1000 AS ms FROM spans s LEFT JOIN (SELECT trace_id AS t, span_id FROM spans) p ON p.t = s.trace_id AND p.span_id = s.parent_span_id),
+tree AS (
+  SELECT trace_id, span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth, ms AS path_ms FROM linked WHERE up IS NULL
+  UNION ALL SELECT l.trace_id, l.span_id, t.root_id, t.depth + 1, t.path_ms + l.ms FROM tree t JOIN linked l ON l.trace_id = t.trace_id AND l.up = t.span_id)"""
+
+
+@query(f"{_TREES} SELECT l.trace_id, l.span_id, t.root_id, t.depth, t.path_ms, l.up IS NULL AND l.parent_span_id IS NOT NULL AS is_orphan FROM linked l LEFT JOIN tree t USING (trace_id, span_id)")
+def m2_span_trees(spark, d):
+    return telemetry.span_trees(V.spans(spark, d))
+
+
+@query(f"{_TREES} SELECT trace_id, root_id, count(*) AS spans, max(depth) AS depth, arg_max(span_id, (path_ms, span_id)) AS last_span, max(path_ms) AS path_ms FROM tree GROUP BY trace_id, root_id")
+def m2_critical_paths(spark, d):
+    return telemetry.critical_paths(telemetry.span_trees(V.spans(spark, d)))
+
+
+@query(f"WITH {M} SELECT id, CASE WHEN doc_id % 13 = 0 THEN 'missing' ELSE 'mismatched' END AS problem FROM memories WHERE doc_id % 13 = 0 OR doc_id % 17 = 0 UNION ALL SELECT id || '-orphan', 'orphaned' FROM memories WHERE doc_id % 13 = 0")
+def g1_reconcile(spark, d):
+    m = V.memories(spark, d)
+    return reconcile.verify(m, _index(m))

@@ -6,9 +6,11 @@ checkpoint.  Windows, watermarks and deduplication are additions to what is deri
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,6 +24,36 @@ def once(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def within(spark: SparkSession, seconds: float, step: Callable[[], object], default: object = None) -> object:
+    """K8: what ``step`` returns, or ``default`` once ``seconds`` have gone; its Spark jobs are interrupted then.
+
+    The step runs in a thread of its own under a tag, so no other job of the session is
+    touched.  Its own errors are raised.
+    """
+    tag, out, context = f"within-{uuid.uuid4().hex}", [], spark.sparkContext
+
+    def run() -> None:
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        try:
+            out.append((step(), None))
+        except Exception as e:  # noqa: BLE001  handed to the caller
+            out.append((None, e))
+        finally:
+            context.removeJobTag(tag)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        context.cancelJobsWithTag(tag)
+        return default
+    value, error = out[0]
+    if error is not None:
+        raise error
+    return value
+
+
 def session_start(m: DataFrame, as_of: Column, project: str, spec: str | None = None, found: DataFrame | None = None, mode: str = "adaptive", fixed: int = 1000) -> DataFrame:
     """N18d, K8: one row with the context that a session begins with.
 
