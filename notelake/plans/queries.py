@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from notelake import literals as L
 from notelake.functions import scalar as S
+from notelake.functions import table_functions
 from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
 from notelake.plans import views as V
 from notelake.streaming import hooks
@@ -535,6 +536,18 @@ def i12_session_signals(spark, d):
     return signals.session_signals(signals.signals(V.messages(spark, d), "conv_id", "turn")).select("conv_id", "turn", "type", "confidence", "rank")
 
 
+@query(f"WITH {SIG} SELECT conv_id, turn, type, match, confidence, context, suggested_namespace, position FROM signals")
+def i1_lateral(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT m.conv_id, m.turn, s.* FROM {messages} m, LATERAL detect_signals(m.text) s", messages=V.messages(spark, d))
+
+
+@query(f"WITH {SIG}, r AS (SELECT conv_id, turn, type, confidence, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, turn, position) AS rank FROM signals WHERE confidence >= 0.7) SELECT * FROM r WHERE rank <= 5")
+def i12_table_function(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT conv_id, turn, type, confidence, rank FROM surest_signals(TABLE({messages}) PARTITION BY (conv_id), 5, 0.7)", messages=V.messages(spark, d))
+
+
 _ERR = "concat_ws(',', CASE WHEN namespace NOT IN (" + ", ".join(repr(n) for n in L.NAMESPACES) + ") THEN 'namespace' END, CASE WHEN trim(summary) = '' THEN 'summary_empty' END, CASE WHEN length(summary) > 100 THEN 'summary_length' END, CASE WHEN trim(content) = '' THEN 'content_empty' END, CASE WHEN strlen(content) > 102400 THEN 'content_size' END)"
 
 
