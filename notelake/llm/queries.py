@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import bagminhash, katz, merkle, pages, partitions, pieces, pseudonyms, quality, repeats, resampling, sql, suffix_dedup, templates, toxicity
+from notelake.functions.driver import shared_folder
+from notelake.llm import bagminhash, katz, katz_store, merkle, pages, partitions, pieces, pseudonyms, quality, repeats, resampling, sql, suffix_dedup, templates, toxicity
 
 #: The vocabulary file of the encoding queries; it is read where the query is built.
 PIECES_MODEL = os.environ.get("NOTELAKE_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -89,6 +90,14 @@ def op3_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
 
 
+@query
+def katz_stored_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's model of order 3, stored in tables and read back to score all texts."""
+    docs, folder = _table(spark, sf_dir, "documents"), shared_folder(spark, "katz")
+    katz_store.train(docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))), folder, 3)
+    return katz_store.score(docs, folder)
+
+
 @query
 def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
