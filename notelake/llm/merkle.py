@@ -1,6 +1,6 @@
 """A Merkle manifest of a table: one tree of row digests for each language, one over their roots.
 
-Leaves get their place by a distributed sort (``ranks``).  A block holds ``fanout**k``
+Leaves get their place by a distributed sort.  A block holds ``fanout**k``
 consecutive leaves, so whole subtrees lie within it: one task turns its digests into a
 matrix of 64 hex bytes a row, reshapes it by the fanout and hashes the rows, level by
 level.  The blocks' digests are the leaves of the next round, until each tree has one
@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.exchange import settled
-from notelake.llm.ranks import numbered, small
+from notelake.functions.tables import numbered, settled, small
 
 #: Nodes of a block, at most; a block is the largest power of the fanout within.
 BLOCK = 4096
@@ -174,7 +173,7 @@ def manifest(rows: DataFrame, order: Sequence[str], by: str = "lang", fanout: in
     up = block_height(fanout, most)
     size = fanout**up
     kept = rows.columns
-    found = numbered(settled(rows), [*(F.col(c).asc_nulls_first() for c in order), F.col("leaf").asc()], by)
+    found = numbered(settled(rows), [*(F.col(c).asc_nulls_first() for c in order), F.col("leaf").asc()], by, most=0)
     schema = found.schema
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
@@ -197,7 +196,7 @@ def manifest(rows: DataFrame, order: Sequence[str], by: str = "lang", fanout: in
     blocks = found.groupBy(by, F.floor(F.col("position") / size).alias("block__")).applyInArrow(block, f"tree {kind}, position bigint, total bigint, digest string, blob binary")
     blocks = settled(blocks)
     roots, paths = _climb(blocks.drop("blob"), kind, fanout, most)
-    trees = numbered(settled(roots.withColumnRenamed("digest", "subroot")), [F.col("tree").asc_nulls_first()])
+    trees = numbered(settled(roots.withColumnRenamed("digest", "subroot")), [F.col("tree").asc_nulls_first()], most=0)
     trees = settled(trees)
     root, places = _climb(trees.select(F.lit("all").alias("tree"), "position", "total", F.col("subroot").alias("digest")), "string", fanout, most)
     top = trees.select(F.col("tree").alias("tree_"), "subroot", F.col("position").alias("place"), F.col("total").alias("trees"))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.exchange import bounded, settled
-from notelake.llm.ranks import numbered
+from notelake.functions.tables import numbered, settled
+from notelake.llm.exchange import bounded
 from notelake.llm.text import Texts, lower_ascii, text_blocks
 
 #: Buckets of features.
@@ -170,5 +170,5 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     scored = weighed(docs, gain, most_words)
     scored = settled(scored.select("doc_id", "n_features", "weight", (F.col("weight") + noise(seed)).alias("score"), (F.col("n_words") >= min_words).alias("enough")))
     drawn = scored.filter("enough").count() * percent // 100
-    placed = numbered(scored, [F.col("enough").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_first()])
+    placed = numbered(scored, [F.col("enough").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_first()], most=0)
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("position") < drawn, F.col("position") + 1).alias("rank"))

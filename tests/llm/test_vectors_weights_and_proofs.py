@@ -11,8 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.llm import merkle, partitions, ranks, resampling
-from notelake.llm.exchange import settled
+from notelake.functions.tables import numbered, settled
+from notelake.llm import merkle, partitions, resampling
 from notelake.llm.text import text_blocks
 
 from .conftest import corpus, docs_of, vectors
@@ -26,12 +26,12 @@ QUERIES = "vec_id % 50 = 0"
 def test_places_of_rows_in_groups(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None, "c"]), rng.randrange(20)) for _ in range(500)] + [("a", 7)] * 300
-    got = ranks.numbered(settled(spark.createDataFrame(rows, "g string, x int")), [F.col("x").asc()], "g").collect()
+    got = numbered(settled(spark.createDataFrame(rows, "g string, x int")), [F.col("x").asc()], "g", most=0).collect()
     for g in {g for g, _ in rows}:
         own = sorted((r.position, r.x, r.total) for r in got if r.g == g)
         assert [x for _, x, _ in own] == sorted(x for h, x in rows if h == g)
         assert [p for p, _, _ in own] == list(range(len(own))) and {t for _, _, t in own} == {len(own)}
-    assert ranks.numbered(settled(spark.createDataFrame([], "x int")), [F.col("x").asc()]).count() == 0
+    assert numbered(settled(spark.createDataFrame([], "x int")), [F.col("x").asc()], most=0).count() == 0
 
 
 # nearest neighbours
