@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,20 +14,30 @@ MAX_BROADCAST = 200_000
 _PART_BITS = 33  # monotonically_increasing_id: number of the partition above, of the row below
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, worked out once and kept in the session's shared checkpoint folder, with its lineage cut.
-
-    The folder is ``spark.checkpoint.dir``; only in a local session without it one of our own is set.
-    """
+def _folder(df: DataFrame) -> str:
+    """The session's shared checkpoint folder: ``spark.checkpoint.dir``; only in a local session without it one of our own is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="notelake-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, worked out once and kept in the session's shared checkpoint folder, with its lineage cut."""
+    _folder(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the session's shared checkpoint folder, for what needs files."""
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """``df`` (settled), to be broadcast if it has at most ``most`` rows; otherwise Spark joins it by a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

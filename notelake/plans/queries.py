@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from notelake import literals as L
 from notelake.functions import scalar as S
 from notelake.functions import table_functions
-from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry
+from notelake.functions.tables import settled, written
+from notelake.operators import aggregate, capture, context, knn, lifecycle, lookup, notes, patterns, security, signals, sync, telemetry, trigrams
 from notelake.plans import views as V
 from notelake.streaming import hooks
 
@@ -117,6 +118,16 @@ def b12_search_wildcards(spark, d):
     return _plain(lookup.search_text(V.memories(spark, d), "lic_nse%the", 50), "id", "timestamp")
 
 
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%lic_nse%the%'"
+
+
+@query(f"WITH {M} SELECT id, ts FROM memories WHERE {_FOLDED.format('summary')} OR {_FOLDED.format('content')}")
+def b12_pruned_search(spark, d):
+    """All matches, not the newest alone, read from a table of 32 files by signatures of its files."""
+    stored = written(V.memories(spark, d).select("id", "timestamp", "summary", "content").repartitionByRange(32, "summary"))
+    return _plain(trigrams.search(stored, settled(trigrams.signatures(stored)), "lic_nse%The"), "id", "timestamp")
+
+
 @query(f"WITH {M} SELECT id, spec FROM memories WHERE {STATE} = 'active' AND namespace = 'progress'")
 def b14_select_by_status(spark, d):
     return _plain(lookup.select_by(V.memories(spark, d), namespace="progress", status="active"), "id", "spec")
