@@ -595,6 +595,53 @@ def j1_detections(spark, d):
     return found.select("doc_id", "x.secret_type", "x.start", "x.end", "x.confidence", "x.line_number")
 
 
+def _numbers(d):
+    """Texts of documents with a line of numbers of each form, valid and not, made from doc_id."""
+    nine, ten, rest = (F.lpad((F.col("doc_id") * k % F.lit(10**n)).cast("string"), n, "0") for k, n in ((104_729_617, 9), (9_576_890_767, 10), (86_028_157_331, 15)))
+    part = lambda x, at, n: F.substring(x, at, n)
+    ssn = F.call_function("concat_ws", F.when(F.col("doc_id") % 3 == 0, "-").when(F.col("doc_id") % 3 == 1, " ").otherwise(""), part(nine, 1, 3), part(nine, 4, 2), part(nine, 6, 4))
+    phone = F.concat(F.lit("+1 ("), part(ten, 1, 3), F.lit(") "), part(ten, 4, 3), F.lit("-"), part(ten, 7, 4), F.when(F.col("doc_id") % 5 == 0, "0").otherwise(""))
+    card = F.call_function("concat_ws", F.when(F.col("doc_id") % 2 == 0, "-").otherwise(""), F.concat(F.lit("4"), part(rest, 1, 3)), part(rest, 4, 4), part(rest, 8, 4), part(rest, 12, 4))
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.concat_ws(" x ", ssn, phone, card, card)).alias("text"))
+
+
+_NUMBERS = """(SELECT doc_id, coalesce(text, '') || chr(10) || concat_ws(' x ', concat_ws(sep, nine[1:3], nine[4:5], nine[6:9]), '+1 (' || ten[1:3] || ') ' || ten[4:6] || '-' || ten[7:10] || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END, concat_ws(dash, '4' || rest[1:3], rest[4:7], rest[8:11], rest[12:15]), concat_ws(dash, '4' || rest[1:3], rest[4:7], rest[8:11], rest[12:15])) AS text
+  FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN ' ' ELSE '' END AS sep, CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '' END AS dash, lpad(CAST(doc_id * 104729617 % 1000000000 AS VARCHAR), 9, '0') AS nine, lpad(CAST(doc_id * 9576890767 % 10000000000 AS VARCHAR), 10, '0') AS ten, lpad(CAST(doc_id * 86028157331 % 1000000000000000 AS VARCHAR), 15, '0') AS rest FROM documents))"""
+# The patterns without look-around: ranges of digits are spelt out, and a mark after each run of digits stands for "no digit follows".
+_SSN = r"\b(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])[- ]?(?:0[1-9]|[1-9][0-9])[- ]?(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9][0-9][0-9])\b"
+_PHONE = "(?:\\+?1\x01?[- .]?)?(?:\\([0-9]{3}\x01\\)[- .]?|[0-9]{3}\x01[- .])[0-9]{3}\x01?[- .]?[0-9]{4}\x01"
+_CARDS = [p for t, _, p, v in L.PII_PATTERNS if v]
+_SHAPES = [("pii_ssn", 0.7, _SSN, "text"), *(("pii_credit_card", 0.9, p, "text") for p in _CARDS), ("pii_phone", 0.7, _PHONE, "marked")]
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INTEGER) ELSE (2 * CAST(digits[i] AS INTEGER)) % 10 + (2 * CAST(digits[i] AS INTEGER)) // 10 END)) % 10 = 0"
+_HITS = " UNION ALL ".join(f"SELECT doc_id, text, '{t}' AS secret_type, {sure} AS confidence, {i} AS nr, regexp_extract_all({x}, '{p}') AS ms, string_split_regex({x}, '{p}') AS ps FROM marked_texts" for i, (t, sure, p, x) in enumerate(_SHAPES))
+PERSONAL_SQL = f"""marked_texts AS (SELECT doc_id, text, regexp_replace(text, '([0-9])([^0-9]|$)', '\\1' || chr(1) || '\\2', 'g') AS marked FROM {_NUMBERS}),
+  hits AS ({_HITS}),
+  each AS (SELECT doc_id, text, secret_type, confidence, nr, replace(ms[k], chr(1), '') AS m, CAST(coalesce(list_sum(list_transform(ps[1:k] || ms[1:k - 1], lambda s: length(replace(s, chr(1), '')))), 0) AS INTEGER) AS start FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM hits)),
+  valid AS (SELECT *, CAST(start + length(m) AS INTEGER) AS "end" FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM each) WHERE secret_type <> 'pii_credit_card' OR (length(digits) >= 13 AND {_LUHN})),
+  spans AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY confidence DESC, nr) = 1),
+  kept AS (SELECT doc_id, text, list_reduce(list([{{'secret_type': secret_type, 'a': start, 'b': "end", 'confidence': confidence}}] ORDER BY start, "end" DESC, confidence DESC), lambda acc, x: CASE WHEN x[1].a >= acc[-1].b THEN acc || x ELSE acc END) AS found FROM spans GROUP BY doc_id, text)"""
+
+
+@query(f"WITH {PERSONAL_SQL} SELECT doc_id, x.secret_type AS secret_type, x.a AS start, x.b AS \"end\", CAST(x.confidence AS DOUBLE) AS confidence, 1 + length(text[1:x.a]) - length(replace(text[1:x.a], chr(10), '')) AS line_number, sha256(text[x.a + 1:x.b]) AS secret_hash FROM (SELECT doc_id, text, unnest(found) AS x FROM kept)")
+def j1_personal(spark, d):
+    """Personal data of all texts."""
+    found = _numbers(V.table(spark, d, "documents")).select("doc_id", F.explode(security.detect("text", secrets=False)).alias("x"))
+    return found.select("doc_id", "x.secret_type", "x.start", "x.end", "x.confidence", F.col("x.line_number").cast("long").alias("line_number"), "x.secret_hash")
+
+
+_VALUE = "text[found[k].a + 1:found[k].b]"
+_MASKED = f"regexp_extract({_VALUE}, '^([-. ]*(?:[^-. ][-. ]*?){{4}})', 1) || repeat('*', greatest(4, length(regexp_replace({_VALUE}, '[-. ]', '', 'g')) - 8)) || regexp_extract({_VALUE}, '([^-. ](?:[-. ]*[^-. ]){{3}}[-. ]*)$', 1)"
+_PUT = f"text[CASE WHEN k = 1 THEN 1 ELSE found[greatest(k - 1, 1)].b + 1 END:found[k].a] || CASE found[k].secret_type WHEN 'pii_phone' THEN {_MASKED} WHEN 'pii_ssn' THEN {_VALUE} ELSE '[REDACTED:' || found[k].secret_type || ']' END"
+
+
+@query(f"""WITH {PERSONAL_SQL}, acted AS (SELECT *, CASE WHEN list_contains(kinds, 'pii_credit_card') THEN 'redacted' WHEN list_contains(kinds, 'pii_phone') THEN 'masked' ELSE 'warned' END AS action FROM (SELECT *, list_transform(found, lambda x: x.secret_type) AS kinds FROM kept))
+  SELECT doc_id, action, array_to_string(list_transform(range(1, len(found) + 1), lambda k: {_PUT}), '') || text[found[-1].b + 1:] AS filtered, action || ': ' || len(found) AS warnings FROM acted""")
+def j6_personal(spark, d):
+    """Texts with personal data, filtered by strategies of types."""
+    out = security.filter_texts(_numbers(V.table(spark, d, "documents")), "text", strategies={"pii_phone": "mask", "pii_ssn": "warn"}, secrets=False)
+    return out.filter("action <> 'allowed'").select("doc_id", "action", "filtered", F.array_join("warnings", ";").alias("warnings"))
+
+
 @query()
 def j6_filtered(spark, d):
     out = security.filter_texts(V.table(spark, d, "documents"), "text", strategies={"pii_phone": "mask"})
