@@ -728,6 +728,18 @@ def i13_captures(spark, d):
     return capture.capture(rows)[0].select("conv_id", "turn", "namespace", "summary", F.length("content").alias("n"))
 
 
+_BODY = "coalesce(nullif(context, ''), match)"
+_BARE = f"trim(regexp_replace(trim(CASE WHEN length(match) < 20 THEN {_BODY} ELSE match END, {V.BLANKS}), '^(?:\\.\\.\\.|\\[\\w+\\]\\s*)', ''), {V.BLANKS})"
+
+
+@query(f"""WITH {SIG}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, turn, position) AS nr FROM signals WHERE confidence >= 0.85)
+  SELECT conv_id, turn, position, suggested_namespace AS namespace, CASE WHEN length({_BARE}) > 100 THEN substring({_BARE}, 1, 97) || '...' ELSE {_BARE} END AS summary, length({_BODY}) AS n, confidence FROM r WHERE nr <= 3""")
+def n18f_pre_compact(spark, d):
+    """The three surest signals of each session before it is compacted; fifty would be all of these short ones."""
+    found = hooks.pre_compact(V.messages(spark, d), most=3)
+    return found.select("conv_id", "turn", "position", "namespace", "summary", F.length("content").alias("n"), "confidence")
+
+
 _LE = [(i, f"{b:g}" if b is not None else "+Inf", b) for i, b in enumerate([*L.LATENCY_BUCKETS, None])]
 _WHOLE = lambda x: f"CASE WHEN {x} = floor({x}) THEN printf('%d.0', CAST({x} AS BIGINT)) ELSE CAST({x} AS VARCHAR) END"
 _HIST = "h AS (SELECT event_type AS name, CAST(user_id % 5 AS VARCHAR) AS u, count(*) AS n, round(sum(value), 6) AS s, " + ", ".join(f"count(*) FILTER ({'true' if b is None else f'value <= {b}'}) AS c{i}" for i, _, b in _LE) + " FROM events GROUP BY 1, 2)"

@@ -123,14 +123,32 @@ def run(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]
     return (w.trigger(availableNow=True) if once_only else w).start()
 
 
+def surest(messages: DataFrame, min_confidence: float, most: int, novelty: DataFrame | None = None) -> DataFrame:
+    """What to capture of sessions' messages (conv_id, turn, text): each session's ``most`` surest signals of at least ``min_confidence``.
+
+    Signals rank by confidence, then turn and position; ``novelty`` (conv_id, turn,
+    position, is_novel) leaves the new ones.  Messages without text have none.  A task
+    keeps ``most`` of a session before the shuffle, however long the session.
+    """
+    sure = signals.session_signals(signals.signals(messages, "conv_id", "turn"), min_confidence, most, novelty=novelty)
+    body = F.coalesce(F.nullif("context", F.lit("")), "match")
+    return sure.select("conv_id", "turn", "position", F.col("suggested_namespace").alias("namespace"), pre_compact_summary(F.col("match"), F.col("context")).alias("summary"), body.alias("content"), signals.tags(F.col("type"), body).alias("tags"), "confidence")
+
+
+def pre_compact(messages: DataFrame, min_confidence: float = 0.85, most: int = 50, prompt_first: bool = False, novelty: DataFrame | None = None) -> DataFrame:
+    """N17, N18f: before sessions are compacted, what is captured of each, or with ``prompt_first`` only suggested.
+
+    Captures go through the checks and the filter of secrets of ``capture.capture``;
+    suggestions are the same rows as found, for a person to choose from.
+    """
+    found = surest(messages, min_confidence, most, novelty)
+    return found if prompt_first else capture.capture(found)[0]
+
+
 def session_end(store_write: Callable[[DataFrame], None], min_confidence: float = 0.8, most: int = 50) -> Callable[[DataFrame, int], None]:
-    """N18, N18f: a batch function that captures the surest signals of closed sessions' messages (conv_id, turn, text)."""
+    """A batch function that captures the surest signals of closed sessions' messages (conv_id, turn, text)."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        found = signals.signals(batch, "conv_id", "turn")
-        sure = signals.auto_capture(found, min_confidence, most).filter("captured")
-        body = F.coalesce(F.nullif("context", F.lit("")), "match")
-        rows = sure.select("conv_id", "turn", "position", F.col("suggested_namespace").alias("namespace"), pre_compact_summary(F.col("match"), F.col("context")).alias("summary"), body.alias("content"), signals.tags(F.col("type"), body).alias("tags"), "confidence")
-        store_write(capture.capture(rows)[0])
+        store_write(capture.capture(surest(batch, min_confidence, most))[0])
 
     return handle

@@ -289,6 +289,23 @@ def test_streams(spark, tmp_path):
     assert sorted(r.turn for r in seen) == [1, 3, 5] and all(r.namespace == "decisions" for r in seen)
 
 
+def test_before_compaction_the_surest_new_signals_are_captured(spark):
+    long = "I decided to use the parser that reads everything from the table of all the files " + "and more " * 20
+    texts = [(1, i, f"I decided to use number {i} for all of this") for i in range(60)] + [(2, 0, None), (2, 1, ""), (2, 2, long), (3, 0, "maybe nothing")]
+    messages = spark.createDataFrame(texts, "conv_id int, turn int, text string")
+    found = hooks.pre_compact(messages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # a long session is cut before the shuffle
+    rows = found.collect()
+    assert {r.conv_id for r in rows} <= {1, 2} and all(r.confidence >= 0.85 and len(r.summary) <= 100 for r in rows)
+    assert sorted((r.turn) for r in rows if r.conv_id == 1) == list(range(50))  # ties go by turn
+    new = spark.createDataFrame([(1, r.turn, r.position, r.turn >= 55) for r in hooks.pre_compact(messages, most=60, prompt_first=True).collect() if r.conv_id == 1], "conv_id int, turn int, position int, is_novel boolean")
+    assert sorted(r.turn for r in hooks.pre_compact(messages, most=3, novelty=new).collect()) == [55, 56, 57]
+    suggested = hooks.pre_compact(messages, prompt_first=True)
+    assert suggested.columns == ["conv_id", "turn", "position", "namespace", "summary", "content", "tags", "confidence"] and suggested.count() == len(rows)
+    assert hooks.pre_compact(messages.limit(0)).count() == 0
+
+
 def test_related_records_and_flush(spark, tmp_path):
     m = records(spark, [("a", "decisions", "s", "c", 0, None, [], "active"), ("b", "decisions", "s", "c", 0, None, [], "active")])
     v = spark.createDataFrame([("a", [0.1] * 4), ("b", [9.0] * 4)], schema.MEMORY_VECTORS)
