@@ -123,8 +123,9 @@ _FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 @query(f"WITH {M} SELECT id, ts FROM memories WHERE {_FOLDED.format('summary')} OR {_FOLDED.format('content')}")
 def b12_pruned_search(spark, d):
-    """All matches, not the newest alone, read from a table of 32 files by signatures of its files."""
-    stored = written(V.memories(spark, d).select("id", "timestamp", "summary", "content").repartitionByRange(32, "summary"))
+    """All matches, not the newest alone, read from a table of 32 files or more by signatures of its files."""
+    files = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = written(V.memories(spark, d).select("id", "timestamp", "summary", "content").repartitionByRange(files, "summary", "id"))
     return _plain(trigrams.search(stored, settled(trigrams.signatures(stored)), "lic_nse%The"), "id", "timestamp")
 
 
