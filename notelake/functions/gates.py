@@ -1,35 +1,14 @@
-"""Cheap tests that a text has to pass before a regular expression is tried on it."""
+"""Which of many patterns a text can match, from one pass over a batch of texts."""
 
 from __future__ import annotations
 
 import re
-from re import _constants as sre
-from re import _parser
-
-
-def _needed(items) -> frozenset[str]:
-    """Lower-case strings one of which is in every match of a parsed pattern; none if that cannot be told."""
-    found, run = [], ""
-    for op, value in [*items, (sre.AT, None)]:
-        if op is sre.LITERAL:
-            run += chr(value).lower()
-            continue
-        if run:
-            found.append(frozenset([run]))
-            run = ""
-        if op is sre.SUBPATTERN:
-            found.append(_needed(value[3]))
-        elif op is sre.BRANCH:
-            branches = [_needed(b) for b in value[1]]
-            found.append(frozenset().union(*branches) if all(branches) else frozenset())
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
-            found.append(_needed(value[2]))
-    return max(found, key=lambda s: min(map(len, s), default=0), default=frozenset())
-
-
-def needed(pattern: str) -> tuple[str, ...]:
-    """Lower-case strings one of which stands in ``folded`` of every text that the pattern matches; () if there are none."""
-    return tuple(sorted(_needed(_parser.parse(pattern))))
+from collections.abc import Iterable, Iterator, Sequence
+
+import ahocorasick
+
+#: Characters that are joined and searched at once; a longer text is searched alone.
+AT_ONCE = 4 << 20
 
 
 def folded(text: str) -> str:
@@ -37,15 +16,49 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").casefold()
 
 
-class Gated:
-    """A compiled pattern with what it needs; ``low`` is the text's ``folded`` form."""
+def _portions(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The folded texts (null: empty) in lists of ``AT_ONCE`` characters or one text."""
+    held, size = [], 0
+    for t in texts:
+        low = folded(t) if t else ""
+        if held and size + len(low) > AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(low)
+        size += len(low)
+    if held:
+        yield held
+
+
+class Patterns:
+    """Compiled patterns with their anchors: folded strings (without NUL) of which every match holds one.
 
-    __slots__ = ("literals", "pattern")
+    An automaton finds the anchors of all patterns in one pass, so what a text costs depends on
+    its length and the anchors in it, not on the number of patterns.  A pattern without anchors
+    is tried on every text.
+    """
 
-    def __init__(self, pattern: str, flags: int = 0):
-        self.pattern, self.literals = re.compile(pattern, flags), needed(pattern)
+    def __init__(self, patterns: Sequence[str], anchors: Sequence[Sequence[str]], flags: Sequence[int] | None = None):
+        self.compiled = [re.compile(p, f) for p, f in zip(patterns, flags or [0] * len(patterns), strict=True)]
+        self.always, bits = 0, {}
+        for i, (_, some) in enumerate(zip(patterns, anchors, strict=True)):
+            self.always |= (not some) << i
+            for s in some:
+                bits[s] = bits.get(s, 0) | 1 << i
+        self.automaton = ahocorasick.Automaton()
+        for s, b in bits.items():
+            self.automaton.add_word(s, b)
+        if bits:
+            self.automaton.make_automaton()
 
-    def finditer(self, text: str, low: str):
-        if self.literals and not any(s in low for s in self.literals):
-            return ()
-        return self.pattern.finditer(text)
+    def possible(self, texts: Iterable[str | None]) -> Iterator[int]:
+        """For each text, the patterns to try on it: bit i for pattern i."""
+        for part in _portions(texts):
+            found = [self.always] * len(part)
+            k, end = 0, len(part[0])
+            for at, b in self.automaton.iter("\0".join(part)) if len(self.automaton) else ():
+                while at > end:
+                    k += 1
+                    end += 1 + len(part[k])
+                found[k] |= b
+            yield from found

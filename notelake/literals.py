@@ -146,6 +146,18 @@ SIGNAL_PATTERNS = {
 SIGNAL_NAMESPACE = {"decision": "decisions", "learning": "learnings", "blocker": "blockers", "resolution": "progress", "progress": "progress", "pattern": "patterns", "preference": "learnings", "explicit": "learnings"}
 BLOCK_SIGNALS = {"decision": "decision", "learned": "learning", "learning": "learning", "blocker": "blocker", "progress": "progress", "pattern": "pattern", "remember": "explicit"}
 BLOCK_PATTERN = r"▶\s+(decision|learned|learning|blocker|progress|pattern|remember)\s+─+(?:\s+([^\n]+))?\n(.*?)^─+$"
+#: Strings of which a match of each pattern above holds one, in its order ("|" between alternatives); own choice, checked by a test.
+BLOCK_ANCHOR = "▶"
+SIGNAL_ANCHORS = {
+    "decision": ["[decision]", "[d]", "chose|decided|opted|picked|selected", "the decision ", "go with", "considering|evaluating|weighing", " went with", "choosing|decided|settled on", "made the call to"],
+    "learning": ["[learn", "[l]", "discovered|found out|learned|realized", "til", "turns out", "insight|learning|takeaway", "interesting", "didn't|never", "now i ", "aha moment"],
+    "blocker": ["[blocker]", "[b]", "blocked ", "stuck ", "because", "blocking", "issue ", "problem", "having trouble|struggling", "can't "],
+    "resolution": ["fixed|resolved|solved", "workaround", "solution", "figured ", "fixed it|worked", "got it ", "the fix|the solution", "finally got"],
+    "progress": ["[progress]", "[p]", "completed|done with|finished", "implemented", "merged ", "shipped", "made progress on", "wrapped up"],
+    "pattern": ["[pattern]", "pattern", "approach|method|technique", "reusable", "best practice", "idiomatic"],
+    "preference": ["like to|prefer to", "my preference is", "prefer|rather", "like how|like it when|like when", "i want ", "i need|i require"],
+    "explicit": ["remember ", "save ", "note ", " reference", "don't forget", "in mind", "important"],
+}
 REINFORCERS = ["important", "critical", "key", "essential", "must", "need"]
 SHORTHAND_MARKERS = {
     "decision": "decisions", "learned": "learnings", "blocker": "blockers", "progress": "progress", "pattern": "patterns", "research": "research", "learning": "learnings",
@@ -206,6 +218,11 @@ SECRET_PATTERNS = [
     ("generic_api_key", "Softlayer Credentials", r"(?i)softlayer[\w-]{0,20}[\"']?\s*[:=]\s*[\"']?([0-9a-z]{64})(?![0-9a-z])"),
     ("password", "Secret Keyword", r"(?i)(?:password|passwd|pwd|secret|api_?key|token)\s*[:=]\s*[\"']([^\"'\s]{4,})[\"']"),
 ]
+#: Strings of which a match of each pattern above holds one, as for signals.
+SECRET_ANCHORS = [
+    "akia|asia|abia|acca", "ghp_|gho_|ghu_|ghs_|ghr_", "xox", "k_live_", "ac|sk", "-us", "sg.", ".", "accountkey=", "://", "eyj", "private key", ":_authtoken=", "sq0csp-", "akc",
+    "aws", "cloudant", "bluemix|iam|ibm", "cos|hmac|secret", "softlayer", "apikey|api_key|passwd|password|pwd|secret|token",
+]
 ENTROPY_PATTERNS = [("high_entropy_base64", "Base64 High Entropy String", r"[\"']([A-Za-z0-9+/_=-]{20,})[\"']"), ("high_entropy_hex", "Hex High Entropy String", r"[\"']([0-9a-fA-F]{16,})[\"']")]
 ENTROPY_LIMIT = 4.5
 UNSPECIFIC = ["high_entropy_base64", "high_entropy_hex", "unknown"]

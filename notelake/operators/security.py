@@ -8,14 +8,14 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake import literals as L
-from notelake.functions.gates import Gated, folded
+from notelake.functions.gates import Patterns
 
 DETECTIONS = "array<struct<secret_type: string, start: int, end: int, confidence: double, detector: string, line_number: int, secret_hash: string>>"
 FIELDS = ["secret_type", "start", "end", "confidence", "detector", "line_number", "secret_hash"]
@@ -32,8 +32,15 @@ def luhn(text: str) -> bool:
 
 
 @functools.lru_cache(maxsize=1)
-def _compiled():
-    return [(t, n, Gated(p), v) for t, n, p, v in L.PII_PATTERNS], [(t, n, Gated(p)) for t, n, p in L.SECRET_PATTERNS], [(t, n, Gated(p)) for t, n, p in L.ENTROPY_PATTERNS]
+def _patterns() -> Patterns:
+    """The patterns of known secrets."""
+    return Patterns([p for _, _, p in L.SECRET_PATTERNS], [a.split("|") for a in L.SECRET_ANCHORS])
+
+
+@functools.lru_cache(maxsize=1)
+def _others() -> tuple[list[tuple], list[tuple]]:
+    """Those of personal data and of random strings, which have no anchors."""
+    return [(t, n, re.compile(p), v) for t, n, p, v in L.PII_PATTERNS], [(t, n, re.compile(p)) for t, n, p in L.ENTROPY_PATTERNS]
 
 
 _DIGITS = re.compile(r"\d{3}")  # every pattern of personal data has them
@@ -64,12 +71,15 @@ def disjoint(found: list[dict]) -> list[dict]:
     return kept
 
 
-def detect_one(text: str | None, pii: bool = True, secrets: bool = True, entropy_limit: float = L.ENTROPY_LIMIT) -> list[dict]:
-    """Detections of a text: personal data, and secrets by pattern and entropy."""
+def detect_one(text: str | None, pii: bool = True, secrets: bool = True, entropy_limit: float = L.ENTROPY_LIMIT, possible: int | None = None) -> list[dict]:
+    """Detections of a text: personal data, and secrets by pattern and entropy.
+
+    ``possible`` are the patterns of known secrets to try, where a pass over many texts has told them already.
+    """
     if not text:
         return []
-    low, starts = folded(text), None
-    personal, known, random_ = _compiled()
+    starts = None
+    personal, random_ = _others()
 
     def make(kind: str, name: str, a: int, b: int, sure: float) -> dict:
         nonlocal starts
@@ -78,21 +88,30 @@ def detect_one(text: str | None, pii: bool = True, secrets: bool = True, entropy
 
     found: list[dict] = []
     if pii and _DIGITS.search(text):
-        found += _one_span([make(t, n, *m.span(), 0.9 if v else 0.7) for t, n, p, v in personal for m in p.finditer(text, low) if not v or luhn(m.group())])
+        found += _one_span([make(t, n, *m.span(), 0.9 if v else 0.7) for t, n, p, v in personal for m in p.finditer(text) if not v or luhn(m.group())])
     if secrets:
-        some = [make(t, n, *m.span(m.lastindex or 0), 0.9) for t, n, p in known for m in p.finditer(text, low)]
-        some += [make(t, n, *m.span(1), 0.6) for t, n, p in (random_ if _QUOTED.search(text) else ()) for m in p.finditer(text, low) if _entropy(m[1]) >= (entropy_limit if t.endswith("64") else min(entropy_limit, 3.0))]
+        bits = next(_patterns().possible([text])) if possible is None else possible
+        known = ((t, n, p) for i, ((t, n, _), p) in enumerate(zip(L.SECRET_PATTERNS, _patterns().compiled, strict=True)) if bits >> i & 1)
+        some = [make(t, n, *m.span(m.lastindex or 0), 0.9) for t, n, p in known for m in p.finditer(text)]
+        some += [make(t, n, *m.span(1), 0.6) for t, n, p in (random_ if _QUOTED.search(text) else ()) for m in p.finditer(text) if _entropy(m[1]) >= (entropy_limit if t.endswith("64") else min(entropy_limit, 3.0))]
         found += _one_span(some)
     return disjoint(found)
 
 
+def detect_many(texts: Iterable[str | None], pii: bool = True, secrets: bool = True, entropy_limit: float = L.ENTROPY_LIMIT) -> list[list[dict]]:
+    """The detections of each text, with one pass over all of them for the secrets to look for."""
+    texts = list(texts)
+    bits = _patterns().possible(texts) if secrets else [0] * len(texts)
+    return [detect_one(t, pii, secrets, entropy_limit, p) for t, p in zip(texts, bits, strict=True)]
+
+
 def detect(column: Column | str, pii: bool = True, secrets: bool = True, entropy_limit: float = L.ENTROPY_LIMIT) -> Column:
     """Detections of each text as an array, disjoint and by start."""
 
     @F.pandas_udf(DETECTIONS)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda t: detect_one(t, pii, secrets, entropy_limit))
+            yield pd.Series(detect_many(part, pii, secrets, entropy_limit), dtype=object)
 
     return run(column)
 
