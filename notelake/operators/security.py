@@ -87,7 +87,7 @@ def detect_one(text: str | None, pii: bool = True, secrets: bool = True, entropy
         return dict(zip(FIELDS, (kind, a, b, sure, name, bisect.bisect_right(starts, a), hashlib.sha256(text[a:b].encode()).hexdigest()), strict=True))
 
     found: list[dict] = []
-    if pii and _DIGITS.search(text):
+    if pii and (not text.isascii() or any(d in text for d in "0123456789")) and _DIGITS.search(text):
         found += _one_span([make(t, n, *m.span(), 0.9 if v else 0.7) for t, n, p, v in personal for m in p.finditer(text) if not v or luhn(m.group())])
     if secrets:
         bits = next(_patterns().possible([text])) if possible is None else possible

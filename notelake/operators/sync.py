@@ -36,9 +36,9 @@ def verify(expected: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def verification(problems: DataFrame) -> DataFrame:
-    """Sorted ids of each problem, their number and whether all is well, in one row."""
-    lists = [F.sort_array(F.collect_list(F.when(F.col("problem") == p, F.col("id")))).alias(p) for p in ("missing", "orphaned", "mismatched")]
-    return problems.agg(*lists, F.count(F.lit(1)).alias("total_issues")).withColumn("is_consistent", F.col("total_issues") == 0)
+    """How many records have each problem, how many in all, and whether all is well, in one row; the ids are the rows of ``verify``."""
+    counts = [F.count_if(F.col("problem") == p).alias(p) for p in ("missing", "orphaned", "mismatched")]
+    return problems.agg(*counts, F.count("problem").alias("total_issues")).withColumn("is_consistent", F.col("total_issues") == 0)
 
 
 def repair(indexed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from notelake import schema
 from notelake.functions import scalar as S
 
+_JOB = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 _LINE = "type string, userType string, message string, isMeta boolean"
 
 
@@ -50,15 +52,20 @@ def write_audit(events: DataFrame, path: str, max_records: int = 100_000) -> Non
     events.write.mode("append").option("maxRecordsPerFile", max_records).json(path)
 
 
-def rotate_audit(spark: SparkSession, path: str, keep: int = 10) -> int:
-    """Removes all but the ``keep`` newest files of an audit log and returns how many."""
+def rotate_audit(spark: SparkSession, path: str, keep: int = 10, appends: bool = False) -> int:
+    """Removes all but the ``keep`` newest files of an audit log, or the files of all but the newest appends, and returns how many."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-    old = sorted(found, key=lambda s: (s.getModificationTime(), s.getPath().getName()), reverse=True)[keep:]
-    for s in old:
-        fs.delete(s.getPath(), False)
+    found: dict[str, list[tuple]] = {}  # of one append: the writing job's id is in its files' names
+    for s in fs.listStatus(folder):
+        if (name := s.getPath().getName()).startswith("part-"):
+            job = _JOB.search(name) if appends else None
+            found.setdefault(job[0] if job else name, []).append((s.getModificationTime(), name, s.getPath()))
+    newest = sorted(found.values(), key=lambda some: max((t, n) for t, n, _ in some), reverse=True)
+    old = [p for some in newest[keep:] for _, _, p in some]
+    for p in old:
+        fs.delete(p, False)
     return len(old)
 
 

@@ -348,3 +348,7 @@ def test_audit_logs_rotate(spark, tmp_path):
     for _ in range(4):
         files.write_audit(spark.range(3).select(F.lit("scan").alias("event_type")).coalesce(1), path)
     assert files.rotate_audit(spark, path, 3) == 1 and files.read_audit(spark, path).count() == 9
+    for kind in ("filter", "detection"):
+        files.write_audit(spark.range(4).select(F.lit(kind).alias("event_type")).repartition(2), path)
+    assert files.rotate_audit(spark, path, 2, appends=True) == 3 and files.rotate_audit(spark, path, 2, appends=True) == 0
+    assert sorted(r.event_type for r in files.read_audit(spark, path).collect()) == ["detection"] * 4 + ["filter"] * 4

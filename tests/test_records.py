@@ -166,8 +166,9 @@ def test_transitions(spark):
 def test_verify_and_repair(spark):
     m = records(spark, THREE)
     drifted = m.filter("id <> 'blockers:c:0'").withColumn("content", F.when(F.col("namespace") == "learnings", "other").otherwise(F.col("content"))).unionByName(m.limit(1).withColumn("id", F.lit("gone")))
-    v = sync.verification(sync.verify(m, drifted)).first()
-    assert (v.missing, v.orphaned, v.mismatched, v.total_issues, v.is_consistent) == (["blockers:c:0"], ["gone"], ["learnings:b:0"], 3, False)
+    problems = sync.verify(m, drifted)
+    assert sorted(map(tuple, problems.collect())) == [("blockers:c:0", "missing"), ("gone", "orphaned"), ("learnings:b:0", "mismatched")]
+    assert tuple(sync.verification(problems).first()) == (1, 1, 1, 3, False)
     assert sync.verification(sync.verify(m, sync.repair(drifted, m))).first().is_consistent
     assert sorted(r.id for r in sync.insert(m, drifted.unionByName(drifted)).collect()) == ["gone"]
 
