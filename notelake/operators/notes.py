@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from notelake import literals as L
 from notelake.functions import scalar as S
@@ -16,6 +18,12 @@ _BLANK = r"[\s\x1c-\x1f]"
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Texts and names up to these lengths stand on one line of a YAML file; what they have to look like to need no quotes, and words that would be read as something else.
+_SHORT, _SHORT_NAME = 60, 16
+_PLAIN = r"\A[A-Za-z][A-Za-z0-9_/.-]*(?: [A-Za-z0-9_/.-]+)*\z"
+_READ_OTHERWISE = ["yes", "no", "true", "false", "on", "off", "null"]
+
+
 def _strip(x: Column) -> Column:
     return F.btrim(x, F.lit(_BLANKS))
 
@@ -126,15 +134,39 @@ def serialize(front_matter: dict[str, object], body: str) -> str:
     return f"---\n{head}---\n\n{body}" if body else f"---\n{head}---\n"
 
 
-def serialize_notes(rows: DataFrame, fields: list[str], body: str = "content") -> DataFrame:
-    """``rows`` with a column note; null and empty fields, and an active status, are left out."""
+def _dumped(odd: pd.DataFrame) -> pd.DataFrame:
+    """The lines of each value that is there, as the YAML library writes them."""
+    import yaml
+
+    def lines(name: str, v: object) -> str | None:
+        if v is None:
+            return None
+        return yaml.safe_dump({name: v if isinstance(v, str) else list(v)}, sort_keys=False, allow_unicode=True, default_flow_style=False)
 
-    @F.pandas_udf("string")
-    def make(head: pd.DataFrame, text: pd.Series) -> pd.Series:
-        def one(row: dict, content: str | None) -> str:
-            kept = {k: (list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v) for k, v in row.items() if v is not None and len(v) and not (k == "status" and v == "active")}
-            return serialize(kept, content or "")
+    return pd.DataFrame({name: pd.Series([lines(name, v) for v in odd[name]], dtype=object) for name in odd.columns})
 
-        return pd.Series([one(r, t) for r, t in zip(head.to_dict("records"), text, strict=True)])
 
-    return rows.withColumn("note", make(F.struct(*fields), F.col(body)))
+def _stands_plain(x: Column) -> Column:
+    """Whether a text is written as it stands: short, words of letters and digits from a letter on, none that YAML reads otherwise."""
+    return F.coalesce((F.length(x) <= _SHORT) & x.rlike(_PLAIN) & ~F.lower(x).isin(_READ_OTHERWISE), F.lit(False))
+
+
+def serialize_notes(rows: DataFrame, fields: list[str], body: str = "content") -> DataFrame:
+    """``rows`` with a column note; fields are texts or lists of texts; null and empty ones, and an active status, are left out.
+
+    Expressions write plain values; only the others, never the body, go to Python to be quoted.
+    """
+    written, odd = [], []
+    for name in fields:
+        value, many = F.col(name), isinstance(rows.schema[name].dataType, ArrayType)
+        kept = F.size(value) > 0 if many else (F.length(value) > 0) & (F.lit(name != "status") | (value != "active"))
+        plain = F.forall(value, _stands_plain) if many else _stands_plain(value)
+        plain &= F.lit(len(name) <= _SHORT_NAME and re.fullmatch(r"[A-Za-z_]\w*", name, re.ASCII) is not None and name.lower() not in _READ_OTHERWISE)
+        line = F.concat(F.lit(f"{name}:\n- "), F.array_join(value, "\n- "), F.lit("\n")) if many else F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
+        written.append(F.when(kept & plain, line))
+        odd.append(F.when(kept & ~plain, value).alias(name))
+    dumped = F.pandas_udf(_dumped, StructType([StructField(name, StringType()) for name in fields]))(F.struct(*odd))
+    out = rows.withColumn("__dumped", dumped)
+    head = F.concat(*(F.coalesce(line, F.col("__dumped").getField(name), F.lit("")) for line, name in zip(written, fields, strict=True)))
+    text = F.when(F.length(body) > 0, F.concat(F.lit("\n"), F.col(body))).otherwise("")
+    return out.withColumn("note", F.concat(F.lit("---\n"), F.when(head == "", "{}\n").otherwise(head), F.lit("---\n"), text)).drop("__dumped")

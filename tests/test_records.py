@@ -246,3 +246,17 @@ def test_store(spark, tmp_path):
     with pytest.raises(Conflict):
         s.replace(m, s.version() - 1)
     assert s.read().count() == 2 and s.vacuum() > 0 and s.read().count() == 2 and s.clear() == 2 and s.read().count() == 0
+
+
+def test_notes_are_written_as_the_library_writes_them(spark):
+    rng = random.Random(11)
+    some = ["plain", "two words", "a  b", "a - b", "x: y", "a #b", "yes", "No", "null", "Nullable", "12", "1.5e3", "2024-01-15", "- a", "é", "it's", "a\nb", " lead", "trail ", "w" * 61, "long words " * 12 + "end", "x" * 200, "~", "v1.2/b-c_d", "[x]", "{x}", "a, b", "@x", "", "a\ttab", "on", "e.g. this", "a:", "\U0001f600", "___", "."]
+    rows = [(k, rng.choice([*some, None]), rng.choice([*some, "active", "resolved"]), rng.choice([None, [], [rng.choice(some)], rng.choices(some, k=3), ["a", None]]), rng.choice(["", None, "body\n---\n"])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "k long, summary string, status string, relates_to array<string>, content string")
+    got = {r.k: r.note for r in notes.serialize_notes(df, ["summary", "status", "relates_to"]).collect()}
+    for k, summary, status, relates_to, content in rows:
+        kept = {n: v for n, v in (("summary", summary), ("status", status), ("relates_to", relates_to)) if v and not (n == "status" and v == "active")}
+        assert got[k] == notes.serialize(kept, content or "")
+    odd = notes.serialize_notes(spark.createDataFrame([("a", "b", None)], "`on` string, `a b` string, content string"), ["on", "a b"]).first().note
+    assert odd == notes.serialize({"on": "a", "a b": "b"}, "")
+    assert notes.serialize_notes(df.limit(0), ["summary"]).count() == 0
