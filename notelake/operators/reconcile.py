@@ -8,10 +8,13 @@ ranges, and only rows of ranges that still differ are joined.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.tables import settled, small
+from notelake.operators.sync import columns
 
 #: Bits of a hash that one level tells apart.
 BITS = 10
@@ -23,21 +26,22 @@ def _prefix(bits: int) -> Column:
     return F.shiftrightunsigned("h", 64 - bits)
 
 
-def _digests(df: DataFrame, bits: int, name: str) -> DataFrame:
-    both = (F.bit_xor(F.xxhash64("id", "value")), F.bit_xor(F.xxhash64(F.lit(1), "id", "value")))
+def _digests(df: DataFrame, keys: list[str], bits: int, name: str) -> DataFrame:
+    both = (F.bit_xor(F.xxhash64(*keys, "value")), F.bit_xor(F.xxhash64(F.lit(1), *keys, "value")))
     return df.groupBy(_prefix(bits).alias("range")).agg(F.struct(F.count(F.lit(1)).alias("n"), both[0].alias("x"), both[1].alias("y")).alias(name))
 
 
-def differing(left: DataFrame, right: DataFrame, bits: int = BITS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, value) of both sides that lie in ranges whose digests differ.
+def differing(left: DataFrame, right: DataFrame, bits: int = BITS, rows: int = ROWS, key: str | Sequence[str] = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows (key, value) of both sides that lie in ranges whose digests differ.
 
-    Ids are unique on each side and not null.  Equal tables leave nothing; where most
+    Keys are unique on each side and not null.  Equal tables leave nothing; where most
     ranges differ, finer ones are not tried, as a join of all is cheaper then.
     """
-    sides = [settled(df.select("id", "value").withColumn("h", F.xxhash64("id"))) for df in (left, right)]
+    keys = columns(key)
+    sides = [settled(df.select(*keys, "value").withColumn("h", F.xxhash64(*keys))) for df in (left, right)]
     depth = bits
     while True:
-        a, b = (_digests(s, depth, n) for s, n in zip(sides, ("a", "b"), strict=True))
+        a, b = (_digests(s, keys, depth, n) for s, n in zip(sides, ("a", "b"), strict=True))
         size = F.greatest(F.coalesce("a.n", F.lit(0)), F.coalesce("b.n", F.lit(0)))
         all_ = a.join(b, "range", "full_outer").select("range", size.alias("n"), (~F.col("a").eqNullSafe(F.col("b"))).alias("off"))
         all_ = settled(all_)
@@ -49,16 +53,17 @@ def differing(left: DataFrame, right: DataFrame, bits: int = BITS, rows: int = R
         depth += bits
 
 
-def _values(df: DataFrame, no_summary: str) -> DataFrame:
-    return df.select("id", F.md5(F.concat_ws("|", F.coalesce("summary", F.lit(no_summary)), F.coalesce("content", F.lit("")))).alias("value"))
+def _values(df: DataFrame, keys: list[str], no_summary: str) -> DataFrame:
+    return df.select(*keys, F.md5(F.concat_ws("|", F.coalesce("summary", F.lit(no_summary)), F.coalesce("content", F.lit("")))).alias("value"))
 
 
-def verify(expected: DataFrame, indexed: DataFrame, bits: int = BITS, rows: int = ROWS) -> DataFrame:
-    """As ``sync.verify`` (id and problem: missing, orphaned, mismatched), for tables that differ little.
+def verify(expected: DataFrame, indexed: DataFrame, bits: int = BITS, rows: int = ROWS, key: str | Sequence[str] = "id") -> DataFrame:
+    """As ``sync.verify`` (key and problem: missing, orphaned, mismatched), for tables that differ little.
 
     What is shuffled follows the differences, not the tables.
     """
-    a, b = differing(_values(expected, "None"), _values(indexed, ""), bits, rows)
+    keys = columns(key)
+    a, b = differing(_values(expected, keys, "None"), _values(indexed, keys, ""), bits, rows, keys)
     problem = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "orphaned").when(F.col("a") != F.col("b"), "mismatched")
-    both = a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), "id", "full_outer")
-    return both.select("id", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    both = a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), keys, "full_outer")
+    return both.select(*keys, problem.alias("problem")).filter(F.col("problem").isNotNull())

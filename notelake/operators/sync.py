@@ -2,57 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.operators import notes
 
 
-def insert(m: DataFrame, new: DataFrame) -> DataFrame:
-    """A4, A5: ``new`` records whose id is not in ``m``, each once; these are to be appended."""
-    return new.dropDuplicates(["id"]).join(m.select("id"), "id", "left_anti")
+#: Columns that tell records apart: an id holds seven digits of its commit, so records of two commits can share one.
+RECORD = ("id", "commit_sha")
+PROBLEMS = ("missing", "orphaned", "mismatched")
+
+
+def columns(key: str | Sequence[str]) -> list[str]:
+    """The columns of a key: its name, or several."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def insert(m: DataFrame, new: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """A4, A5: ``new`` records whose key is not in ``m``, each once; these are to be appended."""
+    k = columns(key)
+    return new.dropDuplicates(k).join(m.select(*k), k, "left_anti").select(*new.columns)
 
 
-def upsert(m: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
+def upsert(m: DataFrame, changed: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
     """``m`` with the rows of ``changed`` in place of those with their key; keys that ``m`` lacks are added."""
-    fresh = changed.dropDuplicates([key])
-    return m.join(fresh.select(key), key, "left_anti").select(*m.columns).unionByName(fresh.select(*m.columns))
+    k = columns(key)
+    fresh = changed.dropDuplicates(k)
+    return m.join(fresh.select(*k), k, "left_anti").select(*m.columns).unionByName(fresh.select(*m.columns))
 
 
-def update(m: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
+def update(m: DataFrame, changed: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
     """As ``upsert``, but keys that ``m`` lacks stay absent."""
-    return upsert(m, changed.join(m.select(key), key, "left_semi"), key)
+    k = columns(key)
+    return upsert(m, changed.join(m.select(*k), k, "left_semi"), k)
 
 
-def verify(expected: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Id and problem (missing, orphaned, mismatched) where notes and table differ; one full outer join.
+def verify(expected: DataFrame, indexed: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """Key and problem (missing, orphaned, mismatched) where notes and table differ; one full outer join.
 
     Contents differ by the md5 of summary|content; a missing summary is the text None among the notes and empty in the table.
     """
-    a = expected.select("id", F.md5(F.concat_ws("|", F.coalesce("summary", F.lit("None")), F.coalesce("content", F.lit("")))).alias("a"))
-    b = indexed.select("id", F.md5(F.concat_ws("|", F.coalesce("summary", F.lit("")), F.coalesce("content", F.lit("")))).alias("b"))
+    k = columns(key)
+    a = expected.select(*k, F.md5(F.concat_ws("|", F.coalesce("summary", F.lit("None")), F.coalesce("content", F.lit("")))).alias("a"))
+    b = indexed.select(*k, F.md5(F.concat_ws("|", F.coalesce("summary", F.lit("")), F.coalesce("content", F.lit("")))).alias("b"))
     problem = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "orphaned").when(F.col("a") != F.col("b"), "mismatched")
-    return a.join(b, "id", "full_outer").select("id", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    return a.join(b, k, "full_outer").select(*k, problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
-def verification(problems: DataFrame) -> DataFrame:
-    """How many records have each problem, how many in all, and whether all is well, in one row; the ids are the rows of ``verify``."""
-    counts = [F.count_if(F.col("problem") == p).alias(p) for p in ("missing", "orphaned", "mismatched")]
-    return problems.agg(*counts, F.count("problem").alias("total_issues")).withColumn("is_consistent", F.col("total_issues") == 0)
+def verification(problems: DataFrame, ids: bool = False) -> DataFrame:
+    """How many records have each problem (or, with ``ids``, their sorted ids), how many in all, and whether all is well, in one row."""
+    each = (lambda hit: F.sort_array(F.collect_list(F.when(hit, F.col("id"))))) if ids else F.count_if
+    found = [each(F.col("problem") == p).alias(p) for p in PROBLEMS]
+    return problems.agg(*found, F.count("problem").alias("total_issues")).withColumn("is_consistent", F.col("total_issues") == 0)
 
 
-def repair(indexed: DataFrame, expected: DataFrame) -> DataFrame:
+def repair(indexed: DataFrame, expected: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
     """The table without orphans and with missing and mismatched records from the notes."""
-    problems = verify(expected, indexed)
-    kept = indexed.join(problems.select("id"), "id", "left_anti")
-    again = expected.join(problems.filter("problem <> 'orphaned'").select("id"), "id", "left_semi")
+    k = columns(key)
+    problems = verify(expected, indexed, k)
+    kept = indexed.join(problems.select(*k), k, "left_anti").select(*indexed.columns)
+    again = expected.join(problems.filter("problem <> 'orphaned'").select(*k), k, "left_semi")
     return kept.unionByName(again.select(*indexed.columns))
 
 
-def reindex(records: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
+def reindex(records: DataFrame, indexed: DataFrame | None = None, key: str | Sequence[str] = "id") -> DataFrame:
     """Records to write: all of them, or (with ``indexed``) only those that are not there yet."""
-    fresh = records.dropDuplicates(["id"])
-    return fresh if indexed is None else fresh.join(indexed.select("id"), "id", "left_anti")
+    return records.dropDuplicates(columns(key)) if indexed is None else insert(indexed, records, key)
 
 
 def merge_notes(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -74,14 +91,14 @@ def push_notes(remote: DataFrame, ours: DataFrame) -> DataFrame:
     return remote.join(ours.select(*key), key, "left_anti").select(*remote.columns).unionByName(ours.select(*remote.columns))
 
 
-def sync_remote(ours: DataFrame, remote: DataFrame, as_of: Column, indexed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sync_remote(ours: DataFrame, remote: DataFrame, as_of: Column, indexed: DataFrame | None = None, key: str | Sequence[str] = "id") -> tuple[DataFrame, DataFrame]:
     """The merged notes of both sides, to be pushed, and their records that are not ``indexed`` yet."""
     merged = merge_notes(ours, remote)
-    return merged, reindex(notes.to_memories(notes.records(merged), as_of), indexed)
+    return merged, reindex(notes.to_memories(notes.records(merged), as_of), indexed, key)
 
 
-def sync_notes(m: DataFrame, raw: DataFrame, as_of: Column) -> DataFrame:
-    """``m`` with every record of some notes (``raw``: namespace, commit_sha, note) added or in place of the one with its id."""
+def sync_notes(m: DataFrame, raw: DataFrame, as_of: Column, key: str | Sequence[str] = "id") -> DataFrame:
+    """``m`` with every record of some notes (``raw``: namespace, commit_sha, note) added or in place of the one with its key."""
     fresh = notes.to_memories(notes.records(raw), as_of)
     missing = [F.lit(None).cast(m.schema[c].dataType).alias(c) for c in m.columns if c not in fresh.columns]
-    return upsert(m, fresh.select("*", *missing))
+    return upsert(m, fresh.select("*", *missing), key)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ class Conflict(RuntimeError):
 class Store:
     """A table in a folder that Spark can reach."""
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str = schema.MEMORIES, partition: str | None = "namespace", key: str = "id"):
+    def __init__(self, spark: SparkSession, path: str, ddl: str = schema.MEMORIES, partition: str | None = "namespace", key: str | Sequence[str] = "id"):
         self.spark, self.path, self.ddl, self.partition, self.key = spark, path.rstrip("/"), ddl, partition, key
 
     def _fs(self):
@@ -101,17 +101,17 @@ class Store:
         return self.replace(f(self.read(v)), v)
 
     def insert(self, new: DataFrame, strict: bool = False, tries: int = 5) -> int:
-        """A4, A5: adds records whose id is new and returns their number; ``strict`` raises if one is not.
+        """A4, A5: adds records whose key is new and returns their number; ``strict`` raises if one is not.
 
-        Only new records are written.  Where another writer was first, ids are compared again.
+        Only new records are written.  Where another writer was first, keys are compared again.
         """
         for left in reversed(range(tries)):
             held = self._pointers()
             v = max(held, default=0)
-            name = self._write(sync.insert(self.read(v), new))
+            name = self._write(sync.insert(self.read(v), new, self.key))
             n = self.spark.read.schema(self.ddl).parquet(f"{self.path}/{name}").count()
             if strict and n < new.count():
-                raise ValueError("a record with this id exists")
+                raise ValueError("a record with this key exists")
             try:
                 self._claim(v + 1, [*held.get(v, []), name])
                 return n
@@ -126,7 +126,8 @@ class Store:
 
     def delete(self, ids: DataFrame) -> int:
         """A8, A8b."""
-        return self.change(lambda m: m.join(ids.select(self.key).distinct(), self.key, "left_anti"))
+        key = sync.columns(self.key)
+        return self.change(lambda m: m.join(ids.select(*key).distinct(), key, "left_anti"))
 
     def clear(self) -> int:
         """Removes all records and returns how many there were."""
