@@ -44,6 +44,19 @@ def sketched_percentiles(found: DataFrame, points: tuple[int, ...] = (50, 90, 95
     return found.withColumns({"mean": F.col("sum") / F.col("count"), "min": at(0.0), "max": at(1.0), **{f"p{p}": at(p / 100) for p in points}}).drop("sketch")
 
 
+def window_percentiles(obs: DataFrame, found: DataFrame, every: str, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99), **sizes: int) -> DataFrame:
+    """``sketched_percentiles`` of ``obs``' windows of length ``every`` (``found``), with exact percentiles however many values a window has.
+
+    Counts, sums and ends come from the merged sketches; percentiles are ranked (``percentiles``).
+    """
+    rows = obs.filter(F.col("value").isNotNull() & F.col("ts").isNotNull()).withColumn("start", F.window("ts", every)["start"])
+    exact = percentiles(rows, (*keys, "start"), points, reached=True, **sizes)
+    names = [*keys, "start"]
+    right = exact.select(*(F.col(c).alias(f"__{c}") for c in names), *(f"p{p}" for p in points))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+    return sketched_percentiles(found, ()).join(right, same).drop(*(f"__{c}" for c in names))
+
+
 def counters(obs: DataFrame) -> DataFrame:
     """Sum of each series."""
     return obs.groupBy("name", S.labels_key(F.col("labels")).alias("labels_key")).agg(F.sum("value").alias("value"))
@@ -75,9 +88,12 @@ def last_samples(obs: DataFrame, n: int = SAMPLES, keys: tuple[str, ...] = ("nam
     return obs.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), *tie))).filter(F.col("__r") <= n).drop("__r")
 
 
-def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99), whole: int = WHOLE) -> DataFrame:
+def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple[int, ...] = (50, 90, 95, 99), whole: int = WHOLE, reached: bool = False) -> DataFrame:
     """Count, sum, mean and percentiles by floor rank, sorted[min(floor(n p / 100), n - 1)], of each series.
 
+    With ``reached`` a percentile is the smallest value whose share of values up to it
+    reaches p, sorted[max(ceil(n p / 100), 1) - 1], as in ``sketched_percentiles``.
+
     Equal values are counted first.  If there are at most ``whole`` different ones, each
     series is ranked at once; else approximate quantiles cut it into slices of about
     ``SLICE`` values, which are ranked behind the sizes of the slices before.  Either way
@@ -97,7 +113,8 @@ def percentiles(obs: DataFrame, keys: tuple[str, ...] = ("name",), points: tuple
         sizes = settled(sizes.select(*keys_, "__s", before.alias("__before"), F.sum("__size").over(by).alias("__n")))
         within = Window.partitionBy(*keys_, "__s").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         ranked = rows.withColumn("__upto", F.sum("__c").over(within)).join(small(sizes), [*keys_, "__s"]).withColumn("__upto", F.col("__upto") + F.col("__before"))
-    rank = lambda p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1)
+    share = lambda p: F.col("__n") * p / 100
+    rank = lambda p: F.greatest(F.ceil(share(p)), F.lit(1)) - 1 if reached else F.least(F.floor(share(p)), F.col("__n") - 1)
     found = [F.max(F.when((F.col("__upto") - F.col("__c") <= rank(p)) & (rank(p) < F.col("__upto")), F.col("value"))).alias(f"p{p}") for p in points]
     total = F.sum(F.col("value") * F.col("__c"))
     return ranked.groupBy(*keys_).agg(F.sum("__c").alias("count"), total.alias("sum"), (total / F.sum("__c")).alias("mean"), *found)
@@ -158,8 +175,12 @@ def critical_paths(trees: DataFrame) -> DataFrame:
 
 
 def _number(x: Column) -> Column:
-    """As Python writes a float, for values that are whole or short."""
-    return F.when(x == F.floor(x), F.concat(F.format_string("%d", x.cast("long")), F.lit(".0"))).otherwise(x.cast("string"))
+    """As Python writes a float, for values that are whole or short: digits alone from 0.0001 up to 1e16."""
+    text = x.cast("string")
+    digits = F.rtrim(text.cast("decimal(38, 22)").cast("string"), F.lit("0"))
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e-"), F.lpad(F.substring_index(text, "E-", -1), 2, "0"))
+    plain = F.when(~F.contains(text, F.lit("E")), text).when(F.abs(x) >= 1e-4, digits).otherwise(short)
+    return F.when(x == F.floor(x), F.concat(F.format_string("%d", x.cast("long")), F.lit(".0"))).otherwise(plain)
 
 
 def _quoted(key: Column, extra: Column | None = None) -> Column:
