@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from notelake import literals as L
 from notelake.functions import scalar as S
-from notelake.operators import capture, context, knn, lookup, signals
+from notelake.operators import capture, context, lookup, neighbours, signals
 
 
 def once(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -88,9 +88,14 @@ def tool_captures(events: DataFrame, min_confidence: float = 0.8) -> DataFrame:
 
 
 def related(queries: DataFrame, vectors: DataFrame, m: DataFrame, k: int = 3, min_similarity: float = 0.6) -> DataFrame:
-    """The k nearest records of each query (query_id, namespace, embedding of a file's terms) that are similar enough."""
-    found = knn.nearest_many(queries, vectors, m, k).withColumn("similarity", S.recall_similarity(F.col("distance"))).filter(F.col("similarity") >= min_similarity)
-    return found.join(m.select("id", "summary", "content", "tags"), "id")
+    """The k nearest records of each query (query_id, namespace, embedding of a file's terms) that are similar enough.
+
+    Records of two commits can share an id; each is found by its own commit.
+    """
+    record = F.concat("id", F.lit(" "), "commit_sha").alias("record")
+    known = vectors.select("id", "embedding").join(m.select("id", record, "namespace"), "id").select(F.col("record").alias("id"), "namespace", "embedding")
+    found = neighbours.nearest(queries, known, k)[0].withColumnRenamed("id", "record").withColumn("similarity", S.recall_similarity(F.col("distance"))).filter(F.col("similarity") >= min_similarity)
+    return found.join(m.select(record, "id", "summary", "content", "tags"), "record").drop("record")
 
 
 def pre_compact_summary(match, context):

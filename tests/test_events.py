@@ -306,6 +306,13 @@ def test_before_compaction_the_surest_new_signals_are_captured(spark):
     assert hooks.pre_compact(messages.limit(0)).count() == 0
 
 
+def test_exposition_lines_write_large_and_small_numbers_as_python(spark):
+    values = [12013119.6, 1.5e15 + 0.5, 0.00025, 0.000012, -0.0000015, 1234567.25, 3.0, -98765432.125]
+    series = spark.createDataFrame([(f"m{i}", "", v) for i, v in enumerate(values)], "name string, labels_key string, value double")
+    lines = {r.name: r.line for r in telemetry.prometheus_counters(series).filter("line_no = 2").collect()}
+    assert lines == {f"m{i}": f"m{i} {v}" for i, v in enumerate(values)}
+
+
 def test_related_records_and_flush(spark, tmp_path):
     m = records(spark, [("a", "decisions", "s", "c", 0, None, [], "active"), ("b", "decisions", "s", "c", 0, None, [], "active")])
     v = spark.createDataFrame([("a", [0.1] * 4), ("b", [9.0] * 4)], schema.MEMORY_VECTORS)
