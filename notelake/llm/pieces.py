@@ -289,6 +289,10 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
     return bounded(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+#: Texts that ``parity`` compares at once.
+AT_ONCE = 64
+
+
 def parity(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
     """The doc_id of every text for which the SentencePiece library gives other ids, or another text back."""
 
@@ -298,11 +302,13 @@ def parity(docs: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
         _threads(threads)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
-            ids = encode_texts(texts, model)
-            theirs = library.encode(texts, num_threads=threads)
-            back = decode_ids(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64), model).to_pylist()
-            bad = [a.tolist() != b or t != u for a, b, t, u in zip(ids, theirs, back, library.decode(theirs), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(bad, pa.bool_()))], names=["doc_id"])
+            for lo in range(0, batch.num_rows, AT_ONCE):  # lists of numbers take many times the texts' memory
+                some = batch.slice(lo, AT_ONCE)
+                texts = some.column("text").fill_null("").to_pylist()
+                ids = encode_texts(texts, model)
+                theirs = library.encode(texts, num_threads=threads)
+                back = decode_ids(np.concatenate(ids), np.cumsum([len(x) for x in ids], dtype=np.int64), model).to_pylist()
+                bad = [a.tolist() != b or t != u for a, b, t, u in zip(ids, theirs, back, library.decode(theirs), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").filter(pa.array(bad, pa.bool_()))], names=["doc_id"])
 
     return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
