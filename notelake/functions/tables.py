@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a small table up to which it is broadcast; tables are counted before.
 MAX_BROADCAST = 200_000
+#: Bytes of an Arrow batch of texts, and characters and rows of it that a Python worker handles at once.
+BATCH_BYTES, PORTION_CHARACTERS, PORTION_ROWS = 8 << 20, 1 << 20, 256
 _PART_BITS = 33  # monotonically_increasing_id: number of the partition above, of the row below
 
 
@@ -38,6 +41,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches() -> None:
+    """Limits the Arrow batches of the active session to ``BATCH_BYTES``, so that what a worker holds doesn't grow with its partition."""
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session is not None and int(session.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        session.conf.set(key, str(BATCH_BYTES))
+
+
+def portions(part: pd.Series) -> Iterator[pd.Series]:
+    """The texts (null: empty) of a batch, in order, some at a time; one that is longer than a portion stands alone."""
+    sizes = [len(x) if isinstance(x, str) else 0 for x in part]
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == PORTION_ROWS or held + n > PORTION_CHARACTERS):
+            yield part.iloc[lo:i]
+            lo, held = i, 0
+        held += n
+    if lo < len(part):
+        yield part.iloc[lo:]
+
+
 def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """``df`` (settled), to be broadcast if it has at most ``most`` rows; otherwise Spark joins it by a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from notelake import literals as L
 from notelake.functions.gates import Patterns
+from notelake.functions.tables import portions, small_batches
 
 DETECTIONS = "array<struct<secret_type: string, start: int, end: int, confidence: double, detector: string, line_number: int, secret_hash: string>>"
 FIELDS = ["secret_type", "start", "end", "confidence", "detector", "line_number", "secret_hash"]
@@ -110,9 +111,10 @@ def detect(column: Column | str, pii: bool = True, secrets: bool = True, entropy
 
     @F.pandas_udf(DETECTIONS)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(detect_many(part, pii, secrets, entropy_limit), dtype=object)
+        for some in (x for part in parts for x in portions(part)):
+            yield pd.Series(detect_many(some, pii, secrets, entropy_limit), dtype=object)
 
+    small_batches()
     return run(column)
 
 
