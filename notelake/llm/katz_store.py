@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions.tables import written
 from notelake.llm import exchange as X
 from notelake.llm.katz import BEGIN, END, Discounts, K
 from notelake.llm.text import lower_ascii, mix, text_blocks, word_hash, words
@@ -76,21 +77,21 @@ def train(docs: DataFrame, folder: str, order: int = 3, buckets: int = BUCKETS)
                     lower = gram
 
     rows = X.bounded(docs).select("text").mapInArrow(count, "k int, gram bigint, context bigint, lower bigint, n bigint")
-    counts = X.settled(rows.groupBy("k", "gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("c")))
+    counts = written(rows.groupBy("k", "gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("c")))
     few = {(r["k"], r["c"]): r["count"] for r in counts.filter(F.col("c") <= K + 1).groupBy("k", "c").count().collect()}  # order * (K + 1) rows
     keeps = {k: Discounts.good_turing(np.array([0.0, *(few.get((k, r), 0) for r in range(1, K + 2))])).keep for k in range(1, order + 1)}
     keep = lambda k: F.when(F.col("c") <= K, F.element_at(F.array(*(F.lit(float(x)) for x in keeps[k][1:])), F.col("c").cast("int"))).otherwise(F.lit(1.0)) if few else F.lit(1.0)
     tokens, left = counts.filter("k = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((1 - keep(1)) * F.col("c")), F.lit(0.0))).first()
     whole = tokens + (left <= 0)
-    below = X.settled(counts.filter("k = 1").select("gram", (keep(1) * F.col("c") / F.lit(float(whole))).alias("p")))
+    below = written(counts.filter("k = 1").select("gram", (keep(1) * F.col("c") / F.lit(float(whole))).alias("p")))
     _write(below.withColumn("k", F.lit(1)), f"{folder}/grams", "gram", buckets, "overwrite")
     _write(spark.createDataFrame([], "context bigint, alpha double, k int"), f"{folder}/contexts", "context", buckets, "overwrite")
     for k in range(2, order + 1):
         mine = counts.filter(F.col("k") == k)
         sums = mine.groupBy("context").agg(F.sum("c").alias("total"), F.sum((1 - keep(k)) * F.col("c")).alias("freed"))
-        sums = X.settled(sums.withColumn("none", F.col("freed") <= 1e-12))  # nothing discounted: as if the context had been followed once by something new
+        sums = written(sums.withColumn("none", F.col("freed") <= 1e-12))  # nothing discounted: as if the context had been followed once by something new
         held = F.col("total") + F.col("none").cast("int")
-        seen = X.settled(mine.join(sums, "context").select("gram", "context", "lower", (keep(k) * F.col("c") / held).alias("p")))
+        seen = written(mine.join(sums, "context").select("gram", "context", "lower", (keep(k) * F.col("c") / held).alias("p")))
         mass = seen.select("context", "lower").join(below.withColumnRenamed("gram", "lower"), "lower").groupBy("context").agg(F.sum("p").alias("mass"))
         alpha = F.when(F.col("none"), F.lit(1.0)).otherwise(F.col("freed")) / held / F.greatest(1 - F.col("mass"), F.lit(1e-300))
         _write(sums.join(mass, "context").select("context", alpha.alias("alpha"), F.lit(k).alias("k")), f"{folder}/contexts", "context", buckets, "append")
@@ -107,6 +108,9 @@ def _write(table: DataFrame, path: str, key: str, buckets: int, mode: str) -> No
 def score(texts: DataFrame, folder: str) -> DataFrame:
     """n_tokens and log10 probability of each row's text by a stored model.
 
+    Each different n-gram of all texts is looked up once; texts meet only its value, so
+    the tables are joined with as many rows as there are different n-grams.
+
     Needs doc_id and text (null: empty, one end token); others are ignored, whatever
     their names.  Equal texts are worked out once; repeated rows stay; an empty table
     gives an empty result.  Joins with the tables are split by Spark where a frequent
@@ -118,7 +122,7 @@ def score(texts: DataFrame, folder: str) -> DataFrame:
     order, unknown = spark.read.parquet(f"{folder}/model").first()
     grams = spark.read.schema("gram bigint, p double, k int, bucket int").parquet(f"{folder}/grams")
     contexts = spark.read.schema("context bigint, alpha double, k int, bucket int").parquet(f"{folder}/contexts")
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    key = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
     plain = X.bounded(texts).select("doc_id", "text").withColumn("key", key)
     names = [f"g{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(2, order + 1)]
 
@@ -130,14 +134,18 @@ def score(texts: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(first + of[at])), pa.array(n, pa.int64()), *map(pa.array, columns)], names=["key", "n", *names])
 
     single = plain.groupBy("key").agg(F.min("text").alias("text"))
-    rows = single.mapInArrow(spread, ", ".join(["key string", "n bigint", *(f"{c} bigint" for c in names)]))
-    value: Column | None = None
+    top = f"g{order}"
+    rows = single.mapInArrow(spread, ", ".join(["key binary", "n bigint", *(f"{c} bigint" for c in names)]))
+    each = rows.select(*names).groupBy(top).agg(*(F.first(c).alias(c) for c in names if c != top))
     for k in range(1, order + 1):
-        rows = rows.join(grams.filter(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("p").alias(f"p{k}")), f"g{k}", "left")
-        if value is None:
-            value = F.coalesce("p1", F.lit(unknown))
+        held = f"p{k}"
+        each = each.join(grams.filter(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("p").alias(held)), f"g{k}", "left")
+        if k == 1:
+            value: Column = F.coalesce(held, F.lit(unknown))
         else:
-            rows = rows.join(contexts.filter(F.col("k") == k).select(F.col("context").alias(f"c{k}"), F.col("alpha").alias(f"a{k}")), f"c{k}", "left")
-            value = F.coalesce(f"p{k}", F.coalesce(f"a{k}", F.lit(1.0)) * value)
-    sums = rows.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.log10(value)).alias("score"))
+            each = each.join(contexts.filter(F.col("k") == k).select(F.col("context").alias(f"c{k}"), F.col("alpha").alias(f"a{k}")), f"c{k}", "left")
+            value = F.coalesce(held, F.coalesce(f"a{k}", F.lit(1.0)) * F.col("value"))
+        left = {top, *(f"g{j}" for j in range(k + 1, order + 1)), *(f"c{j}" for j in range(k + 1, order + 1))}
+        each = each.select(*(c for c in names if c in left), value.alias("value"))
+    sums = rows.select("key", "n", top).join(each.select(top, F.log10("value").alias("log")), top).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("log")).alias("score"))
     return plain.select("doc_id", "key").join(sums, "key").select("doc_id", "n_tokens", "score")
