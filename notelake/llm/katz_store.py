@@ -136,7 +136,7 @@ def score(texts: DataFrame, folder: str) -> DataFrame:
     single = plain.groupBy("key").agg(F.min("text").alias("text"))
     top = f"g{order}"
     rows = single.mapInArrow(spread, ", ".join(["key binary", "n bigint", *(f"{c} bigint" for c in names)]))
-    each = rows.select(*names).groupBy(top).agg(*(F.first(c).alias(c) for c in names if c != top))
+    each = rows.select(*names).dropDuplicates([top])
     for k in range(1, order + 1):
         held = f"p{k}"
         each = each.join(grams.filter(F.col("k") == k).select(F.col("gram").alias(f"g{k}"), F.col("p").alias(held)), f"g{k}", "left")
