@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.functions.tables import small
 from notelake.llm import exchange as X
 from notelake.llm.text import covered, mix, text_blocks, window_hash, window_ok, word_hash, words
 
@@ -294,10 +295,14 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
         return some.append_column("words", pa.array(np.full(some.num_rows, length), pa.int64()))
 
     out = plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
-    known, length = None, n
+    known, length, some = None, n, dealt
     while True:
-        known = X.settled(X.with_answers(dealt, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(_answer_level, X.ANSWER))
+        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(_answer_level, X.ANSWER))
         if known.isEmpty():
             return out.groupBy("doc_id").agg(F.max("words").alias("words"))
-        out = out.unionByName(X.with_answers(dealt, known, mark, f"doc_id {kind}, words bigint", length))
+        hits = X.settled(X.with_answers(some, known, mark, f"doc_id {kind}, words bigint", length))
+        out = out.unionByName(hits)
+        # a longer repeat holds one of this length, so only these documents are read again
+        again = small(X.settled(hits.select(F.col("doc_id").alias("hit")).distinct()))
+        some = dealt.join(again, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
         length *= 2
