@@ -66,16 +66,16 @@ def _smallest(h: np.ndarray, short: int, long: int) -> np.ndarray:
     return mix(out) & ~U64(1)  # smallest hashes are small; this spreads them over all hash ranges
 
 
-def _found(answer: pa.Table) -> np.ndarray:
+def _found(answer: pa.Table, whole: bool = False) -> np.ndarray:
     """What a chunk was told at a level, in order."""
-    return np.unique(X.lengthened(X.unpack(answer, X.SHORT)[1]))
+    return np.unique(X.unpack(answer, U64)[1] if whole else X.lengthened(X.unpack(answer, X.SHORT)[1]))
 
 
-def _member(h: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which hashes are among those found, by their lower bytes."""
+def _member(h: np.ndarray, found: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Which hashes are among those found, by their lower bytes or as a whole."""
     if not len(found):
         return np.zeros(len(h), bool)
-    h = h & X.LOW
+    h = h if whole else h & X.LOW
     return found[np.minimum(np.searchsorted(found, h), len(found) - 1)] == h
 
 
@@ -90,10 +90,10 @@ def _entries(hashes: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarr
     return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
 
 
-def _answer_level(key: tuple, table: pa.Table) -> pa.Table:
+def _answer_level(key: tuple, table: pa.Table, whole: bool = False) -> pa.Table:
     """Each chunk's hashes that stand in two documents or more; the lowest bit of an entry says so for its own chunk."""
-    row, entries = X.unpack(table, X.SHORT)
-    h = X.lengthened(entries)
+    row, entries = X.unpack(table, U64 if whole else X.SHORT)
+    h = entries if whole else X.lengthened(entries)
     many, h = (h & U64(1)).astype(bool), h & ~U64(1)
     order = np.argsort(h)
     s = h[order]
@@ -103,7 +103,7 @@ def _answer_level(key: tuple, table: pa.Table) -> pa.Table:
     hot[:-1] |= same
     wanted = np.zeros(len(h), bool)
     wanted[order] = hot
-    return X.answers(table, row, wanted, X.shortened(h))
+    return X.answers(table, row, wanted, h if whole else X.shortened(h))
 
 
 def _answer_last(table: pa.Table, ids: X.Ranges) -> pa.Table:
@@ -254,7 +254,7 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
     """For each document the longest of n, 2 n, 4 n, ... words at which it shares a window with another document (0: none).
 
     Only windows whose two halves are repeated go on to the next length; the search ends
-    when no candidates survive.  Inputs and odd cases are as for ``cut_repeats``.
+    when no candidates survive.  A match is told by 63 bits, as it is the result.  Inputs and odd cases are as for ``cut_repeats``.
 
     Returns doc_id, words.
     """
@@ -271,33 +271,33 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
         w, ok = hashes(h, row, length)
         if found is not None and len(w):
             half = length // 2
-            m = _member(hashes(h, row, half)[0], found)
+            m = _member(hashes(h, row, half)[0], found, True)
             ok = ok & m[: len(w)] & m[half : half + len(w)]
         return w, ok
 
     def send(key: tuple, table: pa.Table, answer: pa.Table | None, length: int) -> pa.Table:
-        found = None if answer is None else _found(answer)
+        found = None if answer is None else _found(answer, True)
         hs, ds = [], []
         for _, _, _, row, doc, h in _word_blocks(table, _doc_numbers(table)):
             w, ok = alive(h, row, length, found)
             hs.append(w[ok])
             ds.append(doc[: len(w)][ok])
         h, many = _entries(hs, ds)
-        return X.pack(key[0].as_py(), ranges, h | many.astype(U64), whole=False)
+        return X.pack(key[0].as_py(), ranges, h | many.astype(U64))
 
     def mark(key: tuple, table: pa.Table, answer: pa.Table, length: int) -> pa.Table:
-        found = _found(answer)
+        found = _found(answer, True)
         hit = np.zeros(table.num_rows, bool)
         for t, _, _, row, _, h in _word_blocks(table, _doc_numbers(table)):
             w, ok = hashes(h, row, length)
-            hit[t.first + row[: len(w)][ok & _member(w, found)]] = True
+            hit[t.first + row[: len(w)][ok & _member(w, found, True)]] = True
         some = table.filter(pa.array(hit)).select(["doc_id"])
         return some.append_column("words", pa.array(np.full(some.num_rows, length), pa.int64()))
 
     out = plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
     known, length, some = None, n, dealt
     while True:
-        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(_answer_level, X.ANSWER))
+        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(lambda key, table: _answer_level(key, table, True), X.ANSWER))
         if known.isEmpty():
             return out.groupBy("doc_id").agg(F.max("words").alias("words"))
         hits = X.settled(X.with_answers(some, known, mark, f"doc_id {kind}, words bigint", length))
