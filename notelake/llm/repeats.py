@@ -90,7 +90,7 @@ def _entries(hashes: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarr
     return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
 
 
-def _answer_level(key: tuple, table: pa.Table, whole: bool = False) -> pa.Table:
+def _answer_level(table: pa.Table, whole: bool = False) -> pa.Table:
     """Each chunk's hashes that stand in two documents or more; the lowest bit of an entry says so for its own chunk."""
     row, entries = X.unpack(table, U64 if whole else X.SHORT)
     h = entries if whole else X.lengthened(entries)
@@ -161,7 +161,7 @@ def cut_repeats(docs: DataFrame, n: int = WINDOW, base: int = BASE, chunk_bytes:
             return X.pack(key[0].as_py(), ranges, h | many.astype(U64), whole=False)
 
         sent = X.with_answers(dealt, known, send, X.PACKED, short, long, steps[steps.index(short) - 1] if known is not None else 0)
-        known = sent.groupBy("bucket").applyInArrow(_answer_level, X.ANSWER)
+        known = sent.groupBy("bucket").applyInArrow(lambda key, table: _answer_level(table), X.ANSWER)
 
     def send_last(key: tuple, table: pa.Table, found: pa.Table | None) -> pa.Table:
         some = _found(found) if found is not None else None
@@ -297,7 +297,7 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
     out = plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
     known, length, some = None, n, dealt
     while True:
-        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(lambda key, table: _answer_level(key, table, True), X.ANSWER))
+        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(lambda key, table: _answer_level(table, True), X.ANSWER))
         if known.isEmpty():
             return out.groupBy("doc_id").agg(F.max("words").alias("words"))
         hits = X.settled(X.with_answers(some, known, mark, f"doc_id {kind}, words bigint", length))

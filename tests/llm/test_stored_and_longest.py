@@ -1,6 +1,8 @@
 """What the stored model joins, and what the search for longest repeats reads again."""
 
-from notelake.llm import exchange, katz_store, repeats
+import hashlib
+
+from notelake.llm import exchange, katz_store, queries, repeats
 
 
 def test_stored_model_looks_up_each_ngram_once(spark, tmp_path):
@@ -24,3 +26,12 @@ def test_only_documents_with_a_repeat_are_read_again(spark, monkeypatch):
     found = {r.doc_id: r.words for r in repeats.longest_repeats(docs).collect()}
     assert found == {1: 52, 2: 52, 3: 13, None: 26, **dict.fromkeys(range(10, 40), 0)}
     assert read == [34, 34, 4, 4, 3, 3, 2]
+
+
+def test_the_registered_query_of_word_repeats_runs(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[:20])), (3, "y z"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op9_word_repeats"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (40, 0, sha(rows[0][1])), 2: (21, 20, sha("x")), 3: (2, 0, sha("y z")), 4: (0, 0, sha(""))}
