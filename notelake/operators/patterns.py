@@ -57,7 +57,7 @@ def detect(m: DataFrame, as_of: Column, min_occurrences: int = MIN_OCCURRENCES,
     postings = records.select("__g", "__d", F.explode("terms").alias("term"))
     frequent = settled(postings.groupBy("__g", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_occurrences))
     words = settled(numbered(frequent, [F.col("df").desc(), F.col("term").asc()], "__g").select("__g", "term", "df", F.col("position").cast("int").alias("t")))
-    listed = settled(postings.join(small(words.drop("df")), ["__g", "term"]).groupBy("__g", "__d").agg(F.sort_array(F.collect_list("t")).alias("ts")))
+    listed = settled(postings.join(small(words.drop("df").hint("shuffle_hash")), ["__g", "term"]).groupBy("__g", "__d").agg(F.sort_array(F.collect_list("t")).alias("ts")))
     swept = sweep(listed.select(F.col("__g").alias("g"), F.col("__d").alias("d"), "ts"), min_occurrences, local, first)
     once = swept.groupBy("g", "n", "digest").agg(F.min(F.struct("seed", "members")).alias("c")).select(F.col("g").alias("__g"), "n", "c.seed", "c.members")
     totals = records.groupBy("__g").agg(F.sum("rows").alias("total"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notelake import literals as L
 from notelake.functions.tables import numbered, settled
 from notelake.operators import patterns
+from notelake.operators import sweep as module
 from notelake.operators.sweep import sweep
 
 TERM = re.compile(r"\b[a-z][a-z0-9_-]*[a-z0-9]\b|\b[a-z]\b")
@@ -126,3 +127,47 @@ def test_places_by_ranges_and_by_a_window_agree(spark):
     df = settled(spark.createDataFrame([(rng.choice(["a", "b", None]), rng.randrange(15)) for _ in range(400)], "g string, x int"))
     kept = [sorted((str(r.g), r.x, r.position, r.total) for r in numbered(df, [F.col("x").asc()], "g", most).collect()) for most in (0, 10**6)]
     assert kept[0] == kept[1]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.15])
+def test_rounds_follow_the_postings_not_the_terms(spark, monkeypatch, share):
+    """A large group takes a round for each block, and its blocks are few; seeds go in turns if they have many records left."""
+    blocks, turns, block = [], [], module._block
+    cut = module._cut
+    monkeypatch.setattr(module, "_cut", lambda *a: (blocks.append(x := cut(*a)), x)[1])
+    monkeypatch.setattr(module, "_block", lambda least, new: (turns.append(new), block(least, new))[1])
+    groups = random_groups(5, (400, 30, 0), 2)
+    rows = [(g, 1000 * k + i, r) for k, (g, rs) in enumerate(groups.items()) for i, r in enumerate(rs) if r]
+    size = sum(map(len, groups["a"]))
+    got = sorted((r.g, r.seed, tuple(r.members), r.n) for r in sweep(settled(spark.createDataFrame(rows, "g string, d long, ts array<int>")), 2, int(share * size), 8).collect())
+    want = []
+    for g in groups:
+        own = [(d, r) for h, d, r in rows if h == g]
+        names = sorted({t for _, r in own for t in r})
+        want += [(g, names[m[0]], tuple(names[i] for i in m), len(left)) for m, left in brute_clusters([{d for d, r in own if t in r} for t in names], 2)]
+    assert got == sorted(want)
+    rounds = blocks[0][0].groupBy("g").count().agg(F.max("count")).first()[0]
+    assert rounds <= 1 / share + 4 and rounds <= len(turns) <= 3 * rounds
+
+
+def test_seeds_in_turns_are_the_sequential_ones(spark):
+    """Earlier seeds that have more records left than a task takes go in turns, each without the terms taken before."""
+    rng = random.Random(2)
+    sets = [{d for d in range(40) if rng.random() < 0.5} for _ in range(12)]
+    rows = [("a", d, [t for t in range(12) if d in sets[t]]) for d in range(40)]
+    docs = spark.createDataFrame([(g, d, [t for t in ts if t >= 6]) for g, d, ts in rows], "g string, d long, ts array<int>")
+    seeds = {0: set(range(30)), 1: set(range(10, 40)), 2: set(range(0, 40, 2)), 4: set(range(5))}
+    state = settled(spark.createDataFrame([("a", s, d) for s, ds in seeds.items() for d in ds], "g string, seed int, d long"))
+    used, want = set(), set()
+    for seed, left in [*sorted(seeds.items()), *((t, None) for t in range(6, 12))]:
+        if seed in used:
+            continue
+        members, left = ([seed], set(sets[seed])) if left is None else ([], set(left))
+        for t in range(max(seed + 1, 6), 12):
+            if t not in used and len(left & sets[t]) >= 4:
+                members.append(t)
+                left &= sets[t]
+        used |= set(members)
+        want |= {(seed, t, None) for t in members} | ({(seed, None, d) for d in left} if members else set())
+    for local in (10, 1000):
+        assert {(r.seed, r.t, r.d) for r in module._step(docs, state, 4, local).collect()} == want
