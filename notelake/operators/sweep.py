@@ -48,7 +48,7 @@ def _able(earlier: Sequence[np.ndarray], terms: np.ndarray, of_doc: np.ndarray,
     return out
 
 
-def clusters(doc: np.ndarray, term: np.ndarray, records: int, least: int, earlier: Sequence[np.ndarray] = (), new: bool = True) -> Iterator[tuple[int | None, list[int], np.ndarray]]:
+def moves(doc: np.ndarray, term: np.ndarray, records: int, least: int, earlier: Sequence[np.ndarray] = (), new: bool = True) -> Iterator[tuple[int | None, list[int], np.ndarray]]:
     """What seeds take, and the records they have left; ``doc`` (below ``records``) and ``term`` are different pairs, terms numbered in their order.
 
     ``earlier`` are the records of seeds before these terms; those that take some come
@@ -105,6 +105,12 @@ def clusters(doc: np.ndarray, term: np.ndarray, records: int, least: int, earlie
             yield None, [seed, *members], left
 
 
+def clusters(doc: np.ndarray, term: np.ndarray, least: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Members and records of each cluster, for all terms at once (``moves``)."""
+    for _, members, left in moves(doc, term, int(doc.max()) + 1 if len(doc) else 0, least):
+        yield members, left
+
+
 _FOUND = "g string, seed int, members array<int>, n bigint, digest bigint"
 #: What a block adds: each row is a term that a seed takes, or a record it has left then.
 _TAKEN = "g string, seed int, t int, d bigint"
@@ -121,7 +127,7 @@ def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _whole(key: tuple, table: pa.Table, least: int) -> pa.Table:
     """The clusters of a group."""
     d, names, doc, term = _postings(table)
-    found = [(int(names[m[0]]), names[m].tolist(), len(left), int(np.bitwise_xor.reduce(d[left]))) for _, m, left in clusters(doc, term, len(d), least)]
+    found = [(int(names[m[0]]), names[m].tolist(), len(left), int(np.bitwise_xor.reduce(d[left]))) for m, left in clusters(doc, term, least)]
     seed, members, n, digest = zip(*found, strict=True) if found else ((), (), (), ())
     return pa.table({"g": pa.array([key[0].as_py()] * len(found), pa.string()), "seed": pa.array(seed, pa.int32()), "members": pa.array(members, pa.list_(pa.int32())), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.int64())})
 
@@ -138,7 +144,7 @@ def _taken(key: tuple, table: pa.Table, state: pa.Table, least: int, new: bool)
     record = by_id[np.searchsorted(d, record[order], sorter=by_id)] if len(record) else order
     seeds, begin = np.unique(seed[order], return_index=True)
     out: tuple[list, list, list] = ([], [], [])
-    for i, members, left in clusters(doc, term, len(d), least, np.split(record, begin[1:]) if len(seeds) else (), new):
+    for i, members, left in moves(doc, term, len(d), least, np.split(record, begin[1:]) if len(seeds) else (), new):
         out[0].append(names[members[0]] if i is None else seeds[i])
         out[1].append(names[members])
         out[2].append(d[left])
