@@ -16,6 +16,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.retainedStages", "100000")  # tests read the status of stages, skipped ones too
         .config("spark.driver.memory", "3g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
