@@ -39,7 +39,7 @@ class DetectSignals:
         return AnalyzeResult(_struct(_SIGNAL))
 
     def eval(self, text: str, min_confidence: float = 0.0) -> Iterator[tuple]:
-        for s in signals.detect_one(text, min_confidence=float(min_confidence)):
+        for s in signals.detect_one(text, min_confidence=float(min_confidence), most=None):
             yield tuple(s[n] for n, _ in _SIGNAL)
 
 
@@ -72,7 +72,7 @@ class SurestSignals:
 
     def eval(self, messages: object, top: int, min_confidence: float) -> None:
         self.top = top
-        for s in signals.detect_one(messages["text"]):
+        for s in signals.detect_one(messages["text"], most=None):
             if s["confidence"] >= float(min_confidence):
                 row = (messages["conv_id"], messages["turn"], *(s[n] for n, _ in _SIGNAL))
                 key = (s["confidence"], -messages["turn"], -s["position"])
