@@ -41,6 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unwritten(df: DataFrame) -> None:
+    """Deletes the files of a table by ``written`` that nothing reads any more."""
+    if files := df.inputFiles():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches() -> None:
     """Limits the Arrow batches of the active session to ``BATCH_BYTES``, so that what a worker holds doesn't grow with its partition."""
     session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
