@@ -254,7 +254,8 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
     """For each document the longest of n, 2 n, 4 n, ... words at which it shares a window with another document (0: none).
 
     Only windows whose two halves are repeated go on to the next length; the search ends
-    when no candidates survive.  A match is told by 63 bits, as it is the result.  Inputs and odd cases are as for ``cut_repeats``.
+    when no candidates survive.  A match is told by 63 bits, as it is the result.  What a
+    step has exchanged goes before the next one.  Inputs and odd cases are as for ``cut_repeats``.
 
     Returns doc_id, words.
     """
@@ -294,13 +295,18 @@ def longest_repeats(docs: DataFrame, n: int = WINDOW, chunk_bytes: int | None =
         some = table.filter(pa.array(hit)).select(["doc_id"])
         return some.append_column("words", pa.array(np.full(some.num_rows, length), pa.int64()))
 
-    out = plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
+    spark, out = docs.sparkSession, plain.select("doc_id").withColumn("words", F.lit(0).cast("bigint"))
     known, length, some = None, n, dealt
     while True:
-        known = X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(lambda key, table: _answer_level(table, True), X.ANSWER))
+        before, known = known, X.settled(X.with_answers(some, known, send, X.PACKED, length).groupBy("bucket").applyInArrow(lambda key, table: _answer_level(table, True), X.ANSWER))
+        if before is not None:
+            X.forget(before)
+        X.release(spark)
         if known.isEmpty():
+            X.forget(known)
             return out.groupBy("doc_id").agg(F.max("words").alias("words"))
         hits = X.settled(X.with_answers(some, known, mark, f"doc_id {kind}, words bigint", length))
+        X.release(spark)
         out = out.unionByName(hits)
         # a longer repeat holds one of this length, so only these documents are read again
         again = small(X.settled(hits.select(F.col("doc_id").alias("hit")).distinct()))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from notelake.functions import tables
-from notelake.llm import katz_store
+from notelake.llm import exchange, katz_store, repeats
 from tests.llm.conftest import corpus, docs_of
 
 
@@ -35,3 +35,15 @@ def test_large_tables_take_several_passes(spark):
     assert katz_store._passes(docs, 16, 5) == [(0, 3), (3, 6), (6, 9), (9, 12), (12, 16)]
     large = katz_store._passes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"), 16, None)
     assert 4 < len(large) <= katz_store.MAX_PASSES and (large[0][0], large[-1][1]) == (0, 16)
+
+
+def test_answers_of_a_length_go_with_the_next(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words)), (3, " ".join(words[:14])), (4, "y")], "doc_id bigint, text string")
+    made, released, settled, release = [], [], exchange.settled, exchange.release
+    monkeypatch.setattr(exchange, "settled", lambda df: (made.append(settled(df)), made[-1])[1])
+    monkeypatch.setattr(exchange, "release", lambda session: (released.append(1), release(session)))
+    assert {r.doc_id: r.words for r in repeats.longest_repeats(docs).collect()} == {1: 52, 2: 52, 3: 13, 4: 0}
+    answers = [df for df in made if "payload" in df.columns]
+    files = [df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:") for df in answers]
+    assert len(files) == 4 and not any(map(os.path.exists, files)) and len(released) == 7
