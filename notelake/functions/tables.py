@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -48,6 +49,12 @@ def unwritten(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are gone now, not at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches() -> None:
     """Limits the Arrow batches of the active session to ``BATCH_BYTES``, so that what a worker holds doesn't grow with its partition."""
     session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
