@@ -51,8 +51,9 @@ def unwritten(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are gone now, not at some later garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the driver's Python has let go may reach the JVM behind its first collection
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def small_batches() -> None:
